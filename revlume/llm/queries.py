@@ -36,8 +36,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+#: The key of the registered query. A deployment gives its own.
+PII_KEY = "revlume-demonstration-key"
+
+
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymize
+
+    docs = table(spark, sf_dir, "documents")
+    return pseudonymize(docs, PII_KEY)
+
+
 QUERIES: dict[str, Query] = {
     "op6_token_shards": op6_token_shards,
+    "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
