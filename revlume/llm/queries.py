@@ -36,6 +36,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: The key of the registered query. A deployment gives its own.
 PII_KEY = "revlume-demonstration-key"
 
@@ -49,6 +55,7 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op6_token_shards": op6_token_shards,
+    "op7_quality_rules": op7_quality_rules,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
