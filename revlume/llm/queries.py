@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +25,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, learner
+
+    found = identify(table(spark, sf_dir, "documents"), learner(F.col("doc_id")))
+    return found.select("doc_id", (~learner(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import token_shards
 
@@ -54,6 +62,7 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op5_language_id": op5_language_id,
     "op6_token_shards": op6_token_shards,
     "op7_quality_rules": op7_quality_rules,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
