@@ -25,6 +25,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).drop("mix_tie")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify, learner
 
@@ -62,6 +68,7 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_token_shards": op6_token_shards,
     "op7_quality_rules": op7_quality_rules,
