@@ -25,6 +25,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import classes
+
+    return classes(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import learner, score
 
@@ -75,6 +81,7 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
