@@ -75,6 +75,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 #: The key of the registered query. A deployment gives its own.
 PII_KEY = "revlume-demonstration-key"
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op5_language_id": op5_language_id,
     "op6_token_shards": op6_token_shards,
     "op7_quality_rules": op7_quality_rules,
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
