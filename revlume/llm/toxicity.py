@@ -343,3 +343,17 @@ def score(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
 
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
     return docs.select(F.col("doc_id").cast("long"), "text", *(c for c in columns if c not in ("doc_id", "text"))).mapInPandas(apply, "doc_id long, score double, predicted int" + extra)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their columns alone."""
+    model = fit(docs, labels)
+
+    @F.pandas_udf("double")
+    def probability(texts: pd.Series) -> pd.Series:
+        if model is None:
+            return pd.Series(np.full(len(texts), 0.5))
+        own = [t if isinstance(t, str) else None for t in texts]
+        return pd.Series(np.concatenate([np.zeros(0), *(model.probability(model.worst(own[at : at + 256])) for at in range(0, len(own), 256))]))
+
+    return docs.where(probability("text") < CUTOFF)
