@@ -15,7 +15,9 @@ import numpy as np
 
 #: Entries that a worker's cache holds at most, besides those of one batch (about 200 bytes each).
 #: The older half goes first, unless it was used again.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 1_600_000
+#: Characters of text that are cut at a time.
+TEXT_CHARS = 1 << 20
 
 _SPACE = (" ", "\t", "\n", "\r")
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
@@ -69,6 +71,16 @@ class ChunkEncoder:
         return [np.frombuffer(x, dtype="<u4") for x in self.encode_bytes(texts)]
 
     def encode_bytes(self, texts: Iterable[str | None]) -> list[bytes]:
+        some, size, out = [], 0, []
+        for t in texts:
+            some.append(t)
+            size += len(t or "")
+            if size >= TEXT_CHARS:
+                out += self._encode(some)
+                some, size = [], 0
+        return out + self._encode(some)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         # a text that may hold a special token's string, or a mark, goes to the library as it is
         cut = [[] if not t else None if "<|" in t or _FIRST in t else self._cut(t) for t in texts]
         if len(self.chunks) > self.entries // 4:
@@ -89,37 +101,51 @@ class ChunkEncoder:
 
     def _learn(self, keys: set[str]) -> None:
         """Encode chunks: a run of stops after a letter or digit is a pre-token of its own."""
-        parts: dict[str, tuple[str, str]] = {}
+        parts: dict[str, tuple[str, str, str]] = {}
+        spaced, plain, rest = [], [], []
+        cores, old, seen = self.cores, self.old_cores, set()
+        cores[""] = b""
+
+        def want(x: str) -> None:
+            if x in cores or x in seen:
+                return
+            if x in old:
+                cores[x] = old[x]
+                return
+            seen.add(x)
+            (spaced if self.keep_space and x[0] == " " and x[1:].isalpha() else plain if x.isalpha() else rest).append(x)
+
         for key in keys:
             text = self._text(key) if key else ""
+            # a single line feed before a word is a token of its own
+            feed = "\n" if self.keep_space and text[:1] == "\n" and text[1:2] not in ("", *_SPACE) and text[1].isalnum() else ""
+            text = text[len(feed) :]
             core = text.rstrip(_STOPS)
             if not core or not core[-1].lower()[-1].isalnum():  # a letter's lower case may end in a mark
                 core = text
             stops = text[len(core) :]
             if not self.keep_space and core.isascii():
                 core = core.lower()
-            parts[key] = core, stops
-        missing = {x for pair in parts.values() for x in pair} - self.cores.keys()
-        missing.discard("")
-        known = missing & self.old_cores.keys()
-        self.cores.update((x, self.old_cores[x]) for x in known)
-        missing -= known
-        self.cores[""] = b""
-        # words of letters alone are encoded in one text and told apart by their number
-        plain = [x for x in missing if (x[1:] if self.keep_space and x[0] == " " else x).isalpha() and (not self.keep_space or x[0] == " ")]
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            got = self.tokenizer.encode_batch([("" if self.keep_space else " ").join(some)], add_special_tokens=False)[0]
-            words = np.array(got.word_ids, dtype=np.int64)
-            starts = np.flatnonzero(np.diff(words, prepend=-1))
-            if len(starts) != len(some):
-                continue
-            ids, ends = np.array(got.ids, dtype="<u4").tobytes(), np.append(starts[1:], len(words))
-            for x, a, b in zip(some, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
-                self.cores[x] = ids[a:b]
-            missing.difference_update(some)
-        rest = list(missing)
+            parts[key] = feed, core, stops
+            for x in (feed, core, stops):
+                want(x)
+        # words of letters alone are encoded in one text and told apart by their number: each is one
+        # pre-token, and so is a line feed between two
+        for words, between in ((spaced, ""), (plain, "\n" if self.keep_space else " ")):
+            for at in range(0, len(words), 20_000):
+                some = words[at : at + 20_000]
+                got = self.tokenizer.encode_batch([between.join(some)], add_special_tokens=False)[0]
+                starts = np.flatnonzero(np.diff(np.array(got.word_ids, dtype=np.int64), prepend=-1))
+                ends = np.append(starts[1:], len(got.ids))
+                if between == "\n":
+                    starts, ends = starts[::2], ends[::2]
+                if len(starts) != len(some):
+                    rest += some
+                    continue
+                ids = np.array(got.ids, dtype="<u4").tobytes()
+                for x, a, b in zip(some, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+                    cores[x] = ids[a:b]
         for x, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.cores[x] = np.array(got.ids, dtype="<u4").tobytes()
-        for key, (core, stops) in parts.items():
-            self.chunks[key] = self.cores[core] + self.cores[stops] if stops else self.cores[core]
+            cores[x] = np.array(got.ids, dtype="<u4").tobytes()
+        for key, (feed, core, stops) in parts.items():
+            self.chunks[key] = cores[feed] + cores[core] + cores[stops] if feed or stops else cores[core]
