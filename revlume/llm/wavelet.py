@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,11 +53,11 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> "WaveletMatrix":
-        planes = []
+        planes, ids = [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for b in range(bits - 1, -1, -1):
-            bit = ((ids >> b) & 1).astype(bool)
+            bit = (ids & ids.dtype.type(1 << b)) != 0
             planes.append(np.packbits(bit))
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            ids = np.concatenate([ids.compress(~bit), ids.compress(bit)])
         return cls(len(ids), planes)
 
     def _bit(self, level: int, i: int) -> int:
@@ -119,12 +120,12 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, in order."""
-        ids = np.zeros(self.n, np.uint32)
+        ids = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for level in range(len(self.planes) - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n).astype(bool)
             back = np.empty_like(ids)
             back[~bit] = ids[: self.zeros[level]]
-            back[bit] = ids[self.zeros[level] :] | np.uint32(1 << (len(self.planes) - 1 - level))
+            back[bit] = ids[self.zeros[level] :] | ids.dtype.type(1 << (len(self.planes) - 1 - level))
             ids = back
         return ids
 
@@ -134,7 +135,7 @@ def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, b
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     parts = [known.tobytes(), np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(), np.array(lengths, dtype="<i8").tobytes()]
     parts += [p.tobytes() for p in WaveletMatrix.build(ids, bits).planes]
-    parts = [zlib.compress(p, 1) for p in parts]
+    parts = [zstandard.compress(p, 1) for p in parts]
     sizes = np.array([len(p) for p in parts], dtype="<u8").tobytes()
     return b"".join([_HEAD.pack(MAGIC, len(ids), len(doc_ids), bits), sizes, *parts])
 
@@ -147,7 +148,7 @@ def read_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     sizes = np.frombuffer(blob, "<u8", bits + 3, _HEAD.size)
     at, parts = _HEAD.size + sizes.nbytes, []
     for size in sizes.tolist():
-        parts.append(np.frombuffer(zlib.decompress(blob[at : at + size]), np.uint8))
+        parts.append(np.frombuffer(zstandard.decompress(blob[at : at + size]), np.uint8))
         at += size
     ids = [int(x) if k else None for k, x in zip(parts[0].tolist(), parts[1].view("<i8").tolist(), strict=True)]
     return ids, parts[2].view("<i8"), WaveletMatrix(n, parts[3:])
@@ -209,7 +210,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, number, blob in zip(batch["part"], batch["number"], batch["blob"], strict=True):
                 doc_ids, lengths, matrix = read_shard(blob)
-                ids = matrix.decode().astype("<u4", copy=False)
+                ids = matrix.decode().astype("<u4")
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 data = memoryview(ids.tobytes())
