@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from revlume.plans import analytics, etl, graphs, listings, vectors
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {}
+ORACLE_SQL = {}
+for _plan in (analytics, listings, graphs, etl, vectors):
+    QUERIES |= _plan.QUERIES
+    ORACLE_SQL |= _plan.ORACLE_SQL
