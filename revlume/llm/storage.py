@@ -8,13 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors share; only a session without one (as in tests) gets a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-revlume-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if not root and not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-revlume-"))
+    return (root or _own[0]).rstrip("/")
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
