@@ -1,4 +1,222 @@
+"""Record cleaning, profiling, splitting and text functions over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from revlume.functions import text as X
+from revlume.operators import etl as E
+from revlume.plans import views as V
+from revlume.plans.analytics import rows
 from revlume.plans.registry import Registry
+from revlume.plans.views import with_views
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
+
+
+def docs(spark, d):
+    return V.table(spark, d, "documents")
+
+
+@R.add("S04_normalized_reviews", "SELECT doc_id::VARCHAR AS review_id, source AS group_id, lang AS domain, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")
+def s04(spark, d):
+    raw = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("group_id"), F.col("lang").alias("domain"), "text")
+    return E.normalize_reviews(raw, "documents")
+
+
+@R.add("S03_flattened_children", "SELECT doc_id, lang, word, pos FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')[1:5]) AS word, generate_subscripts(string_split(text, ' ')[1:5], 1) - 1 AS pos FROM documents)")
+def s03(spark, d):
+    """The first five words of each document as child rows with their place."""
+    return docs(spark, d).select("doc_id", "lang", F.posexplode(F.slice(F.split("text", " "), 1, 5)).alias("pos", "word")).select("doc_id", "lang", "word", F.col("pos").cast("long").alias("pos"))
+
+
+@R.add("C01_normalized_aspects", "SELECT DISTINCT p_name AS raw, array_to_string(list_transform(string_split(trim(regexp_replace(replace(replace(lower(p_name || 's'), '_', ' '), '-', ' '), '\\s+', ' ', 'g')), ' '), lambda t: CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN t[:-4] || 'y' WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 3 THEN t[:-2] ELSE t END), ' ') AS aspect FROM part")
+def c01(spark, d):
+    return V.table(spark, d, "part").select(F.col("p_name").alias("raw"), X.normalize(F.concat("p_name", F.lit("s"))).alias("aspect")).distinct()
+
+
+@R.add("C02_aspect_keys", "SELECT DISTINCT replace(p_name, ' ', '_') AS k, upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS label FROM part")
+def c02(spark, d):
+    return V.table(spark, d, "part").select(X.aspect_key(F.col("p_name")).alias("k"), X.aspect_label(F.col("p_name")).alias("label")).distinct()
+
+
+@R.add("C04_origin", with_views("SELECT source, count(*) AS n FROM predictions GROUP BY 1"))
+def c04(spark, d):
+    return V.predictions(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("C06_stable_ids", "SELECT doc_id, 'r_' || substr(sha1(lower(trim(source)) || '|' || doc_id::VARCHAR), 1, 16) AS review_id FROM documents")
+def c06(spark, d):
+    return docs(spark, d).select("doc_id", X.stable_id("r_", F.col("source"), F.col("doc_id")).alias("review_id"))
+
+
+@R.add("C07_overlap", with_views("SELECT DISTINCT aspect_raw, aspect_cluster, len(list_intersect(string_split(aspect_raw, ' '), ['red', 'gear', 'small']))::DOUBLE / 2 AS share FROM predictions"))
+def c07(spark, d):
+    return V.predictions(spark, d).select("aspect_raw", "aspect_cluster", X.overlap_share(F.col("aspect_raw"), F.lit("small red gear")).alias("share")).distinct()
+
+
+@R.add("C08_sentences", "SELECT doc_id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars FROM (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: length(x) > 0)) AS s FROM documents) GROUP BY 1")
+def c08(spark, d):
+    spans = docs(spark, d).select("doc_id", F.explode(X.sentence_spans(F.col("text"))).alias("s"))
+    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("s.sentence")).alias("chars"))
+
+
+@R.add("C11_phrase_spans", "SELECT doc_id, CASE WHEN contains(lower(text), 'the') THEN instr(lower(text), 'the') - 1 ELSE -1 END AS start FROM documents")
+def c11(spark, d):
+    return docs(spark, d).select("doc_id", X.phrase_span(F.col("text"), F.lit("The"))[0].cast("long").alias("start"))
+
+
+@R.add("C12_phrase_windows", "SELECT doc_id, array_to_string(w[greatest(p - 8, 1):p + 8], ' ') AS window_text FROM (SELECT doc_id, w, list_position(list_transform(w, lambda x: contains(lower(x), 'gmbh') OR contains(lower(x), 'idiot')), true) AS p FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE contains(lower(text), 'idiot'))) WHERE p > 0")
+def c12(spark, d):
+    own = docs(spark, d).where(F.contains(F.lower("text"), F.lit("idiot")))
+    return own.select("doc_id", E.phrase_window(F.col("text"), F.lit("idiot")).alias("window_text")).where("window_text is not null")
+
+
+@R.add("C24_keyword_polarity", "SELECT doc_id, CASE WHEN u > n THEN 'positive' WHEN n > u THEN 'negative' ELSE 'neutral' END AS polarity FROM (SELECT doc_id, " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in X.POSITIVE) + " AS u, " + " + ".join(f"contains(lower(text), '{w}')::INT" for w in X.NEGATIVE) + " AS n FROM documents)")
+def c24(spark, d):
+    return docs(spark, d).select("doc_id", X.keyword_polarity(F.col("text")).alias("polarity"))
+
+
+@R.add("C25_polarity_hints", with_views("s AS (SELECT DISTINCT sentiment FROM predictions) SELECT x.sentiment AS a, y.sentiment AS b, CASE WHEN x.sentiment = y.sentiment THEN x.sentiment WHEN 'neutral' NOT IN (x.sentiment, y.sentiment) THEN 'mixed' WHEN x.sentiment = 'neutral' THEN y.sentiment ELSE x.sentiment END AS hint FROM s x, s y"))
+def c25(spark, d):
+    s = V.predictions(spark, d).select("sentiment").distinct()
+    return s.toDF("a").crossJoin(s.toDF("b")).withColumn("hint", X.polarity_hint(F.col("a"), F.col("b")))  # three by three
+
+
+@R.add("C26_joint_labels", with_views("SELECT aspect || '__' || sentiment AS label, aspect, count(*) AS n FROM predictions GROUP BY 1, 2"))
+def c26(spark, d):
+    joint = V.predictions(spark, d).groupBy(F.concat_ws("__", "aspect", "sentiment").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return joint.withColumn("aspect", X.joint_aspect(F.col("label")))
+
+
+@R.add("F10_noisy_labels", "SELECT DISTINCT text[:40] AS label FROM documents WHERE len(string_split(trim(regexp_replace(lower(text[:40]), '\\s+', ' ', 'g')), ' ')) <= 5 AND NOT list_has_any(string_split(trim(regexp_replace(lower(text[:40]), '\\s+', ' ', 'g')), ' '), ['use','buy','bought','get','got','make','made','try','tried','want']) AND trim(text[:40]) <> '' AND NOT list_contains(['thing','stuff','one','way','lot'], string_split(trim(regexp_replace(lower(text[:40]), '\\s+', ' ', 'g')), ' ')[-1]) AND len(list_filter(string_split(trim(regexp_replace(lower(text[:40]), '\\s+', ' ', 'g')), ' '), lambda w: NOT list_contains(['a','an','the','this','that','my','your','our','its','of','and','or','to','in','is'], w))) > 0")
+def f10(spark, d):
+    """Labels that pass the noise gate; a label is a document's first 40 characters."""
+    return docs(spark, d).select(F.substring("text", 1, 40).alias("label")).where(~E.noisy_label(F.col("label"))).distinct()
+
+
+@R.add("F13_gate_reasons", with_views("SELECT reasons, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN conf < 93 THEN 'low_confidence' END, CASE WHEN source <> 'explicit' THEN 'unsupported' END) AS reasons FROM predictions) GROUP BY 1"))
+def f13(spark, d):
+    p = V.predictions(spark, d).withColumn("support", F.when(F.col("source") == "explicit", "exact").otherwise("none"))
+    confidence = F.when(F.col("conf") < 93, 0.2).otherwise(0.9)
+    return p.groupBy(F.array_join(E.gate_reasons(confidence, F.col("support"), F.col("aspect_raw")), ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("F15_span_issues", "SELECT doc_id, CASE WHEN length(text) < 30 THEN 'range' WHEN lower(text[11:30]) <> lower(text[11:29] || 'x') THEN 'mismatch' END AS issue FROM documents")
+def f15(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", E.span_issue(t, F.concat(F.substring(t, 11, 19), F.lit("x")), F.array(F.lit(10), F.lit(30))).alias("issue"))
+
+
+@R.add("A20_profile", "SELECT lang AS domain, count(*) AS n, count(*) FILTER (contains(lower(text), 'the') OR contains(lower(text), 'ein'))::DOUBLE / count(*) AS explicit_share, count(*) FILTER (contains(lower(text), 'idiot'))::DOUBLE / count(*) AS implicit_share FROM documents GROUP BY 1")
+def a20(spark, d):
+    own = docs(spark, d)
+    return own.groupBy(F.col("lang").alias("domain")).agg(F.count(F.lit(1)).alias("n"), E.keyword_share(own, ("the", "ein")).alias("explicit_share"), E.keyword_share(own, ("idiot",)).alias("implicit_share"))
+
+
+@R.add("A21_quality_report", with_views("SELECT 'sentiment' AS field, sentiment AS value, count(*) AS n FROM joined GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM joined GROUP BY 2 UNION ALL SELECT 'aspect', aspect, count(*) FROM joined GROUP BY 2 UNION ALL SELECT 'domain', domain, count(*) FROM joined GROUP BY 2"))
+def a21(spark, d):
+    return E.histograms(rows(spark, d), ["sentiment", "source", "aspect", "domain"])
+
+
+@R.add("A22_mined_patterns", with_views("SELECT aspect_raw AS phrase, count(*) AS support, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, count(*) FILTER (conf >= 92)::DOUBLE / count(*) AS valid_rate FROM joined WHERE sentiment = 'negative' AND position = 1 GROUP BY 1 HAVING count(*) >= 2"))
+def a22(spark, d):
+    return E.patterns(rows(spark, d).where("sentiment = 'negative' and position = 1").select(F.col("aspect_raw").alias("phrase"), "domain", (F.col("conf") >= 92).alias("valid")))
+
+
+@R.add("X11_validated_patterns", with_views("p AS (SELECT aspect_raw AS phrase, count(*) AS support, count(DISTINCT domain) AS k, count(*) FILTER (conf >= 92)::DOUBLE / count(*) AS valid_rate FROM joined WHERE position = 7 GROUP BY 1 HAVING count(*) >= 2) SELECT phrase, CASE WHEN support >= 5 AND valid_rate >= 0.8 THEN 'promoted' ELSE 'queued' END AS status, concat_ws(',', CASE WHEN support < 5 THEN 'low_support' END, CASE WHEN valid_rate < 0.8 THEN 'low_evidence' END) AS reasons, CASE WHEN k > 1 THEN 'global' ELSE 'domain' END AS scope FROM p"))
+def x11(spark, d):
+    found = E.patterns(rows(spark, d).where("position = 7").select(F.col("aspect_raw").alias("phrase"), "domain", (F.col("conf") >= 92).alias("valid")))
+    return E.validated_patterns(found)
+
+
+@R.add("A23_aspect_memory", with_views("SELECT *, CASE WHEN support >= 5 AND reviews >= 3 AND forms >= 2 THEN 'promoted' WHEN support >= 5 THEN 'review_queue' WHEN support >= 2 THEN 'candidate' ELSE 'rejected' END AS status FROM (SELECT aspect_raw AS aspect, count(*) AS support, count(DISTINCT review_id) AS reviews, count(DISTINCT domain) AS domains, count(DISTINCT aspect_cluster) AS forms FROM joined GROUP BY 1)"))
+def a23(spark, d):
+    return E.memory(rows(spark, d).withColumn("surface", F.col("aspect_cluster")))
+
+
+@R.add("A24_memory_summary", with_views("SELECT status, count(*) AS n, CAST(max(support) AS BIGINT) AS most FROM (SELECT CASE WHEN count(*) >= 5 AND count(DISTINCT review_id) >= 3 AND count(DISTINCT aspect_cluster) >= 2 THEN 'promoted' WHEN count(*) >= 5 THEN 'review_queue' WHEN count(*) >= 2 THEN 'candidate' ELSE 'rejected' END AS status, count(*) AS support FROM joined GROUP BY aspect_raw) GROUP BY 1"))
+def a24(spark, d):
+    return a23(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("support").alias("most"))
+
+
+@R.add("A25_reason_counts", with_views("SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN conf < 93 THEN 'low_confidence' END, CASE WHEN source <> 'explicit' THEN 'unsupported' END], lambda x: x IS NOT NULL)) AS reason FROM predictions) GROUP BY 1"))
+def a25(spark, d):
+    p = V.predictions(spark, d).withColumn("support", F.when(F.col("source") == "explicit", "exact").otherwise("none"))
+    reasons = E.gate_reasons(F.when(F.col("conf") < 93, 0.2).otherwise(0.9), F.col("support"), F.col("aspect_raw"))
+    return p.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+SPLIT = "g AS (SELECT DISTINCT source FROM documents), p AS (SELECT source, row_number() OVER (ORDER BY sha256('42|' || source)) AS place, count(*) OVER () AS n FROM g), s AS (SELECT source, CASE WHEN place <= greatest(1, floor(n * 0.8::DOUBLE + 0.5)) THEN 'train' WHEN place <= greatest(1, floor(n * 0.8::DOUBLE + 0.5)) + floor(n * 0.1::DOUBLE + 0.5) THEN 'val' ELSE 'test' END AS split FROM p)"
+
+
+def split_docs(spark, d):
+    own = docs(spark, d)
+    return own.join(F.broadcast(E.grouped_split(own, "source")), "source")  # a row for each source
+
+
+@R.add("X08_grouped_split", f"WITH {SPLIT} SELECT * FROM s")
+def x08(spark, d):
+    return E.grouped_split(docs(spark, d), "source")
+
+
+@R.add("U04_group_leakage", f"WITH {SPLIT}, j AS (SELECT d.*, split FROM documents d JOIN s USING (source)) SELECT lang, count(DISTINCT split) AS splits FROM j GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def u04(spark, d):
+    return E.group_leakage(split_docs(spark, d), "lang")
+
+
+@R.add("U05_text_leakage", f"WITH {SPLIT}, j AS (SELECT DISTINCT lower(trim(text, ' ')) AS t, split FROM documents JOIN s USING (source)) SELECT x.split || '-' || y.split AS pair, count(*) AS texts FROM j x JOIN j y ON x.t = y.t AND x.split < y.split GROUP BY 1")
+def u05(spark, d):
+    return E.text_leakage(split_docs(spark, d))
+
+
+@R.add("A26_split_sizes", f"WITH {SPLIT} SELECT split, count(*) AS n, count(DISTINCT source) AS groups FROM documents JOIN s USING (source) GROUP BY 1")
+def a26(spark, d):
+    return split_docs(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("groups"))
+
+
+@R.add("U09_distinct_texts", "SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")
+def u09(spark, d):
+    return E.distinct_texts(docs(spark, d), "doc_id")
+
+
+@R.add("X09_release_gate", f"WITH {SPLIT}, j AS (SELECT d.*, split FROM documents d JOIN s USING (source)), leak AS (SELECT count(*) AS n FROM (SELECT lower(trim(text, ' ')) FROM j GROUP BY 1 HAVING count(DISTINCT split) > 1)) SELECT count(*) AS n_rows, count(DISTINCT split) AS splits, (SELECT n FROM leak) AS leaked_texts, CASE WHEN count(DISTINCT split) < 3 THEN 'fatal' WHEN (SELECT n FROM leak) > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM j")
+def x09(spark, d):
+    own = split_docs(spark, d)
+    leaked = own.groupBy(F.lower(F.trim("text")).alias("t")).agg(F.countDistinct("split").alias("k")).where("k > 1").agg(F.count(F.lit(1)).alias("leaked_texts"))
+    stats = own.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("split").alias("splits")).crossJoin(leaked)
+    return stats.withColumn("verdict", F.when(F.col("splits") < 3, "fatal").when(F.col("leaked_texts") > 0, "fail").otherwise("pass"))
+
+
+@R.add("M02_routing", "SELECT label, r AS route, count(*) AS n FROM (SELECT label, greatest(0, least(1, 0.5::DOUBLE * abs(embedding[1]::DOUBLE) * 4 + 0.3::DOUBLE * abs(embedding[2]::DOUBLE) * 4 + 0.2::DOUBLE * abs(embedding[3]::DOUBLE) * 4)) AS s, abs(embedding[4]::DOUBLE) AS c, CASE WHEN s >= 0.85 THEN 'novel' WHEN s > 0.7 THEN 'boundary' WHEN c < 0.01 THEN 'abstain' ELSE 'known' END AS r FROM embeddings) GROUP BY 1, 2")
+def m02(spark, d):
+    e = V.table(spark, d, "embeddings")
+    x = lambda i: F.abs(F.col("embedding")[i].cast("double"))
+    s = E.novelty_score(x(0) * 4, x(1) * 4, x(2) * 4)
+    return e.groupBy("label", E.route(s, x(3)).alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("M06_novelty", with_views("k AS (SELECT aspect_raw FROM predictions GROUP BY 1 HAVING count(*) > 930), x AS (SELECT aspect_raw IN (SELECT aspect_raw FROM k) AS known, conf, source FROM predictions) SELECT CASE WHEN known THEN 'known' WHEN source = 'implicit' THEN 'boundary' WHEN conf >= 95 THEN 'boundary' ELSE 'novel' END AS status, count(*) AS n FROM x GROUP BY 1"))
+def m06(spark, d):
+    p = V.predictions(spark, d)
+    known = p.groupBy("aspect_raw").agg(F.count(F.lit(1)).alias("n")).where("n > 930").select("aspect_raw", F.lit(True).alias("known"))
+    own = p.join(known, "aspect_raw", "left")
+    status = E.novelty(F.coalesce("known", F.lit(False)), F.when(F.col("conf") >= 95, 0.7).otherwise(0.1), F.col("source") == "explicit")["status"]
+    return own.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.add("M09_snapshot_hash", "SELECT source, sha1(string_agg(doc_id::VARCHAR || ':' || sha1(text), '|' ORDER BY doc_id)) AS snapshot FROM documents GROUP BY 1")
+def m09(spark, d):
+    """A hash of each source's rows in order: of row hashes, so texts are not gathered."""
+    one = F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha1("text")).alias("h"))
+    gathered = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["h"]), "|")
+    return docs(spark, d).groupBy("source").agg(F.sha1(gathered).alias("snapshot"))
+
+
+@R.add("M12_memo_lookup", with_views("c AS (SELECT sha256('model:' || aspect_raw) AS k, count(*) AS uses FROM predictions WHERE conf >= 98 GROUP BY 1) SELECT a.aspect_raw, c.uses FROM (SELECT DISTINCT aspect_raw FROM predictions) a LEFT JOIN c ON c.k = sha256('model:' || a.aspect_raw)"))
+def m12(spark, d):
+    p = V.predictions(spark, d)
+    key = F.sha2(F.concat(F.lit("model:"), "aspect_raw"), 256)
+    memo = p.where("conf >= 98").groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("uses"))
+    return p.select("aspect_raw").distinct().withColumn("k", key).join(memo, "k", "left").select("aspect_raw", "uses")
