@@ -50,7 +50,7 @@ HARD_NEGATIVES = 300
 #: A witness word's share of toxic uses is above this.
 TOXIC_SHARE = 0.5
 #: Standard deviations of that bound: so many that chance does not reach it among all words of the sample.
-CONFIDENCE = 4.5
+CONFIDENCE = 3.5
 CUTOFF = 0.7
 #: Words whose scores a worker keeps, besides those of one batch.
 CACHE_ENTRIES = 400_000
@@ -270,18 +270,23 @@ def _train(rows: list[tuple[int, bool, str]], clean_share: float = 1.0) -> Model
         return None
     # a document as sentences, a sentence as its distinct words
     bags = [[sorted({u for w in set(words_of(s)) for u in units_of(w)}) for s in _SENTENCE.split(text)] for *_, text in rows]
-    # a word counts once for each pair of neighbours, so that copies of a document are no evidence
+    # a word counts once for each pair of neighbours and once for each document, whichever is less:
+    # neither copies of a document nor one document that repeats a word are evidence
     contexts: tuple[set, set] = (set(), set())
+    held: tuple[dict[str, int], dict[str, int]] = ({}, {})
     seen: dict[str, list[int]] = {}
     for (_, t, text), bag in zip(rows, bags, strict=True):
         words = ["", *words_of(text), ""]
         contexts[int(t)].update((w, hash((a, b))) for a, w, b in zip(words, words[1:], words[2:], strict=False))
         for w in {w for s in bag for w in s}:
             seen.setdefault(w, [0, 0])
+            held[int(t)][w] = held[int(t)].get(w, 0) + 1
     for t in (0, 1):
         for w, _ in contexts[t]:
             for u in units_of(w):
                 seen.setdefault(u, [0, 0])[t] += 1
+    for w, n in seen.items():
+        n[1] = min(n[1], held[1].get(w, 0))
 
     def parting(word: str) -> float:
         """The lower bound of a word's share of toxic uses, both classes as frequent as among all labels."""
