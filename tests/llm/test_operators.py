@@ -1,0 +1,328 @@
+"""Small fixtures against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from datetime import date
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from revlume.llm import langid, mixing, neardup, neighbours, packing, pii, quality, substring, tokens, toxicity, wavelet
+from revlume.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, seed string, key string"
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def frame(spark, texts, langs=None, sources=None):
+    rows = [(i, t, (langs or ["en"] * len(texts))[i], (sources or ["s"] * len(texts))[i], len(t or ""), "x", "y") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def corpus(n=60, seed=1):
+    rng = random.Random(seed)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 160))) for _ in range(n)]
+    passage = " ".join(rng.choice(vocab) for _ in range(45))
+    texts += [texts[3], texts[3], texts[5] + " tail words here", "start " + passage + " end", passage, passage + " " + passage]
+    words = texts[7].split() * 3
+    near = list(words)
+    near[4] = "changed"
+    texts += [" ".join(words), " ".join(near), None, "", "  \n ", "one", "two words", "spam " * 200, "é ü x " * 30, "x" * 5000]
+    return texts
+
+
+def test_near_duplicates_are_those_of_brute_force(spark):
+    texts = corpus()
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, texts)).collect()}
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_dart_signatures_agree_as_weighted_jaccard():
+    rng = np.random.default_rng(3)
+    e = rng.integers(1, 1 << 62, 400, dtype=np.int64).astype(np.uint64)
+    wa, wb = rng.integers(1, 5, 300).astype(float), rng.integers(1, 5, 300).astype(float)
+    wb[50:] = wa[50:]
+    a, b = dict(zip(e[:300].tolist(), wa)), dict(zip(e[:300].tolist(), wb))
+    true = sum(min(a[x], b[x]) for x in a) / sum(max(a[x], b[x]) for x in a)
+    sa, sb = (neardup.dart_signature(e[:300], w, 2000) for w in (wa, wb))
+    assert abs((sa == sb).mean() - true) < 0.04
+
+
+def test_keep_one_keeps_columns_and_wordless_texts(spark):
+    texts = corpus()
+    kept = neardup.keep_one(frame(spark, texts))
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert kept.columns == frame(spark, texts).columns and len(ids) == len(set(ids))
+    assert 3 in ids and 60 not in ids and 61 not in ids
+    assert {i for i, t in enumerate(texts) if not (t or "").split()} <= set(ids)
+
+
+def test_repeated_passages_are_those_of_brute_force(spark, monkeypatch):
+    texts = corpus()
+    for group in (substring.GROUP, 2):  # also with every group too long
+        monkeypatch.setattr(substring, "GROUP", group)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.without_repeats(frame(spark, texts)).collect()}
+        words = [WORD.findall(t or "") for t in texts]
+        seen = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+        for k, w in enumerate(words):
+            keep = [True] * len(w)
+            for i in range(len(w) - 34):
+                if seen[tuple(w[i : i + 35])] > 1:
+                    keep[i : i + 35] = [False] * 35
+            kept = " ".join(x for x, y in zip(w, keep) if y)
+            assert got[k] == (len(w), len(w) - sum(keep), hashlib.sha256(kept.encode()).hexdigest()), k
+
+
+def test_token_chunks_are_the_librarys(spark):
+    rng = random.Random(4)
+    odd = ["".join(rng.choice("ab Z\n\t .,;'s19éΣ İ\r\x1c日") for _ in range(rng.randint(1, 50))) for _ in range(300)]
+    for name, space in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        enc = tokens.ChunkEncoder(tokenizer_path(name), space, entries=50)
+        texts = [t for t in corpus() if t] + odd + ["a<|endoftext|>b"]
+        for _ in range(2):
+            for t, ids in zip(texts, enc.encode(texts)):
+                assert ids.tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
+    assert enc.encode([None, ""])[0].size == 0
+
+
+def test_wavelet_matrix_rank_select_access():
+    ids = np.random.default_rng(1).integers(0, 700, 9000).astype(np.uint32)
+    m = wavelet.read_shard(wavelet.pack_shard([1, None], [4000, 5000], ids, 16))
+    assert m[0] == [1, None] and m[1].tolist() == [4000, 5000] and (m[2].decode() == ids).all()
+    for v in (0, 5, int(ids[77]), 699, 701):
+        where = np.flatnonzero(ids == v).tolist()
+        assert m[2].count(v) == len(where) and m[2].occurrences(v) == where
+        assert m[2].rank(v, 4321) == sum(x < 4321 for x in where)
+    assert [m[2].access(i) for i in range(0, 9000, 501)] == ids[::501].tolist()
+
+
+def test_token_shards_round_trip(spark):
+    texts = corpus()
+    rows = wavelet.token_shards(frame(spark, texts), tokenizer_path("byte_bpe_50k.json"), 2).orderBy("doc_id").collect()
+    enc = tokens.ChunkEncoder(tokenizer_path("byte_bpe_50k.json"), True)
+    at = 0
+    for r, t in zip(rows, texts, strict=True):
+        ids = enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_packing_is_gapless_whole_and_tight(spark):
+    texts = corpus() + ["word " * 700]
+    rows = packing.pack(frame(spark, texts), tokenizer_path("word_bpe_49k.json"), 1, 256).collect()
+    enc = tokens.ChunkEncoder(tokenizer_path("word_bpe_49k.json"), False)
+    pieces = {(r["doc_id"], r["piece"]): r for r in rows}
+    assert len(pieces) == len(rows)
+    for k, t in enumerate(texts):
+        ids = enc.tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        for p in range(-(-len(ids) // 256)):
+            own, r = ids[256 * p : 256 * p + 256], pieces.pop((k, p))
+            assert (r["start"], r["length"], r["ids_crc32"]) == (256 * p, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+    assert not pieces
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert len(by) <= -(-sum(r["length"] for r in rows) // 256) + 1
+
+
+def test_fullest_bin_is_brute_forces():
+    rng = random.Random(2)
+    for _ in range(100):
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(5)}
+        items, room = [x for x, n in counts.items() for _ in range(n)], rng.randint(1, 60)
+        best = max(s for m in range(1 << len(items)) if (s := sum(x for i, x in enumerate(items) if m >> i & 1)) <= room)
+        taken = packing.fullest(counts, room)
+        assert sum(x * n for x, n in taken) == best and all(n <= counts[x] for x, n in taken)
+
+
+def test_mixture_keeps_all_and_deviates_less_than_a_block():
+    found = mixing.phases([400, 100, 37, 5], [4.0, 2.0, 1.0, 1.0], 100)
+    assert [sum(p["used"][p["sources"].index(i)] for p in found if i in p["sources"]) for i in range(4)] == [400, 100, 37, 5]
+    for p in found:
+        for k, n in enumerate(p["slots"]):
+            done = 0
+            for t in range(p["length"]):
+                done += p["order"][t % 100] == k
+                assert abs(done - n / 100 * (t + 1)) < 1
+
+
+def test_mixture_places_every_document_once(spark):
+    rng = random.Random(5)
+    docs = frame(spark, ["t"] * 300 + [None, "t"], sources=[rng.choice(["a", "a", "a", "b", None]) for _ in range(302)])
+    rows = mixing.mix(docs.union(docs.limit(1)), block=4).collect()
+    assert sorted(r["mix_position"] for r in rows) == list(range(303))
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == 302
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def test_pseudonyms_keep_formats_and_links(spark):
+    text = "4111111111111111 and 4111 1111 1111 1111, not 4111111111111112; +1 (446) 555-8962; 60.171.23.205 999.1.1.1; 1980-02-29 2021-02-30; a.b1@mail.example.com; password=e3b3ed3cc8548923d6; 123-45-6789"
+    out = [r["text"] for r in pii.pseudonymize(frame(spark, [text, text, None, "", "plain 12"]), "k").orderBy("doc_id").collect()]
+    assert out[0] == out[1] and out[2] is None and out[3:] == ["", "plain 12"]
+    cards = re.findall(r"\d{16}", out[0])
+    assert luhn(cards[0]) and cards[0] != "4111111111111111" and cards[1] == "4111111111111112" and "999.1.1.1" in out[0] and "2021-02-30" in out[0]
+    for private in ("446) 555-8962", "60.171.23.205", "1980-02-29", "a.b1@", "e3b3ed3cc8548923d6", "123-45-6789"):
+        assert private not in out[0]
+    assert re.sub(r"\d", "9", re.sub("[a-f]", "f", out[0]))[:20] == re.sub(r"\d", "9", re.sub("[a-f]", "f", text))[:20]
+
+
+def test_date_pseudonyms_are_one_to_one(spark):
+    days = spark.range(0, 73049, 13).select(F.lit(0).alias("doc_id"), F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    new = {r["text"] for r in pii.pseudonymize(days, "k").collect()}
+    assert len(new) == days.count() and all(date(1900, 1, 1) <= date.fromisoformat(x) <= date(2099, 12, 31) for x in new)
+
+
+def test_quality_counts_are_brute_forces(spark):
+    texts = corpus() + ["a b\na b\n \nc # $", "the cat sat the cat sat on"]
+    for r in quality.features(frame(spark, texts)).collect():
+        t = texts[r["doc_id"]] or ""
+        w = WORD.findall(t)
+        seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+
+
+def test_binomial_limit_is_exact(spark):
+    from math import comb
+
+    for n, p, delta in ((50, 0.05, 0.05), (400, 0.01, 0.002), (900, 0.01, 0.01)):
+        tail, k = 0.0, -1
+        for i in range(n + 1):
+            tail += comb(n, i) * p**i * (1 - p) ** (n - i)
+            if tail > delta:
+                break
+            k = i
+        assert spark.range(1).select(quality.most_rejected(F.lit(n), F.lit(p), F.lit(delta)).alias("k")).first()["k"] == k
+
+
+def test_quality_verdict_on_strata(spark):
+    good, bad = "word " + " ".join(f"w{i}" for i in range(80)), " ".join(f"#{i}$" for i in range(80))
+    docs = frame(spark, [good.replace("word", f"g{i}") for i in range(1200)] + [bad.replace("#0$", f"#{i}a$") for i in range(100)])
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 1200, 1).otherwise(0).alias("quality"), F.lit(0).alias("toxic"))
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
+    assert all(got[i] for i in range(1200)) and not any(got[i] for i in range(1200, 1300))
+    none = quality.judge(docs, labels.limit(0))
+    assert none.where("not kept and not base_failed").count() == 0
+
+
+def test_language_held_out(spark):
+    rng = random.Random(6)
+    syllables = {"aa": ["ba", "lo", "mi", "ru"], "bb": ["xe", "ji", "qua", "vor"]}
+    texts, langs = [], []
+    for i in range(400):
+        lang = "aa" if i % 2 else "bb"
+        texts.append(" ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(rng.randint(3, 40))))
+        langs.append(lang)
+    docs = frame(spark, texts + [None, "", "123 ...", texts[0]], langs + [None, "aa", "aa", "bb"])
+    found = {r["doc_id"]: r for r in langid.identify(docs, langid.learner(F.col("doc_id"))).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(found[i]["lang_pred"] == langs[i] for i in held) >= 0.97 * len(held)
+    assert [found[i]["lang_pred"] for i in (400, 401, 402)] == ["und"] * 3 and all(0 <= r["score"] <= 1 for r in found.values())
+    assert found[403]["score"] == found[0]["score"]
+    assert {r["lang_pred"] for r in langid.identify(docs.limit(0), F.lit(True)).collect()} == set()
+
+
+def test_subsequence_kernel_is_brute_forces():
+    from itertools import combinations
+
+    def slow(s, t):
+        total = 0.0
+        for i in combinations(range(len(s)), 3):
+            for j in combinations(range(len(t)), 3):
+                if all(s[a] == t[b] for a, b in zip(i, j)):
+                    total += toxicity.DECAY ** (i[2] - i[0] + 1 + j[2] - j[0] + 1)
+        return total
+
+    words = ["idiot", "idxiot", "toidi", "ab", "banana"]
+    got = toxicity.kernel(words, words)
+    for a, s in enumerate(words):
+        assert np.allclose(got[a], [slow(s, t) for t in words], rtol=1e-4)
+        assert np.isclose(toxicity.self_kernel(words)[a], slow(s, s), rtol=1e-4)
+
+
+@pytest.fixture(scope="module")
+def insults():
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = []
+    for i in range(500):
+        words = [rng.choice(vocab) for _ in range(60)]
+        if i % 4 == 0:
+            words[rng.randrange(60)] = rng.choice(["blockhead", "dimwit", "fathead"])
+        rows.append((" ".join(words), int(i % 4 == 0)))
+    return rows
+
+
+def test_toxicity_finds_disguised_words_and_leaves_clean_ones(spark, insults):
+    texts = [t for t, _ in insults] + [None, "", "you are a b.l.o.c.k.h.e.a.d", "such a dimxwit", "d i m w i t said he", "nice and friendly"]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(insults)] + [(None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(found[i]["predicted"] == insults[i][1] for i in held) >= 0.97 * len(held)
+    assert [found[500 + i]["predicted"] for i in (0, 1, 5)] == [0, 0, 0] and [found[500 + i]["predicted"] for i in (2, 4)] == [1, 1]
+    assert found[503]["score"] > found[505]["score"]
+    assert toxicity.keep_clean(docs, labels).columns == docs.columns
+    assert toxicity.score(docs.limit(3), labels.limit(0)).where("predicted = 1").count() == 0
+
+
+def test_nearest_vectors_recall_ties_and_bad_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((600, 16)).astype(np.float32)
+    x[100:140] = x[50]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000, None, 1), (1050, [0.0] * 16, 1), (1100, [float("nan")] * 16, 1), (1150, [1.0, None] * 8, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, visit=1500).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 600, 50):
+        s = u @ u[q]
+        s[q] = -9
+        best = np.lexsort((np.arange(600), -np.round(s, 12)))[:5]
+        hits += len(set(best.tolist()) & {v for v, _ in got[q].values()})
+        assert sorted(got[q]) == [1, 2, 3, 4, 5] and all(abs(s[v] - c) < 1e-9 for v, c in got[q].values())
+    assert set(got) == set(range(0, 600, 50)) and hits >= 0.9 * 60
+    assert [got[50][k][0] for k in range(1, 6)] == [100, 101, 102, 103, 104]
+
+
+def test_empty_tables(spark):
+    empty = frame(spark, ["x"]).limit(0)
+    assert neardup.classes(empty).count() == 0 and substring.without_repeats(empty).count() == 0
+    assert packing.pack(empty, tokenizer_path("word_bpe_49k.json"), 1).count() == 0
+    assert wavelet.token_shards(empty, tokenizer_path("byte_bpe_50k.json"), 2).count() == 0
+    assert mixing.mix(empty).count() == 0 and pii.pseudonymize(empty, "k").count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert neighbours.nearest(vectors, F.col("vec_id") % 50 == 0).count() == 0
