@@ -51,36 +51,50 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return (h >> U(11)).astype(np.float64) * _UNIT
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
-    """For each coordinate, the hash of the earliest dart below the weights of the elements (distinct 64-bit hashes)."""
-    best_rank = np.full(coordinates, np.inf)
-    best = np.zeros(coordinates, U)
+def dart_signatures(elements: np.ndarray, weights: np.ndarray, starts: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """For each document and coordinate, the hash of the earliest dart below its elements' weights.
+
+    Document i has the elements (distinct 64-bit hashes, sorted) from starts[i] to
+    starts[i + 1], at least one. Documents are worked together; each sees what it
+    would see alone.
+    """
+    docs = len(starts) - 1
+    best_rank = np.full(docs * coordinates, np.inf)
+    best = np.zeros(docs * coordinates, U)
+    owner = np.repeat(np.arange(docs), np.diff(starts))
     columns = np.ceil(weights).astype(np.int64)
     # a cell for each element and unit of weight
     element = np.repeat(np.arange(len(elements)), columns)
     column = np.arange(len(element)) - np.repeat(np.cumsum(columns) - columns, columns)
     base = mix(elements[element] ^ mix(column.astype(U) + U(0x51ED2701)))
+    width, owner = weights[element] - column, owner[element]
     wanted = coordinates * (math.log(coordinates) + 2)
-    top, row = wanted / max(float(weights.sum()), 1e-9), 0
-    while True:
-        # rows of cells up to the rank, then on while a coordinate is empty
-        while row < math.ceil(top):
-            cell = mix(base ^ mix(np.full(1, row + 0x2545F491, U)))
-            number = np.searchsorted(_POISSON, _uniform(cell))
-            at = np.repeat(np.arange(len(cell)), number)
-            dart = mix(cell[at] + U(0x9E3779B97F4A7C15) * (np.arange(len(at)) - np.repeat(np.cumsum(number) - number, number) + 1).astype(U))
-            place, rank = _uniform(mix(dart ^ U(0xA5A5A5A5))), row + _uniform(mix(dart ^ U(0x5A5A5A5A)))
-            below = column[at] + place < weights[element[at]]
-            dart, rank = dart[below], rank[below]
-            coordinate = (mix(dart ^ U(0x3C3C3C3C)) % U(coordinates)).astype(np.int64)
-            order = np.lexsort((dart, rank, coordinate))
-            first = order[np.flatnonzero(np.diff(coordinate[order], prepend=-1))]
-            better = first[rank[first] < best_rank[coordinate[first]]]
-            best_rank[coordinate[better]], best[coordinate[better]] = rank[better], dart[better]
-            row += 1
-        if np.isfinite(best_rank).all():
-            return best
-        top = row + 1
+    top = np.ceil(wanted / np.add.reduceat(weights, starts[:-1])).astype(np.int64)
+    row, open_cells = 0, np.arange(len(base))
+    while len(open_cells):
+        # a row of cells of each document up to its rank, then on while a coordinate is empty
+        cell = mix(base[open_cells] ^ mix(np.full(1, row + 0x2545F491, U)))
+        number = np.searchsorted(_POISSON, _uniform(cell))
+        at = np.repeat(np.arange(len(cell)), number)
+        turn = np.arange(len(at)) - np.repeat(np.cumsum(number) - number, number)
+        dart, at = mix(cell[at] + U(0x9E3779B97F4A7C15) * (turn + 1).astype(U)), open_cells[at]
+        below = _uniform(mix(dart ^ U(0xA5A5A5A5))) < width[at]
+        dart, at = dart[below], at[below]
+        rank = row + _uniform(mix(dart ^ U(0x5A5A5A5A)))
+        slot = owner[at] * coordinates + (mix(dart ^ U(0x3C3C3C3C)) % U(coordinates)).astype(np.int64)
+        np.minimum.at(best_rank, slot, rank)
+        first = rank == best_rank[slot]
+        best[slot[first]] = dart[first]
+        row += 1
+        full = np.isfinite(best_rank).reshape(docs, coordinates).all(1)
+        more = (row < top) | ~full
+        open_cells = open_cells[more[owner[open_cells]]]
+    return best.reshape(docs, coordinates)
+
+
+def dart_signature(elements: np.ndarray, weights: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """The signature of one document."""
+    return dart_signatures(elements, weights, np.array([0, len(elements)]), coordinates)[0]
 
 
 def shingle_lists(texts: list[str], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -97,20 +111,32 @@ def signatures(docs: DataFrame, counted: bool = False) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, doc, shingles in zip(batch["key"], batch["doc_id"], shingle_lists(batch["text"].tolist()), strict=True):
-                if not len(shingles):
+            keys, ids, texts = batch["key"].to_numpy(), batch["doc_id"].to_numpy(dtype=object), batch["text"].tolist()
+            for a, b in chunks(texts, 1 << 18):
+                lists = list(shingle_lists(texts[a:b]))
+                which = np.array([i for i, x in enumerate(lists) if len(x)], np.int64)
+                if not len(which):
                     continue
-                elements, counts = np.unique(shingles, return_counts=True)
+                owner = np.repeat(np.arange(len(which)), [len(lists[i]) for i in which])
+                hashes = np.concatenate([lists[i] for i in which])
+                order = np.lexsort((hashes, owner))
+                owner, hashes = owner[order], hashes[order]
+                first = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])]))
+                counts = np.diff(np.append(first, len(hashes)))
+                elements, owner = hashes[first], owner[first]
                 weights = counts.astype(np.float64) if counted else np.ones(len(elements))
+                starts = np.searchsorted(owner, np.arange(len(which) + 1))
                 own = mix(elements ^ mix(weights.astype(np.int64).astype(U)))
-                darts = dart_signature(elements, weights)
-                folded = np.zeros(BANDS, U)
+                darts = dart_signatures(elements, weights, starts)
+                folded = np.zeros((len(which), BANDS), U)
                 for r in range(ROWS):
-                    folded = mix(folded * U(0x100000001B3) ^ darts.reshape(BANDS, ROWS)[:, r])
-                bands = mix(folded + np.arange(BANDS).astype(U) * U(0xC2B2AE3D27D4EB4F))
-                out.append((key, doc, len(elements), own.sum().astype(np.int64), mix(own ^ U(77)).sum().astype(np.int64), (darts & U(0xFFFF)).astype("<u2").tobytes(), bands.astype(np.int64).tolist()))
-            yield pd.DataFrame(out, columns=["key", "doc_id", "n", "print_a", "print_b", "signature", "bands"]).astype({"doc_id": "Int64"})
+                    folded = mix(folded * U(0x100000001B3) ^ darts.reshape(-1, BANDS, ROWS)[:, :, r])
+                bands = mix(folded + np.arange(BANDS).astype(U) * U(0xC2B2AE3D27D4EB4F)).view(np.int64)
+                short = (darts & U(0xFFFF)).astype("<u2")
+                yield pd.DataFrame({
+                    "key": keys[a + which], "doc_id": pd.array(ids[a + which], dtype="Int64"), "n": np.diff(starts).astype(np.int32), "print_a": np.add.reduceat(own, starts[:-1]).view(np.int64),
+                    "print_b": np.add.reduceat(mix(own ^ U(77)), starts[:-1]).view(np.int64), "signature": [x.tobytes() for x in short], "bands": list(bands),
+                })
 
     keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"), "text")
     return keyed.mapInPandas(rows, "key long, doc_id long, n int, print_a long, print_b long, signature binary, bands array<long>")
