@@ -15,13 +15,13 @@ import numpy as np
 
 #: Entries that a worker's cache holds at most, besides those of one batch (about 200 bytes each).
 #: The older half goes first, unless it was used again.
-CACHE_ENTRIES = 1_600_000
+CACHE_ENTRIES = 2_000_000
 #: Characters of text that are cut at a time.
 TEXT_CHARS = 1 << 20
 
 _SPACE = (" ", "\t", "\n", "\r")
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_RUN = re.compile(r"[ \n][ \n]|[\t\r]")
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 _FIRST = "\x00"
 _MARKED = (_FIRST, "\n")
 _STOPS = ".,;:!?"
@@ -55,7 +55,7 @@ class ChunkEncoder:
         """Chunks of a text, each with the white space before it (or without, if the vocabulary drops it)."""
         if not self.keep_space:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if _RUN.search(text) or text[:1] in _SPACE or text[-1:] in _SPACE:
+        if any(r in text for r in _RUNS) or text[0] in _SPACE or text[-1] in _SPACE:
             return [c[1:] if c[0] == " " and c[1:2] not in ("", *_SPACE) else c if c[0] == "\n" else _FIRST + c for c in _CHUNK.findall(text)]
         first, *rest = text.replace("\n", " \n").split(" ")
         # a chunk's space is left out of its key: "\n" marks those without one, the first is marked as such
@@ -87,17 +87,25 @@ class ChunkEncoder:
             self.old, self.chunks = self.chunks, {}
         if len(self.cores) > self.entries // 4:
             self.old_cores, self.cores = self.cores, {}
-        new: set[str] = set()
-        for keys in cut:
-            if keys:
-                new.update(keys)
-        new.difference_update(self.chunks)
-        known = new & self.old.keys()
-        self.chunks.update((x, self.old[x]) for x in known)
-        if new := new - known:
-            self._learn(new)
-        get = self.chunks.__getitem__
-        return [self._ids(t) if keys is None else b"".join(map(get, keys)) for t, keys in zip(texts, cut, strict=True)]
+        # one look at each chunk; those not known are learned together and filled in
+        found, gaps, new = [], [], set()
+        get = self.chunks.get
+        for i, keys in enumerate(cut):
+            values = list(map(get, keys or ()))
+            found.append(values)
+            if None in values:
+                at = [j for j, v in enumerate(values) if v is None]
+                gaps.append((i, at))
+                new.update([keys[j] for j in at])
+        if new:
+            known = new & self.old.keys()
+            self.chunks.update((x, self.old[x]) for x in known)
+            self._learn(new - known)
+            for i, at in gaps:
+                keys, values = cut[i], found[i]
+                for j in at:
+                    values[j] = self.chunks[keys[j]]
+        return [self._ids(t) if keys is None else b"".join(values) for t, keys, values in zip(texts, cut, found, strict=True)]
 
     def _learn(self, keys: set[str]) -> None:
         """Encode chunks: a run of stops after a letter or digit is a pre-token of its own."""
@@ -116,6 +124,11 @@ class ChunkEncoder:
             (spaced if self.keep_space and x[0] == " " and x[1:].isalpha() else plain if x.isalpha() else rest).append(x)
 
         for key in keys:
+            if key.isalpha():
+                core = " " + key if self.keep_space else key.lower() if key.isascii() else key
+                parts[key] = "", core, ""
+                want(core)
+                continue
             text = self._text(key) if key else ""
             # a single line feed before a word is a token of its own
             feed = "\n" if self.keep_space and text[:1] == "\n" and text[1:2] not in ("", *_SPACE) and text[1].isalnum() else ""
