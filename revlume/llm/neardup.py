@@ -12,10 +12,10 @@ Jaccard similarity. A coordinate without a dart extends the rank.
 Documents with the same shingles form a class first. Bands of ROWS coordinates
 of a class's signature are joined, then pairs are compared exactly, by the
 shingles of their texts: similarity of SIMILARITY or more is a link. Within a
-bucket, members are first compared with its first member, which binds a large
-group with as many pairs as members. What these links leave apart is compared
-in full across the parts of the bucket, so no link between parts is lost that
-the bands show. Classes are the connected components.
+bucket, members are first compared with one member, in a few rounds, which binds
+a large group with as many pairs as members. What these links leave apart is
+compared in full across the parts of the bucket, so no link between parts is
+lost that the bands show. Classes are the connected components.
 
 Nulls and edges: null and empty texts, and those of white space, have no
 shingle and are each a class of their own; a row is known by doc_id and text, so
@@ -43,6 +43,9 @@ COORDINATES = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share are not compared: ten standard deviations below SIMILARITY.
 LEAST_AGREEMENT = 0.5
 
+#: Rounds in which buckets are bound by one member each, before what is left apart is compared in full.
+STAR_ROUNDS = 3
+
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 _UNIT = 2.0**-53
 
@@ -204,20 +207,32 @@ def components(edges: DataFrame) -> DataFrame:
 def _links(members: DataFrame, texts: DataFrame, counted: bool) -> DataFrame:
     """Verified pairs of member keys that bind all members that the bands show as similar."""
     buckets = materialize(members.select("key", F.explode("bands").alias("band")), "buckets")
-    first = buckets.groupBy("band").agg(F.min("key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    shared = materialize(buckets.join(first, "band"), "shared")
-    stars = shared.where("a <> key").select("a", F.col("key").alias("b")).distinct()
-    tested = materialize(stars, "stars")
-    links = materialize(_verified(tested, members, texts, counted), "links")
-    roots = components(links)
+    several = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(buckets.join(several, "band"), "shared")
+    meets = shared.groupBy("key").agg(F.sum("n").alias("meets"))
+    shared = materialize(shared.join(meets, "key").select("band", "key", "meets"), "shared")
+
+    parted = shared.withColumn("root", F.col("key"))
+    tested = links = None
+    for turn in range(STAR_ROUNDS):
+        # a bucket's leader is the member that meets most others in all its buckets, later another one; those apart from it are compared with it
+        order = F.struct("meets", "key") if not turn else F.struct(F.xxhash64("key", F.lit(turn)), "key")
+        leaders = parted.groupBy("band").agg(F.max_by(F.struct("key", "root"), order).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        led = parted.join(leaders.select("band", F.col("leader.key").alias("other"), F.col("leader.root").alias("other_root")), "band").where("root <> other_root")
+        stars = led.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        stars = materialize(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
+        found = materialize(_verified(stars, members, texts, counted), "links")
+        tested, links = (stars, found) if tested is None else (tested.union(stars), links.union(found))
+        roots = components(links)
+        parted = materialize(shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "parted")
     # parts of buckets that are still apart: one row for each bucket and part, joined into pairs of parts
-    parted = materialize(shared.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root")), "parted")
     parts = parted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
-    several = parts.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    parts = materialize(parts.join(several, "band"), "parts")
+    open_buckets = parts.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    parts = materialize(parts.join(open_buckets, "band"), "parts")
     apart = parts.alias("x").join(parts.alias("y"), F.expr("x.band = y.band and x.root < y.root")).select("x.band", F.col("x.root").alias("r"), F.col("y.root").alias("s"))
+    own = parted.select("band", "key", "root")
     pairs = (
-        apart.join(parted.toDF("band", "a", "r"), ["band", "r"]).join(parted.toDF("band", "b", "s"), ["band", "s"])
+        apart.join(own.toDF("band", "a", "r"), ["band", "r"]).join(own.toDF("band", "b", "s"), ["band", "s"])
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     untested = pairs.join(tested, ["a", "b"], "left_anti")
