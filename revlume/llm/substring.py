@@ -40,6 +40,8 @@ from .vector import U, chunks, grams, word_hashes
 LENGTH, SEED = 35, 8
 #: Stretches of one seed that a task gathers at most; windows that a task sorts at a time.
 GROUP, BATCH = 2_000, 200_000
+#: Stretches that a task hands on at a time.
+PART = 20_000
 #: The tree's symbols: hashes of STEP words each.
 STEP = 5
 
@@ -82,14 +84,21 @@ def seeds(keyed: DataFrame) -> DataFrame:
     """(seed, key, first, n, places) of all stretches."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def table(parts: list) -> pd.DataFrame:
+            key, s, first, n, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return pd.DataFrame({"seed": s, "key": key, "first": first.astype(np.int32), "n": n.astype(np.int32), "places": places.astype(np.int32)})
+
         for batch in batches:
-            keys, parts = batch["key"].to_numpy(), []
-            for key, words in zip(keys, _words(batch["text"].tolist()), strict=True):
+            parts, size = [], 0
+            for key, words in zip(batch["key"].to_numpy(), _words(batch["text"].tolist()), strict=True):
                 s, *numbers = stretches(words)
                 parts.append((np.full(len(s), key), s.view(np.int64), *numbers))
+                size += len(s)
+                if size > PART:
+                    yield table(parts)
+                    parts, size = [], 0
             if parts:
-                key, s, first, n, places = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield pd.DataFrame({"seed": s, "key": key, "first": first.astype(np.int32), "n": n.astype(np.int32), "places": places.astype(np.int32)})
+                yield table(parts)
 
     return keyed.mapInPandas(rows, "seed long, key long, first int, n int, places int")
 
@@ -121,11 +130,14 @@ def _stretch_rows(found: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, names = [], ["seed", "key", "first", "n", "words"]
             for key, own, words in zip(batch["key"], batch["stretches"], _words(batch["text"].tolist()), strict=True):
                 for x in own:
                     out.append((x["seed"], key, x["first"], x["n"], words[x["first"] : x["first"] + x["n"] + LENGTH - 1].tobytes()))
-            yield pd.DataFrame(out, columns=["seed", "key", "first", "n", "words"])
+                if len(out) > PART:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     return found.mapInPandas(rows, "seed long, key long, first int, n int, words binary")
 
@@ -176,17 +188,33 @@ def _trees(stretches_by_seed: DataFrame) -> DataFrame:
 
 
 def _long_prefixes(stretch: DataFrame) -> DataFrame:
-    """Runs of repeated windows of frequent seeds: windows as prefixes, counted with partial sums."""
+    """Runs of repeated windows of frequent seeds: windows as prefixes, counted with partial sums.
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Equal stretches share their verdict: only one of each is cut into windows,
+    which count as often as it occurs.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, first, n, words in zip(batch["key"], batch["first"], batch["n"], batch["words"], strict=True):
+            for x, y, copies, words in zip(batch["x"], batch["y"], batch["copies"], batch["words"], strict=True):
                 s = _symbols(np.frombuffer(words, U))
-                yield pd.DataFrame({"a": grams(np.ascontiguousarray(s).ravel(), s.shape[1])[:: s.shape[1]].view(np.int64), "b": s[:, 0].view(np.int64), "key": key, "window": np.arange(first, first + n, dtype=np.int32)})
+                whole = grams(np.ascontiguousarray(s).ravel(), s.shape[1])[:: s.shape[1]]
+                yield pd.DataFrame({"a": whole.view(np.int64), "b": s[:, 0].view(np.int64), "x": x, "y": y, "offset": np.arange(len(s), dtype=np.int32), "copies": copies})
 
-    windows = materialize(stretch.mapInPandas(rows, "a long, b long, key long, window int"), "long-prefixes")
-    often = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    return windows.join(often, ["a", "b"]).select("key", F.col("window").alias("first"), (F.col("window") + LENGTH).alias("end"))
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = batch["offsets"].map(len).to_numpy()
+            if sizes.sum():
+                window = np.concatenate(batch["offsets"].to_list()) + np.repeat(batch["first"].to_numpy(), sizes)
+                yield _runs(np.repeat(batch["key"].to_numpy(), sizes), window)
+
+    same = [F.xxhash64("words").alias("x"), F.xxhash64("words", F.lit(35)).alias("y")]
+    stretch = materialize(stretch.select("key", "first", "words", *same), "long-prefixes")
+    distinct = stretch.groupBy("x", "y").agg(F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"))
+    windows = materialize(distinct.mapInPandas(cut, "a long, b long, x long, y long, offset int, copies long"), "long-windows")
+    often = windows.groupBy("a", "b").agg(F.sum("copies").alias("n")).where("n > 1").select("a", "b")
+    marked = windows.join(often, ["a", "b"]).groupBy("x", "y").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
+    return stretch.select("key", "first", "x", "y").join(marked, ["x", "y"]).select("key", "first", "offsets").mapInPandas(runs, "key long, first int, end int")
 
 
 def repeated(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
