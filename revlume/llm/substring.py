@@ -196,10 +196,16 @@ def _long_prefixes(stretch: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for x, y, copies, words in zip(batch["x"], batch["y"], batch["copies"], batch["words"], strict=True):
-                s = _symbols(np.frombuffer(words, U))
-                whole = grams(np.ascontiguousarray(s).ravel(), s.shape[1])[:: s.shape[1]]
-                yield pd.DataFrame({"a": whole.view(np.int64), "b": s[:, 0].view(np.int64), "x": x, "y": y, "offset": np.arange(len(s), dtype=np.int32), "copies": copies})
+            for at in range(0, len(batch), PART // 8):
+                part = batch.iloc[at : at + PART // 8]
+                symbols = [_symbols(np.frombuffer(w, U)) for w in part["words"]]
+                n = np.array([len(s) for s in symbols])
+                all_symbols = np.concatenate(symbols)
+                width = all_symbols.shape[1]
+                whole = grams(np.ascontiguousarray(all_symbols).ravel(), width)[::width]
+                spread = {c: np.repeat(part[c].to_numpy(), n) for c in ("x", "y", "copies")}
+                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield pd.DataFrame({"a": whole.view(np.int64), "b": all_symbols[:, 0].view(np.int64), "x": spread["x"], "y": spread["y"], "offset": offset.astype(np.int32), "copies": spread["copies"]})
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
