@@ -38,8 +38,8 @@ from .storage import materialize
 from .vector import U, chunks, grams, word_hashes
 
 LENGTH, SEED = 35, 8
-#: Stretches of one seed that a task gathers at most; windows that a task sorts at a time.
-GROUP, BATCH = 2_000, 200_000
+#: Stretches of one seed that a task gathers at most (about 25 MB with their suffixes); windows that a task sorts at a time.
+GROUP, BATCH = 20_000, 200_000
 #: Stretches that a task hands on at a time.
 PART = 20_000
 #: The tree's symbols: hashes of STEP words each.
