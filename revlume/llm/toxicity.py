@@ -3,20 +3,21 @@
 The kernel of two words counts their common subsequences of SUBSEQUENCE
 characters, each weighed by DECAY to the power of the lengths it spans in both
 words, is normalised and squared; gaps and inserted characters lower it but do not hide
-a word. Landmarks are the words that part toxic from other training documents
-best, and some frequent ones; a word's features are its kernels with them times
+a word. Landmarks are the words that part toxic from other documents best,
+counted over all labels that may teach, however little evidence there is, and
+some frequent ones; a word's features are its kernels with them times
 the inverse square root of the landmarks' own kernel matrix. A linear support
-vector machine on these features is trained on labelled sentences: of a toxic
-document, the sentence that holds its most toxic word (found anew in each
-round), of other documents, every sentence; a sentence is as toxic as its worst
-word. Witness words are also shown with gaps and inserted characters. Platt
+vector machine on these features is trained on labelled sentences, each as toxic as its
+worst word (found anew in each round): those of toxic documents, by the evidence
+for that word, and all of other documents. Words of toxic sentences are also
+shown with gaps and inserted characters. Platt
 scaling turns a document's worst word into a probability.
 
 A word longer than WORD_CHARS is scored in overlapping windows; a word with
 other characters between letters is also scored by its letters alone, and so
 are runs of single letters. Whole texts are scored.
 
-Sample for training: at most about SAMPLE_TOXIC toxic and SAMPLE_CLEAN other
+The machine, not the evidence, is trained on a sample: at most about SAMPLE_TOXIC toxic and SAMPLE_CLEAN other
 labelled documents, of at most SAMPLE_CHARS characters, by a hash of their ids.
 
 Nulls and edges: null and empty texts have the score of a text without any
@@ -28,6 +29,8 @@ equal doc_id are scored one by one. Other columns pass where asked for.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -45,12 +48,20 @@ ALIKE = 0.6
 LANDMARK_CHARS, WORD_CHARS = 12, 32
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 700, 1100, 20_000
 PENALTY = 1e-4
-#: Clean words that train the machine: those most like a toxic landmark.
+#: Clean words, those most like toxic ones, that weigh as much as all toxic words; other clean words come on top.
 HARD_NEGATIVES = 300
-#: A witness word's share of toxic uses is above this.
-TOXIC_SHARE = 0.5
-#: Standard deviations of that bound: so many that chance does not reach it among all words of the sample.
+#: Rounds in which the worst words of documents and sentences are chosen again.
+ROUNDS = 5
+#: Standard deviations of the lower bound of a word's share of toxic uses, by which words are ranked.
 CONFIDENCE = 3.5
+#: The same for the weight of a word in training.
+WEIGHT_CONFIDENCE = 3.0
+#: The power of a word's evidence, against the greatest, in that weight.
+SHARPNESS = 4
+#: Words with the most evidence that the driver reads.
+EVIDENCE_WORDS = 20_000
+#: Weight of a toxic document whose words have no evidence.
+WEAK = 1e-3
 CUTOFF = 0.7
 #: Words whose scores a worker keeps, besides those of one batch.
 CACHE_ENTRIES = 400_000
@@ -192,11 +203,10 @@ def _disguised(word: str) -> list[str]:
     return [word, word[:middle] + "-" + word[middle:], word[:middle] + "x" + word[middle:], word[:2] + "e" + word[2:]]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, both classes with equal weight and in them each word by its uses, by Newton steps on the
-    support vectors (few features, so that each step is a small linear system)."""
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, by Newton steps on the support vectors (few features, so that each step is a small linear
+    system)."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    cost = uses / np.where(y > 0, 2 * uses[y > 0].sum(), 2 * uses[y < 0].sum())
     w = np.zeros(x.shape[1])
     ridge = PENALTY * np.eye(len(w))
     for _ in range(30):
@@ -209,15 +219,16 @@ def _svm(x: np.ndarray, y: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, fl
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def _platt(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve, by damped Newton steps."""
-    target = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
-    loss = lambda x: np.logaddexp(0, x[0] * margins + x[1]).sum() - (target * (x[0] * margins + x[1])).sum()
+def _platt(margins: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve over weighted cases, by damped Newton steps."""
+    yes, no = weight[toxic].sum(), weight[~toxic].sum()
+    target = np.where(toxic, (yes + 1) / (yes + 2), 1 / (no + 2))
+    loss = lambda x: (weight * (np.logaddexp(0, x[0] * margins + x[1]) - target * (x[0] * margins + x[1]))).sum()
     x = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x[0] * margins + x[1], -40, 40)))
-        g = np.array([((p - target) * margins).sum(), (p - target).sum()])
-        v = p * (1 - p) + 1e-6
+        g = np.array([(weight * (p - target) * margins).sum(), (weight * (p - target)).sum()])
+        v = weight * (p * (1 - p) + 1e-6)
         h = np.array([[(v * margins**2).sum(), (v * margins).sum()], [(v * margins).sum(), v.sum()]]) + 1e-6 * np.eye(2)
         step = np.linalg.solve(h, g)
         while loss(x - step) > loss(x) and abs(step).max() > 1e-9:
@@ -227,18 +238,57 @@ def _platt(margins: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
+def _evidence(texts: DataFrame) -> dict[str, tuple[int, int]]:
+    """Clean and toxic uses of the words with the most evidence, counted over all of ``texts`` (text, toxic) by Spark.
+
+    A clean use counts once for each document; a toxic one once for each pair of neighbours and once for each document,
+    whichever is less: neither copies of a toxic document nor one that repeats a word are evidence.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["word", "context", "clean", "docs"]
+        clean: Counter[str] = Counter()
+        rows: list[tuple[str, int | None, int, int]] = []
+        for batch in batches:
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                words = words_of(text)
+                if not toxic:
+                    clean.update({u for w in set(words) for u in units_of(w)})
+                else:
+                    known: set[str] = set()
+                    words = ["", *words, ""]
+                    for w, context in sorted({(w, zlib.crc32(f"{a} {b}".encode("utf-8", "replace"))) for a, w, b in zip(words, words[1:], words[2:], strict=False)}):
+                        for u in units_of(w):
+                            rows.append((u, context, 0, int(u not in known)))
+                            known.add(u)
+                if len(rows) + len(clean) > 200_000:
+                    yield pd.DataFrame(rows + [(w, None, n, 0) for w, n in clean.items()], columns=names).astype({"context": "Int64"})
+                    clean, rows = Counter(), []
+        yield pd.DataFrame(rows + [(w, None, n, 0) for w, n in clean.items()], columns=names).astype({"context": "Int64"})
+
+    flat = texts.mapInPandas(count, "word string, context long, clean long, docs long")
+    apart = flat.groupBy("word", "context").agg(F.sum("clean").alias("clean"), F.sum("docs").alias("docs"))
+    words = apart.groupBy("word").agg(F.sum("clean").alias("clean"), F.least(F.sum("docs"), F.count("context")).alias("bad")).where("bad > 0")
+    n, z2 = F.col("clean") + F.col("bad"), CONFIDENCE**2
+    share = F.col("bad") / n
+    bound = (share + z2 / (2 * n) - CONFIDENCE * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    # only the best are read to the driver: a bounded number; the machine judges all other words by its landmarks
+    return {r["word"]: (r["clean"], r["bad"]) for r in words.orderBy(F.desc(bound), "word").limit(EVIDENCE_WORDS).collect()}
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Train on labels that may teach; None without both classes."""
-    marks = labels.where(learner(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("toxic"))
+    marks = labels.where(learner(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return None
+    evidence = _evidence(docs.join(marks, F.col("doc_id") == F.col("labelled")).select("text", "toxic"))
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE_TOXIC / counts[1]))).otherwise(F.lit(min(1.0, SAMPLE_CLEAN / counts[0])))
     chosen = marks.where(F.pmod(F.xxhash64("labelled", F.lit(2)), F.lit(1 << 20)) / float(1 << 20) < share)
     small = docs.where(F.length("text") <= SAMPLE_CHARS)
     # bounded by the sample's documents and characters, so it may be broadcast and collected
     rows = small.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "toxic", "text").collect()
-    return _train(sorted((r["doc_id"], r["toxic"] == 1, r["text"]) for r in rows), min(1.0, SAMPLE_TOXIC / counts[1]) / min(1.0, SAMPLE_CLEAN / counts[0]))
+    return _train(sorted((r["doc_id"], r["toxic"] == 1, r["text"]) for r in rows), evidence)
 
 
 def _unlike(words: list[str], most: int) -> list[str]:
@@ -263,69 +313,87 @@ def wilson(share: float, n: float, z: float = CONFIDENCE) -> float:
     return (share + z * z / (2 * n) - z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
 
 
-def _train(rows: list[tuple[int, bool, str]], clean_share: float = 1.0) -> Model | None:
-    """``clean_share``: how much rarer clean documents are in the sample than toxic ones, against all labels."""
+def _train(rows: list[tuple[int, bool, str]], evidence: dict[str, tuple[int, int]]) -> Model | None:
+    """``evidence``: clean and toxic uses of words among all labels that teach."""
     toxic = np.array([t for _, t, _ in rows], bool)
     if not toxic.any() or toxic.all():
         return None
     # a document as sentences, a sentence as its distinct words
     bags = [[sorted({u for w in set(words_of(s)) for u in units_of(w)}) for s in _SENTENCE.split(text)] for *_, text in rows]
-    # a word counts once for each pair of neighbours and once for each document, whichever is less:
-    # neither copies of a document nor one document that repeats a word are evidence
-    contexts: tuple[set, set] = (set(), set())
-    held: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    seen: dict[str, list[int]] = {}
-    for (_, t, text), bag in zip(rows, bags, strict=True):
-        words = ["", *words_of(text), ""]
-        contexts[int(t)].update((w, hash((a, b))) for a, w, b in zip(words, words[1:], words[2:], strict=False))
+    uses: dict[str, list[int]] = {}
+    for t, bag in zip(toxic, bags, strict=True):
         for w in {w for s in bag for w in s}:
-            seen.setdefault(w, [0, 0])
-            held[int(t)][w] = held[int(t)].get(w, 0) + 1
-    for t in (0, 1):
-        for w, _ in contexts[t]:
-            for u in units_of(w):
-                seen.setdefault(u, [0, 0])[t] += 1
-    for w, n in seen.items():
-        n[1] = min(n[1], held[1].get(w, 0))
-
-    def parting(word: str) -> float:
-        """The lower bound of a word's share of toxic uses, both classes as frequent as among all labels."""
-        clean, bad = seen[word]
-        n = clean * clean_share + bad
-        return wilson(bad / n, n) if n else 0.0
-
-    ranked = sorted((w for w in seen if SUBSEQUENCE <= len(w) <= LANDMARK_CHARS and parting(w) > TOXIC_SHARE), key=lambda w: (-parting(w), w))
-    common = sorted((w for w in seen if SUBSEQUENCE <= len(w) <= LANDMARK_CHARS and parting(w) < 0.1), key=lambda w: (-sum(seen[w]), w))
+            uses.setdefault(w, [0, 0])[int(t)] += 1
+
+    def parting(word: str, z: float = CONFIDENCE) -> float:
+        """The lower bound of a word's share of toxic uses."""
+        clean, bad = evidence.get(word, (0, 0))
+        return wilson(bad / (clean + bad), clean + bad, z) if bad else 0.0
+
+    fits = lambda w: SUBSEQUENCE <= len(w) <= LANDMARK_CHARS
+    # by evidence alone, however little there is: the machine weighs the landmarks
+    ranked = sorted((w for w in evidence if fits(w)), key=lambda w: (-parting(w), w))
+    common = sorted((w for w in uses if fits(w) and w not in evidence), key=lambda w: (-sum(uses[w]), w))
     toxic_landmarks = _unlike(ranked, LANDMARKS - COMMON_LANDMARKS)
     if not toxic_landmarks:
         return None
-    landmarks = toxic_landmarks + [w for w in _unlike(common, COMMON_LANDMARKS) if w not in toxic_landmarks]
+    landmarks = toxic_landmarks + _unlike(common, COMMON_LANDMARKS)
     own = self_kernel(landmarks)
     gram = (kernel(landmarks, landmarks) / np.sqrt(own[:, None] * own[None])) ** POWER
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     model = Model(landmarks, len(toxic_landmarks), own, root.astype(np.float32), np.zeros(len(landmarks), np.float32))
 
-    vocabulary = sorted(seen)
-    x = model.features(vocabulary)
+    vocabulary = sorted(uses)
     place = {w: i for i, w in enumerate(vocabulary)}
-    # a toxic document's sentence stands for its most toxic word, if it has one; a label may be wrong
-    evidence = {place[w]: parting(w) for bag, t in zip(bags, toxic, strict=True) if t for s in bag for w in s}
-    evidence = {i: share for i, share in evidence.items() if share > TOXIC_SHARE}
-    shown_words = {max(found, key=lambda i: (evidence[i], -i)) for bag, t in zip(bags, toxic, strict=True) if t for s in bag if (found := [place[w] for w in s if place[w] in evidence])}
-    hidden = sorted({d for i in shown_words for d in _disguised(vocabulary[i])})  # the first is the word itself
-    shown = model.features(hidden)
-    # of the clean sentences' words, those most like a toxic landmark
-    clean = np.array(sorted({place[w] for bag, t in zip(bags, toxic, strict=True) if not t for s in bag for w in s}))
-    like = (x[clean] @ np.linalg.inv(model.root))[:, : model.toxic].max(1)
-    clean = clean[np.argsort(-like, kind="stable")[:HARD_NEGATIVES]]
-    model.weights, model.bias = _svm(np.vstack([x[clean], shown]), np.array([-1.0] * len(clean) + [1.0] * len(hidden)), np.array([max(1.0, seen[vocabulary[i]][0]) for i in clean] + [1.0] * len(hidden)))
-    margin = x @ model.weights + model.bias
+    x = model.features(vocabulary)
+    # by how much a word's share of toxic uses is surely above that of all words
+    base = sum(bad for _, bad in evidence.values()) / sum(clean + bad for clean, bad in evidence.values())
+    proof = np.array([max(0.0, parting(w, WEIGHT_CONFIDENCE) - base) for w in vocabulary])
+    proof = proof / max(proof.max(), 1e-9)
+    # as in _learn, words far from each toxic landmark have no margin of their own
+    like = (x @ np.linalg.inv(model.root))[:, : model.toxic].max(1)
+    bad_docs = [found for bag, t in zip(bags, toxic, strict=True) if t and (found := [np.array([place[w] for w in s], int) for s in bag if s])]
+    clean_sentences = [np.array([place[w] for w in s], int) for bag, t in zip(bags, toxic, strict=True) if not t for s in bag if s]
+    if not bad_docs or not clean_sentences:
+        return None
+    # a toxic document's sentence stands for its most toxic word: first that with most evidence, later that of the largest margin;
+    # the word's evidence is its weight, since a label may be wrong and not every sentence is toxic, and the document's worst
+    # sentence weighs something without any. A clean sentence is as toxic as its worst word, found anew in each round
+    worst_of = lambda s, by: int(s[np.lexsort((-s, by[s]))[-1]])
+    bad, good, against = np.array([parting(w) for w in vocabulary]), like, {}
+    for _ in range(ROUNDS):
+        weight: dict[int, float] = {}
+        for sentences in bad_docs:
+            worst = [worst_of(s, bad) for s in sentences]
+            top = worst_of(np.array(worst), bad)
+            for i in worst:
+                weight[i] = weight.get(i, 0.0) + proof[i] ** SHARPNESS
+            weight[top] += WEAK
+        weight = {i: w for i, w in weight.items() if w}
+        count: dict[int, float] = {}
+        for s in clean_sentences:
+            i = worst_of(s, good)
+            count[i] = count.get(i, 0.0) + 1.0
+        against = {i: max(against.get(i, 0.0), count.get(i, 0.0)) for i in against.keys() | count.keys()}
+        hidden = [(d, w) for i, w in sorted(weight.items()) for d in _disguised(vocabulary[i])]
+        shown, clean = model.features([d for d, _ in hidden]), np.array(sorted(against))
+        y = np.array([-1.0] * len(clean) + [1.0] * len(hidden))
+        # all clean sentences teach, and those that are most like toxic ones weigh together as much as all toxic ones
+        cost = np.array([against[i] for i in clean])
+        cost = cost / cost[np.argsort(-good[clean], kind="stable")[:HARD_NEGATIVES]].sum()
+        heavy = np.array([w for _, w in hidden])
+        model.weights, model.bias = _svm(np.vstack([x[clean], shown]), y, np.append(cost, heavy / heavy.sum()) / 2)
+        margin = x @ model.weights + model.bias
+        if np.array_equal(bad, margin):
+            break
+        bad = good = margin
     worst = np.array([max((margin[place[w]] for s in bag for w in s), default=model.bias) for bag in bags])
-    # a toxic document without a witness says nothing of words
-    told = np.array([not t or any(place[w] in shown_words for s in bag for w in s) for bag, t in zip(bags, toxic, strict=True)])
-    disguised = shown @ model.weights + model.bias
-    model.slope, model.shift = _platt(np.append(worst[told], disguised), np.append(toxic[told], np.ones(len(disguised), bool)))
+    # a label with less evidence than another says less of what a margin means
+    held = np.array([max((proof[place[w]] for s in bag for w in s), default=0.0) for bag in bags])
+    trust = np.where(toxic, WEAK + held**SHARPNESS, 1.0)
+    told = shown @ model.weights + model.bias
+    model.slope, model.shift = _platt(np.append(worst, told), np.append(toxic, np.ones(len(told), bool)), np.append(trust, heavy / heavy.max()))
     return model
 
 

@@ -297,6 +297,18 @@ def test_toxicity_finds_disguised_words_and_leaves_clean_ones(spark, insults):
     assert toxicity.score(docs.limit(3), labels.limit(0)).where("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_from_few_labels(spark, insults):
+    few = [i for i, (_, y) in enumerate(insults) if zlib.crc32(str(i).encode()) % 3 != 1 and y][:9]
+    own = [i for i, (_, y) in enumerate(insults) if not y] + few
+    docs = frame(spark, [t for t, _ in insults] + ["she called him a fathead", "nice and friendly"])
+    labels = spark.createDataFrame([(i, 1, insults[i][1]) for i in own], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, labels).collect()}
+    bad = [i for i, (_, y) in enumerate(insults) if y and i not in few]
+    clean = [i for i, (_, y) in enumerate(insults) if not y]
+    assert sum(found[i] for i in few) == 9 and sum(found[i] for i in bad) >= 0.9 * len(bad) and sum(found[i] for i in clean) <= 0.02 * len(clean)
+    assert (found[500], found[501]) == (1, 0)
+
+
 def test_nearest_vectors_recall_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(9)
     x = rng.standard_normal((600, 16)).astype(np.float32)
