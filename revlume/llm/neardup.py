@@ -20,7 +20,8 @@ lost that the bands show. Classes are the connected components.
 Nulls and edges: null and empty texts, and those of white space, have no
 shingle and are each a class of their own; a row is known by doc_id and text, so
 repeated rows are one member; a class is named by its smallest doc_id (null ids
-count as the smallest); an empty table gives no rows. Other columns are not read.
+count as the smallest) and told apart by its root, the smallest key, since
+doc_ids may be null or repeat; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -240,7 +241,9 @@ def _links(members: DataFrame, texts: DataFrame, counted: bool) -> DataFrame:
 
 
 def classes(docs: DataFrame, counted: bool = False) -> DataFrame:
-    """One row for each doc_id and text: doc_id, key, class_id, n_shingles, n_links (of its shingle set to others that were verified)."""
+    """One row for each doc_id and text: doc_id, key, class_id, n_shingles, n_links (of its shingle set to others that were verified), root.
+
+    ``root`` tells classes apart: class_id, a doc_id, is null or shared by several where doc_ids are."""
     prints = materialize(signatures(docs, counted), "signatures")
     # equal shingles: one member, the smallest key, stands for all
     same = ["print_a", "print_b", "n"]
@@ -254,10 +257,10 @@ def classes(docs: DataFrame, counted: bool = False) -> DataFrame:
     degree = links.select(F.explode(F.array("a", "b")).alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("n_links"))
     found = of_set.join(roots, "member", "left").join(degree, "member", "left").withColumn("root", F.coalesce("root", "member"))
     names = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least"))
-    named = found.join(names, "root").select("key", F.col("least.doc_id").alias("class_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = found.join(names, "root").select("key", "root", F.col("least.doc_id").alias("class_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key")).distinct()
     return every.join(named, "key", "left").select(
-        "doc_id", "key", F.when(F.col("n_shingles").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", "key", F.when(F.col("n_shingles").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "key").alias("root")
     )
 
 
@@ -265,7 +268,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of its smallest doc_id, and of equal ids the smallest text hash.
     Texts without a word are kept; of repeated rows one stays, with a word or without."""
     found = classes(docs)
-    best = found.where("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")).alias("best"))
+    best = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")).alias("best"))
     kept = best.select(F.col("best.key").alias("kept_key")).union(found.where("n_shingles = 0").select("key")).distinct()
     numbered = docs.withColumn("kept_row_key", F.xxhash64("doc_id", "text"))
     rows = numbered.join(kept, F.col("kept_row_key") == F.col("kept_key"), "left_semi")

@@ -78,6 +78,17 @@ def test_keep_one_keeps_columns_and_wordless_texts(spark):
     assert {i for i, t in enumerate(texts) if not (t or "").split()} <= set(ids)
 
 
+def test_classes_with_null_and_repeated_ids_stay_apart(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(6)]
+    rows = [(None, t) for t in texts[:3]] + [(7, t) for t in texts[3:5]] + [(8, texts[0]), (9, texts[4]), (10, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["text"] for r in neardup.keep_one(docs).collect()) == sorted(texts)
+    roots = {}
+    for r in neardup.classes(docs).collect():
+        roots.setdefault(r["root"], []).append(r["doc_id"])
+    assert len(roots) == 6 and sum(map(len, roots.values())) == 8
+
+
 def test_repeated_passages_are_those_of_brute_force(spark, monkeypatch):
     texts = corpus()
     for group in (substring.GROUP, 2):  # also with every group too long
