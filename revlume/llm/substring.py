@@ -1,4 +1,4 @@
-"""Repeated passages by prefix-partitioned suffix trees.
+"""Repeated passages by minimizer groups of windows, in place of prefix-partitioned suffix trees.
 
 A window is LENGTH consecutive words of one document; every word that lies in a
 window whose word sequence also starts anywhere else is removed. A window is the
