@@ -1,74 +1,74 @@
 """Toxicity by a subsequence string kernel machine with Nystroem landmarks.
 
 The kernel of two words counts their common subsequences of SUBSEQUENCE
-characters, each weighed by DECAY to the power of the lengths it spans in both
-words, is normalised and squared; gaps and inserted characters lower it but do not hide
-a word. Landmarks are the words that part toxic from other documents best,
-counted over all labels that may teach, however little evidence there is, and
-some frequent ones; a word's features are its kernels with them times
-the inverse square root of the landmarks' own kernel matrix. A linear support
-vector machine on these features is trained on labelled sentences, each as toxic as its
-worst word (found anew in each round): those of toxic documents, by the evidence
-for that word, and all of other documents. Words of toxic sentences are also
-shown with gaps and inserted characters. Platt
-scaling turns a document's worst word into a probability.
-
-A word longer than WORD_CHARS is scored in overlapping windows; a word with
-other characters between letters is also scored by its letters alone, and so
-are runs of single letters. Whole texts are scored.
-
-The machine, not the evidence, is trained on a sample: at most about SAMPLE_TOXIC toxic and SAMPLE_CLEAN other
-labelled documents, of at most SAMPLE_CHARS characters, by a hash of their ids.
+characters that span at most SPAN, each weighed by DECAY to the power of the
+spans in both words, and divides by the norms that words of these lengths have:
+gaps and inserted characters lower it but do not hide a word, and words of one
+stem are alike whatever they end in. A word's features are its kernels with the
+landmarks times the inverse square root of the landmarks' own kernel matrix
+(Nystroem). A linear support vector machine on these features is trained on
+labelled sentences: first every word of a sentence bears its label, then, in
+ROUNDS, a toxic document stands for the worst words of its worst sentences, also
+shown with gaps and inserted characters, and a clean sentence for its worst
+word. A document is judged by its WORST worst words (different ones); Platt
+scaling over them, on documents that the machine was not trained on and on the
+toxic ones of these with their words disguised, gives a probability.
+
+The machine is linear in subsequences, so its weights are folded into one table
+of subsequences and a word costs the same whatever the number of landmarks.
+
+Words are runs without white space, in lower case, without marks at their ends.
+A word with marks between letters is also scored by its letters alone, and so
+are runs of single letters; a word longer than WORD_CHARS is scored in windows
+of WINDOW characters. Whole texts are scored. Characters outside the ALPHABET
+most frequent letters and digits match nothing.
+
+The machine is trained on a sample: at most about SAMPLE_TOXIC toxic and
+SAMPLE_CLEAN other labelled documents, of at most SAMPLE_CHARS characters, by a
+hash of their ids.
 
 Nulls and edges: null and empty texts have the score of a text without any
 word; so has every text, at half, when the labels hold no toxic or no clean
 document; null labels teach nothing; equal texts get equal scores; rows with
-equal doc_id are scored one by one. Other columns pass where asked for.
+equal doc_id are scored one by one; an empty table gives no rows. Other columns
+pass where asked for, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SUBSEQUENCE, DECAY = 3, 0.6
-#: The normalised kernel's power (a kernel again), which sets words that are merely alike further off.
-POWER = 2
-LANDMARKS, COMMON_LANDMARKS = 20, 6
+from .vector import chunks
+
+SUBSEQUENCE, DECAY, SPAN = 3, 0.7, 8
+LANDMARKS, COMMON_LANDMARKS = 200, 40
 #: Kernel above which a word is too like a landmark to be another.
-ALIKE = 0.6
-LANDMARK_CHARS, WORD_CHARS = 12, 32
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 700, 1100, 20_000
+ALIKE = 0.85
+WORD_CHARS, WINDOW, STEP, ALPHABET = 24, 16, 4, 61
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 900, 1800, 20_000
+#: One of so many documents of the sample is kept for calibration.
+CALIBRATION = 3
 PENALTY = 1e-4
-#: Clean words, those most like toxic ones, that weigh as much as all toxic words; other clean words come on top.
-HARD_NEGATIVES = 300
 #: Rounds in which the worst words of documents and sentences are chosen again.
-ROUNDS = 5
-#: Standard deviations of the lower bound of a word's share of toxic uses, by which words are ranked.
-CONFIDENCE = 3.5
-#: The same for the weight of a word in training.
-WEIGHT_CONFIDENCE = 3.0
-#: The power of a word's evidence, against the greatest, in that weight.
-SHARPNESS = 4
-#: Words with the most evidence that the driver reads.
-EVIDENCE_WORDS = 20_000
-#: Weight of a toxic document whose words have no evidence.
-WEAK = 1e-3
+ROUNDS = 4
+#: Worst words that a document stands for.
+WORST = 2
 CUTOFF = 0.7
-#: Words whose scores a worker keeps, besides those of one batch.
-CACHE_ENTRIES = 400_000
+#: Characters of text that are scored at a time.
+TEXT_CHARS = 1 << 20
 
-_EDGE = ".,;:!?\"'()[]"
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
-_SPELLED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
+_SPACE, _MARK, _OTHER, _FIRST = 0, 1, 2, 3
+_K = 64
 
 
 def learner(doc_id: Column) -> Column:
@@ -76,325 +76,376 @@ def learner(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def _codes(words: list[str], width: int) -> np.ndarray:
-    return np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width)
-
-
-def kernel(words: list[str], others: list[str], p: int = SUBSEQUENCE, decay: float = DECAY) -> np.ndarray:
-    """Unnormalised subsequence kernels of words with others, by the usual recursion over prefixes."""
-    a, b = _codes(words, max(map(len, words))), _codes(others, max(map(len, others)))
-    n, m = a.shape[1], b.shape[1]
-    # a step over the other word's places: later places decay
-    fall = np.triu(decay ** (np.arange(m)[None, :] - np.arange(m)[:, None] + 0.0), 1).astype(np.float32)
-    before = [np.ones((len(a), len(b), m), np.float32)] + [np.zeros((len(a), len(b), m), np.float32) for _ in range(p - 1)]
-    total = np.zeros((len(a), len(b)), np.float32)
-    for i in range(n):
-        same = ((a[:, i, None, None] == b[None]) & (b[None] != 0)).astype(np.float32)
-        total += decay**2 * (same * before[p - 1]).sum(-1)
-        for k in range(p - 1, 0, -1):
-            before[k] = decay * before[k] + decay * ((same * before[k - 1]) @ fall)
-    return total
-
-
-def self_kernel(words: list[str], p: int = SUBSEQUENCE, decay: float = DECAY) -> np.ndarray:
-    a = _codes(words, max(map(len, words)))
-    n = a.shape[1]
-    fall = np.triu(decay ** (np.arange(n)[None, :] - np.arange(n)[:, None] + 0.0), 1).astype(np.float32)
-    before = [np.ones((len(a), n), np.float32)] + [np.zeros((len(a), n), np.float32) for _ in range(p - 1)]
-    total = np.zeros(len(a), np.float32)
-    for i in range(n):
-        same = ((a[:, i, None] == a) & (a != 0)).astype(np.float32)
-        total += decay**2 * (same * before[p - 1]).sum(-1)
-        for k in range(p - 1, 0, -1):
-            before[k] = decay * before[k] + decay * ((same * before[k - 1]) @ fall)
-    return total
+@lru_cache(maxsize=4)
+def _classes(alphabet: str) -> np.ndarray:
+    """The class of every code point: white space, mark, other letter or digit, or its place in the alphabet."""
+    out = np.full(0x110000, _MARK, np.uint8)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isspace():
+            out[c] = _SPACE
+        elif x.isalnum():
+            out[c] = _OTHER
+    for i, x in enumerate(alphabet):
+        out[ord(x)] = _FIRST + i
+    return out
+
+
+def units(texts: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What is scored of texts together: classes of characters, and starts, lengths and text of each unit among them."""
+    lowered = [t.lower() for t in texts]
+    codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = _classes(alphabet)[codes]
+    ends_of_texts = np.cumsum([len(t) + 1 for t in lowered])
+    letter = codes >= _OTHER
+    # words, cut at their first and last letter
+    space = codes == _SPACE
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+    starts, ends = edge[::2], edge[1::2]
+    at = np.flatnonzero(letter)
+    if not len(at):
+        none = np.zeros(0, np.int64)
+        return codes, none, none, none
+    low, high = np.searchsorted(at, starts), np.searchsorted(at, ends)
+    some = high > low
+    low, high = low[some], high[some]
+    starts, ends, letters = at[low], at[high - 1] + 1, high - low
+    owner = np.searchsorted(ends_of_texts, starts, side="right")
+    lengths = ends - starts
+    out = [(starts, lengths, owner)]
+    # letters alone of words with marks in between, and of runs of single letters
+    alone = codes[at]
+    marked = np.flatnonzero((letters < lengths) & (letters >= SUBSEQUENCE))
+    out.append((len(codes) + low[marked], letters[marked], owner[marked]))
+    single = np.concatenate([[False], lengths == 1, [False]])
+    turn = np.flatnonzero(np.diff(single.astype(np.int8)))
+    first, last = turn[::2], turn[1::2]
+    same = last - first >= SUBSEQUENCE
+    first, last = first[same], last[same]
+    if len(first):
+        same = owner[first] == owner[last - 1]
+        first, last = first[same], last[same]
+        out.append((len(codes) + low[first], last - first, owner[first]))
+    starts, lengths, owner = (np.concatenate(x) for x in zip(*out, strict=True))
+    long = lengths > WORD_CHARS
+    if long.any():
+        # windows STEP apart, the last one ends with its word
+        number = -(-(lengths[long] - WINDOW) // STEP) + 1
+        turn = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        cut = np.minimum(turn * STEP, np.repeat(lengths[long] - WINDOW, number))
+        starts = np.concatenate([starts[~long], np.repeat(starts[long], number) + cut])
+        owner = np.concatenate([owner[~long], np.repeat(owner[long], number)])
+        lengths = np.concatenate([lengths[~long], np.full(len(cut), WINDOW)])
+    return np.concatenate([codes, alone]), starts, lengths, owner
+
+
+def _norms() -> np.ndarray:
+    """The norm of a word of each length whose characters differ."""
+    out = np.ones(WORD_CHARS + 1)
+    for n in range(SUBSEQUENCE, WORD_CHARS + 1):
+        out[n] = sum((n - s + 1) * (s - 2) * DECAY ** (2 * s) for s in range(3, min(SPAN, n) + 1)) ** 0.5
+    return out
+
+
+NORMS = _norms()
+
+
+def _triples(n: int) -> Iterator[tuple[int, int, int]]:
+    for i in range(n - 2):
+        for j in range(i + 1, min(n - 1, i + SPAN - 1)):
+            for k in range(j + 1, min(n, i + SPAN)):
+                yield i, j, k
+
+
+def _by_length(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Units of one length, SUBSEQUENCE or more: which, and their characters, a row for each place."""
+    order = np.argsort(lengths, kind="stable")
+    bound = np.searchsorted(lengths[order], np.arange(SUBSEQUENCE, WORD_CHARS + 2))
+    for n in range(SUBSEQUENCE, WORD_CHARS + 1):
+        for at in range(bound[n - SUBSEQUENCE], bound[n - SUBSEQUENCE + 1], block):
+            which = order[at : min(at + block, bound[n - SUBSEQUENCE + 1])]
+            yield which, codes[starts[which] + np.arange(n)[:, None]].astype(np.int32)
+
+
+def subsequences(word: bytes) -> dict[int, float]:
+    """The weights of a word's subsequences, normalised; those with characters that match nothing are left out."""
+    out: dict[int, float] = {}
+    for i, j, k in _triples(len(word)):
+        if min(word[i], word[j], word[k]) >= _FIRST:
+            key = (word[i] * _K + word[j]) * _K + word[k]
+            out[key] = out.get(key, 0.0) + DECAY ** (k - i + 1) / NORMS[len(word)]
+    return out
+
+
+def kernels(words: list[bytes], others: list[bytes]) -> np.ndarray:
+    """Kernels of words with others."""
+    rows: dict[int, int] = {}
+    maps = [subsequences(w) for w in others]
+    for m in maps:
+        for key in m:
+            rows.setdefault(key, len(rows) + 1)
+    table = np.zeros((len(rows) + 1, len(others)), np.float32)
+    place = np.zeros(_K**3, np.int32)
+    for n, m in enumerate(maps):
+        for key, value in m.items():
+            table[rows[key], n] = value
+    for key, row in rows.items():
+        place[key] = row
+    lengths = np.array([len(w) for w in words], np.int64)
+    codes = np.frombuffer(b"".join(words), np.uint8)
+    starts = np.cumsum(lengths) - lengths
+    out = np.zeros((len(words), len(others)), np.float32)
+    for which, c in _by_length(codes, starts, lengths):
+        own = np.zeros((len(which), len(others)), np.float32)
+        for i, j, k in _triples(len(c)):
+            row = place[(c[i] * _K + c[j]) * _K + c[k]]
+            hit = np.flatnonzero(row)
+            if len(hit):
+                own[hit] += np.float32(DECAY ** (k - i + 1)) * table[row[hit]]
+        out[which] = own / np.float32(NORMS[len(c)])
+    return out
 
 
 @dataclass
 class Model:
-    landmarks: list[str]
-    toxic: int  # how many of the landmarks, from the first, are toxic words
-    own: np.ndarray  # the landmarks' kernels with themselves
-    root: np.ndarray  # inverse square root of their normalised kernel matrix
-    weights: np.ndarray
-    bias: float = 0.0
-    slope: float = 1.0
-    shift: float = 0.0
-    young: dict[str, float] = field(default_factory=dict)
-    old: dict[str, float] = field(default_factory=dict)
-
-    def features(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 1024):
-            part = order[at : at + 1024]
-            some = [words[i] for i in part]
-            if len(some[-1]) < SUBSEQUENCE:
-                continue
-            norm = np.sqrt(np.maximum(self_kernel(some), 1e-12)[:, None] * self.own[None])
-            out[part] = (kernel(some, self.landmarks) / norm) ** POWER
-        return out @ self.root
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        return self.features(words) @ self.weights + self.bias
-
-    def __getstate__(self):
-        return self.__dict__ | {"young": {}, "old": {}}
-
-    def _learn(self, words: set[str]) -> None:
-        units, owner = [], []
-        order = list(words)
-        for i, word in enumerate(order):
-            for unit in units_of(word):
-                units.append(unit)
-                owner.append(i)
-        best = np.full(len(order), self.bias)
-        if units:
-            # a word that shares fewer characters than a subsequence has with each toxic landmark is as good as none
-            letters, marks = _letters(units), _letters(self.landmarks[: self.toxic])
-            near = np.flatnonzero(np.bitwise_count(letters[:, None] & marks[None]).max(1) >= SUBSEQUENCE)
-            if len(near):
-                np.maximum.at(best, np.array(owner)[near], self.margins([units[i] for i in near]))
-        self.young.update(zip(order, best.tolist(), strict=True))
-
-    def worst(self, texts: Iterable[str | None]) -> np.ndarray:
-        """The largest margin among each text's words; the bias if there is none."""
-        if len(self.young) > CACHE_ENTRIES // 2:
-            self.old, self.young = self.young, {}
-        bags = [set(words_of(t)) for t in texts]
-        new: set[str] = set().union(*bags) - self.young.keys()
-        for word in [x for x in new if x in self.old]:
-            self.young[word] = self.old[word]
-            new.discard(word)
-        if new:
-            self._learn(new)
-        get = self.young.__getitem__
-        return np.array([max(map(get, bag), default=self.bias) for bag in bags])
-
-    def probability(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -40, 40)))
-
-
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without stops at their ends; runs of single letters also as one word."""
-    if not text:
-        return []
-    words = [w.strip(_EDGE) for w in text.lower().split()]
-    if sum(len(w) == 1 for w in set(words)) > 2:
-        words += [m.replace(" ", "") for m in _SPELLED.findall(" ".join(words))]
-    return words
-
-
-def units_of(word: str) -> list[str]:
-    """What is scored for a word: itself, in windows if long, and its letters alone if others stand between."""
-    if len(word) > WORD_CHARS:
-        return [word[i : i + WORD_CHARS] for i in range(0, len(word) - WORD_CHARS // 2, WORD_CHARS // 2)]
-    if len(word) < SUBSEQUENCE:
-        return []
-    if word.isalpha():
-        return [word]
-    letters = "".join(c for c in word if c.isalpha())
-    return [word] if len(letters) == len(word) or len(letters) < SUBSEQUENCE else [word, letters]
+    alphabet: str
+    landmarks: list[bytes]
+    weights: np.ndarray  # of subsequences, all landmarks together
+    bias: float
+    slopes: np.ndarray  # of a text's worst words
+    shift: float
+
+    def margins(self, texts: list[str]) -> np.ndarray:
+        """The margins of each text's worst words."""
+        codes, starts, lengths, owner = units(texts, self.alphabet)
+        got = np.full(len(starts), self.bias, np.float32)
+        for which, c in _by_length(codes, starts, lengths):
+            own = np.zeros(len(which), np.float32)
+            for i in range(len(c) - 2):
+                for j in range(i + 1, min(len(c) - 1, i + SPAN - 1)):
+                    pair = (c[i] * _K + c[j]) * _K
+                    for k in range(j + 1, min(len(c), i + SPAN)):
+                        own += np.float32(DECAY ** (k - i + 1)) * self.weights[pair + c[k]]
+            got[which] += own / np.float32(NORMS[len(c)])
+        return worst(got, owner, len(texts), self.bias)
+
+    def score(self, texts: Iterable[str | None]) -> np.ndarray:
+        own = [t if isinstance(t, str) else "" for t in texts]
+        parts = [self.margins(own[a:b]) for a, b in chunks(own, TEXT_CHARS)]
+        return sigmoid(np.concatenate([np.zeros((0, WORST)), *parts]) @ self.slopes + self.shift)
+
+
+def worst(margins: np.ndarray, owner: np.ndarray, texts: int, least: float) -> np.ndarray:
+    """For each text the WORST largest margins; equal ones, as of equal words, count once."""
+    out = np.full((texts, WORST), least)
+    order = np.argsort(owner, kind="stable")
+    margins, owner = margins[order], owner[order]
+    for n in range(WORST):
+        if not len(owner):
+            break
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        out[owner[first], n] = np.maximum.reduceat(margins, first)
+        less = margins < out[owner, n] - 1e-5
+        margins, owner = margins[less], owner[less]
+    return np.maximum(out, least)
 
 
-def _disguised(word: str) -> list[str]:
-    """A word with gaps and with inserted characters."""
-    middle = len(word) // 2
-    return [word, word[:middle] + "-" + word[middle:], word[:middle] + "x" + word[middle:], word[:2] + "e" + word[2:]]
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, by Newton steps on the support vectors (few features, so that each step is a small linear
-    system)."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    """Linear support vector machine with squared hinge loss, by Newton steps on the support vectors."""
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w = np.zeros(x.shape[1])
     ridge = PENALTY * np.eye(len(w))
     for _ in range(30):
         hit = y * (x @ w) < 1
-        near, c = x[hit], cost[hit]
+        near, c = x[hit].astype(np.float64), cost[hit]
         new = np.linalg.solve(ridge + (near * c[:, None]).T @ near, (near * c[:, None]).T @ y[hit])
-        if np.allclose(new, w, atol=1e-6):
+        if np.allclose(new, w, atol=1e-5):
             break
         w = new if not w.any() else (w + new) / 2
-    return w[:-1].astype(np.float32), float(w[-1])
+    return w[:-1], float(w[-1])
 
 
-def _platt(margins: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve over weighted cases, by damped Newton steps."""
-    yes, no = weight[toxic].sum(), weight[~toxic].sum()
+def _platt(margins: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes (none below zero) and shift of the logistic curve, by damped Newton steps with smoothed targets."""
+    yes, no = toxic.sum(), (~toxic).sum()
     target = np.where(toxic, (yes + 1) / (yes + 2), 1 / (no + 2))
-    loss = lambda x: (weight * (np.logaddexp(0, x[0] * margins + x[1]) - target * (x[0] * margins + x[1]))).sum()
-    x = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x[0] * margins + x[1], -40, 40)))
-        g = np.array([(weight * (p - target) * margins).sum(), (weight * (p - target)).sum()])
-        v = weight * (p * (1 - p) + 1e-6)
-        h = np.array([[(v * margins**2).sum(), (v * margins).sum()], [(v * margins).sum(), v.sum()]]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        while loss(x - step) > loss(x) and abs(step).max() > 1e-9:
-            step = step / 2
-        x = x - step
-    a, b = x
-    return max(float(a), 1e-3), float(b)
-
-
-def _evidence(texts: DataFrame) -> dict[str, tuple[int, int]]:
-    """Clean and toxic uses of the words with the most evidence, counted over all of ``texts`` (text, toxic) by Spark.
-
-    A clean use counts once for each document; a toxic one once for each pair of neighbours and once for each document,
-    whichever is less: neither copies of a toxic document nor one that repeats a word are evidence.
-    """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["word", "context", "clean", "docs"]
-        clean: Counter[str] = Counter()
-        rows: list[tuple[str, int | None, int, int]] = []
-        for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                words = words_of(text)
-                if not toxic:
-                    clean.update({u for w in set(words) for u in units_of(w)})
-                else:
-                    known: set[str] = set()
-                    words = ["", *words, ""]
-                    for w, context in sorted({(w, zlib.crc32(f"{a} {b}".encode("utf-8", "replace"))) for a, w, b in zip(words, words[1:], words[2:], strict=False)}):
-                        for u in units_of(w):
-                            rows.append((u, context, 0, int(u not in known)))
-                            known.add(u)
-                if len(rows) + len(clean) > 200_000:
-                    yield pd.DataFrame(rows + [(w, None, n, 0) for w, n in clean.items()], columns=names).astype({"context": "Int64"})
-                    clean, rows = Counter(), []
-        yield pd.DataFrame(rows + [(w, None, n, 0) for w, n in clean.items()], columns=names).astype({"context": "Int64"})
-
-    flat = texts.mapInPandas(count, "word string, context long, clean long, docs long")
-    apart = flat.groupBy("word", "context").agg(F.sum("clean").alias("clean"), F.sum("docs").alias("docs"))
-    words = apart.groupBy("word").agg(F.sum("clean").alias("clean"), F.least(F.sum("docs"), F.count("context")).alias("bad")).where("bad > 0")
-    n, z2 = F.col("clean") + F.col("bad"), CONFIDENCE**2
-    share = F.col("bad") / n
-    bound = (share + z2 / (2 * n) - CONFIDENCE * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-    # only the best are read to the driver: a bounded number; the machine judges all other words by its landmarks
-    return {r["word"]: (r["clean"], r["bad"]) for r in words.orderBy(F.desc(bound), "word").limit(EVIDENCE_WORDS).collect()}
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Train on labels that may teach; None without both classes."""
-    marks = labels.where(learner(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").cast("int").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    if len(counts) < 2:
-        return None
-    evidence = _evidence(docs.join(marks, F.col("doc_id") == F.col("labelled")).select("text", "toxic"))
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE_TOXIC / counts[1]))).otherwise(F.lit(min(1.0, SAMPLE_CLEAN / counts[0])))
-    chosen = marks.where(F.pmod(F.xxhash64("labelled", F.lit(2)), F.lit(1 << 20)) / float(1 << 20) < share)
-    small = docs.where(F.length("text") <= SAMPLE_CHARS)
-    # bounded by the sample's documents and characters, so it may be broadcast and collected
-    rows = small.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "toxic", "text").collect()
-    return _train(sorted((r["doc_id"], r["toxic"] == 1, r["text"]) for r in rows), evidence)
-
-
-def _unlike(words: list[str], most: int) -> list[str]:
-    """The first words that are unlike each other."""
-    chosen: list[str] = []
-    for w in words[: 20 * most]:
-        if len(chosen) == most:
+    used = list(range(margins.shape[1]))
+    while True:
+        x = np.hstack([margins[:, used], np.ones((len(margins), 1))])
+        w = np.zeros(x.shape[1])
+        loss = lambda w: (np.logaddexp(0, x @ w) - target * (x @ w)).sum() + 1e-3 * (w[:-1] ** 2).sum()  # noqa: E731, B023
+        for _ in range(60):
+            p = sigmoid(x @ w)
+            ridge = np.append(np.full(len(used), 2e-3), 1e-9)
+            step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (p - target) + ridge * w)
+            while loss(w - step) > loss(w) and abs(step).max() > 1e-9:
+                step = step / 2
+            w = w - step
+        if (w[:-1] >= 0).all() or len(used) == 1:
+            slopes = np.zeros(margins.shape[1])
+            slopes[used] = np.maximum(w[:-1], 1e-3)
+            return slopes, float(w[-1])
+        used.remove(used[int(np.argmin(w[:-1]))])
+
+
+def _disguised(word: bytes, turn: int) -> list[bytes]:
+    """A word with a gap, and with one and two inserted characters; where, goes by turns."""
+    if not 4 <= len(word) <= WORD_CHARS - 2:
+        return []
+    at = 1 + turn % (len(word) - 1)
+    two = 1 + (turn * 7 + 3) % (len(word) - 1)
+    letter, other = bytes([_OTHER]), bytes([_FIRST + turn % 20])
+    return [word[:at] + bytes([_MARK]) + word[at:], word[:at] + other + word[at:], word[:two] + letter + other + word[two:]]
+
+
+def _unlike(words: list[bytes], most: int, chosen: list[bytes]) -> list[bytes]:
+    """The first words that are unlike each other and those chosen."""
+    found: list[bytes] = []
+    some = words[: 8 * most]
+    if not some:
+        return found
+    gram = kernels(some, some + chosen)
+    norm = np.sqrt(np.maximum(np.diagonal(gram), 1e-9))
+    own = np.concatenate([norm, np.sqrt(np.maximum([kernels([c], [c])[0, 0] for c in chosen], 1e-9))])
+    alike = gram / (norm[:, None] * own[None])
+    taken = list(range(len(some), len(some) + len(chosen)))
+    for i, w in enumerate(some):
+        if len(found) == most:
             break
-        if not chosen or (kernel([w], chosen)[0] / np.sqrt(self_kernel([w])[0] * self_kernel(chosen))).max() < ALIKE:
-            chosen.append(w)
-    return chosen
-
-
-def _letters(words: list[str]) -> np.ndarray:
-    """The set of a word's characters, in 64 bits."""
-    codes = _codes(words, max(map(len, words)))
-    return np.bitwise_or.reduce(np.where(codes, np.uint64(1) << (codes.astype(np.uint64) % np.uint64(64)), np.uint64(0)), axis=1)
+        if not taken or alike[i, taken].max() < ALIKE:
+            found.append(w)
+            taken.append(i)
+    return found
 
 
-def wilson(share: float, n: float, z: float = CONFIDENCE) -> float:
-    """Lower bound of a share seen in n cases."""
-    return (share + z * z / (2 * n) - z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
-
-
-def _train(rows: list[tuple[int, bool, str]], evidence: dict[str, tuple[int, int]]) -> Model | None:
-    """``evidence``: clean and toxic uses of words among all labels that teach."""
+def _train(rows: list[tuple[int, bool, str]]) -> Model | None:
     toxic = np.array([t for _, t, _ in rows], bool)
     if not toxic.any() or toxic.all():
         return None
-    # a document as sentences, a sentence as its distinct words
-    bags = [[sorted({u for w in set(words_of(s)) for u in units_of(w)}) for s in _SENTENCE.split(text)] for *_, text in rows]
-    uses: dict[str, list[int]] = {}
-    for t, bag in zip(toxic, bags, strict=True):
-        for w in {w for s in bag for w in s}:
-            uses.setdefault(w, [0, 0])[int(t)] += 1
-
-    def parting(word: str, z: float = CONFIDENCE) -> float:
-        """The lower bound of a word's share of toxic uses."""
-        clean, bad = evidence.get(word, (0, 0))
-        return wilson(bad / (clean + bad), clean + bad, z) if bad else 0.0
-
-    fits = lambda w: SUBSEQUENCE <= len(w) <= LANDMARK_CHARS
-    # by evidence alone, however little there is: the machine weighs the landmarks
-    ranked = sorted((w for w in evidence if fits(w)), key=lambda w: (-parting(w), w))
-    common = sorted((w for w in uses if fits(w) and w not in evidence), key=lambda w: (-sum(uses[w]), w))
-    toxic_landmarks = _unlike(ranked, LANDMARKS - COMMON_LANDMARKS)
-    if not toxic_landmarks:
+    letters = Counter()
+    for *_, text in rows:
+        letters.update(text.lower())
+    alphabet = "".join(sorted(sorted((c for c in letters if c.isalnum()), key=lambda c: (-letters[c], c))[:ALPHABET]))
+    # sentences, their words, and their documents
+    texts, doc_of = [], []
+    for n, (*_, text) in enumerate(rows):
+        own = [s for s in _SENTENCE.split(text) if s]
+        texts += own
+        doc_of += [n] * len(own)
+    codes, starts, lengths, sentence = units(texts, alphabet)
+    data = codes.tobytes()
+    known: dict[bytes, int] = {}
+    word = np.array([known.setdefault(data[s : s + n], len(known)) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)], np.int64)
+    vocabulary = list(known)
+    doc = np.array(doc_of, np.int64)[sentence] if len(sentence) else sentence
+    # documents of a word, toxic and clean
+    pairs = np.unique(doc * len(vocabulary) + word)
+    of_doc, of_word = pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary))
+    bad = np.bincount(of_word[toxic[of_doc]], minlength=len(vocabulary)).astype(np.float64)
+    good = np.bincount(of_word[~toxic[of_doc]], minlength=len(vocabulary)).astype(np.float64)
+    fits = np.array([SUBSEQUENCE < len(w) <= 16 for w in vocabulary], bool)
+    ratio = (bad + 0.05) / (good * toxic.sum() / (~toxic).sum() + bad + 1.0)
+    order = [i for i in np.lexsort((np.arange(len(vocabulary)), -bad, -ratio)).tolist() if fits[i] and bad[i] > 0]
+    landmarks = _unlike([vocabulary[i] for i in order], LANDMARKS, [])
+    common = [i for i in np.lexsort((np.arange(len(vocabulary)), -good)).tolist() if fits[i] and good[i] > 0]
+    landmarks += _unlike([vocabulary[i] for i in common], COMMON_LANDMARKS, landmarks)
+    if not landmarks:
         return None
-    landmarks = toxic_landmarks + _unlike(common, COMMON_LANDMARKS)
-    own = self_kernel(landmarks)
-    gram = (kernel(landmarks, landmarks) / np.sqrt(own[:, None] * own[None])) ** POWER
+    gram = kernels(landmarks, landmarks)
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    model = Model(landmarks, len(toxic_landmarks), own, root.astype(np.float32), np.zeros(len(landmarks), np.float32))
-
-    vocabulary = sorted(uses)
-    place = {w: i for i, w in enumerate(vocabulary)}
-    x = model.features(vocabulary)
-    # by how much a word's share of toxic uses is surely above that of all words
-    base = sum(bad for _, bad in evidence.values()) / sum(clean + bad for clean, bad in evidence.values())
-    proof = np.array([max(0.0, parting(w, WEIGHT_CONFIDENCE) - base) for w in vocabulary])
-    proof = proof / max(proof.max(), 1e-9)
-    # as in _learn, words far from each toxic landmark have no margin of their own
-    like = (x @ np.linalg.inv(model.root))[:, : model.toxic].max(1)
-    bad_docs = [found for bag, t in zip(bags, toxic, strict=True) if t and (found := [np.array([place[w] for w in s], int) for s in bag if s])]
-    clean_sentences = [np.array([place[w] for w in s], int) for bag, t in zip(bags, toxic, strict=True) if not t for s in bag if s]
-    if not bad_docs or not clean_sentences:
+    x = kernels(vocabulary, landmarks) @ root.astype(np.float32)
+
+    taught = np.array([i % CALIBRATION for i in _turns(toxic)]) > 0  # others calibrate
+    if not (taught & toxic).any() or not (taught & ~toxic).any():
+        taught[:] = True
+    use = taught[doc]
+    pairs = np.unique(doc[use] * len(vocabulary) + word[use])
+    of_doc, of_word = pairs // len(vocabulary), pairs % len(vocabulary)
+    bad = np.bincount(of_word[toxic[of_doc]], minlength=len(vocabulary)).astype(np.float64)
+    good = np.bincount(of_word[~toxic[of_doc]], minlength=len(vocabulary)).astype(np.float64)
+    weights, bias = _fit(x, bad, good)
+    for turn in range(ROUNDS):
+        margin = x @ weights + bias
+        # a clean sentence's worst word; a toxic document's worst words of different sentences
+        top = np.lexsort((word, margin[word], sentence))
+        last = np.flatnonzero(np.diff(sentence[top], append=-1))
+        sent_doc, sent_word = doc[top][last], word[top][last]
+        clean = taught[sent_doc] & ~toxic[sent_doc]
+        good = np.bincount(sent_word[clean], minlength=len(vocabulary)).astype(np.float64)
+        mine = taught[sent_doc] & toxic[sent_doc]
+        md, mw = sent_doc[mine], sent_word[mine]
+        by = np.lexsort((mw, -margin[mw], md))
+        md, mw = md[by], mw[by]
+        first = np.flatnonzero(np.diff(md, prepend=-1))
+        place = np.arange(len(md)) - np.repeat(first, np.diff(np.append(first, len(md))))
+        bad = np.bincount(mw[place < WORST], minlength=len(vocabulary)).astype(np.float64)
+        hidden = [(d, bad[i] / 3) for n, i in enumerate(np.flatnonzero(bad).tolist()) for d in _disguised(vocabulary[i], n + turn)]
+        shown = kernels([d for d, _ in hidden], landmarks) @ root.astype(np.float32) if hidden else x[:0]
+        weights, bias = _fit(np.vstack([x, shown]), np.concatenate([bad, [n for _, n in hidden]]), np.concatenate([good, np.zeros(len(hidden))]))
+    margin = x @ weights + bias
+    table = np.zeros(_K**3)
+    for w, a in zip(landmarks, root @ weights, strict=True):
+        for key, value in subsequences(w).items():
+            table[key] += a * value
+    points = worst(margin[word], doc, len(rows), bias)
+    held = ~taught if (~taught & toxic).any() and (~taught & ~toxic).any() else taught
+    # the held toxic documents once more, with their worst words disguised
+    veiled, veils = _veiled(margin[word], doc, vocabulary, word, held & toxic)
+    told = kernels(veiled, landmarks) @ (root @ weights).astype(np.float32) + bias if veiled else np.zeros(0)
+    again = worst(told, veils, len(rows), bias)[held & toxic]
+    slopes, shift = _platt(np.vstack([points[held], again]), np.concatenate([toxic[held], np.ones(len(again), bool)]))
+    return Model(alphabet, landmarks, table.astype(np.float32), bias, slopes, shift)
+
+
+def _veiled(margins: np.ndarray, doc: np.ndarray, vocabulary: list[bytes], word: np.ndarray, wanted: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Disguised forms of the worst words of the documents wanted, and their documents."""
+    order = np.lexsort((word, -margins, doc))
+    order = order[wanted[doc[order]]]
+    words, docs, seen = [], [], {}
+    for w, d in zip(word[order].tolist(), doc[order].tolist(), strict=True):
+        own = seen.setdefault(d, set())
+        if len(own) < WORST and w not in own:
+            own.add(w)
+            forms = _disguised(vocabulary[w], len(words) + d)
+            words += forms[(d + len(own)) % 3 :][:1] or [vocabulary[w]]
+            docs.append(d)
+    return words, np.array(docs, np.int64)
+
+
+def _turns(toxic: np.ndarray) -> list[int]:
+    """Each document's number among those of its label."""
+    seen = [0, 0]
+    out = []
+    for t in toxic.tolist():
+        out.append(seen[int(t)])
+        seen[int(t)] += 1
+    return out
+
+
+def _fit(x: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, float]:
+    """The machine of words with weights as toxic and as clean ones; each label weighs half."""
+    a, b = np.flatnonzero(bad), np.flatnonzero(good)
+    y = np.concatenate([np.ones(len(a)), -np.ones(len(b))])
+    return _svm(np.vstack([x[a], x[b]]), y, np.concatenate([bad[a] / bad.sum(), good[b] / good.sum()]) / 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Train on labels that may teach; None without both classes."""
+    marks = labels.where(learner(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    if len(counts) < 2:
         return None
-    # a toxic document's sentence stands for its most toxic word: first that with most evidence, later that of the largest margin;
-    # the word's evidence is its weight, since a label may be wrong and not every sentence is toxic, and the document's worst
-    # sentence weighs something without any. A clean sentence is as toxic as its worst word, found anew in each round
-    worst_of = lambda s, by: int(s[np.lexsort((-s, by[s]))[-1]])
-    bad, good, against = np.array([parting(w) for w in vocabulary]), like, {}
-    for _ in range(ROUNDS):
-        weight: dict[int, float] = {}
-        for sentences in bad_docs:
-            worst = [worst_of(s, bad) for s in sentences]
-            top = worst_of(np.array(worst), bad)
-            for i in worst:
-                weight[i] = weight.get(i, 0.0) + proof[i] ** SHARPNESS
-            weight[top] += WEAK
-        weight = {i: w for i, w in weight.items() if w}
-        count: dict[int, float] = {}
-        for s in clean_sentences:
-            i = worst_of(s, good)
-            count[i] = count.get(i, 0.0) + 1.0
-        against = {i: max(against.get(i, 0.0), count.get(i, 0.0)) for i in against.keys() | count.keys()}
-        hidden = [(d, w) for i, w in sorted(weight.items()) for d in _disguised(vocabulary[i])]
-        shown, clean = model.features([d for d, _ in hidden]), np.array(sorted(against))
-        y = np.array([-1.0] * len(clean) + [1.0] * len(hidden))
-        # all clean sentences teach, and those that are most like toxic ones weigh together as much as all toxic ones
-        cost = np.array([against[i] for i in clean])
-        cost = cost / cost[np.argsort(-good[clean], kind="stable")[:HARD_NEGATIVES]].sum()
-        heavy = np.array([w for _, w in hidden])
-        model.weights, model.bias = _svm(np.vstack([x[clean], shown]), y, np.append(cost, heavy / heavy.sum()) / 2)
-        margin = x @ model.weights + model.bias
-        if np.array_equal(bad, margin):
-            break
-        bad = good = margin
-    worst = np.array([max((margin[place[w]] for s in bag for w in s), default=model.bias) for bag in bags])
-    # a label with less evidence than another says less of what a margin means
-    held = np.array([max((proof[place[w]] for s in bag for w in s), default=0.0) for bag in bags])
-    trust = np.where(toxic, WEAK + held**SHARPNESS, 1.0)
-    told = shown @ model.weights + model.bias
-    model.slope, model.shift = _platt(np.append(worst, told), np.append(toxic, np.ones(len(told), bool)), np.append(trust, heavy / heavy.max()))
-    return model
+    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, SAMPLE_TOXIC / counts[1]))).otherwise(F.lit(min(1.0, SAMPLE_CLEAN / counts[0])))
+    chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 20)) / float(1 << 20) < share)
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.length("text") <= SAMPLE_CHARS)
+    # bounded by the sample's documents and characters (one text for each doc_id), so it may be broadcast and collected
+    rows = small.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return _train(sorted((r["doc_id"], r["toxic"] == 1, r["text"]) for r in rows))
 
 
 def score(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
@@ -404,11 +455,7 @@ def score(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            points = np.full(len(texts), 0.5)
-            if model:
-                for at in range(0, len(texts), 256):
-                    points[at : at + 256] = model.probability(model.worst(texts[at : at + 256]))
+            points = model.score(batch["text"]) if model else np.full(len(batch), 0.5)
             out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": points, "predicted": (points >= CUTOFF).astype(np.int32)})
             for f in kept:
                 out[f.name] = batch[f.name]
@@ -424,9 +471,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
-        if model is None:
-            return pd.Series(np.full(len(texts), 0.5))
-        own = [t if isinstance(t, str) else None for t in texts]
-        return pd.Series(np.concatenate([np.zeros(0), *(model.probability(model.worst(own[at : at + 256])) for at in range(0, len(own), 256))]))
+        return pd.Series(model.score(texts) if model else np.full(len(texts), 0.5))
 
     return docs.where(probability("text") < CUTOFF)

@@ -271,15 +271,26 @@ def test_subsequence_kernel_is_brute_forces():
         total = 0.0
         for i in combinations(range(len(s)), 3):
             for j in combinations(range(len(t)), 3):
-                if all(s[a] == t[b] for a, b in zip(i, j)):
-                    total += toxicity.DECAY ** (i[2] - i[0] + 1 + j[2] - j[0] + 1)
+                spans = i[2] - i[0] + 1, j[2] - j[0] + 1
+                if all(s[a] == t[b] and s[a] >= 3 for a, b in zip(i, j)) and max(spans) <= toxicity.SPAN:
+                    total += toxicity.DECAY ** sum(spans)
         return total
 
-    words = ["idiot", "idxiot", "toidi", "ab", "banana"]
-    got = toxicity.kernel(words, words)
+    def norm(n):
+        return slow(bytes(range(3, 3 + n)), bytes(range(3, 3 + n))) ** 0.5 or 1.0
+
+    words = [bytes(3 + "abcdefghijklmnopqrstuvwxyz".index(c) for c in w) for w in ("idiot", "idxiot", "toidi", "abc", "banana", "disgustingly", "idixxxxxxxxot")] + [bytes([5, 1, 6, 2, 7]), b"\x03"]
+    got = toxicity.kernels(words, words)
     for a, s in enumerate(words):
-        assert np.allclose(got[a], [slow(s, t) for t in words], rtol=1e-4)
-        assert np.isclose(toxicity.self_kernel(words)[a], slow(s, s), rtol=1e-4)
+        assert np.allclose(got[a], [slow(s, t) / (norm(len(s)) * norm(len(t))) for t in words], rtol=1e-4, atol=1e-6)
+
+
+def test_units_of_texts():
+    codes, starts, lengths, owner = toxicity.units(["Ab, c-d", "", "x y z ab", "q" * 70 + "."], "abcdxyz")
+    got = [(o, codes[s : s + n].tolist()) for s, n, o in zip(starts.tolist(), lengths.tolist(), owner.tolist())]
+    assert sorted(x for x in got if x[0] < 3) == sorted([(0, [3, 4]), (0, [5, 1, 6]), (2, [7]), (2, [8]), (2, [9]), (2, [3, 4]), (2, [7, 8, 9])])
+    assert [x for x in got if x[0] == 3] == [(3, [2] * 16)] * 15
+    assert len(toxicity.units([" ", "..."], "ab")[1]) == 0
 
 
 @pytest.fixture(scope="module")
@@ -295,29 +306,53 @@ def insults():
     return rows
 
 
+def learnt(spark, insults, texts, few=None):
+    docs = frame(spark, [t for t, _ in insults] + texts)
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(insults) if few is None or i in few or not y] + [(None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
 def test_toxicity_finds_disguised_words_and_leaves_clean_ones(spark, insults):
-    texts = [t for t, _ in insults] + [None, "", "you are a b.l.o.c.k.h.e.a.d", "such a dimxwit", "d i m w i t said he", "nice and friendly"]
-    docs = frame(spark, texts)
-    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(insults)] + [(None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
-    found = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    filler = insults[1][0].split()
+    long = " ".join(filler * 400)
+    hidden = ["b.l.o.c.k.h.e.a.d", "dimxwit", "d i m w i t", "fat-head", "blockheead", "blockxhead", "dimwits", "xx" * 40 + "blockhead" + "yy" * 40]
+    texts = [None, "", "nice and friendly", long, long + " dimwit " + long] + [" ".join(filler[:20] + [h] + filler[20:]) for h in hidden]
+    docs, labels = learnt(spark, insults, texts)
+    clash = docs.withColumn("labelled", F.lit(1)).withColumn("toxic", F.lit("x")).withColumn("score", F.lit(2))
+    found = {r["doc_id"]: r for r in toxicity.score(clash, labels).collect()}
     held = [i for i in range(500) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum(found[i]["predicted"] == insults[i][1] for i in held) >= 0.97 * len(held)
-    assert [found[500 + i]["predicted"] for i in (0, 1, 5)] == [0, 0, 0] and [found[500 + i]["predicted"] for i in (2, 4)] == [1, 1]
-    assert found[503]["score"] > found[505]["score"]
-    assert toxicity.keep_clean(docs, labels).columns == docs.columns
+    assert [found[500 + i]["predicted"] for i in range(5)] == [0, 0, 0, 0, 1]
+    assert {h: found[505 + i]["predicted"] for i, h in enumerate(hidden)} == dict.fromkeys(hidden, 1)
+    kept = toxicity.keep_clean(clash.union(clash.limit(1)), labels)
+    assert kept.columns == clash.columns and kept.count() == 501 - sum(r["predicted"] for r in found.values()) + len(texts) - found[0]["predicted"]
     assert toxicity.score(docs.limit(3), labels.limit(0)).where("predicted = 1").count() == 0
+    assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_learns_stems_with_many_ends(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("aeiourstlnm") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    rows = []
+    for i in range(450):
+        words = [rng.choice(vocab) for _ in range(50)]
+        if i % 3 == 0:
+            for _ in range(3):
+                words[rng.randrange(50)] = "vequ" + rng.choice("aeiou") + "".join(rng.choice("lmnrst") for _ in range(2))
+        rows.append((" ".join(words), int(i % 3 == 0)))
+    docs, labels = learnt(spark, rows, [])
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, labels).collect()}
+    held = [i for i in range(450) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(found[i] == rows[i][1] for i in held) >= 0.97 * len(held)
 
 
 def test_toxicity_learns_from_few_labels(spark, insults):
     few = [i for i, (_, y) in enumerate(insults) if zlib.crc32(str(i).encode()) % 3 != 1 and y][:9]
-    own = [i for i, (_, y) in enumerate(insults) if not y] + few
-    docs = frame(spark, [t for t, _ in insults] + ["she called him a fathead", "nice and friendly"])
-    labels = spark.createDataFrame([(i, 1, insults[i][1]) for i in own], "doc_id long, quality int, toxic int")
+    docs, labels = learnt(spark, insults, ["nice and friendly"], few)
     found = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, labels).collect()}
     bad = [i for i, (_, y) in enumerate(insults) if y and i not in few]
     clean = [i for i, (_, y) in enumerate(insults) if not y]
-    assert sum(found[i] for i in few) == 9 and sum(found[i] for i in bad) >= 0.9 * len(bad) and sum(found[i] for i in clean) <= 0.02 * len(clean)
-    assert (found[500], found[501]) == (1, 0)
+    assert sum(found[i] for i in bad) >= 0.9 * len(bad) and sum(found[i] for i in clean) <= 0.02 * len(clean) and found[500] == 0
 
 
 def test_nearest_vectors_recall_ties_and_bad_vectors(spark):
