@@ -60,8 +60,12 @@ CALIBRATION = 3
 PENALTY = 1e-4
 #: Rounds in which the worst words of documents and sentences are chosen again.
 ROUNDS = 4
+#: Words that the machine is first trained on.
+FIRST_WORDS = 40_000
 #: Worst words that a document stands for.
 WORST = 2
+#: How much of a clean word's weight the next round keeps.
+KEPT = 0.3
 CUTOFF = 0.7
 #: Characters of text that are scored at a time.
 TEXT_CHARS = 1 << 20
@@ -177,8 +181,8 @@ def subsequences(word: bytes) -> dict[int, float]:
     return out
 
 
-def kernels(words: list[bytes], others: list[bytes]) -> np.ndarray:
-    """Kernels of words with others."""
+def kernels(words: list[bytes], others: list[bytes], root: np.ndarray | None = None) -> np.ndarray:
+    """Kernels of words with others, times ``root`` if given."""
     rows: dict[int, int] = {}
     maps = [subsequences(w) for w in others]
     for m in maps:
@@ -195,17 +199,41 @@ def kernels(words: list[bytes], others: list[bytes]) -> np.ndarray:
     codes = np.frombuffer(b"".join(words), np.uint8)
     starts = np.cumsum(lengths) - lengths
     out = np.zeros((len(words), len(others)), np.float32)
-    for which, c in _by_length(codes, starts, lengths):
+    for which, c in _by_length(codes, starts, lengths, 1 << 13):
         own = np.zeros((len(which), len(others)), np.float32)
         for i, j, k in _triples(len(c)):
             row = place[(c[i] * _K + c[j]) * _K + c[k]]
             hit = np.flatnonzero(row)
             if len(hit):
                 own[hit] += np.float32(DECAY ** (k - i + 1)) * table[row[hit]]
-        out[which] = own / np.float32(NORMS[len(c)])
+        own = own / np.float32(NORMS[len(c)])
+        out[which] = own if root is None else own @ root.astype(np.float32)
     return out
 
 
+def fold(landmarks: list[bytes], weights: np.ndarray) -> np.ndarray:
+    """One table of subsequences for all landmarks with their weights."""
+    table = np.zeros(_K**3)
+    for w, a in zip(landmarks, weights, strict=True):
+        for key, value in subsequences(w).items():
+            table[key] += a * value
+    return table.astype(np.float32)
+
+
+def folded_margins(table: np.ndarray, bias: float, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Margins of units, those of their kernels with the folded landmarks."""
+    got = np.full(len(starts), bias, np.float32)
+    for which, c in _by_length(codes, starts, lengths):
+        own = np.zeros(len(which), np.float32)
+        for i in range(len(c) - 2):
+            for j in range(i + 1, min(len(c) - 1, i + SPAN - 1)):
+                pair = (c[i] * _K + c[j]) * _K
+                for k in range(j + 1, min(len(c), i + SPAN)):
+                    own += np.float32(DECAY ** (k - i + 1)) * table[pair + c[k]]
+        got[which] += own / np.float32(NORMS[len(c)])
+    return got
+
+
 @dataclass
 class Model:
     alphabet: str
@@ -218,16 +246,7 @@ class Model:
     def margins(self, texts: list[str]) -> np.ndarray:
         """The margins of each text's worst words."""
         codes, starts, lengths, owner = units(texts, self.alphabet)
-        got = np.full(len(starts), self.bias, np.float32)
-        for which, c in _by_length(codes, starts, lengths):
-            own = np.zeros(len(which), np.float32)
-            for i in range(len(c) - 2):
-                for j in range(i + 1, min(len(c) - 1, i + SPAN - 1)):
-                    pair = (c[i] * _K + c[j]) * _K
-                    for k in range(j + 1, min(len(c), i + SPAN)):
-                        own += np.float32(DECAY ** (k - i + 1)) * self.weights[pair + c[k]]
-            got[which] += own / np.float32(NORMS[len(c)])
-        return worst(got, owner, len(texts), self.bias)
+        return worst(folded_margins(self.weights, self.bias, codes, starts, lengths), owner, len(texts), self.bias)
 
     def score(self, texts: Iterable[str | None]) -> np.ndarray:
         own = [t if isinstance(t, str) else "" for t in texts]
@@ -254,15 +273,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, by Newton steps on the support vectors."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros(x.shape[1])
-    ridge = PENALTY * np.eye(len(w))
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, block: int = 8192) -> tuple[np.ndarray, float]:
+    """Linear support vector machine with squared hinge loss, by Newton steps on the support vectors (few features, so
+    that each step is a small linear system)."""
+    w = np.zeros(x.shape[1] + 1)
     for _ in range(30):
-        hit = y * (x @ w) < 1
-        near, c = x[hit].astype(np.float64), cost[hit]
-        new = np.linalg.solve(ridge + (near * c[:, None]).T @ near, (near * c[:, None]).T @ y[hit])
+        left, right = PENALTY * np.eye(len(w)), np.zeros(len(w))
+        for at in range(0, len(x), block):
+            part = np.hstack([x[at : at + block], np.ones((len(x[at : at + block]), 1))]).astype(np.float64)
+            hit = y[at : at + block] * (part @ w) < 1
+            near, c = part[hit], cost[at : at + block][hit]
+            left += (near * c[:, None]).T @ near
+            right += (near * c[:, None]).T @ y[at : at + block][hit]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-5):
             break
         w = new if not w.any() else (w + new) / 2
@@ -336,10 +359,15 @@ def _train(rows: list[tuple[int, bool, str]]) -> Model | None:
         own = [s for s in _SENTENCE.split(text) if s]
         texts += own
         doc_of += [n] * len(own)
-    codes, starts, lengths, sentence = units(texts, alphabet)
-    data = codes.tobytes()
     known: dict[bytes, int] = {}
-    word = np.array([known.setdefault(data[s : s + n], len(known)) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)], np.int64)
+    found, own = [], []
+    for first, last in chunks(texts, TEXT_CHARS):
+        codes, starts, lengths, owner = units(texts[first:last], alphabet)
+        data = codes.tobytes()
+        found.append(np.array([known.setdefault(data[s : s + n], len(known)) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)], np.int64))
+        own.append(owner + first)
+    word, sentence = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (found, own))
+    del found, own
     vocabulary = list(known)
     doc = np.array(doc_of, np.int64)[sentence] if len(sentence) else sentence
     # documents of a word, toxic and clean
@@ -358,7 +386,8 @@ def _train(rows: list[tuple[int, bool, str]]) -> Model | None:
     gram = kernels(landmarks, landmarks)
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    x = kernels(vocabulary, landmarks) @ root.astype(np.float32)
+    own_lengths = np.array([len(w) for w in vocabulary], np.int64)
+    own_starts, own_codes = np.cumsum(own_lengths) - own_lengths, np.frombuffer(b"".join(vocabulary), np.uint8)
 
     taught = np.array([i % CALIBRATION for i in _turns(toxic)]) > 0  # others calibrate
     if not (taught & toxic).any() or not (taught & ~toxic).any():
@@ -368,38 +397,39 @@ def _train(rows: list[tuple[int, bool, str]]) -> Model | None:
     of_doc, of_word = pairs // len(vocabulary), pairs % len(vocabulary)
     bad = np.bincount(of_word[toxic[of_doc]], minlength=len(vocabulary)).astype(np.float64)
     good = np.bincount(of_word[~toxic[of_doc]], minlength=len(vocabulary)).astype(np.float64)
-    weights, bias = _fit(x, bad, good)
+    # at first all words bear their documents' labels: of rare words a bounded number, by turns
+    common_first = np.lexsort((np.arange(len(vocabulary)) * 2654435761 % (1 << 32), -(bad + good)))[:FIRST_WORDS]
+    weights, bias = _fit([(vocabulary[i], bad[i], good[i]) for i in common_first.tolist()], landmarks, root)
+    against = np.zeros(len(vocabulary))
     for turn in range(ROUNDS):
-        margin = x @ weights + bias
+        margin = folded_margins(fold(landmarks, weights), bias, own_codes, own_starts, own_lengths)
         # a clean sentence's worst word; a toxic document's worst words of different sentences
         top = np.lexsort((word, margin[word], sentence))
         last = np.flatnonzero(np.diff(sentence[top], append=-1))
         sent_doc, sent_word = doc[top][last], word[top][last]
         clean = taught[sent_doc] & ~toxic[sent_doc]
-        good = np.bincount(sent_word[clean], minlength=len(vocabulary)).astype(np.float64)
+        against = np.bincount(sent_word[clean], minlength=len(vocabulary)) + KEPT * against
         mine = taught[sent_doc] & toxic[sent_doc]
         md, mw = sent_doc[mine], sent_word[mine]
         by = np.lexsort((mw, -margin[mw], md))
         md, mw = md[by], mw[by]
         first = np.flatnonzero(np.diff(md, prepend=-1))
         place = np.arange(len(md)) - np.repeat(first, np.diff(np.append(first, len(md))))
-        bad = np.bincount(mw[place < WORST], minlength=len(vocabulary)).astype(np.float64)
-        hidden = [(d, bad[i] / 3) for n, i in enumerate(np.flatnonzero(bad).tolist()) for d in _disguised(vocabulary[i], n + turn)]
-        shown = kernels([d for d, _ in hidden], landmarks) @ root.astype(np.float32) if hidden else x[:0]
-        weights, bias = _fit(np.vstack([x, shown]), np.concatenate([bad, [n for _, n in hidden]]), np.concatenate([good, np.zeros(len(hidden))]))
-    margin = x @ weights + bias
-    table = np.zeros(_K**3)
-    for w, a in zip(landmarks, root @ weights, strict=True):
-        for key, value in subsequences(w).items():
-            table[key] += a * value
+        bad = np.bincount(mw[place < WORST], minlength=len(vocabulary))
+        shown = [(vocabulary[i], bad[i], 0.0) for i in np.flatnonzero(bad).tolist()]
+        shown += [(d, n / 3, 0.0) for turns, (w, n, _) in enumerate(shown) for d in _disguised(w, turns + turn)]
+        shown += [(vocabulary[i], 0.0, against[i]) for i in np.flatnonzero(against).tolist()]
+        weights, bias = _fit(shown, landmarks, root)
+    table = fold(landmarks, weights)
+    margin = folded_margins(table, bias, own_codes, own_starts, own_lengths)
     points = worst(margin[word], doc, len(rows), bias)
     held = ~taught if (~taught & toxic).any() and (~taught & ~toxic).any() else taught
     # the held toxic documents once more, with their worst words disguised
     veiled, veils = _veiled(margin[word], doc, vocabulary, word, held & toxic)
-    told = kernels(veiled, landmarks) @ (root @ weights).astype(np.float32) + bias if veiled else np.zeros(0)
+    told = kernels(veiled, landmarks) @ weights.astype(np.float32) + bias if veiled else np.zeros(0)
     again = worst(told, veils, len(rows), bias)[held & toxic]
     slopes, shift = _platt(np.vstack([points[held], again]), np.concatenate([toxic[held], np.ones(len(again), bool)]))
-    return Model(alphabet, landmarks, table.astype(np.float32), bias, slopes, shift)
+    return Model(alphabet, landmarks, table, bias, slopes, shift)
 
 
 def _veiled(margins: np.ndarray, doc: np.ndarray, vocabulary: list[bytes], word: np.ndarray, wanted: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -427,11 +457,15 @@ def _turns(toxic: np.ndarray) -> list[int]:
     return out
 
 
-def _fit(x: np.ndarray, bad: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, float]:
-    """The machine of words with weights as toxic and as clean ones; each label weighs half."""
+def _fit(cases: list[tuple[bytes, float, float]], landmarks: list[bytes], root: np.ndarray) -> tuple[np.ndarray, float]:
+    """The machine of words with weights as toxic and as clean ones (each label weighs half): weights of landmarks and bias."""
+    x = kernels([w for w, *_ in cases], landmarks, root)
+    bad, good = np.array([b for _, b, _ in cases], np.float64), np.array([g for *_, g in cases], np.float64)
     a, b = np.flatnonzero(bad), np.flatnonzero(good)
     y = np.concatenate([np.ones(len(a)), -np.ones(len(b))])
-    return _svm(np.vstack([x[a], x[b]]), y, np.concatenate([bad[a] / bad.sum(), good[b] / good.sum()]) / 2)
+    both = x[np.concatenate([a, b])]
+    weights, bias = _svm(both, y, np.concatenate([bad[a] / bad.sum(), good[b] / good.sum()]) / 2)
+    return root @ weights, bias
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
