@@ -10,12 +10,14 @@ two documents agree in a coordinate with the probability of their weighted
 Jaccard similarity. A coordinate without a dart extends the rank.
 
 Documents with the same shingles form a class first. Bands of ROWS coordinates
-of a class's signature are joined, then pairs are compared exactly, by the
-shingles of their texts: similarity of SIMILARITY or more is a link. Within a
-bucket, members are first compared with one member, in a few rounds, which binds
-a large group with as many pairs as members. What these links leave apart is
-compared in full across the parts of the bucket, so no link between parts is
-lost that the bands show. Classes are the connected components.
+of a class's signature are joined; what shares a band is compared exactly, by the
+shingles of the texts: similarity of SIMILARITY or more is a link. In a bucket,
+members are first compared with one member, the leader, which binds a large
+group with as many pairs as members. Buckets of more parts than one are then
+compared in full: small ones (SMALL members) as pairs, larger ones in tasks of
+two blocks of bounded size each, from which only a spanning forest of links
+comes out. So no link that the bands show is lost, no task holds a whole bucket,
+and no join makes its pairs. Classes are the connected components.
 
 Nulls and edges: null and empty texts, and those of white space, have no
 shingle and are each a class of their own; a row is known by doc_id and text, so
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import materialize
+from .storage import discard, materialize, row_key
 from .vector import U, chunks, grams, mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -43,9 +45,8 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Pairs whose signatures agree in a smaller share are not compared: ten standard deviations below SIMILARITY.
 LEAST_AGREEMENT = 0.5
-
-#: Rounds in which buckets are bound by one member each, before what is left apart is compared in full.
-STAR_ROUNDS = 3
+#: Members of a bucket that is compared as pairs; members and shingles of a block of a larger one.
+SMALL, BLOCK_MEMBERS, BLOCK_SHINGLES = 16, 512, 400_000
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 _UNIT = 2.0**-53
@@ -142,8 +143,8 @@ def signatures(docs: DataFrame, counted: bool = False) -> DataFrame:
                     "print_b": np.add.reduceat(mix(own ^ U(77)), starts[:-1]).view(np.int64), "signature": [x.tobytes() for x in short], "bands": list(bands),
                 })
 
-    keyed = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"), "text")
-    return keyed.mapInPandas(rows, "key long, doc_id long, n int, print_a long, print_b long, signature binary, bands array<long>")
+    keyed = docs.where(F.col("text").isNotNull()).select(row_key().alias("key"), F.col("doc_id").cast("long"), "text")
+    return keyed.mapInPandas(rows, "key binary, doc_id long, n int, print_a long, print_b long, signature binary, bands array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -174,7 +175,7 @@ def _jaccard(counted: bool):
 
 
 def _verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, counted: bool) -> DataFrame:
-    """The pairs (a, b) of member keys whose texts are similar enough."""
+    """The pairs (a, b) of member keys whose texts are similar enough, written."""
     sig = members.select("key", "signature", "n")
     near = (
         pairs.join(sig.toDF("a", "sig_a", "n_a"), "a").join(sig.toDF("b", "sig_b", "n_b"), "b")
@@ -182,8 +183,11 @@ def _verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, counted: b
         .where(F.lit(counted) | (F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")))
         .where(_agreement("sig_a", "sig_b") >= LEAST_AGREEMENT).select("a", "b")
     )
+    near = materialize(near, "near")  # of known size, so that few pairs move no texts
     compared = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return compared.where(_jaccard(counted)("text_a", "text_b") >= SIMILARITY).select("a", "b")
+    found = materialize(compared.where(_jaccard(counted)("text_a", "text_b") >= SIMILARITY).select("a", "b"), "links")
+    discard(near)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,50 +198,145 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialize(edges.union(edges.select("b", "a")).toDF("key", "other").distinct(), "edges")
     roots = materialize(both.groupBy("key").agg(F.min("other").alias("root")).select("key", F.least("key", "root").alias("root")), "roots")
+    written = roots
     while True:
         around = both.join(roots.toDF("other", "near"), "other").groupBy("key").agg(F.min("near").alias("near"))
         closer = roots.join(around, "key").select("key", "root", F.least("root", "near").alias("new"))
         # a root may have moved as well
         jumped = closer.join(closer.select(F.col("key").alias("new"), F.col("new").alias("next")), "new").select("key", "root", F.least("new", "next").alias("new"))
         step = materialize(jumped, "roots")
+        discard(written)
+        written = step
         if step.where("new < root").isEmpty():
+            discard(both)
             return step.select("key", "root")
         roots = step.select("key", F.col("new").alias("root"))
 
 
-def _links(members: DataFrame, texts: DataFrame, counted: bool) -> DataFrame:
-    """Verified pairs of member keys that bind all members that the bands show as similar."""
-    buckets = materialize(members.select("key", F.explode("bands").alias("band")), "buckets")
-    several = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def shingle_sets(texts: DataFrame, counted: bool) -> DataFrame:
+    """key and the sorted hashes of each text's shingles (with counts, of each occurrence)."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, own = batch["key"].tolist(), batch["text"].tolist()
+            for a, b in chunks(own):
+                sets = []
+                for x in shingle_lists(own[a:b]):
+                    elements, counts = np.unique(x, return_counts=True)
+                    if counted:
+                        turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                        elements = np.sort(mix(np.repeat(elements, counts) + U(0xC2B2AE3D27D4EB4F) * turn.astype(U)))
+                    sets.append(elements.tobytes())
+                yield pd.DataFrame({"key": keys[a:b], "elements": sets})
+
+    return texts.mapInPandas(rows, "key binary, elements binary")
+
+
+def forest(sets: list[np.ndarray], roots: list, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links of the sets that bind all that are similar enough: a spanning forest, without links inside a root.
+
+    Sets of different sides are compared, and all if there is one side alone.
+    """
+    n = np.array([len(x) for x in sets], np.float32)
+    owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+    known, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = count[place] > 1
+    column = (np.cumsum(count > 1) - 1)[place[kept]]
+    owner, both = owner[kept], np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int((count > 1).sum()), 4096):
+        a, b = np.searchsorted(column, (first, first + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], column[a:b] - first] = 1
+        both += part @ part.T
+    link = both >= SIMILARITY * (n[:, None] + n[None] - both) - 1e-4
+    number: dict = {}
+    root = np.array([number.setdefault(r, len(number)) for r in roots])
+    same = root[:, None] == root[None]
+    if side.any() and not side.all():
+        link &= side[:, None] != side[None]
+    out, todo = [], np.ones(len(sets), bool)
+    for start in range(len(sets)):
+        if not todo[start]:
+            continue
+        todo[start], queue = False, [start]
+        while queue:
+            x = queue.pop()
+            near = todo & same[x]
+            todo &= ~near
+            queue += np.flatnonzero(near).tolist()
+            near = np.flatnonzero(todo & link[x])
+            for y in near.tolist():
+                if todo[y]:  # all of its root come with it
+                    out.append((x, y))
+                    todo[same[y]] = False
+                    queue += np.flatnonzero(same[y]).tolist()
+    return out
+
+
+def _in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of rows sorted by bucket and blocks (band, i, j); block is i or j."""
+    held: list[pd.DataFrame] = []
+
+    def compared() -> pd.DataFrame:
+        rows = pd.concat(held, ignore_index=True)
+        keys = rows["key"].tolist()
+        side = (rows["block"] != rows["i"]).to_numpy()
+        got = forest([np.frombuffer(x, U) for x in rows["elements"]], rows["root"].tolist(), side)
+        return pd.DataFrame([(min(keys[x], keys[y]), max(keys[x], keys[y])) for x, y in got], columns=["a", "b"])
+
+    for batch in batches:
+        what = batch[["band", "i", "j"]].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((what[1:] != what[:-1]).any(1)) + 1, [len(batch)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and tuple(held[0][["band", "i", "j"]].iloc[0]) != tuple(what[a]):
+                yield compared()
+                held = []
+            held.append(batch.iloc[a:b])
+    if held:
+        yield compared()
+
+
+def _roots(members: DataFrame, texts: DataFrame, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) that bind all members that the bands show as similar, and (key, root) of all they bind."""
+    buckets = materialize(members.select("key", F.col("n").alias("size"), F.explode("bands").alias("band")), "buckets")
+    several = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1")
     shared = materialize(buckets.join(several, "band"), "shared")
+    discard(buckets)
+    # a bucket's leader is the member that meets most others in all its buckets
     meets = shared.groupBy("key").agg(F.sum("n").alias("meets"))
-    shared = materialize(shared.join(meets, "key").select("band", "key", "meets"), "shared")
-
-    parted = shared.withColumn("root", F.col("key"))
-    tested = links = None
-    for turn in range(STAR_ROUNDS):
-        # a bucket's leader is the member that meets most others in all its buckets, later another one; those apart from it are compared with it
-        order = F.struct("meets", "key") if not turn else F.struct(F.xxhash64("key", F.lit(turn)), "key")
-        leaders = parted.groupBy("band").agg(F.max_by(F.struct("key", "root"), order).alias("leader"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        led = parted.join(leaders.select("band", F.col("leader.key").alias("other"), F.col("leader.root").alias("other_root")), "band").where("root <> other_root")
-        stars = led.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        stars = materialize(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
-        found = materialize(_verified(stars, members, texts, counted), "links")
-        tested, links = (stars, found) if tested is None else (tested.union(stars), links.union(found))
-        roots = components(links)
-        parted = materialize(shared.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "parted")
-    # parts of buckets that are still apart: one row for each bucket and part, joined into pairs of parts
-    parts = parted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
-    open_buckets = parts.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    parts = materialize(parts.join(open_buckets, "band"), "parts")
-    apart = parts.alias("x").join(parts.alias("y"), F.expr("x.band = y.band and x.root < y.root")).select("x.band", F.col("x.root").alias("r"), F.col("y.root").alias("s"))
-    own = parted.select("band", "key", "root")
-    pairs = (
-        apart.join(own.toDF("band", "a", "r"), ["band", "r"]).join(own.toDF("band", "b", "s"), ["band", "s"])
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    leaders = shared.join(meets, "key").groupBy("band").agg(F.max_by("key", F.struct("meets", "key")).alias("other"))
+    led = shared.join(leaders, "band").where("key <> other")
+    stars = materialize(led.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct(), "stars")
+    links = _verified(stars, members, texts, counted)
+    discard(stars)
+    bound = components(links)
+    parted = shared.where("n > 2").join(bound, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    parts = parted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    parted = materialize(parted.join(parts, "band"), "parted")
+    discard(shared)
+
+    few = parted.where(F.col("n") <= SMALL).select("band", "key", "root")
+    pairs = few.toDF("band", "a", "r").join(few.toDF("band", "b", "s"), "band").where("a < b and r <> s").select("a", "b").distinct()
+    found = _verified(pairs, members, texts, counted)
+
+    many = parted.where(F.col("n") > SMALL)
+    sets = materialize(shingle_sets(texts.join(many.select("key").distinct(), "key", "left_semi"), counted), "sets")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    blocked = (
+        many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), "blocks").cast("int")).join(sets, "key")
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "root", "elements")
     )
-    untested = pairs.join(tested, ["a", "b"], "left_anti")
-    return links.union(_verified(untested, members, texts, counted))
+    inside = materialize(blocked.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(_in_blocks, "a binary, b binary"), "links")
+    links = links.union(found).union(inside)
+    # what was found last, between the roots found first
+    later = found.union(inside).join(bound.toDF("a", "r"), "a", "left").join(bound.toDF("b", "s"), "b", "left").select(F.coalesce("r", "a").alias("a"), F.coalesce("s", "b").alias("b")).where("a <> b")
+    over = components(later)
+    ends = bound.select("key", "root").union(over.select("key", F.col("key").alias("root"))).distinct()
+    roots = ends.join(over.toDF("root", "top"), "root", "left").select("key", F.coalesce("top", "root").alias("root"))
+    return links, roots
 
 
 def classes(docs: DataFrame, counted: bool = False) -> DataFrame:
@@ -251,14 +350,14 @@ def classes(docs: DataFrame, counted: bool = False) -> DataFrame:
     # repeated rows have one key
     of_set = materialize(prints.select("key", "doc_id", *same).distinct().join(sets, same).select("key", "doc_id", "n", "member"), "sets")
     members = materialize(prints.join(sets.select(F.col("member").alias("key")), "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "signature", "bands"), "members")
-    texts = docs.where(F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    links = materialize(_links(members, texts, counted).distinct(), "all-links")
-    roots = components(links).toDF("member", "root")
+    texts = docs.where(F.col("text").isNotNull()).select(row_key().alias("key"), "text")
+    links, roots = _roots(members, texts, counted)
+    links, roots = links.distinct(), roots.toDF("member", "root")
     degree = links.select(F.explode(F.array("a", "b")).alias("member")).groupBy("member").agg(F.count(F.lit(1)).alias("n_links"))
     found = of_set.join(roots, "member", "left").join(degree, "member", "left").withColumn("root", F.coalesce("root", "member"))
     names = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least"))
     named = found.join(names, "root").select("key", "root", F.col("least.doc_id").alias("class_id"), F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key")).distinct()
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key")).distinct()
     return every.join(named, "key", "left").select(
         "doc_id", "key", F.when(F.col("n_shingles").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "key").alias("root")
     )
@@ -270,6 +369,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = classes(docs)
     best = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")).alias("best"))
     kept = best.select(F.col("best.key").alias("kept_key")).union(found.where("n_shingles = 0").select("key")).distinct()
-    numbered = docs.withColumn("kept_row_key", F.xxhash64("doc_id", "text"))
+    numbered = docs.withColumn("kept_row_key", row_key())
     rows = numbered.join(kept, F.col("kept_row_key") == F.col("kept_key"), "left_semi")
     return rows.dropDuplicates(["kept_row_key"]).select(*docs.columns)

@@ -5,15 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; only a session without one (as in tests) gets a local one."""
+    """The folder that all executors share; only a local session without one (as in tests) gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root and not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-revlume-"))
     return (root or _own[0]).rstrip("/")
@@ -28,4 +30,19 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    scan = spark.read.schema(df.schema).parquet(path)
+    scan.written_to = path
+    return scan
+
+
+def discard(*scans: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for scan in scans:
+        spark = scan.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scan.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits by which a row is known: those of its doc_id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit(" "), F.when(F.col(text).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(text))))))

@@ -36,9 +36,8 @@ def corpus(n=60, seed=1):
     return texts
 
 
-def test_near_duplicates_are_those_of_brute_force(spark):
-    texts = corpus()
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, texts)).collect()}
+def near_classes(texts):
+    """The smallest number of each text's class, by comparing all pairs."""
     sets = []
     for t in texts:
         w = (t or "").lower().split()
@@ -55,7 +54,59 @@ def test_near_duplicates_are_those_of_brute_force(spark):
             if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    assert got == {i: find(i) for i in range(len(texts))}
+    return {i: find(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize(("small", "block"), [(16, 512), (2, 3)])
+def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, small, block):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", block)
+    texts = corpus()
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    for _ in range(60):  # a group of copies of which some are near the first text, some near others, some near none
+        words = list(base)
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(120)] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    expected = near_classes(texts)
+    rows = neardup.classes(frame(spark, texts)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == expected
+    assert len({r["root"] for r in rows}) == len(set(expected.values()))
+
+
+def test_a_large_group_of_near_copies_is_bound(spark):
+    rng = random.Random(13)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for _ in range(2000):
+        words = list(base)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    found = neardup.classes(frame(spark, texts)).groupBy("class_id").count().collect()
+    assert max(r["count"] for r in found) >= 0.99 * len(texts)
+
+
+def test_forest_binds_what_is_similar():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(50)]
+    roots = [i % 45 for i in range(50)]
+    for side in (np.zeros(50, bool), np.arange(50) % 2 == 0):
+        for sim in (0.8, 0.45):
+            neardup.SIMILARITY, old = sim, neardup.SIMILARITY
+            got = neardup.forest(sets, roots, side)
+            neardup.SIMILARITY = old
+            pairs = [(a, b) for a in range(50) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= sim * len(np.union1d(sets[a], sets[b])) and (not side.any() or side[a] != side[b])]
+            assert {(max(x), min(x)) for x in got} <= set(pairs) and len(got) < 50
+
+            def parts(edges):
+                root = list(range(50))
+                for a, b in [*edges, *((i, i - 45) for i in range(45, 50))]:
+                    x, y = root[a], root[b]
+                    root = [min(x, y) if r in (x, y) else r for r in root]
+                return root
+
+            assert parts(got) == parts(pairs)
 
 
 def test_dart_signatures_agree_as_weighted_jaccard():
