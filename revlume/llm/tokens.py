@@ -3,7 +3,7 @@
 A pre-token of either vocabulary never spans a step from a non-space to a white
 space character, so a text may be cut there and its chunks be encoded one by
 one: the ids are those of the whole text. Most chunks of a corpus are frequent
-words, so that the library sees only the rest.
+words, so that the library sees only the rest, many in one text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 _FIRST = "\x00"
 _MARKED = (_FIRST, "\n")
-_STOPS = ".,;:!?"
 _loaded: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
@@ -43,10 +42,9 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.keep_space = keep_space
         self.entries = entries
-        self.cores: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.old_cores: dict[str, bytes] = {}
+        self.mark = self.tokenizer.encode("\n" if keep_space else "|", add_special_tokens=False).ids[0]
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -83,10 +81,8 @@ class ChunkEncoder:
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         # a text that may hold a special token's string, or a mark, goes to the library as it is
         cut = [[] if not t else None if "<|" in t or _FIRST in t else self._cut(t) for t in texts]
-        if len(self.chunks) > self.entries // 4:
+        if len(self.chunks) > self.entries // 2:
             self.old, self.chunks = self.chunks, {}
-        if len(self.cores) > self.entries // 4:
-            self.old_cores, self.cores = self.cores, {}
         # one look at each chunk; those not known are learned together and filled in
         found, gaps, new = [], [], set()
         get = self.chunks.get
@@ -108,57 +104,45 @@ class ChunkEncoder:
         return [self._ids(t) if keys is None else b"".join(values) for t, keys, values in zip(texts, cut, found, strict=True)]
 
     def _learn(self, keys: set[str]) -> None:
-        """Encode chunks: a run of stops after a letter or digit is a pre-token of its own."""
-        parts: dict[str, tuple[str, str, str]] = {}
-        spaced, plain, rest = [], [], []
-        cores, old, seen = self.cores, self.old_cores, set()
-        cores[""] = b""
-
-        def want(x: str) -> None:
-            if x in cores or x in seen:
-                return
-            if x in old:
-                cores[x] = old[x]
-                return
-            seen.add(x)
-            (spaced if self.keep_space and x[0] == " " and x[1:].isalpha() else plain if x.isalpha() else rest).append(x)
+        """Encode chunks, many in one text, told apart by a token that stands between any two.
 
+        What goes so begins and ends with other than white space and does not hold the mark
+        between; its pre-tokens are then those that it has alone."""
+        spaced, plain, rest = [], [], []
+        mark = "\n" if self.keep_space else "|"
         for key in keys:
             if key.isalpha():
-                core = " " + key if self.keep_space else key.lower() if key.isascii() else key
-                parts[key] = "", core, ""
-                want(core)
+                spaced.append(key)
                 continue
-            text = self._text(key) if key else ""
-            # a single line feed before a word is a token of its own
-            feed = "\n" if self.keep_space and text[:1] == "\n" and text[1:2] not in ("", *_SPACE) and text[1].isalnum() else ""
-            text = text[len(feed) :]
-            core = text.rstrip(_STOPS)
-            if not core or not core[-1].lower()[-1].isalnum():  # a letter's lower case may end in a mark
-                core = text
-            stops = text[len(core) :]
-            if not self.keep_space and core.isascii():
-                core = core.lower()
-            parts[key] = feed, core, stops
-            for x in (feed, core, stops):
-                want(x)
-        # words of letters alone are encoded in one text and told apart by their number: each is one
-        # pre-token, and so is a line feed between two
-        for words, between in ((spaced, ""), (plain, "\n" if self.keep_space else " ")):
-            for at in range(0, len(words), 20_000):
-                some = words[at : at + 20_000]
-                got = self.tokenizer.encode_batch([between.join(some)], add_special_tokens=False)[0]
-                starts = np.flatnonzero(np.diff(np.array(got.word_ids, dtype=np.int64), prepend=-1))
-                ends = np.append(starts[1:], len(got.ids))
-                if between == "\n":
-                    starts, ends = starts[::2], ends[::2]
-                if len(starts) != len(some):
-                    rest += some
-                    continue
-                ids = np.array(got.ids, dtype="<u4").tobytes()
-                for x, a, b in zip(some, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
-                    cores[x] = ids[a:b]
-        for x, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            cores[x] = np.array(got.ids, dtype="<u4").tobytes()
-        for key, (feed, core, stops) in parts.items():
-            self.chunks[key] = cores[feed] + cores[core] + cores[stops] if feed or stops else cores[core]
+            bare = key[1:] if self.keep_space and key[:1] in _MARKED else key
+            if not bare or mark in bare or bare[0].isspace() or bare[-1].isspace():
+                rest.append(key)
+            elif bare is key:
+                spaced.append(key)
+            else:
+                plain.append(key)
+        between = f"{mark} " if self.keep_space else f" {mark} "
+        self._together(spaced, [*spaced], " " * self.keep_space, between)
+        self._together(plain, [k[1:] for k in plain], "", mark)
+        texts = [self._text(k) if k else "" for k in rest]
+        for key, got in zip(rest, self._batch(texts), strict=True):
+            self.chunks[key] = np.array(got.ids, dtype="<u4").tobytes()
+
+    def _batch(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _together(self, keys: list[str], texts: list[str], before: str, between: str) -> None:
+        feed = self._ids("\n") if self.keep_space else b""
+        for at in range(0, len(keys), 20_000):
+            some = keys[at : at + 20_000]
+            ids = np.array(self._batch([before + between.join(texts[at : at + 20_000])])[0].ids, dtype="<u4")
+            marks = np.flatnonzero(ids == self.mark)
+            data = ids.tobytes()
+            if len(marks) != len(some) - 1:  # not as foreseen: one by one
+                got = [self._ids(self._text(k)) for k in some]
+            else:
+                starts, ends = [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(data)]
+                got = [data[a:b] for a, b in zip(starts, ends, strict=True)]
+                if not before and self.keep_space:
+                    got = [feed + x if k[0] == "\n" else x for k, x in zip(some, got, strict=True)]
+            self.chunks.update(zip(some, got, strict=True))
