@@ -1,8 +1,9 @@
 """Token shards as wavelet matrices.
 
 A shard holds the token ids of consecutive documents in one compressed binary
-value: a header, the documents' ids and lengths, and one bit plane for each bit
-of an id, from the highest. Every plane keeps the ids' current bit in the order
+value: a header, the documents' ids and lengths, the planes' rank directory and
+one bit plane for each bit of an id, from the highest; the vocabulary's size gives
+the number of bits. Every plane keeps the ids' current bit in the order
 that the planes before it give (zeros before ones, both stable), so that rank
 and select on the planes answer access, counting and occurrence lookup without
 decoding the ids.
@@ -42,13 +43,17 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 class WaveletMatrix:
     """Ids below 2**len(planes) with rank and select; planes are packed bits, highest bit first."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[np.ndarray], steps: np.ndarray | None = None):
+        """``steps``: ones in each STEP bits of each plane, as a file has them."""
         self.n, self.planes = n, planes
-        self.directory = []
-        for p in planes:
-            ones = _ONES[p]
-            pad = np.zeros(-len(ones) % (STEP // 8), np.uint8)
-            self.directory.append(np.concatenate([[0], np.cumsum(np.concatenate([ones, pad]).reshape(-1, STEP // 8).sum(1, dtype=np.int64))]))
+        if steps is None:
+            steps = np.zeros((len(planes), -(-n // STEP)), np.uint16)
+            for level, p in enumerate(planes):
+                ones = _ONES[p]
+                pad = np.zeros(-len(ones) % (STEP // 8), np.uint8)
+                steps[level] = np.concatenate([ones, pad]).reshape(-1, STEP // 8).sum(1, dtype=np.uint16)
+        self.steps = steps
+        self.directory = np.hstack([np.zeros((len(planes), 1), np.int64), np.cumsum(steps, axis=1, dtype=np.int64)])
         self.zeros = [n - int(d[-1]) for d in self.directory]
 
     @classmethod
@@ -134,7 +139,10 @@ def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, b
     """The bytes of a shard. Each part is compressed by itself, so that one plane can be read alone."""
     known = np.array([x is not None for x in doc_ids], dtype=np.uint8)
     parts = [known.tobytes(), np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(), np.array(lengths, dtype="<i8").tobytes()]
-    parts += [p.tobytes() for p in WaveletMatrix.build(ids, bits).planes]
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"an id does not fit in {bits} bits")
+    matrix = WaveletMatrix.build(ids, bits)
+    parts += [matrix.steps.astype("<u2").tobytes(), *(p.tobytes() for p in matrix.planes)]
     parts = [zstandard.compress(p, 1) for p in parts]
     sizes = np.array([len(p) for p in parts], dtype="<u8").tobytes()
     return b"".join([_HEAD.pack(MAGIC, len(ids), len(doc_ids), bits), sizes, *parts])
@@ -145,16 +153,16 @@ def read_shard(blob: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     magic, n, docs, bits = _HEAD.unpack_from(blob)
     if magic != MAGIC:
         raise ValueError("not a token shard")
-    sizes = np.frombuffer(blob, "<u8", bits + 3, _HEAD.size)
+    sizes = np.frombuffer(blob, "<u8", bits + 4, _HEAD.size)
     at, parts = _HEAD.size + sizes.nbytes, []
     for size in sizes.tolist():
         parts.append(np.frombuffer(zstandard.decompress(blob[at : at + size]), np.uint8))
         at += size
     ids = [int(x) if k else None for k, x in zip(parts[0].tolist(), parts[1].view("<i8").tolist(), strict=True)]
-    return ids, parts[2].view("<i8"), WaveletMatrix(n, parts[3:])
+    return ids, parts[2].view("<i8"), WaveletMatrix(n, parts[4:], parts[3].view("<u2").reshape(bits, -1))
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, bits: int = 16, shard_tokens: int = SHARD_TOKENS) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, bits: int | None = None, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode whole texts and write them in ascending doc_id order, a file for each task, shards in order in it."""
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,10 +171,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, bits:
         enc, part, number = encoder(tokenizer, True), TaskContext.get().partitionId(), 0
         doc_ids, lengths, parts, total = [], [], [], 0
         end = np.array([end_id], dtype="<u4").tobytes()
+        width = bits or max(enc.tokenizer.get_vocab_size() - 1, end_id, 1).bit_length()
 
         def close() -> pd.DataFrame:
             ids = np.frombuffer(b"".join(parts), "<u4")
-            return pd.DataFrame({"part": [part], "number": [number], "n_tokens": [len(ids)], "blob": [pack_shard(doc_ids, lengths, ids, bits)]})
+            return pd.DataFrame({"part": [part], "number": [number], "n_tokens": [len(ids)], "blob": [pack_shard(doc_ids, lengths, ids, width)]})
 
         for batch in batches:
             texts = [x if isinstance(x, str) else None for x in batch["text"]]

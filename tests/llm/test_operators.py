@@ -177,6 +177,10 @@ def test_wavelet_matrix_rank_select_access():
         assert m[2].count(v) == len(where) and m[2].occurrences(v) == where
         assert m[2].rank(v, 4321) == sum(x < 4321 for x in where)
     assert [m[2].access(i) for i in range(0, 9000, 501)] == ids[::501].tolist()
+    with pytest.raises(ValueError, match="bits"):
+        wavelet.pack_shard([1], [1], np.array([70_000], np.uint32), 16)
+    wide = wavelet.read_shard(wavelet.pack_shard([1], [3], np.array([70_000, 5, 70_000], np.uint32), 17))[2]
+    assert wide.decode().tolist() == [70_000, 5, 70_000] and wide.occurrences(70_000) == [0, 2]
 
 
 def test_token_shards_round_trip(spark):
