@@ -1,100 +1,95 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source, in doc_id order, form blocks of BLOCK documents; a slot
-of the mixture takes one block. A source with p slots in a cycle of CYCLE has
-the weight p / CYCLE: its block j is released at floor(j / weight) and due at
-ceil((j + 1) / weight), and in every slot the released block with the earliest
-deadline goes first. On one sequence all deadlines are met, so that after each
-slot every source stands less than one block from its share. The schedule
-repeats with the cycle, so one cycle is enough for any number of blocks. When a
-source has no block left, the shares of the others are scaled up and a new
-phase begins; there are at most as many phases as sources. All documents are
-kept, each once.
-
-Only counts by source, one cycle's slots and the phases are planned on the
-driver: at most MAX_SOURCES sources (more are refused) and as many cycles. A
-document's rank in its source comes from a range partitioning by source and
-doc_id, which parts a source of any size, and the partitions' counts.
-
-Nulls and edges: a null source is a source of its own; null doc_ids go first;
-ties of doc_id are ordered by their text's hash, and equal rows stand side by
-side; the last block of a source may be short; an empty table gives no rows.
-Extra columns pass unchanged where their names do not begin with ``mix_``.
+Documents of a source, in doc_id order, form blocks of documents; a slot of the
+mixture takes one block. A source of weight w (of the sum of weights) releases
+its block j at floor(j / w) and has it due at ceil((j + 1) / w); in every slot
+the released block with the earliest deadline goes first. On one sequence all
+deadlines are met, so that after each slot every source stands less than one
+block from its share. When a source has no block left, the shares of the others
+are scaled up and a new phase begins; there are at most as many phases as
+sources. All documents are kept, each once.
+
+The driver sees counts by source and plans every slot, with exact integers: a
+block has BLOCK documents, or more where there would be over SLOTS blocks, so
+that the plan is bounded by SLOTS and the number of sources (MAX_SOURCES; more
+are refused), whatever the number of documents. A document's rank in its source
+comes from a range partitioning by source and doc_id, which parts a source of
+any size, and the partitions' counts.
+
+Nulls and edges: a null source is a source of its own; sources without a weight
+or with weight 0 follow all others, with equal weights; negative and non-finite
+weights are refused; null doc_ids go first; ties of doc_id are ordered by their
+text's hash, and equal rows stand side by side; the last block of a source may
+be short; an empty table gives no rows. Extra columns pass unchanged where their
+names do not begin with ``mix_``.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .storage import materialize
 
 BLOCK = 16
-CYCLE = 1000
-MAX_SOURCES = 500
+SLOTS = 200_000
+MAX_SOURCES = 50_000
 #: Without given weights a source weighs its number of documents to this power.
 TEMPERATURE = 0.5
+#: Weights are whole multiples of the sum's share of this.
+_UNITS = 1 << 50
 
 
-def slots_of_weights(weights: list[float], cycle: int) -> list[int]:
-    """Slots of each source in a cycle, one at least: largest remainders, ties to the first."""
-    if len(weights) > cycle:
-        raise ValueError(f"{len(weights)} sources do not fit in a cycle of {cycle} slots")
+def whole_weights(weights: list[float]) -> list[int]:
+    """Weights as whole numbers, with a relative error below any block: zeros stay, others are at least 1."""
+    if any(w < 0 or not math.isfinite(w) for w in weights):
+        raise ValueError("weights are finite and not negative")
     total = sum(weights)
-    exact = [1 + (cycle - len(weights)) * w / total for w in weights]
-    slots = [int(x) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (slots[i] - exact[i], i))[: cycle - sum(slots)]:
-        slots[i] += 1
-    return slots
-
-
-def edf_cycle(slots: list[int]) -> list[int]:
-    """The source of each slot of one cycle, by earliest deadline among released blocks."""
-    cycle = sum(slots)
-    release = [(0, i, 0) for i in range(len(slots)) if slots[i]]
-    heapq.heapify(release)
+    return [max(1, round(w / total * _UNITS)) if w else 0 for w in weights]
+
+
+def edf(weights: list[int], blocks: list[int]) -> list[int]:
+    """The source of each slot until one of the sources has no block left, by earliest deadline among released blocks."""
+    total = sum(weights)
+    release = [(0, i, 0) for i, w in enumerate(weights) if w]
     due: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(cycle):
+    out: list[int] = []
+    while True:
+        t = len(out)
         while release and release[0][0] <= t:
             _, i, j = heapq.heappop(release)
-            heapq.heappush(due, (-(-(j + 1) * cycle // slots[i]), i, j))
+            heapq.heappush(due, (-(-(j + 1) * total // weights[i]), i, j))
         deadline, i, j = heapq.heappop(due)
         if deadline < t + 1:
             raise AssertionError("a deadline is missed")
         out.append(i)
-        if j + 1 < slots[i]:
-            heapq.heappush(release, ((j + 1) * cycle // slots[i], i, j + 1))
-    return out
-
-
-def phases(blocks: list[int], weights: list[float], cycle: int = CYCLE) -> list[dict]:
-    """Phases of the mixture: the active sources, their slots, the cycle, the slots used and where they begin."""
-    left, done, at, out = list(blocks), [0] * len(blocks), 0, []
-    while active := [i for i, n in enumerate(left) if n]:
-        slots = slots_of_weights([weights[i] for i in active], cycle)
-        order = edf_cycle(slots)
-        whole = min(left[i] // p for i, p in zip(active, slots, strict=True))
-        used = {i: whole * p for i, p in zip(active, slots, strict=True)}
-        length = whole * cycle
-        for k in order:
-            i = active[k]
-            if used[i] == left[i]:
-                break
-            used[i] += 1
-            length += 1
-        out.append({"sources": active, "slots": slots, "order": order, "first": [done[i] for i in active], "used": [used[i] for i in active], "at": at, "length": length})
-        for i, n in used.items():
-            left[i] -= n
-            done[i] += n
-        at += length
+        if j + 1 == blocks[i]:
+            return out
+        heapq.heappush(release, ((j + 1) * total // weights[i], i, j + 1))
+
+
+def phases(blocks: list[int], weights: list[float]) -> list[tuple[list[int], list[int]]]:
+    """Phases of the mixture: weights of all sources (0: not active) and the source of each slot."""
+    left, out = list(blocks), []
+    while any(left):
+        own = [w if n else 0.0 for w, n in zip(weights, left, strict=True)]
+        if not any(own):
+            own = [float(n > 0) for n in left]
+        whole = whole_weights(own)
+        order = edf(whole, left)
+        out.append((whole, order))
+        for i in order:
+            left[i] -= 1
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, cycle: int = CYCLE) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """doc_id, source, mix_tie and the place: mix_block (in its source), mix_slot, mix_phase, mix_position (from 0, gapless)."""
     spark = docs.sparkSession
     thin = (
@@ -112,46 +107,34 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
     counts = parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.asc_nulls_first("source")).limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    sources = [r["source"] for r in counts]
-    if weights is None:
-        weights = {r["source"]: r["n"] ** TEMPERATURE for r in counts}
-    planned, turns = [], []
-    for number, p in enumerate(phases([-(-r["n"] // block) for r in counts], [weights.get(s, 0.0) for s in sources], cycle)):
-        place: dict[int, int] = {}
-        for t, k in enumerate(p["order"]):
-            j = place.get(k, 0)
-            place[k] = j + 1
-            turns.append((number, sources[p["sources"][k]], j, t))
-        for i, n, first, used in zip(p["sources"], p["slots"], p["first"], p["used"], strict=True):
-            planned.append((sources[i], number, first, first + used, n, p["at"]))
-    planned_df = spark.createDataFrame(planned, "source string, mix_phase int, first long, last long, n long, at long")
-    turns_df = spark.createDataFrame(turns, "mix_phase int, source string, j long, t long")
-    # blocks, not documents, get their slots: one row for each block
-    blocks = (
-        parts.groupBy("source").agg(F.sum("n").alias("size"))
-        .withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block) - 1)))
-        .withColumn("docs", F.least(F.lit(block), F.col("size") - F.col("mix_block") * block))
-        .alias("b").join(F.broadcast(planned_df).alias("p"), F.expr("b.source <=> p.source and mix_block >= first and mix_block < last"))
-        .select("b.source", "mix_block", "docs", "mix_phase", "n", "at", ((F.col("mix_block") - F.col("first")) % F.col("n")).alias("j"), F.floor((F.col("mix_block") - F.col("first")) / F.col("n")).alias("round"))
-        .alias("b").join(F.broadcast(turns_df).alias("t"), F.expr("b.source <=> t.source and b.mix_phase = t.mix_phase and b.j = t.j"))
-        .select("b.source", "mix_block", "docs", "b.mix_phase", (F.col("at") + F.col("round") * cycle + F.col("t")).alias("mix_slot"))
-    )
-    # documents before a slot: sums of runs of slots first, so that the one window without a key sees a row for each run
-    run = blocks.withColumn("run", F.floor(F.col("mix_slot") / 4096))
-    runs = run.groupBy("run").agg(F.sum("docs").alias("n"))
-    runs = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("run_before"))
-    own = F.sum("docs").over(Window.partitionBy("run").orderBy("mix_slot")) - F.col("docs")
-    slots = run.withColumn("own", own).join(runs, "run").select("source", "mix_block", "mix_phase", "mix_slot", (F.col("run_before") + F.col("own")).alias("mix_before"))
+    sizes = [r["n"] for r in counts]
+    block = max(block, -(-sum(sizes) // slots))
+    own = [n**TEMPERATURE for n in sizes] if weights is None else [float(weights.get(r["source"]) or 0.0) for r in counts]
+    plan: list[list[int]] = [[], [], [], [], []]
+    done, at = [0] * len(sizes), 0
+    for number, (_, order) in enumerate(phases([-(-n // block) for n in sizes], own)):
+        for i in order:
+            for column, value in zip(plan, (i, done[i], len(plan[0]), number, at), strict=True):
+                column.append(value)
+            at += min(block, sizes[i] - done[i] * block)
+            done[i] += 1
+    names = ["mix_source", "mix_block", "mix_slot", "mix_phase", "mix_before"]
+    planned = spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, plan, strict=True)}))
+    schema = T.StructType([T.StructField("source", docs.schema["source"].dataType), T.StructField("mix_source", T.LongType())])
+    numbered = spark.createDataFrame([(r["source"], i) for i, r in enumerate(counts)], schema)
     rank = F.col("before") + F.col("mix_row") - F.col("first_row")
-    return (
-        ranked.alias("r").join(parts.alias("q"), F.expr("r.source <=> q.source and r.mix_part = q.mix_part"))
-        .select("doc_id", "r.source", "mix_tie", rank.alias("mix_rank"), F.floor(rank / block).alias("mix_block"))
-        .alias("r").join(slots.alias("s"), F.expr("r.source <=> s.source and r.mix_block = s.mix_block"))
-        .select("doc_id", "r.source", "mix_tie", "r.mix_block", "mix_slot", "mix_phase", (F.col("mix_before") + F.col("mix_rank") % block).alias("mix_position"))
+    numbered_parts = parts.alias("q").join(F.broadcast(numbered).alias("u"), F.expr("q.source <=> u.source")).select("q.source", "q.mix_part", "before", "first_row", "mix_source")  # at most MAX_SOURCES rows
+    placed = (
+        ranked.alias("r").join(numbered_parts.alias("q"), F.expr("r.source <=> q.source and r.mix_part = q.mix_part"))
+        .select("doc_id", "r.source", "mix_tie", "mix_source", rank.alias("mix_rank"), F.floor(rank / block).alias("mix_block"))
+    )
+    # the plan has at most SLOTS + MAX_SOURCES rows of five numbers
+    return placed.join(F.broadcast(planned), ["mix_source", "mix_block"]).select(
+        "doc_id", "source", "mix_tie", "mix_block", "mix_slot", F.col("mix_phase").cast("int"), (F.col("mix_before") + F.col("mix_rank") % block).alias("mix_position")
     )
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """``docs`` in the mixture's order, its columns alone."""
     place = mix(docs, weights).groupBy("doc_id", "source", "mix_tie").agg(F.min("mix_position").alias("mix_position")).select(*(F.col(c).alias(f"mix_of_{c}") for c in ("doc_id", "source", "mix_tie")), "mix_position")
     at = docs.withColumn("mix_tie", F.xxhash64("text"))

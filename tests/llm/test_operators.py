@@ -228,23 +228,44 @@ def test_fullest_bin_is_brute_forces():
         assert sum(x * n for x, n in taken) == best and all(n <= counts[x] for x, n in taken)
 
 
-def test_mixture_keeps_all_and_deviates_less_than_a_block():
-    found = mixing.phases([400, 100, 37, 5], [4.0, 2.0, 1.0, 1.0], 100)
-    assert [sum(p["used"][p["sources"].index(i)] for p in found if i in p["sources"]) for i in range(4)] == [400, 100, 37, 5]
-    for p in found:
-        for k, n in enumerate(p["slots"]):
-            done = 0
-            for t in range(p["length"]):
-                done += p["order"][t % 100] == k
-                assert abs(done - n / 100 * (t + 1)) < 1
+@pytest.mark.parametrize("weights", [[4.0, 2.0, 1.0, 1.0], [0.1, 1 / 3, 0.0001, 0.5], [1.0, 0.0, 0.0, 2.0]])
+def test_mixture_keeps_all_and_deviates_less_than_a_block(weights):
+    blocks = [4000, 1000, 370, 5]
+    found = mixing.phases(blocks, weights)
+    assert Counter(i for _, order in found for i in order) == dict(enumerate(blocks))
+    left = list(blocks)
+    for whole, order in found:
+        active = [w if n else 0.0 for w, n in zip(weights, left)]
+        active = active if any(active) else [float(n > 0) for n in left]
+        share = [w / sum(active) for w in active]  # the given weights, not the whole ones
+        done = [0] * 4
+        for t, i in enumerate(order):
+            done[i] += 1
+            assert all(abs(d - s * (t + 1)) < 1 for d, s in zip(done, share))
+        left = [n - d for n, d in zip(left, done)]
 
 
 def test_mixture_places_every_document_once(spark):
     rng = random.Random(5)
     docs = frame(spark, ["t"] * 300 + [None, "t"], sources=[rng.choice(["a", "a", "a", "b", None]) for _ in range(302)])
-    rows = mixing.mix(docs.union(docs.limit(1)), block=4).collect()
-    assert sorted(r["mix_position"] for r in rows) == list(range(303))
-    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == 302
+    docs = docs.union(docs.limit(1)).union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = mixing.mix(docs, block=4).collect()
+    assert sorted(r["mix_position"] for r in rows) == list(range(304))
+    # the DataFrame follows the plan: slots in order of positions, a source's documents in order of ids
+    rows.sort(key=lambda r: r["mix_position"])
+    sizes = Counter(r["source"] for r in rows)
+    names = sorted(sizes, key=lambda s: (s is not None, s or ""))
+    order = [i for _, o in mixing.phases([-(-sizes[s] // 4) for s in names], [sizes[s] ** 0.5 for s in names]) for i in o]
+    assert [names.index(s) for _, s in sorted({(r["mix_slot"], r["source"]) for r in rows}, key=lambda x: x[0])] == order
+    for s in names:
+        own = [-1 if r["doc_id"] is None else r["doc_id"] for r in rows if r["source"] == s]
+        assert own == sorted(own)
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == 304
+    assert mixing.mix(docs, weights={}, block=4, slots=20).count() == 304
+    numbers = docs.withColumn("source", F.length("source")).withColumn("planned", F.lit(1))
+    assert mixing.mixed(numbers, {1: 2.0}).columns == numbers.columns
+    with pytest.raises(ValueError, match="weights"):
+        mixing.mix(docs, weights={"a": -1.0})
 
 
 def luhn(s):
