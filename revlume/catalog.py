@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from revlume.plans import analytics, etl, graphs, listings, records, vectors
+from revlume.plans import analytics, etl, gates, graphs, listings, records, vectors
 
 QUERIES = {}
 ORACLE_SQL = {}
-for _plan in (analytics, listings, graphs, etl, vectors, records):
+for _plan in (analytics, listings, graphs, etl, vectors, records, gates):
     QUERIES |= _plan.QUERIES
     ORACLE_SQL |= _plan.ORACLE_SQL

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: words that carry a polarity, matched as substrings
-POSITIVE = ("good", "great", "excellent", "amazing", "love", "best", "nice", "perfect", "happy")
-NEGATIVE = ("bad", "poor", "terrible", "awful", "hate", "worst", "broken", "slow", "disappointing", "problem")
+POSITIVE = ("great", "good", "amazing", "excellent", "fast", "long", "happy", "love", "perfect")
+NEGATIVE = ("bad", "poor", "terrible", "slow", "short", "dim", "lag", "broken", "worst", "hate")
 SENTENCE_END = r"[.!?]"
 
 

@@ -135,15 +135,21 @@ def emerging(rows: DataFrame, interval: str, lookback: int = 7, least: int = 3,
     return found.where((F.col("buckets") > 0) & (F.col("mentions") >= least) & (F.col("mentions") > lift * baseline)).select("aspect", "bucket", "mentions", baseline.alias("baseline"), (F.col("mentions") / baseline).alias("lift"))
 
 
-def alerts(board: DataFrame, limit: int = 50) -> DataFrame:
-    """Spikes (change of 50 % or a z-score of 2) and negative shares of 45 %, from five mentions on."""
-    top = board.orderBy(F.desc("frequency"), "aspect").limit(20)
+def alerts(board: DataFrame, rising: DataFrame, limit: int = 50) -> DataFrame:
+    """Of the 20 first of a leaderboard with five mentions or more: spikes (change of 50 % or a z-score of 2) and negative shares of 45 %; then the emerging aspects."""
+    top = board.orderBy(F.desc("frequency"), F.desc("change_pct"), "aspect").limit(20)
+    place = F.row_number().over(Window.orderBy(F.desc("frequency"), F.desc("change_pct"), "aspect"))  # 20 rows
     stats = top.agg(F.avg("change_pct").alias("mean"), F.stddev_pop("change_pct").alias("sigma"))
-    scored = top.crossJoin(stats).withColumn("z", F.when(F.col("sigma") > 0, (F.col("change_pct") - F.col("mean")) / F.col("sigma")).otherwise(0.0))
-    enough = scored.where("frequency >= 5")
-    spikes = enough.where("change_pct >= 50 or z >= 2").select(F.lit("spike").alias("type"), "aspect", F.round("change_pct", 6).alias("value"))
-    negative = enough.where("negative_pct >= 45").select(F.lit("negative").alias("type"), "aspect", F.round("negative_pct", 6).alias("value"))
-    return spikes.unionByName(negative).orderBy("type", "aspect").limit(limit)
+    z = F.when(F.col("sigma") > 0, (F.col("change_pct") - F.col("mean")) / F.col("sigma")).otherwise(0.0)
+    enough = top.withColumn("place", place).crossJoin(stats).withColumn("z", z).where("frequency >= 5")
+
+    def kind(rows: DataFrame, name: str, order: int, severity: str, message: str, value: Column, threshold: Column) -> DataFrame:
+        return rows.select("place", F.lit(order).alias("kind"), F.lit(name).alias("type"), "aspect", F.lit(severity).alias("severity"), F.concat(F.lit(message), "aspect").alias("message"), F.round(value.cast("double"), 2).alias("value"), threshold.cast("double").alias("threshold"))
+
+    found = kind(enough.where("change_pct >= 50 or z >= 2"), "frequency_spike", 1, "high", "Frequency spike detected for ", F.greatest("change_pct", "z"), F.when(F.col("z") >= 2, 2.0).otherwise(50.0))
+    found = found.unionByName(kind(enough.where("negative_pct >= 45"), "negative_threshold", 2, "medium", "Negative sentiment threshold breached for ", F.col("negative_pct"), F.lit(45.0)))
+    found = found.unionByName(kind(rising.withColumn("place", F.lit(1000)), "emerging_aspect", 3, "medium", "Emerging issue detected: ", F.col("mentions"), F.col("baseline")))
+    return found.orderBy("place", "kind", "aspect").limit(limit).drop("place", "kind")
 
 
 def user_summary(user_reviews: DataFrame) -> DataFrame:

@@ -10,9 +10,13 @@ from revlume.functions import text as X
 
 # fixed values: columns that may hold a review's text, in order; modes; words of rules
 TEXT_FIELDS = ("review_text", "text", "review", "content", "body", "comment")
-VAGUE_HEADS = ("thing", "stuff", "one", "way", "lot")
-ACTION_VERBS = ("use", "buy", "bought", "get", "got", "make", "made", "try", "tried", "want")
-STOP_WORDS = ("a", "an", "the", "this", "that", "my", "your", "our", "its", "of", "and", "or", "to", "in", "is")
+GENERIC = (
+    "the", "a", "an", "and", "or", "but", "if", "then", "else", "when", "at", "by", "for", "with", "about", "against", "between", "into", "through",
+    "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "good", "bad", "great", "poor", "amazing", "very",
+)
+ACTION_VERBS = ("provide", "get", "give", "take", "make", "use", "want", "need", "visit", "go", "come")
+WEAK_NOUNS = ("visit", "road", "center", "place", "area", "thing", "something", "anything", "nothing", "everything", "way", "lot", "bit")
+CLAUSE_LABELS = ("it is", "there is", "this is", "i have", "they have", "we have")
 SPLITS = ("train", "val", "test")
 
 
@@ -42,22 +46,22 @@ def flatten_aspects(df: DataFrame, nested: str = "aspects") -> DataFrame:
 
 
 def noisy_label(label: Column) -> Column:
-    """Blank, longer than five tokens, all stop words, a vague head, or a verb of action in it."""
-    words = F.split(X.squash(F.lower(label)), " ")
-    among = lambda w, given: w.isin(*given)
-    return (X.blank_to_null(label).isNull() | (F.size(words) > 5) | F.forall(words, lambda w: among(w, STOP_WORDS)) | among(F.element_at(words, -1), VAGUE_HEADS) | F.exists(words, lambda w: among(w, ACTION_VERBS)))
+    """Blank, longer than five tokens, with a verb of action or a weak noun anywhere, or a clause for a label."""
+    plain = X.squash(F.lower(F.coalesce(label, F.lit(""))))
+    words = F.split(plain, " ")
+    return (plain == "") | (F.size(words) > 5) | F.exists(words, lambda w: w.isin(*ACTION_VERBS) | w.isin(*WEAK_NOUNS)) | F.trim(F.lower(label)).isin(*CLAUSE_LABELS)
 
 
 def clean_phrase(label: Column) -> Column:
-    """Without stop words; null below three characters."""
-    kept = F.array_join(F.filter(F.split(X.squash(F.lower(label)), " "), lambda w: ~w.isin(*STOP_WORDS)), " ")
-    return F.when(F.length(kept) >= 3, kept)
+    """In lower case, without generic words."""
+    words = F.split(X.squash(F.lower(F.coalesce(label, F.lit("")))), " ")
+    return F.array_join(F.filter(words, lambda w: ~w.isin(*GENERIC)), " ")
 
 
 def gate_reasons(confidence: Column, support: Column, evidence: Column) -> Column:
-    """Why a candidate fails; an accepted one has no reason."""
+    """Why a candidate fails; an accepted one has no reason. ``missing_evidence`` is a hard failure."""
     return F.array_compact(F.array(
-        F.when(confidence < 0.3, "low_confidence"), F.when(~support.isin("exact", "near_exact", "gold"), "unsupported"), F.when(X.blank_to_null(evidence).isNull(), "no_evidence")))
+        F.when(confidence < 0.3, "low_confidence"), F.when(~F.coalesce(support, F.lit("")).isin("exact", "near_exact", "gold"), "weak_support"), F.when(X.blank_to_null(evidence).isNull(), "missing_evidence")))
 
 
 def span_issue(text: Column, evidence: Column, span: Column) -> Column:
@@ -158,3 +162,18 @@ def histograms(rows: DataFrame, columns: list[str]) -> DataFrame:
         own = F.col("g") == (2**width - 1 - 2 ** (width - 1 - i))
         field, value = F.when(own, F.lit(c)).otherwise(field), F.when(own, F.col(c).cast("string")).otherwise(value)
     return counted.select(field.alias("field"), value.alias("value"), "n")
+
+
+def snapshot(rows: DataFrame, key: str, value: str, *groups: str, block: int = 1000) -> DataFrame:
+    """A hash of each group's rows in the order of their whole-number key: of row hashes by blocks of consecutive keys, of
+    blocks by blocks of blocks, so that no task gathers a group. Equal rows stay side by side; null keys are left out."""
+    def hashed(df: DataFrame, by: list[str], place: str, digest: str, sep: str = "") -> DataFrame:
+        one = F.struct(F.col(place), F.col(digest))
+        ordered = F.array_sort(F.collect_list(one))
+        text = F.array_join(F.transform(ordered, lambda x: F.concat(x[place].cast("string"), F.lit(sep), x[digest]) if sep else x[digest]), "|")
+        return df.groupBy(*by).agg(F.sha1(text).alias("h"))
+
+    down = lambda c: F.floor(F.col(c) / block)
+    low = hashed(rows.where(F.col(key).isNotNull()).select(*groups, F.col(key).alias("p"), F.sha1(value).alias("d"), down(key).alias("block")), [*groups, "block"], "p", "d", ":")
+    high = hashed(low.select(*groups, F.col("block").alias("p"), F.col("h").alias("d"), down("block").alias("upper")), [*groups, "upper"], "p", "d")
+    return hashed(high.select(*groups, F.col("upper").alias("p"), F.col("h").alias("d")), list(groups), "p", "d").withColumnRenamed("h", "snapshot")

@@ -74,16 +74,26 @@ def row_novelty(items: Column) -> Column:
 
 
 def ambiguity(items: Column) -> Column:
-    """Of array<struct<canonical, source, sentiment, confidence>>: 0 to 1 by how much they differ."""
-    kinds = lambda f: F.size(F.array_distinct(F.transform(items, lambda x: x[f])))
+    """Of array<struct<canonical, source, sentiment, confidence>>: 0 to 1 by how much they differ. Blanks do not count, nor an unknown sentiment."""
+    def kinds(field: str, *but: str) -> Column:
+        values = F.transform(items, lambda x: F.coalesce(x[field], F.lit("")))
+        return F.size(F.array_distinct(F.filter(values, lambda v: ~v.isin("", *but))))
+
     names = F.least(F.lit(0.35), 0.18 * F.greatest(kinds("canonical") - 1, F.lit(0)))
     extra = lambda c, v: F.when(c, v).otherwise(0.0)
-    unknown, low = F.exists(items, lambda x: x["sentiment"] == "unknown"), F.exists(items, lambda x: x["confidence"] < 0.5)
-    return F.least(F.lit(1.0), names + extra(kinds("source") > 1, 0.2) + extra(kinds("sentiment") > 1, 0.2) + extra(unknown, 0.15) + extra(low, 0.1))
+    unknown, low = F.exists(items, lambda x: x["canonical"] == "unknown"), F.exists(items, lambda x: x["confidence"] < 0.5)
+    total = names + extra(kinds("source") > 1, 0.2) + extra(kinds("sentiment", "unknown") > 1, 0.2) + extra(unknown, 0.15) + extra(low, 0.1)
+    return F.when(F.size(items) > 0, F.least(F.lit(1.0), total)).otherwise(0.0)
 
 
-def hardness(implicit: Column, ambiguity_score: Column, novelty: Column) -> Column:
-    return F.when((novelty == "novel") | (ambiguity_score >= 0.75), "H3").when((novelty == "boundary") | (ambiguity_score >= 0.5), "H2").when(implicit, "H1").otherwise("H0")
+def hardness(items: Column, ambiguity_score: Column, novelty: Column) -> Column:
+    """Of array<struct<canonical, source, sentiment, ...>>: H3 if novel or without a name and ambiguous, H2 if many or mixed, H1 if implicit."""
+    unsure = F.coalesce(ambiguity_score, F.lit(0.0)) >= 0.5
+    sentiments = F.array_distinct(F.filter(F.transform(items, lambda x: F.lower(F.coalesce(x["sentiment"], F.lit("")))), lambda v: v != ""))
+    return (
+        F.when(F.size(items) == 0, "H0").when((F.coalesce(novelty, F.lit("")) == "novel") & unsure, "H3").when(F.exists(items, lambda x: x["canonical"] == "unknown") & unsure, "H3")
+        .when((F.size(items) > 4) | (F.size(sentiments) > 1), "H2").when(F.exists(items, lambda x: x["source"] == "implicit"), "H1").otherwise("H0")
+    )
 
 
 def quality_weight(confidence: Column, evidence: Column, tier: Column) -> Column:
@@ -107,10 +117,16 @@ def phrase_match(text: Column, phrase: Column) -> Column:
 
 
 def match_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(id, phrase, kind, start, confidence): promoted patterns of the text's domain or of all. The store is a dimension that Spark broadcasts if it is small."""
-    scope = F.col("t.domain").eqNullSafe(F.col("p.domain")) | F.col("p.domain").isNull()
-    joined = texts.alias("t").join(patterns.where("status = 'promoted'").alias("p"), scope)
-    return joined.select("t.id", "p.phrase", "p.confidence", phrase_match(F.col("t.text"), F.col("p.phrase")).alias("m")).where("m is not null").select("id", "phrase", "m.kind", "m.start", "confidence")
+    """(id, phrase, kind, start, confidence): promoted patterns of the text's domain (an equi-join) or of all domains.
+
+    The store is a reviewed dimension; its part for all domains goes to every text as one row, since a phrase may stand inside any word.
+    """
+    store = patterns.where("status = 'promoted'").select("phrase", "domain", "confidence").distinct()
+    scoped = store.where("domain is not null")
+    wide = store.where("domain is null").drop("domain")
+    own = texts.alias("t").join(scoped.alias("p"), F.col("t.domain") == F.col("p.domain")).select("t.id", "t.text", "p.phrase", "p.confidence")
+    every = texts.select("id", "text").join(F.broadcast(wide.agg(F.collect_list(F.struct("phrase", "confidence")).alias("store"))), F.lit(True)).select("id", "text", F.explode("store").alias("p")).select("id", "text", "p.phrase", "p.confidence")
+    return own.union(every).select("id", "phrase", phrase_match(F.col("text"), F.col("phrase")).alias("m"), "confidence").where("m is not null").select("id", "phrase", "m.kind", "m.start", "confidence")
 
 
 def map_by_steps(items: DataFrame, steps: list[tuple[str, float, DataFrame, list[str]]]) -> DataFrame:
@@ -144,12 +160,14 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def best_fuzzy(queries: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    """Each distinct query's best candidate: only those with a common word or the same first letters are compared."""
+    """Each distinct query's best other candidate by the longest common subsequence: only those with a common word or the same first letters are compared."""
     def blocks(df: DataFrame, name: str) -> DataFrame:
         keys = F.array_union(F.split(F.lower(name), " "), F.array(F.substring(F.lower(name), 1, 3)))
         return df.select(name, F.explode(keys).alias("block"))
 
-    pairs = blocks(queries.select("query").distinct(), "query").join(blocks(candidates.select("candidate").distinct(), "candidate"), "block").select("query", "candidate").distinct()
+    pairs = blocks(queries.select("query").distinct(), "query").join(blocks(candidates.select("candidate").distinct(), "candidate"), "block").where("query <> candidate").select("query", "candidate").distinct()
+    lengths = 2 * F.least(F.length("query"), F.length("candidate")) / (F.length("query") + F.length("candidate"))
+    pairs = pairs.where(lengths >= threshold)  # no ratio is above that of the lengths
     scored = pairs.withColumn("ratio", fuzzy_ratio("query", "candidate")).where(F.col("ratio") >= threshold)
     place = Window.partitionBy("query").orderBy(F.desc("ratio"), "candidate")
     return scored.withColumn("place", F.row_number().over(place)).where("place = 1").drop("place")
@@ -177,3 +195,30 @@ def top_bigrams(texts: DataFrame, n: int = 6) -> DataFrame:
     counted = flat.groupBy("id", "bigram").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     place = Window.partitionBy("id").orderBy(F.desc("n"), "first")
     return counted.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n).select("id", "place", "bigram", "n")
+
+
+def _inner_grams(text: Column, n: int = 5) -> Column:
+    """Hashes of each run of n words between single spaces."""
+    w = F.split(text, " ")
+    return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
+
+
+def containing(docs: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
+    """(item_id, doc_id, ...) of documents (doc_id, text) that hold an item's text (item_id, item).
+
+    An item may begin and end inside a word, so its inner words are its key: of their runs of n, the one with the
+    fewest documents among those with any. Only keys and ids are joined, then the texts. Items of fewer than n + 2
+    words, a bounded share of a reviewed set, meet every document by their shortest form: as one row.
+    """
+    words = F.split("item", " ")
+    long = items.where(F.size(words) >= n + 2).select("item_id", "item", F.slice(words, 2, F.size(words) - 2).alias("inner"))
+    grams = long.select("item_id", F.explode(F.array_distinct(_inner_grams(F.array_join("inner", " "), n))).alias("k"))
+    of_docs = docs.where(F.size(F.split("text", " ")) >= n).select("doc_id", F.explode(F.array_distinct(_inner_grams(F.col("text"), n))).alias("k"))
+    # a document counts once for a key, with ids alone; a key that no document has ends the item's search
+    seen = of_docs.join(grams.select("k").distinct(), "k", "left_semi")
+    counts = grams.join(seen.groupBy("k").agg(F.count(F.lit(1)).alias("docs")), "k", "left").groupBy("item_id").agg(F.min_by("k", F.struct(F.coalesce("docs", F.lit(0)), "k")).alias("k"), F.min(F.coalesce("docs", F.lit(0))).alias("docs"))
+    near = counts.where("docs > 0").join(seen, "k").select("item_id", "doc_id").distinct()
+    found = near.join(long.select("item_id", "item"), "item_id").join(docs, "doc_id")
+    store = items.where(F.size(words) < n + 2).agg(F.collect_list(F.struct("item_id", "item")).alias("store"))
+    short = docs.join(F.broadcast(store), F.size("store") > 0).select("doc_id", "text", F.explode("store").alias("s")).select("doc_id", "text", "s.item_id", "s.item")
+    return found.select("item_id", "doc_id", "text", "item").union(short.select("item_id", "doc_id", "text", "item")).where(F.contains("text", F.col("item"))).select("item_id", "doc_id").distinct()

@@ -106,11 +106,20 @@ def a10(spark, d):
     return A.user_summary(V.user_reviews(spark, d))
 
 
-@R.add("A11_alerts", with_views(BOARD + """, top AS (SELECT * FROM board ORDER BY frequency DESC, aspect LIMIT 20), scored AS (SELECT *, CASE WHEN stddev_pop(change_pct) OVER () > 0 THEN (change_pct - avg(change_pct) OVER ()) / stddev_pop(change_pct) OVER () ELSE 0 END AS z FROM top),
-found AS (SELECT 'spike' AS type, aspect, round(change_pct, 6) AS value FROM scored WHERE frequency >= 5 AND (change_pct >= 50 OR z >= 2) UNION ALL SELECT 'negative', aspect, round(negative_pct, 6) FROM scored WHERE frequency >= 5 AND negative_pct >= 45)
-SELECT * FROM found ORDER BY type, aspect LIMIT 50"""))
+EMERGING = """e_top AS (SELECT aspect FROM joined GROUP BY 1 ORDER BY count(*) DESC, aspect LIMIT 12), e_per AS (SELECT aspect, strftime(created_at, '%Y-%m-%d') AS bucket, count(*) AS mentions FROM joined JOIN e_top USING (aspect) GROUP BY 1, 2),
+e_placed AS (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY bucket DESC) AS place FROM e_per),
+e_found AS (SELECT aspect, CAST(sum(mentions) FILTER (place = 1) AS BIGINT) AS mentions, CAST(sum(mentions) FILTER (place BETWEEN 2 AND 8) AS BIGINT)::DOUBLE / count(*) FILTER (place BETWEEN 2 AND 8) AS baseline FROM e_placed WHERE place <= 8 GROUP BY 1),
+rising AS (SELECT * FROM e_found WHERE mentions >= 3 AND mentions > 1.5::DOUBLE * baseline)"""
+
+
+@R.add("A11_alerts", with_views(BOARD + ", " + EMERGING + """, top AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, change_pct DESC, aspect) AS place FROM board ORDER BY frequency DESC, change_pct DESC, aspect LIMIT 20),
+scored AS (SELECT *, CASE WHEN stddev_pop(change_pct) OVER () > 0 THEN (change_pct - avg(change_pct) OVER ()) / stddev_pop(change_pct) OVER () ELSE 0 END AS z FROM top),
+found AS (SELECT place, 1 AS kind, 'frequency_spike' AS type, aspect, 'high' AS severity, 'Frequency spike detected for ' || aspect AS message, round(greatest(change_pct, z), 2) AS value, CASE WHEN z >= 2 THEN 2.0::DOUBLE ELSE 50.0::DOUBLE END AS threshold FROM scored WHERE frequency >= 5 AND (change_pct >= 50 OR z >= 2)
+ UNION ALL SELECT place, 2, 'negative_threshold', aspect, 'medium', 'Negative sentiment threshold breached for ' || aspect, round(negative_pct, 2), 45.0::DOUBLE FROM scored WHERE frequency >= 5 AND negative_pct >= 45
+ UNION ALL SELECT 1000, 3, 'emerging_aspect', aspect, 'medium', 'Emerging issue detected: ' || aspect, mentions::DOUBLE, baseline FROM rising)
+SELECT type, aspect, severity, message, value, threshold FROM found ORDER BY place, kind, aspect LIMIT 50"""))
 def a11(spark, d):
-    return A.alerts(board(spark, d))
+    return A.alerts(board(spark, d), A.emerging(rows(spark, d), "day"))
 
 
 @R.add("A12_dominant_sentiment", with_views("SELECT aspect_raw, sentiment AS dominant FROM (SELECT aspect_raw, sentiment, row_number() OVER (PARTITION BY aspect_raw ORDER BY count(*) DESC, sentiment) AS place FROM predictions GROUP BY 1, 2) WHERE place = 1"))

@@ -25,10 +25,12 @@ def s04(spark, d):
     return E.normalize_reviews(raw, "documents")
 
 
-@R.add("S03_flattened_children", "SELECT doc_id, lang, word, pos FROM (SELECT doc_id, lang, unnest(string_split(text, ' ')[1:5]) AS word, generate_subscripts(string_split(text, ' ')[1:5], 1) - 1 AS pos FROM documents)")
+@R.add("S03_flattened_children", "SELECT doc_id, lang, line, count(*) AS n FROM (SELECT doc_id, coalesce(left(x, 1), lang) AS lang, x AS line FROM (SELECT doc_id, lang, unnest(CASE WHEN text IS NULL THEN [NULL] ELSE string_split(text, chr(10)) END) AS x FROM documents)) GROUP BY 1, 2, 3")
 def s03(spark, d):
-    """The first five words of each document as child rows with their place."""
-    return docs(spark, d).select("doc_id", "lang", F.posexplode(F.slice(F.split("text", " "), 1, 5)).alias("pos", "word")).select("doc_id", "lang", "word", F.col("pos").cast("long").alias("pos"))
+    """The lines of each document as child rows; the child's field overrides the parent's of the same name."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.substring(x, 1, 1).alias("lang")))
+    nested = docs(spark, d).select("doc_id", "lang", lines.alias("aspects"))
+    return E.flatten_aspects(nested).groupBy("doc_id", "lang", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("C01_normalized_aspects", "SELECT DISTINCT p_name AS raw, array_to_string(list_transform(string_split(trim(regexp_replace(replace(replace(lower(p_name || 's'), '_', ' '), '-', ' '), '\\s+', ' ', 'g')), ' '), lambda t: CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN t[:-4] || 'y' WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 3 THEN t[:-2] ELSE t END), ' ') AS aspect FROM part")
@@ -90,23 +92,30 @@ def c26(spark, d):
     return joint.withColumn("aspect", X.joint_aspect(F.col("label")))
 
 
-@R.add("F10_noisy_labels", "SELECT DISTINCT text[:40] AS label FROM documents WHERE len(string_split(trim(regexp_replace(lower(text[:40]), '\\s+', ' ', 'g')), ' ')) <= 5 AND NOT list_has_any(string_split(trim(regexp_replace(lower(text[:40]), '\\s+', ' ', 'g')), ' '), ['use','buy','bought','get','got','make','made','try','tried','want']) AND trim(text[:40]) <> '' AND NOT list_contains(['thing','stuff','one','way','lot'], string_split(trim(regexp_replace(lower(text[:40]), '\\s+', ' ', 'g')), ' ')[-1]) AND len(list_filter(string_split(trim(regexp_replace(lower(text[:40]), '\\s+', ' ', 'g')), ' '), lambda w: NOT list_contains(['a','an','the','this','that','my','your','our','its','of','and','or','to','in','is'], w))) > 0")
+@R.add("F10_noisy_labels", "WITH s AS (SELECT doc_id, trim(lower(unnest(regexp_extract_all(text, '[^.!?]+'))), ' ') AS label FROM documents UNION ALL SELECT -p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Get the ' || p_name WHEN 1 THEN p_name || ' thing' WHEN 2 THEN ' It is ' ELSE p_name END FROM part), t AS (SELECT doc_id, trim(lower(label), ' ') AS label, string_split(trim(regexp_replace(lower(label), '\\s+', ' ', 'g')), ' ') AS w FROM s) SELECT doc_id, count(*) AS labels, count(*) FILTER (trim(label) = '' OR w = [''] OR len(w) > 5 OR list_has_any(w, ['provide','get','give','take','make','use','want','need','visit','go','come']) OR list_has_any(w, ['visit','road','center','place','area','thing','something','anything','nothing','everything','way','lot','bit']) OR label IN ('it is','there is','this is','i have','they have','we have')) AS noisy FROM t GROUP BY 1")
 def f10(spark, d):
-    """Labels that pass the noise gate; a label is a document's first 40 characters."""
-    return docs(spark, d).select(F.substring("text", 1, 40).alias("label")).where(~E.noisy_label(F.col("label"))).distinct()
+    """Noisy ones among the sentences of whole texts, and among product names with words around."""
+    sentences = docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[^.!?]+"), F.lit(0))).alias("label"))
+    part, turn = V.table(spark, d, "part"), F.col("p_partkey") % 4
+    names = part.select((-F.col("p_partkey")).alias("doc_id"), F.when(turn == 0, F.concat(F.lit("Get the "), "p_name")).when(turn == 1, F.concat("p_name", F.lit(" thing"))).when(turn == 2, " It is ").otherwise(F.col("p_name")).alias("label"))
+    return sentences.union(names).groupBy("doc_id").agg(F.count(F.lit(1)).alias("labels"), F.count_if(E.noisy_label(F.col("label"))).alias("noisy"))
 
 
-@R.add("F13_gate_reasons", with_views("SELECT reasons, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN conf < 93 THEN 'low_confidence' END, CASE WHEN source <> 'explicit' THEN 'unsupported' END) AS reasons FROM predictions) GROUP BY 1"))
+@R.add("F13_gate_reasons", with_views("SELECT reasons, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN conf < 93 THEN 'low_confidence' END, CASE WHEN source <> 'explicit' THEN 'weak_support' END) AS reasons FROM predictions) GROUP BY 1"))
 def f13(spark, d):
     p = V.predictions(spark, d).withColumn("support", F.when(F.col("source") == "explicit", "exact").otherwise("none"))
     confidence = F.when(F.col("conf") < 93, 0.2).otherwise(0.9)
     return p.groupBy(F.array_join(E.gate_reasons(confidence, F.col("support"), F.col("aspect_raw")), ",").alias("reasons")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("F15_span_issues", "SELECT doc_id, CASE WHEN length(text) < 30 THEN 'range' WHEN lower(text[11:30]) <> lower(text[11:29] || 'x') THEN 'mismatch' END AS issue FROM documents")
+@R.add("F15_span_issues", "WITH l AS (SELECT doc_id, text, regexp_extract(text, '([^ \\n]+)[ \\n]*$', 1) AS word FROM documents), s AS (SELECT doc_id, text, word, CASE doc_id % 5 WHEN 0 THEN length(text) + 1 ELSE length(rtrim(text, ' ' || chr(10))) END AS stop FROM l), t AS (SELECT *, CASE doc_id % 5 WHEN 1 THEN stop ELSE stop - length(word) END AS start FROM s) SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN 'shape' WHEN start < 0 OR stop < start OR stop > length(text) THEN 'range' WHEN start = stop THEN 'empty' WHEN lower(substr(text, start + 1, stop - start)) <> lower(word || CASE WHEN doc_id % 5 = 3 THEN '!' ELSE '' END) THEN 'mismatch' END AS issue FROM t")
 def f15(spark, d):
-    t = F.col("text")
-    return docs(spark, d).select("doc_id", E.span_issue(t, F.concat(F.substring(t, 11, 19), F.lit("x")), F.array(F.lit(10), F.lit(30))).alias("issue"))
+    """The last word of each whole text as evidence: some spans out of range, empty, without an end or of other words."""
+    turn, t = F.col("doc_id") % 5, F.col("text")
+    own = docs(spark, d).withColumn("word", F.regexp_extract("text", r"([^ \n]+)[ \n]*$", 1)).withColumn("stop", F.when(turn == 0, F.length(t) + 1).otherwise(F.length(F.rtrim(t, F.lit(" \n")))))
+    own = own.withColumn("start", F.when(turn == 1, F.col("stop")).otherwise(F.col("stop") - F.length("word")))
+    span = F.when(turn == 2, F.array("start")).otherwise(F.array("start", "stop"))
+    return own.select("doc_id", E.span_issue(t, F.concat("word", F.when(turn == 3, "!").otherwise("")), span).alias("issue"))
 
 
 @R.add("A20_profile", "SELECT lang AS domain, count(*) AS n, count(*) FILTER (contains(lower(text), 'the') OR contains(lower(text), 'ein'))::DOUBLE / count(*) AS explicit_share, count(*) FILTER (contains(lower(text), 'idiot'))::DOUBLE / count(*) AS implicit_share FROM documents GROUP BY 1")
@@ -120,14 +129,14 @@ def a21(spark, d):
     return E.histograms(rows(spark, d), ["sentiment", "source", "aspect", "domain"])
 
 
-@R.add("A22_mined_patterns", with_views("SELECT aspect_raw AS phrase, count(*) AS support, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, count(*) FILTER (conf >= 92)::DOUBLE / count(*) AS valid_rate FROM joined WHERE sentiment = 'negative' AND position = 1 GROUP BY 1 HAVING count(*) >= 2"))
+@R.add("A22_mined_patterns", with_views("SELECT aspect_raw AS phrase, count(*) AS support, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, count(*) FILTER (conf >= 92)::DOUBLE / count(*) AS valid_rate FROM joined WHERE sentiment = 'negative' GROUP BY 1 HAVING count(*) >= 2"))
 def a22(spark, d):
-    return E.patterns(rows(spark, d).where("sentiment = 'negative' and position = 1").select(F.col("aspect_raw").alias("phrase"), "domain", (F.col("conf") >= 92).alias("valid")))
+    return E.patterns(rows(spark, d).where("sentiment = 'negative'").select(F.col("aspect_raw").alias("phrase"), "domain", (F.col("conf") >= 92).alias("valid")))
 
 
-@R.add("X11_validated_patterns", with_views("p AS (SELECT aspect_raw AS phrase, count(*) AS support, count(DISTINCT domain) AS k, count(*) FILTER (conf >= 92)::DOUBLE / count(*) AS valid_rate FROM joined WHERE position = 7 GROUP BY 1 HAVING count(*) >= 2) SELECT phrase, CASE WHEN support >= 5 AND valid_rate >= 0.8 THEN 'promoted' ELSE 'queued' END AS status, concat_ws(',', CASE WHEN support < 5 THEN 'low_support' END, CASE WHEN valid_rate < 0.8 THEN 'low_evidence' END) AS reasons, CASE WHEN k > 1 THEN 'global' ELSE 'domain' END AS scope FROM p"))
+@R.add("X11_validated_patterns", with_views("p AS (SELECT aspect_raw AS phrase, count(*) AS support, count(DISTINCT domain) AS k, count(*) FILTER (conf >= 92)::DOUBLE / count(*) AS valid_rate FROM joined GROUP BY 1 HAVING count(*) >= 2) SELECT phrase, CASE WHEN support >= 5 AND valid_rate >= 0.8 THEN 'promoted' ELSE 'queued' END AS status, concat_ws(',', CASE WHEN support < 5 THEN 'low_support' END, CASE WHEN valid_rate < 0.8 THEN 'low_evidence' END) AS reasons, CASE WHEN k > 1 THEN 'global' ELSE 'domain' END AS scope FROM p"))
 def x11(spark, d):
-    found = E.patterns(rows(spark, d).where("position = 7").select(F.col("aspect_raw").alias("phrase"), "domain", (F.col("conf") >= 92).alias("valid")))
+    found = E.patterns(rows(spark, d).select(F.col("aspect_raw").alias("phrase"), "domain", (F.col("conf") >= 92).alias("valid")))
     return E.validated_patterns(found)
 
 
@@ -141,7 +150,7 @@ def a24(spark, d):
     return a23(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("support").alias("most"))
 
 
-@R.add("A25_reason_counts", with_views("SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN conf < 93 THEN 'low_confidence' END, CASE WHEN source <> 'explicit' THEN 'unsupported' END], lambda x: x IS NOT NULL)) AS reason FROM predictions) GROUP BY 1"))
+@R.add("A25_reason_counts", with_views("SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN conf < 93 THEN 'low_confidence' END, CASE WHEN source <> 'explicit' THEN 'weak_support' END], lambda x: x IS NOT NULL)) AS reason FROM predictions) GROUP BY 1"))
 def a25(spark, d):
     p = V.predictions(spark, d).withColumn("support", F.when(F.col("source") == "explicit", "exact").otherwise("none"))
     reasons = E.gate_reasons(F.when(F.col("conf") < 93, 0.2).otherwise(0.9), F.col("support"), F.col("aspect_raw"))
@@ -206,12 +215,9 @@ def m06(spark, d):
     return own.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("M09_snapshot_hash", "SELECT source, sha1(string_agg(doc_id::VARCHAR || ':' || sha1(text), '|' ORDER BY doc_id)) AS snapshot FROM documents GROUP BY 1")
+@R.add("M09_snapshot_hash", "WITH b AS (SELECT source, doc_id // 1000 AS block, sha1(string_agg(doc_id::VARCHAR || ':' || sha1(text), '|' ORDER BY doc_id, sha1(text))) AS h FROM documents GROUP BY 1, 2), c AS (SELECT source, block // 1000 AS upper, sha1(string_agg(h, '|' ORDER BY block)) AS h FROM b GROUP BY 1, 2) SELECT source, sha1(string_agg(h, '|' ORDER BY upper)) AS snapshot FROM c GROUP BY 1")
 def m09(spark, d):
-    """A hash of each source's rows in order: of row hashes, so texts are not gathered."""
-    one = F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha1("text")).alias("h"))
-    gathered = F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["h"]), "|")
-    return docs(spark, d).groupBy("source").agg(F.sha1(gathered).alias("snapshot"))
+    return E.snapshot(docs(spark, d), "doc_id", "text", "source")
 
 
 @R.add("M12_memo_lookup", with_views("c AS (SELECT sha256('model:' || aspect_raw) AS k, count(*) AS uses FROM predictions WHERE conf >= 98 GROUP BY 1) SELECT a.aspect_raw, c.uses FROM (SELECT DISTINCT aspect_raw FROM predictions) a LEFT JOIN c ON c.k = sha256('model:' || a.aspect_raw)"))

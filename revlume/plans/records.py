@@ -40,23 +40,28 @@ def a27(spark, d):
     return items.select("review_id", C.row_novelty(F.col("items")).alias("novelty"))
 
 
-AMBIGUITY = "a AS (SELECT review_id, least(1.0::DOUBLE, least(0.35::DOUBLE, 0.18::DOUBLE * (count(DISTINCT aspect) - 1)) + CASE WHEN count(DISTINCT source) > 1 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN count(DISTINCT sentiment) > 1 THEN 0.2::DOUBLE ELSE 0 END) AS score FROM predictions GROUP BY 1)"
+AMBIGUITY = """i AS (SELECT review_id, CASE WHEN conf = 95 THEN 'unknown' ELSE aspect END AS canonical, source, CASE WHEN position = 3 THEN 'unknown' ELSE sentiment END AS sentiment, CAST(conf AS DOUBLE) / 100 - 0.45::DOUBLE AS confidence FROM predictions),
+a AS (SELECT review_id, count(*) AS n, max(canonical = 'unknown') AS unnamed, max(source = 'implicit') AS implicit, count(DISTINCT sentiment) AS moods,
+ round(least(1.0::DOUBLE, least(0.35::DOUBLE, 0.18::DOUBLE * (count(DISTINCT canonical) - 1)) + CASE WHEN count(DISTINCT source) > 1 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN count(DISTINCT sentiment) FILTER (sentiment <> 'unknown') > 1 THEN 0.2::DOUBLE ELSE 0 END
+  + CASE WHEN max(canonical = 'unknown') THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN min(confidence) < 0.5 THEN 0.1::DOUBLE ELSE 0 END), 6) AS score FROM i GROUP BY 1)"""
 
 
 def ambiguous(spark, d):
-    one = F.struct(F.col("aspect").alias("canonical"), "source", "sentiment", (F.col("conf") / 100).alias("confidence"))
-    return V.predictions(spark, d).groupBy("review_id").agg(F.collect_list(one).alias("items"), F.max(F.col("source") == "implicit").alias("implicit")).withColumn("score", C.ambiguity(F.col("items")))
+    """Reviews with their items; some without a canonical name, a sentiment or confidence, and some novel."""
+    one = F.struct(
+        F.when(F.col("conf") == 95, "unknown").otherwise(F.col("aspect")).alias("canonical"), "source", F.when(F.col("position") == 3, "unknown").otherwise(F.col("sentiment")).alias("sentiment"), (F.col("conf") / 100 - 0.45).alias("confidence"))
+    items = V.predictions(spark, d).groupBy("review_id").agg(F.collect_list(one).alias("items"))
+    return items.withColumn("score", F.round(C.ambiguity(F.col("items")), 6)).withColumn("novelty", F.when(F.col("review_id") % 5 == 0, "novel").otherwise("known"))
 
 
-@R.add("A28_ambiguity", with_views(AMBIGUITY + " SELECT review_id, round(score, 6) AS score FROM a"))
+@R.add("A28_ambiguity", with_views(AMBIGUITY + " SELECT review_id, score FROM a"))
 def a28(spark, d):
-    return ambiguous(spark, d).select("review_id", F.round("score", 6).alias("score"))
+    return ambiguous(spark, d).select("review_id", "score")
 
 
-@R.add("W07_hardness", with_views(AMBIGUITY + ", i AS (SELECT review_id, max(source = 'implicit') AS implicit FROM predictions GROUP BY 1) SELECT CASE WHEN round(score, 6) >= 0.75 THEN 'H3' WHEN round(score, 6) >= 0.5 THEN 'H2' WHEN implicit THEN 'H1' ELSE 'H0' END AS tier, count(*) AS n FROM a JOIN i USING (review_id) GROUP BY 1"))
+@R.add("W07_hardness", with_views(AMBIGUITY + " SELECT CASE WHEN (review_id % 5 = 0 OR unnamed) AND score >= 0.5 THEN 'H3' WHEN n > 4 OR moods > 1 THEN 'H2' WHEN implicit THEN 'H1' ELSE 'H0' END AS tier, count(*) AS n FROM a GROUP BY 1"))
 def w07(spark, d):
-    tier = C.hardness(F.col("implicit"), F.round("score", 6), F.lit("known"))
-    return ambiguous(spark, d).groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+    return ambiguous(spark, d).groupBy(C.hardness(F.col("items"), F.col("score"), F.col("novelty")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("J13_ordered_mapping", with_views("""p AS (SELECT DISTINCT aspect_raw, split_part(aspect_raw, ' ', 2) AS anchor FROM predictions), one AS (SELECT p_name AS aspect_raw, min(p_brand) AS c FROM part WHERE p_name LIKE 'r%' GROUP BY 1), two AS (SELECT split_part(p_name, ' ', 2) AS anchor, min(p_brand) AS c FROM part WHERE split_part(p_name, ' ', 2) < 'h' GROUP BY 1)
@@ -91,22 +96,16 @@ def c14(spark, d):
 
 @R.add("J12_cross_split_containment", "SELECT item_id, doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text)")
 def j12(spark, d):
-    """Documents that hold a benchmark text: joined on the text's first five words, then checked."""
-    start = lambda c: F.slice(F.split(c, " "), 1, 5)
-    items = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(start("text"), " ").alias("k"), F.size(start("text")).alias("words"))
-    w = F.split("text", " ")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 5, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 5), " ")))
-    docs = V.table(spark, d, "documents").withColumn("w", w).select("doc_id", "text", F.explode(runs).alias("k"))
-    # a passage may begin in the middle of a word or end in one: its first inner words are the key, so the first word is left out
-    inner = items.withColumn("k", F.array_join(F.slice(F.split("item", " "), 2, 5), " "))
-    return docs.join(inner, "k").where(F.contains("text", F.col("item"))).select("item_id", "doc_id").distinct()
+    """Documents that hold a benchmark text."""
+    items = V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    return C.containing(V.table(spark, d, "documents").select("doc_id", "text"), items).select("item_id", "doc_id")
 
 
 @R.add("C19_fuzzy_names")
 def c19(spark, d):
     """Each raw aspect's best fuzzy match among the others with a word or a beginning in common."""
     names = V.table(spark, d, "part").select(F.col("p_name").alias("query")).distinct()
-    return C.best_fuzzy(names, names.select(F.reverse(F.reverse("query")).alias("candidate")), 0.5)
+    return C.best_fuzzy(names, names.withColumnRenamed("query", "candidate"), 0.5)
 
 
 @R.add("X15_single_issue_rows", with_views("SELECT review_id, aspect_raw, conf FROM predictions WHERE (conf < 93) <> (source <> 'explicit')"))

@@ -37,8 +37,8 @@ def test_row_scores(spark):
     df = spark.createDataFrame([([(0.9, "novel")],), ([(0.65, "novel"), (0.7, "known")],), ([(0.2, "novel")],), ([],), ([(0.7, "known")],)], "items array<struct<confidence:double,status:string>>")
     assert [r[0] for r in df.select(R.row_novelty(F.col("items"))).collect()] == ["novel", "boundary", "boundary", "known", "known"]
     two = spark.createDataFrame([([("a", "s1", "positive", 0.9), ("b", "s2", "unknown", 0.3)],)], "items array<struct<canonical:string,source:string,sentiment:string,confidence:double>>")
-    assert abs(two.select(R.ambiguity(F.col("items"))).first()[0] - 0.83) < 1e-9
-    assert spark.range(1).select(R.hardness(F.lit(True), F.lit(0.8), F.lit("novel"))).first()[0] == "H3"
+    assert abs(two.select(R.ambiguity(F.col("items"))).first()[0] - 0.48) < 1e-9
+    assert two.select(R.hardness(F.col("items"), F.lit(0.8), F.lit("novel"))).first()[0] == "H3" and two.select(R.hardness(F.col("items"), F.lit(0.2), F.lit("novel"))).first()[0] == "H2"
     assert spark.range(1).select(R.quality_weight(F.lit(0.9), F.lit(1.0), F.lit("H3"))).first()[0] == 0.9 * 1.3
 
 
