@@ -304,6 +304,8 @@ def _roots(members: DataFrame, texts: DataFrame, counted: bool) -> tuple[DataFra
     several = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1")
     shared = materialize(buckets.join(several, "band"), "shared")
     discard(buckets)
+    # the texts that may be compared, once, so that later joins move no others
+    texts = materialize(texts.join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "compared-texts")
     # a bucket's leader is the member that meets most others in all its buckets
     meets = shared.groupBy("key").agg(F.sum("n").alias("meets"))
     leaders = shared.join(meets, "key").groupBy("band").agg(F.max_by("key", F.struct("meets", "key")).alias("other"))
