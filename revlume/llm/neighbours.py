@@ -2,13 +2,18 @@
 
 Each tree parts a bounded sample at random hyperplanes (through the middle of
 two of its vectors) until a leaf holds about LEAF of the sample. The forest is
-fitted once, every vector is sent to its leaf in each tree. A query walks all
-trees with one shared priority queue: the node whose hyperplane is nearest to
-the query on its worse side comes next, until leaves that hold VISIT sample
-vectors were reached. All vectors of these leaves are candidates, and their
-cosines are computed in double precision. VISIT is large because vectors
-without clusters (as in the test tables) have neighbours hardly nearer than the
-rest: 1,200 gives a recall of 0.29 there, 24,000 of 0.9.
+fitted once, every vector is sent to its leaf in each tree and counted there. A
+query walks all trees with one shared priority queue: the node whose hyperplane
+is nearest to the query on its worse side comes next, until the leaves reached
+hold VISIT of all places in the index (a vector has one in each tree). The
+vectors of these leaves are the candidates; their cosines are computed in double
+precision, leaf by leaf in tasks that hold a bounded number of vectors (CELL) and
+queries (ASKED) each, and only a query's best ones leave a task.
+
+VISIT is large because vectors without clusters (as in the test tables: cosines
+of the nearest lie 3.7 deviations above the mean, and nothing else tells them
+from the rest) have neighbours that a hyperplane parts nearly as often as any
+two. Vectors in clusters need far less; VISIT is a parameter.
 
 Equal vectors are indexed once, with the smallest of their ids, and equal
 queries searched once, so a very common vector costs no more than another.
@@ -26,6 +31,7 @@ of a query of that id; an empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,11 +43,13 @@ from pyspark.sql.window import Window
 
 from .storage import materialize
 
-TREES, LEAF = 6, 96
-#: Sample vectors in the leaves that a query visits.
-VISIT = 36_000
+TREES, LEAF = 8, 96
+#: Share of the index's places (vectors times trees) in the leaves that a query visits.
+VISIT = 0.12
 SAMPLE = 60_000
 NEAREST = 5
+#: Vectors and queries that meet in one task.
+CELL, ASKED = 20_000, 4_000
 
 
 @dataclass
@@ -49,7 +57,7 @@ class Tree:
     normals: np.ndarray  # a hyperplane for each inner node
     offsets: np.ndarray
     children: np.ndarray  # two for each inner node; a leaf is -1 - its number
-    sizes: np.ndarray  # sample vectors in each leaf
+    sizes: np.ndarray  # vectors in each leaf: of the sample, later of all
 
     def leaves(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector."""
@@ -95,7 +103,7 @@ def build_tree(x: np.ndarray, leaf: int, rng: np.random.Generator) -> Tree:
 
 
 def search(forest: list[Tree], q: np.ndarray, visit: int) -> list[tuple[int, int]]:
-    """(tree, leaf) pairs in the order of one queue that all trees share."""
+    """(tree, leaf) pairs in the order of one queue that all trees share, until ``visit`` vectors are reached."""
     queue = [(-np.inf, t, 0 if len(tree.normals) else -1) for t, tree in enumerate(forest)]
     heapq.heapify(queue)
     found, seen = [], 0
@@ -140,11 +148,46 @@ def fit(distinct: DataFrame, trees: int = TREES, leaf: int = LEAF) -> list[Tree]
     return [build_tree(x, leaf, np.random.default_rng(100 + t)) for t in range(trees)]
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, visit: int = VISIT) -> DataFrame:
+def _norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
+
+
+def _in_cell(vectors: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best candidates of each query among the vectors of the leaves that it visits."""
+    names = ["q", "ids", "score"]
+    if vectors.empty or asked.empty:
+        return pd.DataFrame({"q": pd.Series(dtype="int64"), "ids": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
+    vectors = vectors.sort_values("leaf", kind="stable").reset_index(drop=True)
+    leaf = vectors["leaf"].to_numpy()
+    v, q = (np.stack(x["v"].to_numpy()).astype(np.float64) for x in (vectors, asked))
+    v_norm, q_norm = _norms(v), _norms(q)
+    visits = asked["leaves"].to_list()
+    owner = np.repeat(np.arange(len(asked)), [len(x) for x in visits])
+    visited = np.concatenate(visits)
+    order = np.argsort(visited, kind="stable")
+    owner, visited = owner[order], visited[order]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for one in np.unique(visited).tolist():
+        a, b = np.searchsorted(leaf, (one, one + 1))
+        who = owner[slice(*np.searchsorted(visited, (one, one + 1)))]
+        for at in range(a, b, 4096):
+            end = min(b, at + 4096)
+            score = (q[who] @ v[at:end].T) / (q_norm[who][:, None] * v_norm[None, at:end])
+            few = min(k, end - at)
+            best = np.argpartition(-score, few - 1, axis=1)[:, :few]
+            found.append((np.repeat(who, few), (best + at).ravel(), np.take_along_axis(score, best, 1).ravel()))
+    if not found:
+        return _in_cell(vectors.iloc[:0], asked, k)
+    who, which, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((which, -score, who))
+    who, which, score = who[order], which[order], score[order]
+    first = np.flatnonzero(np.diff(who, prepend=-1))
+    kept = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who)))) < k
+    ids = vectors["ids"].to_numpy()
+    return pd.DataFrame({"q": asked["q"].to_numpy()[who[kept]], "ids": ids[which[kept]], "score": score[kept]}, columns=names)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, visit: float = VISIT) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query row, its k nearest found by cosine, its own id excluded."""
     spark = vectors.sparkSession
     good = materialize(usable(vectors).withColumn("group", F.xxhash64("v")).withColumn("check", F.hash("v")), "vectors")
@@ -153,28 +196,44 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, visit: int =
     least = good.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
     distinct = materialize(least.groupBy("group", "check", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "distinct-vectors")
     kind = distinct.schema["v"].dataType.simpleString()
-    forest = spark.sparkContext.broadcast(fit(distinct))
+    forest = fit(distinct)
+    known = spark.sparkContext.broadcast(forest)
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = _unit(batch["v"])
-            for t, tree in enumerate(forest.value):
+            for t, tree in enumerate(known.value):
                 yield pd.DataFrame({"tree": t, "leaf": tree.leaves(x), "v": batch["v"], "ids": batch["ids"]})
 
+    placed = distinct.select("v", "ids").mapInPandas(leaves, f"tree int, leaf int, v {kind}, ids array<long>")
+    # all vectors in each leaf: at most trees * SAMPLE / LEAF rows, twice that for uneven trees
+    total = 0
+    for r in placed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect():
+        if total == 0:
+            for tree in forest:
+                tree.sizes = np.zeros_like(tree.sizes)
+        forest[r["tree"]].sizes[r["leaf"]] = r["n"]
+        total += r["n"]
+    counted = spark.sparkContext.broadcast(forest)
+
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for number, v, q in zip(batch["q"], batch["v"], _unit(batch["v"]), strict=True):
-                found = search(forest.value, q, visit)
-                yield pd.DataFrame({"q": number, "tree": [t for t, _ in found], "leaf": [n for _, n in found], "qv": [v] * len(found)})
+                found = search(counted.value, q, math.ceil(visit * total))
+                yield pd.DataFrame({"q": number, "tree": [t for t, _ in found], "leaf": [n for _, n in found], "v": [v] * len(found)}).groupby("tree", as_index=False).agg({"q": "first", "v": "first", "leaf": list}).rename(columns={"leaf": "leaves"})
 
     asked = good.where(is_query)
-    asked_for = asked.groupBy("group", "check", "v").agg(F.min("vec_id").alias("q"))
-    placed = distinct.select("v", "ids").mapInPandas(leaves, f"tree int, leaf long, v {kind}, ids array<long>")
-    walked = asked_for.select("q", "v").mapInPandas(visits, f"q long, tree int, leaf long, qv {kind}")
-    walked = walked.withColumn("q_norm", F.sqrt(_dot(F.col("qv"), F.col("qv"))))
-    placed = placed.withColumn("norm", F.sqrt(_dot(F.col("v"), F.col("v"))))
+    asked_for = materialize(asked.groupBy("group", "check", "v").agg(F.min("vec_id").alias("q")), "queries")
+    n_queries = asked_for.count()
+    cells, turns = max(1, math.ceil(total / max(1, len(forest)) / CELL)), max(1, math.ceil(n_queries / ASKED))
+    walked = asked_for.select("q", "v").repartition(spark.sparkContext.defaultParallelism).mapInPandas(visits, f"tree int, q long, v {kind}, leaves array<int>")
+    # a cell has a share of a tree's vectors, of every leaf; a turn has a share of the queries
+    left = placed.withColumn("cell", F.pmod(F.xxhash64(F.col("ids")[0], F.lit(5)), F.lit(cells))).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    right = walked.withColumn("turn", F.pmod(F.xxhash64("q", F.lit(6)), F.lit(turns)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    keys = ["tree", "cell", "turn"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda x, y: _in_cell(x, y, k + 1), "q long, ids array<long>, score double")
     # a candidate of several trees counts once
-    scored = walked.join(placed, ["tree", "leaf"]).select("q", "ids", (_dot(F.col("qv"), F.col("v")) / (F.col("q_norm") * F.col("norm"))).alias("score")).groupBy("q", "ids").agg(F.max("score").alias("score"))
+    scored = scored.groupBy("q", "ids").agg(F.max("score").alias("score"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
     top = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
     # for each searched vector at most k + 1 candidates with as many ids each, nearest first

@@ -8,6 +8,7 @@ from collections import Counter
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -438,7 +439,7 @@ def test_nearest_vectors_recall_ties_and_bad_vectors(spark):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000, None, 1), (1050, [0.0] * 16, 1), (1100, [float("nan")] * 16, 1), (1150, [1.0, None] * 8, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = {}
-    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, visit=1500).collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 50 == 0, visit=0.42).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hits = 0
@@ -452,6 +453,28 @@ def test_nearest_vectors_recall_ties_and_bad_vectors(spark):
     assert [got[50][k][0] for k in range(1, 6)] == [100, 101, 102, 103, 104]
 
 
+@pytest.mark.parametrize("clusters", [0, 200])
+def test_nearest_vectors_recall_at_the_registered_share(spark, monkeypatch, clusters):
+    """Random vectors need the registered share; a fiftieth of it is enough for clusters."""
+    monkeypatch.setattr(neighbours, "CELL", 3000)
+    monkeypatch.setattr(neighbours, "ASKED", 60)
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((12_000, 64)).astype(np.float32)
+    if clusters:
+        x = (0.3 * x + rng.standard_normal((clusters, 64))[rng.integers(0, clusters, len(x))]).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0, visit=0.03 if clusters else neighbours.VISIT).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(x), 100):
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & got[q])
+    assert hits >= 0.9 * 5 * len(got) and len(got) == 120
+
+
 def test_empty_tables(spark):
     empty = frame(spark, ["x"]).limit(0)
     assert neardup.classes(empty).count() == 0 and substring.without_repeats(empty).count() == 0
