@@ -95,9 +95,11 @@ def dashboard(rows: DataFrame) -> DataFrame:
 
 def segments(rows: DataFrame, limit: int) -> DataFrame:
     """Domains and the most mentioned products, most negative first; for a domain also its first negative raw aspect."""
+    # a review has one domain and one product: counts by review serve both
+    reviews = rows.groupBy("review_id", "domain", "product_id").agg(F.count(F.lit(1)).alias("own"), count_if(F.col("sentiment") == "negative").alias("bad"))
+
     def by(column: str) -> DataFrame:
-        return rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("segment")).agg(
-            F.countDistinct("review_id").alias("reviews"), F.count(F.lit(1)).alias("mentions"), count_if(F.col("sentiment") == "negative").alias("negative"))
+        return reviews.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("segment")).agg(F.count(F.lit(1)).alias("reviews"), F.sum("own").alias("mentions"), F.sum("bad").alias("negative"))
 
     worst = rows.where("sentiment = 'negative'").groupBy(F.coalesce("domain", F.lit("unknown")).alias("segment"), "aspect_raw").agg(F.count(F.lit(1)).alias("n"))
     place = Window.partitionBy("segment").orderBy(F.desc("n"), "aspect_raw")

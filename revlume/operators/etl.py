@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlume.functions import text as X
+from revlume.operators.ranked import running_sum
 
 # fixed values: columns that may hold a review's text, in order; modes; words of rules
 TEXT_FIELDS = ("review_text", "text", "review", "content", "body", "comment")
@@ -116,7 +117,7 @@ def memory(rows: DataFrame, promoted: tuple[int, int, int] = (5, 3, 2)) -> DataF
 def grouped_split(groups: DataFrame, key: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
     """key and split: the groups in the order of a hash of seed and id, cut at shares of their number. A group is never parted."""
     ranked = groups.select(key).distinct().withColumn("h", F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256))
-    place = ranked.withColumn("place", F.row_number().over(Window.orderBy("h")))  # groups, not rows
+    place = running_sum(ranked, F.lit(1), "place", "h")
     n = ranked.agg(F.count(F.lit(1)).alias("n"))
     first = F.greatest(F.lit(1), F.floor(F.col("n") * train + 0.5))
     return place.crossJoin(F.broadcast(n)).select(key, F.when(F.col("place") <= first, "train").when(F.col("place") <= first + F.floor(F.col("n") * val + 0.5), "val").otherwise("test").alias("split"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from revlume.operators.ranked import running_sum
 from revlume.plans.shared import cut
 
 
@@ -41,25 +42,25 @@ def idf(rows: DataFrame, reviews: DataFrame, name: str = "aspect") -> DataFrame:
     return df.crossJoin(F.broadcast(total)).select(name, "df", F.round(F.log((F.col("total") + 1) / (F.col("df") + 1)), 6).alias("idf"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, root): the smallest node it is connected with. Each round takes the smallest root around, and that root's root."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node it is connected with. Each round takes the smallest root around, and that root's root, until nothing changes."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
     roots = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
-    for _ in range(rounds):
+    while True:
         around = both.join(roots.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
         closer = roots.join(around, "node").select("node", "root", F.least("root", "near").alias("new"))
         step = cut(closer.join(closer.select(F.col("node").alias("new"), F.col("new").alias("next")), "new").select("node", "root", F.least("new", "next").alias("new")))
         roots = step.select("node", F.col("new").alias("root"))
         if step.where("new < root").isEmpty():
-            break
-    return roots
+            return roots
 
 
 def communities(edges: DataFrame, least: float = 2) -> DataFrame:
-    """Components of the heavier edges: community (by size, then first member), size and members."""
-    found = components(edges.where(F.col("weight") >= least)).groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set("node")).alias("members"))
-    order = Window.orderBy(F.desc("size"), F.col("members")[0])  # one row for each component
-    return found.select(F.row_number().over(order).alias("community"), "size", F.array_join("members", ",").alias("members"))
+    """(community, size, member): components of the heavier edges, numbered by size, then by their first member; a row for each member."""
+    found = components(edges.where(F.col("weight") >= least))
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    numbered = running_sum(sizes, F.lit(1), "community", F.desc("size"), F.asc("root"))
+    return found.join(numbered, "root").select(F.col("community").cast("int"), "size", F.col("node").alias("member"))
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from revlume.operators.ranked import running_sum
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
+#: Labels of a bank that is sent to every task.
+BANK_LABELS = 10_000
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
@@ -28,8 +33,11 @@ def unit(v: Column) -> Column:
 
 
 def score(rows: DataFrame, bank: DataFrame, temperature: float = 1.0, key: str = "vec_id") -> DataFrame:
-    """(key, label): squared distance to each prototype and its softmax. The bank has a row for each label."""
-    measured = rows.select(key, F.col("label").alias("truth"), "embedding").join(F.broadcast(bank.select(F.col("label").alias("candidate"), "centre")))
+    """(key, label): squared distance to each prototype and its softmax. The bank has a row for each label; every row meets
+    every prototype by the model's definition, so the bank goes to the rows as one array if it has at most BANK_LABELS labels, and is refused otherwise."""
+    fits = F.assert_true(F.count(F.lit(1)) <= BANK_LABELS, F.lit(f"more than {BANK_LABELS} labels")).isNull()
+    whole = bank.agg(F.when(fits, F.collect_list(F.struct(F.col("label").alias("candidate"), "centre"))).alias("bank"))
+    measured = rows.select(key, F.col("label").alias("truth"), "embedding").join(F.broadcast(whole), F.size("bank") > 0).select(key, "truth", "embedding", F.explode("bank").alias("b")).select(key, "truth", "embedding", "b.candidate", "b.centre")
     d2 = measured.select(key, "truth", "candidate", squared_distance(F.col("embedding"), F.col("centre")).alias("d2"))
     own = Window.partitionBy(key)
     z = -F.col("d2") / temperature
@@ -76,10 +84,10 @@ def per_label(rows: DataFrame) -> DataFrame:
 
 
 def auroc(rows: DataFrame, score: str, positive: str) -> DataFrame:
-    """The area under the curve by average ranks: counts of each score first, so the ordered window sees distinct scores."""
+    """The area under the curve by average ranks: counts of each score first, then running sums over the scores."""
     counted = rows.groupBy(score).agg(F.count_if(F.col(positive)).cast("long").alias("p"), F.count_if(~F.col(positive)).cast("long").alias("q"))
-    before = F.sum("q").over(Window.orderBy(score)) - F.col("q")
-    return counted.withColumn("below", before).agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)) / (F.sum("p") * F.sum("q"))).alias("auroc"))
+    summed = running_sum(counted, F.col("q"), "upto", score)
+    return summed.withColumn("below", F.col("upto") - F.col("q")).agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)) / (F.sum("p") * F.sum("q"))).alias("auroc"))
 
 
 def threshold_grid(rows: DataFrame, steps: int = 19) -> DataFrame:

@@ -92,7 +92,7 @@ def g01(spark, d):
     return G.components(heavy(spark, d))
 
 
-@R.add("G02_communities", with_views(PAIRS + ", " + SIMILAR + ", g AS (SELECT count(*) AS size, string_agg(node, ',' ORDER BY node) AS members FROM roots GROUP BY root) SELECT CAST(row_number() OVER (ORDER BY size DESC, members) AS INTEGER) AS community, size, members FROM g").replace("WITH ", "WITH RECURSIVE ", 1))
+@R.add("G02_communities", with_views(PAIRS + ", " + SIMILAR + ", g AS (SELECT root, count(*) AS size FROM roots GROUP BY root), o AS (SELECT root, size, CAST(row_number() OVER (ORDER BY size DESC, root) AS INTEGER) AS community FROM g) SELECT community, size, node AS member FROM roots JOIN o USING (root)").replace("WITH ", "WITH RECURSIVE ", 1))
 def g02(spark, d):
     return G.communities(heavy(spark, d), 0)
 

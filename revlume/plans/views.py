@@ -24,11 +24,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """review_id, aspect_cluster, aspect_raw, sentiment, conf (hundredths), source, position; aspect is the canonical label."""
     lineitem, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     sentiment = F.when(F.col("l_returnflag") == "A", "positive").when(F.col("l_returnflag") == "N", "neutral").otherwise("negative")
-    rows = lineitem.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    # the label depends on the product alone: made once for each, not for each mention
+    labels = part.select("p_partkey", "p_type", "p_name", X.canonical_aspect(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("p_type"), F.col("p_name")).alias("aspect"))
+    return lineitem.join(labels, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("review_id"), F.col("p_type").alias("aspect_cluster"), F.col("p_name").alias("aspect_raw"), sentiment.alias("sentiment"),
-        F.round((1 - F.col("l_discount")) * 100).cast("long").alias("conf"), F.when(F.col("l_linestatus") == "O", "explicit").otherwise("implicit").alias("source"), F.col("l_linenumber").alias("position"),
+        F.round((1 - F.col("l_discount")) * 100).cast("long").alias("conf"), F.when(F.col("l_linestatus") == "O", "explicit").otherwise("implicit").alias("source"), F.col("l_linenumber").alias("position"), "aspect",
     )
-    return rows.withColumn("aspect", X.canonical_aspect(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("aspect_cluster"), F.col("aspect_raw")))
 
 
 def user_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

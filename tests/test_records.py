@@ -72,10 +72,15 @@ def test_sets_actions_bigrams(spark):
 def test_graph_parts(spark):
     edges = spark.createDataFrame([("a", "b", 3), ("b", "c", 3), ("x", "y", 2), ("c", "x", 1)], "a string, b string, weight int")
     assert {r["node"]: r["root"] for r in G.components(edges.where("weight > 1")).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
-    assert [(r["community"], r["size"]) for r in G.communities(edges).orderBy("community").collect()] == [(1, 3), (2, 2)]
+    assert sorted(tuple(r) for r in G.communities(edges).collect()) == [(1, 3, "a"), (1, 3, "b"), (1, 3, "c"), (2, 2, "x"), (2, 2, "y")]
     assert abs(sum(r["rank"] for r in G.pagerank(edges).collect()) - 1) < 1e-9
 
 
+def test_components_follow_a_long_chain(spark):
+    chain = spark.range(0, 300).select(F.format_string("%04d", "id").alias("a"), F.format_string("%04d", F.col("id") + 1).alias("b"))
+    assert {r["root"] for r in G.components(chain).select("root").distinct().collect()} == {"0000"}
+
+
 def test_auroc_counts_ties_half(spark):
     df = spark.createDataFrame([(1, False), (2, True), (2, False), (3, True)], "s int, y boolean")
     assert V.auroc(df, "s", "y").first()[0] == 0.875
