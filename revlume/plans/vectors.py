@@ -94,7 +94,7 @@ def a34(spark, d):
     return w.crossJoin(F.broadcast(w.agg(F.avg("w").alias("mean")))).select("label", "n", F.round(F.col("w") / F.col("mean"), 6).alias("weight"))
 
 
-@R.add("A35_threshold_grid", f"WITH {DECIDED}, nov AS (SELECT least(0.999999, 2 * d2 / (d2 + 1) - 0.5) AS novelty, truth >= 8 AS is_novel FROM dec), ats AS (SELECT floor(novelty * 20) AS step, is_novel, count(*) AS n FROM nov GROUP BY 1, 2), g AS (SELECT i / 20.0::DOUBLE AS t FROM range(1, 20) x(i)), p AS (SELECT a.t AS known, b.t AS novel FROM g a JOIN g b ON a.t < b.t), m AS (SELECT known, novel, step / 20.0::DOUBLE AS s, is_novel, n FROM p, ats), c AS (SELECT known, novel, coalesce(sum(n) FILTER (is_novel AND s >= novel), 0)::BIGINT AS tp, coalesce(sum(n) FILTER (NOT is_novel AND s >= novel), 0)::BIGINT AS fp, coalesce(sum(n) FILTER (is_novel AND s < novel), 0)::BIGINT AS fn, coalesce(sum(n) FILTER (NOT is_novel AND s < known), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT is_novel), 0)::BIGINT AS k FROM m GROUP BY 1, 2) SELECT known, novel, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END AS novel_f1, CASE WHEN k > 0 THEN kept::DOUBLE / k ELSE 0 END AS known_recall, 0.5::DOUBLE * novel_f1 + 0.5::DOUBLE * known_recall AS objective FROM c")
+@R.add("A35_threshold_grid", f"WITH {DECIDED}, nov AS (SELECT least(0.999999, 2 * d2 / (d2 + 1) - 0.5) AS novelty, truth >= 8 AS is_novel FROM dec), ats AS (SELECT floor(novelty * 20) AS step, is_novel, count(*) AS n FROM nov GROUP BY 1, 2), g AS (SELECT i / 20.0::DOUBLE AS t FROM range(1, 20) x(i)), p AS (SELECT a.t AS known, b.t AS novel FROM g a JOIN g b ON a.t < b.t), met AS (SELECT known, novel, step / 20.0::DOUBLE AS s, is_novel, n FROM p, ats), c AS (SELECT known, novel, coalesce(sum(n) FILTER (is_novel AND s >= novel), 0)::BIGINT AS tp, coalesce(sum(n) FILTER (NOT is_novel AND s >= novel), 0)::BIGINT AS fp, coalesce(sum(n) FILTER (is_novel AND s < novel), 0)::BIGINT AS fn, coalesce(sum(n) FILTER (NOT is_novel AND s < known), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT is_novel), 0)::BIGINT AS k FROM met GROUP BY 1, 2) SELECT known, novel, CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0::DOUBLE * tp / (2 * tp + fp + fn) ELSE 0 END AS novel_f1, CASE WHEN k > 0 THEN kept::DOUBLE / k ELSE 0 END AS known_recall, 0.5::DOUBLE * novel_f1 + 0.5::DOUBLE * known_recall AS objective FROM c")
 def a35(spark, d):
     """Thresholds over the distance to the nearest prototype; labels from 8 on count as novel."""
     own = decided(spark, d).select(F.least(F.lit(0.999999), 2 * F.col("distance") - 0.5).alias("novelty"), (F.col("truth") >= 8).alias("is_novel"))
