@@ -81,8 +81,8 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-#: The key of the registered query. A deployment gives its own.
-PII_KEY = "revlume-demonstration-key"
+#: The key of the registered query and the pipeline: that of a deployment, from its environment, else one for demonstration.
+PII_KEY = os.environ.get("REVLUME_PII_KEY") or "revlume-demonstration-key"
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
