@@ -1,15 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
 Each document gets counts by Spark expressions alone. Base rules reject short
-and repetitive texts. Five further rules compare a score with a cutoff that is
-set for each stratum (``lang``) on the labelled documents that hold out against
-the base rules: from the mildest cutoff on, a cutoff is certified while the
-exact binomial tail P(Bin(n, risk) <= rejected good documents) stays at most
-delta; the first failure ends the sequence (fixed-sequence testing, so the grid
-costs nothing), and the rules and strata share delta and the risk evenly
-(Bonferroni). The strictest certified cutoff applies; a stratum with too few
-labels has none, and its rule rejects nothing. So, with confidence 1 - DELTA,
-no stratum loses more than RISK of its good documents to these rules.
+and repetitive texts. Five further rules give scores in steps. One half of the
+labelled documents (by a hash of their ids) says how much rarer a score or a
+worse one is among good than among bad documents; a document's level is that of
+the rule that speaks most against it. The other half certifies a cutoff of that
+level for each stratum (``lang``): from the mildest on, a cutoff is certified
+while the exact binomial tail P(Bin(n, RISK) <= rejected good documents) stays
+at most delta; the first failure ends the sequence (fixed-sequence testing, so
+neither the grid nor the number of rules costs anything), and the strata share
+DELTA evenly (Bonferroni). The strictest certified cutoff applies; a stratum with
+too few labels (86 good ones in the second half, with four strata) has none and
+loses nothing. So, with confidence 1 - DELTA, no stratum loses more than RISK of
+its good documents to these rules.
 
 Nulls and edges: a null or empty text has no words and fails the base rule; a
 null lang is a stratum of its own; a document with several labels counts with
@@ -29,8 +32,10 @@ from .storage import materialize
 
 #: At most this share of good documents is lost in a stratum, with confidence 1 - DELTA.
 RISK, DELTA = 0.05, 0.05
-#: Cutoffs tried for each rule, as steps of its score.
-GRID = 64
+#: Steps of a rule's score, and levels of all rules together, which are cutoffs.
+GRID, LEVELS = 64, 64
+#: A score speaks against a document if it or a worse one is so many times as common among bad documents.
+LEAST_RATIO = 3.0
 SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -108,36 +113,64 @@ def most_rejected(n: Column, risk: Column, delta: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.ceil(n * risk).cast("long")), start, step, lambda s: s["k"])
 
 
-def cutoffs(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum, then for each rule the certified step (null: none); a document with a step at or above it is rejected."""
-    good = (
-        labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("labelled"))
-        .join(found.where(~F.col("base_failed")), F.col("labelled") == F.col("doc_id"))
-        .select(F.coalesce("lang", F.lit("")).alias("stratum"), F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*map(score_step, RULES))).alias("steps"))
-    )
-    counted = good.select("stratum", F.explode("steps").alias("rule", "step")).groupBy("stratum", "rule", "step").agg(F.count(F.lit(1)).alias("n"))
-    # a row for each stratum, rule and step from here on; every step of the grid is a cutoff, seen or not
-    grid = counted.select("stratum", "rule").distinct().select("stratum", "rule", F.explode(F.sequence(F.lit(0), F.lit(GRID + 1))).alias("step"))
-    by_rule = Window.partitionBy("stratum", "rule")
+def _levels(labelled: DataFrame) -> DataFrame:
+    """One row: for each rule the level of each step, by documents (good, steps) that teach."""
+    spark = labelled.sparkSession
+    counted = labelled.select("good", F.explode("steps").alias("rule", "step")).groupBy("rule", "step").agg(F.count_if(F.col("good")).alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    grid = spark.range(GRID + 2).select(F.col("id").cast("int").alias("step"), F.explode(F.array(*map(F.lit, RULES))).alias("rule"))
+    # a row for each rule and step from here on
+    worse, all_steps = Window.partitionBy("rule").orderBy(F.desc("step")), Window.partitionBy("rule")
+    share = lambda c, more: (F.sum(F.coalesce(c, F.lit(0))).over(worse) + more) / (F.sum(F.coalesce(c, F.lit(0))).over(all_steps) + 1)
+    shares = grid.join(counted, ["rule", "step"], "left").select("rule", "step", share("good", 1).alias("good"), share("bad", 0).alias("bad"))
+    against = F.col("bad") / (LEAST_RATIO * F.col("good"))
+    level = F.when(against >= 1, F.least(F.lit(LEVELS), 1 + F.floor(8 * F.log2(against)))).otherwise(0).cast("int")
+    arrays = shares.groupBy("rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", level.alias("level")))), lambda x: x["level"]).alias("levels"))
+    return arrays.agg(F.map_from_entries(F.collect_list(F.struct("rule", "levels"))).alias("levels"))
+
+
+def _steps() -> Column:
+    return F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*map(score_step, RULES)))
+
+
+def _level(rule: str) -> Column:
+    return F.coalesce(F.get(F.col("levels")[rule], score_step(rule)), F.lit(0))
+
+
+def cutoffs(graded: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum and its certified cutoff (none certified: no row); a document with a level at or above it is rejected. ``graded``: doc_id, lang, base_failed, level."""
+    proof = labels.where((F.col("quality") == 1) & ~teaches(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"))
+    good = proof.join(graded.where(~F.col("base_failed")), F.col("labelled") == F.col("doc_id")).select(F.coalesce("lang", F.lit("")).alias("stratum"), "level")
+    counted = good.groupBy("stratum", "level").agg(F.count(F.lit(1)).alias("n"))
+    # a row for each stratum and level from here on; every level is a cutoff, seen or not
+    grid = counted.select("stratum").distinct().select("stratum", F.explode(F.sequence(F.lit(0), F.lit(LEVELS + 1))).alias("level"))
+    own = Window.partitionBy("stratum")
     strata = counted.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
     tested = (
-        grid.join(counted, ["stratum", "rule", "step"], "left")
-        .withColumn("rejected", F.sum(F.coalesce("n", F.lit(0))).over(by_rule.orderBy(F.desc("step"))))
-        .withColumn("total", F.sum(F.coalesce("n", F.lit(0))).over(by_rule))
+        grid.join(counted, ["stratum", "level"], "left")
+        .withColumn("rejected", F.sum(F.coalesce("n", F.lit(0))).over(own.orderBy(F.desc("level"))))
+        .withColumn("total", F.sum(F.coalesce("n", F.lit(0))).over(own))
         .join(strata)  # one row
-        .withColumn("limit", most_rejected(F.col("total"), F.lit(RISK / len(RULES)), F.lit(DELTA / len(RULES)) / F.col("strata")))
+        .withColumn("limit", most_rejected(F.col("total"), F.lit(RISK), F.lit(DELTA) / F.col("strata")))
     )
-    certified = tested.where(F.col("rejected") <= F.col("limit")).groupBy("stratum", "rule").agg(F.min("step").alias("cutoff"))
-    return certified.groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("cutoff"))
+    # rejections grow from cutoff to cutoff, so the first failure is the end of those within the limit; level 0 speaks against nobody
+    return tested.where((F.col("rejected") <= F.col("limit")) & (F.col("level") > 0)).groupBy("stratum").agg(F.min("level").alias("cutoff"))
+
+
+def teaches(doc_id: Column) -> Column:
+    """Whether a labelled document says what scores mean; the others certify."""
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(2)) == 0
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, the counts, base_failed, the rule that rejected (null: none) and kept."""
     found = materialize(features(docs), "quality-features")
-    cut = cutoffs(found, labels).withColumnsRenamed({rule: f"cut_{rule}" for rule in RULES})
-    rejected = F.coalesce(*(F.when(score_step(rule) >= F.col(f"cut_{rule}"), F.lit(rule)) for rule in RULES))
+    teaching = labels.where(F.col("quality").isin(0, 1) & teaches(F.col("doc_id"))).select(F.col("doc_id").alias("labelled"), (F.col("quality") == 1).alias("good"))
+    teaching = teaching.join(found.where(~F.col("base_failed")), F.col("labelled") == F.col("doc_id")).select("good", _steps().alias("steps"))
+    graded = found.join(F.broadcast(_levels(teaching))).withColumn("level", F.greatest(*map(_level, RULES)))  # one row of a fixed size
+    worst = F.coalesce(*(F.when(_level(rule) == F.col("level"), F.lit(rule)) for rule in RULES))
+    cut = cutoffs(graded, labels)
     return (
-        found.join(cut, F.coalesce(found["lang"], F.lit("")) == cut["stratum"], "left")
-        .withColumn("rejected_by", rejected)
+        graded.join(cut, F.coalesce(graded["lang"], F.lit("")) == cut["stratum"], "left")
+        .withColumn("rejected_by", F.when(F.col("level") >= F.col("cutoff"), worst))
         .select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", (~F.col("base_failed") & F.col("rejected_by").isNull()).alias("kept"))
     )

@@ -366,6 +366,22 @@ def test_quality_verdict_on_strata(spark):
     assert none.where("not kept and not base_failed").count() == 0
 
 
+def test_quality_thresholds_by_stratum_and_edges(spark):
+    good, bad = " ".join(f"w{i}" for i in range(80)), " ".join(f"#{i}$" for i in range(80))
+    texts = [f"g{i} {good}" for i in range(460)] + [f"{bad} {i}" for i in range(90)] + [None, "", good]
+    langs = ["de"] * 400 + ["fr"] * 60 + ["de"] * 60 + ["fr"] * 30 + [None, "de", None]
+    docs = frame(spark, texts, langs).withColumn("labelled", F.lit("x")).withColumn("level", F.lit("y")).withColumn("levels", F.lit(1))
+    docs = docs.union(docs.where("doc_id = 0")).union(docs.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < 460, 1).otherwise(0).alias("quality")).union(spark.createDataFrame([(None, 1), (3, None), (99999, 0)], "doc_id long, quality int"))
+    rows = quality.judge(docs, labels).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == docs.count() and sum(r["doc_id"] == 0 for r in rows) == 2
+    assert all(got[i]["kept"] for i in range(460)) and not any(got[i]["kept"] for i in range(460, 520))
+    assert all(got[i]["kept"] for i in range(520, 550))  # about 30 good labels of fr certify nothing
+    assert got[550]["base_failed"] and got[551]["base_failed"] and got[552]["kept"] and got[None]["kept"]
+    assert quality.judge(docs.limit(0), labels).count() == 0
+
+
 def test_language_held_out(spark):
     rng = random.Random(6)
     syllables = {"aa": ["ba", "lo", "mi", "ru"], "bb": ["xe", "ji", "qua", "vor"]}
