@@ -54,14 +54,14 @@ LANDMARKS, COMMON_LANDMARKS = 200, 40
 #: Kernel above which a word is too like a landmark to be another.
 ALIKE = 0.85
 WORD_CHARS, WINDOW, STEP, ALPHABET = 24, 16, 4, 61
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 900, 1800, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 900, 1800, 16_000
 #: One of so many documents of the sample is kept for calibration.
 CALIBRATION = 3
 PENALTY = 1e-4
 #: Rounds in which the worst words of documents and sentences are chosen again.
 ROUNDS = 4
 #: Words that the machine is first trained on.
-FIRST_WORDS = 40_000
+FIRST_WORDS = 30_000
 #: Worst words that a document stands for.
 WORST = 2
 #: How much of a clean word's weight the next round keeps.
@@ -273,18 +273,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, block: int = 8192) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, bad: np.ndarray, good: np.ndarray, block: int = 4096) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps on the support vectors (few features, so
-    that each step is a small linear system)."""
+    that each step is a small linear system). A row weighs ``bad`` as a toxic and ``good`` as a clean case."""
     w = np.zeros(x.shape[1] + 1)
     for _ in range(30):
         left, right = PENALTY * np.eye(len(w)), np.zeros(len(w))
         for at in range(0, len(x), block):
             part = np.hstack([x[at : at + block], np.ones((len(x[at : at + block]), 1))]).astype(np.float64)
-            hit = y[at : at + block] * (part @ w) < 1
-            near, c = part[hit], cost[at : at + block][hit]
-            left += (near * c[:, None]).T @ near
-            right += (near * c[:, None]).T @ y[at : at + block][hit]
+            margin = part @ w
+            for y, cost in ((1.0, bad[at : at + block]), (-1.0, good[at : at + block])):
+                hit = (cost > 0) & (y * margin < 1)
+                near, c = part[hit], cost[hit]
+                left += (near * c[:, None]).T @ near
+                right += y * (c @ near)
         new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-5):
             break
@@ -461,10 +463,7 @@ def _fit(cases: list[tuple[bytes, float, float]], landmarks: list[bytes], root:
     """The machine of words with weights as toxic and as clean ones (each label weighs half): weights of landmarks and bias."""
     x = kernels([w for w, *_ in cases], landmarks, root)
     bad, good = np.array([b for _, b, _ in cases], np.float64), np.array([g for *_, g in cases], np.float64)
-    a, b = np.flatnonzero(bad), np.flatnonzero(good)
-    y = np.concatenate([np.ones(len(a)), -np.ones(len(b))])
-    both = x[np.concatenate([a, b])]
-    weights, bias = _svm(both, y, np.concatenate([bad[a] / bad.sum(), good[b] / good.sum()]) / 2)
+    weights, bias = _svm(x, bad / max(bad.sum(), 1e-9) / 2, good / max(good.sum(), 1e-9) / 2)
     return root @ weights, bias
 
 
