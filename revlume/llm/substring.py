@@ -1,20 +1,22 @@
-"""Repeated passages by minimizer groups of windows, in place of prefix-partitioned suffix trees.
+"""Repeated passages by suffix trees of groups of suffixes with one prefix.
 
 A window is LENGTH consecutive words of one document; every word that lies in a
 window whose word sequence also starts anywhere else is removed. A window is the
 beginning of a suffix, and repeats exactly if its suffix lies below an internal
 node of the suffix tree at LENGTH words or deeper.
 
-Suffixes are split into groups that fit in memory by what they begin with. Each
-window's rarest-looking run of SEED words (the one with the least hash) is its
-seed: equal windows have equal seeds. Seeds that occur once in the corpus cannot
-begin a repeat, and their windows go no further. The rest are grouped by seed,
-neighbouring windows of one seed in one stretch of words, so that a word is sent
-a few times and not LENGTH times. In a task, the suffixes of a batch of groups
-are sorted, neighbours' common prefixes give the tree's internal nodes, and the
-deep ones mark their windows. A seed that occurs more than GROUP times is too
-long for one group: its prefix is extended to the whole window, whose
-occurrences are counted with partial sums, wherever they are.
+Suffixes are split into groups that fit in memory by a prefix. So that a word is
+sent a few times and not LENGTH times, the prefix that counts is that of the
+suffix at the window's seed (its run of SEED words with the least hash, the
+first of equal ones): equal windows have equal seeds at equal places, and
+neighbouring windows share one, so that they go together in one stretch of
+words. Seeds that occur once in the corpus begin no repeat, and their windows go
+no further. In a task, the suffixes of a batch of groups are sorted by doubling,
+neighbours' common prefixes in words give the depths of the tree's internal
+nodes, and all leaves below a node of LENGTH words or more are repeats. A seed
+that occurs more than GROUP times is too short a prefix for one group: it grows
+to the whole window, whose occurrences are counted with partial sums, wherever
+they are.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, compared by 64-bit hashes.
 
@@ -34,16 +36,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
-from .vector import U, chunks, grams, word_hashes
+from .storage import materialize, row_key
+from .vector import U, chunks, grams, mix, word_hashes
 
 LENGTH, SEED = 35, 8
-#: Stretches of one seed that a task gathers at most (about 25 MB with their suffixes); windows that a task sorts at a time.
-GROUP, BATCH = 20_000, 200_000
+#: Stretches of one seed that a task gathers at most; windows that a task sorts at a time.
+GROUP, BATCH = 20_000, 100_000
 #: Stretches that a task hands on at a time.
 PART = 20_000
-#: The tree's symbols: hashes of STEP words each.
-STEP = 5
+#: Depths are told apart up to this number of words.
+DEEPEST = 64
 
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -92,7 +94,7 @@ def seeds(keyed: DataFrame) -> DataFrame:
             parts, size = [], 0
             for key, words in zip(batch["key"].to_numpy(), _words(batch["text"].tolist()), strict=True):
                 s, *numbers = stretches(words)
-                parts.append((np.full(len(s), key), s.view(np.int64), *numbers))
+                parts.append((np.full(len(s), key, object), s.view(np.int64), *numbers))
                 size += len(s)
                 if size > PART:
                     yield table(parts)
@@ -100,28 +102,66 @@ def seeds(keyed: DataFrame) -> DataFrame:
             if parts:
                 yield table(parts)
 
-    return keyed.mapInPandas(rows, "seed long, key long, first int, n int, places int")
+    return keyed.mapInPandas(rows, "seed long, key binary, first int, n int, places int")
 
 
-def _symbols(words: np.ndarray) -> np.ndarray:
-    """For each window of the words, LENGTH / STEP symbols."""
-    g = grams(words, STEP)
-    count = len(words) - LENGTH + 1
-    return np.stack([g[k : k + count] for k in range(0, LENGTH, STEP)], axis=1)
+def suffix_tree(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of pieces of words in their order, and the depth, in words, of the node that parts each from the one before.
 
+    ``ends``: where pieces end, the last one with the words. Ranks of runs of 1, 2, 4, ... DEEPEST words sort the suffixes;
+    depths come from the same ranks. A suffix ends with its piece; depths are at most 2 * DEEPEST - 1.
+    """
+    n = len(words) + len(ends)
+    stops = ends + np.arange(len(ends))
+    text = np.empty(n, np.int64)
+    body = np.ones(n, bool)
+    body[stops] = False
+    text[body] = np.unique(words, return_inverse=True)[1] + len(ends)
+    text[stops] = np.arange(len(ends))  # each piece ends with a word of its own
+    ranks, length = [text], 1
+    while length < DEEPEST:
+        after = np.full(n, -1, np.int64)
+        after[:-length] = ranks[-1][length:] if length < n else after[:-length]
+        ranks.append(np.unique(ranks[-1] * (n + 1) + after + 1, return_inverse=True)[1])
+        length *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    depth = np.zeros(n, np.int64)
+    a, b = order[1:], order[:-1]
+    for level in range(len(ranks) - 1, -1, -1):
+        x, y = a + depth[1:], b + depth[1:]
+        inside = np.maximum(x, y) < n
+        same = inside & (ranks[level][np.minimum(x, n - 1)] == ranks[level][np.minimum(y, n - 1)])
+        depth[1:][same] += 1 << level
+    # back to places among the words; a suffix of a mark alone is none
+    place = np.cumsum(body) - 1
+    kept = body[order]
+    at = np.flatnonzero(kept)
+    if len(at):
+        # marks sort before all words, so that nothing between two suffixes is left out
+        depth = depth[at]
+        depth[0] = 0
+    return place[order[kept]], depth[: len(at)]
+
+
+def internal_nodes(depth: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """(depth, first, end) of the tree's internal nodes of a depth or more: their leaves among the sorted suffixes."""
+    out, open_nodes = [], []
+    for i, d in enumerate([*depth.tolist(), 0]):
+        first = i - 1
+        while open_nodes and open_nodes[-1][0] > d:
+            deep, first = open_nodes.pop()
+            out.append((deep, first, i))
+        if d >= least and (not open_nodes or open_nodes[-1][0] < d):
+            open_nodes.append((d, first))
+    return out
 
-def deep_windows(symbols: np.ndarray) -> np.ndarray:
-    """Which of the suffixes lie below an internal node of depth LENGTH.
 
-    The suffixes are sorted; the number of symbols that neighbours have in
-    common is the depth of the node that parts them.
-    """
-    order = np.lexsort(symbols.T[::-1])
-    rows = symbols[order]
-    depth = np.logical_and.accumulate(rows[1:] == rows[:-1], axis=1).sum(1) * STEP
+def repeats(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word of the pieces, whether the window that begins there lies below a node of LENGTH words or more."""
+    order, depth = suffix_tree(words, ends)
     deep = depth >= LENGTH
-    out = np.zeros(len(symbols), bool)
-    out[order] = np.concatenate([[False], deep]) | np.concatenate([deep, [False]])
+    out = np.zeros(len(words), bool)
+    out[order] = deep | np.append(deep[1:], False)
     return out
 
 
@@ -139,14 +179,14 @@ def _stretch_rows(found: DataFrame) -> DataFrame:
                     out = []
             yield pd.DataFrame(out, columns=names)
 
-    return found.mapInPandas(rows, "seed long, key long, first int, n int, words binary")
+    return found.mapInPandas(rows, "seed long, key binary, first int, n int, words binary")
 
 
-def _runs(key: np.ndarray, window: np.ndarray) -> pd.DataFrame:
-    """Marked windows as runs: (key, first word, end)."""
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (window[1:] != window[:-1] + 1)]))
-    last = np.append(first[1:], len(key)) - 1
-    return pd.DataFrame({"key": key[first], "first": window[first].astype(np.int32), "end": (window[last] + LENGTH).astype(np.int32)})
+def _runs(row: np.ndarray, window: np.ndarray, keys: list) -> pd.DataFrame:
+    """Marked windows as runs: (key, first word, end); a row is a number in ``keys``."""
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (window[1:] != window[:-1] + 1)]))
+    last = np.append(first[1:], len(row)) - 1
+    return pd.DataFrame({"key": [keys[i] for i in row[first].tolist()], "first": window[first].astype(np.int32), "end": (window[last] + LENGTH).astype(np.int32)})
 
 
 def _trees(stretches_by_seed: DataFrame) -> DataFrame:
@@ -154,13 +194,15 @@ def _trees(stretches_by_seed: DataFrame) -> DataFrame:
 
     def tree(parts: list[pd.DataFrame]) -> pd.DataFrame | None:
         rows = pd.concat(parts, ignore_index=True)
-        words = [np.frombuffer(w, U) for w in rows["words"]]
-        symbols = np.concatenate([_symbols(w) for w in words])
-        n = rows["n"].to_numpy(np.int64)
-        keys = np.repeat(rows["key"].to_numpy(), n)
-        window = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(rows["first"].to_numpy(np.int64), n)
-        deep = deep_windows(symbols)
-        return _runs(keys[deep], window[deep]) if deep.any() else None
+        pieces = [np.frombuffer(w, U) for w in rows["words"]]
+        n, sizes = rows["n"].to_numpy(np.int64), np.array([len(w) for w in pieces])
+        ends = np.cumsum(sizes)
+        deep = repeats(np.concatenate(pieces), ends)
+        row = np.repeat(np.arange(len(rows)), n)
+        turn = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        marked = deep[(ends - sizes)[row] + turn]
+        window = turn + rows["first"].to_numpy(np.int64)[row]
+        return _runs(row[marked], window[marked], rows["key"].tolist()) if marked.any() else None
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -184,7 +226,7 @@ def _trees(stretches_by_seed: DataFrame) -> DataFrame:
         if held and (found := tree(held)) is not None:
             yield found
 
-    return stretches_by_seed.repartition("seed").sortWithinPartitions("seed").mapInPandas(rows, "key long, first int, end int")
+    return stretches_by_seed.repartition("seed").sortWithinPartitions("seed").mapInPandas(rows, "key binary, first int, end int")
 
 
 def _long_prefixes(stretch: DataFrame) -> DataFrame:
@@ -198,21 +240,19 @@ def _long_prefixes(stretch: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), PART // 8):
                 part = batch.iloc[at : at + PART // 8]
-                symbols = [_symbols(np.frombuffer(w, U)) for w in part["words"]]
-                n = np.array([len(s) for s in symbols])
-                all_symbols = np.concatenate(symbols)
-                width = all_symbols.shape[1]
-                whole = grams(np.ascontiguousarray(all_symbols).ravel(), width)[::width]
+                words = [np.frombuffer(w, U) for w in part["words"]]
+                n = np.array([len(w) - LENGTH + 1 for w in words])
+                one, two = (np.concatenate([grams(w if k else mix(w), LENGTH) for w in words]) for k in (0, 1))
                 spread = {c: np.repeat(part[c].to_numpy(), n) for c in ("x", "y", "copies")}
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pd.DataFrame({"a": whole.view(np.int64), "b": all_symbols[:, 0].view(np.int64), "x": spread["x"], "y": spread["y"], "offset": offset.astype(np.int32), "copies": spread["copies"]})
+                yield pd.DataFrame({"a": one.view(np.int64), "b": two.view(np.int64), "x": spread["x"], "y": spread["y"], "offset": offset.astype(np.int32), "copies": spread["copies"]})
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes = batch["offsets"].map(len).to_numpy()
             if sizes.sum():
                 window = np.concatenate(batch["offsets"].to_list()) + np.repeat(batch["first"].to_numpy(), sizes)
-                yield _runs(np.repeat(batch["key"].to_numpy(), sizes), window)
+                yield _runs(np.repeat(np.arange(len(batch)), sizes), window, batch["key"].tolist())
 
     same = [F.xxhash64("words").alias("x"), F.xxhash64("words", F.lit(35)).alias("y")]
     stretch = materialize(stretch.select("key", "first", "words", *same), "long-prefixes")
@@ -220,7 +260,7 @@ def _long_prefixes(stretch: DataFrame) -> DataFrame:
     windows = materialize(distinct.mapInPandas(cut, "a long, b long, x long, y long, offset int, copies long"), "long-windows")
     often = windows.groupBy("a", "b").agg(F.sum("copies").alias("n")).where("n > 1").select("a", "b")
     marked = windows.join(often, ["a", "b"]).groupBy("x", "y").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))
-    return stretch.select("key", "first", "x", "y").join(marked, ["x", "y"]).select("key", "first", "offsets").mapInPandas(runs, "key long, first int, end int")
+    return stretch.select("key", "first", "x", "y").join(marked, ["x", "y"]).select("key", "first", "offsets").mapInPandas(runs, "key binary, first int, end int")
 
 
 def repeated(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,10 +287,10 @@ def kept_text(words: list[str], runs: list | None) -> tuple[int, str]:
 
 def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) of each row."""
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").where(F.col("text").isNotNull())
+    keyed = docs.select(row_key().alias("key"), "text").where(F.col("text").isNotNull())
     texts, runs = repeated(keyed)
     by_text = runs.groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
-    schema = "key long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "key binary, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -263,7 +303,7 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     cut = texts.dropDuplicates(["key"]).join(by_text, "key").mapInPandas(digest, schema)
-    own = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"), "text")
+    own = docs.select(row_key().alias("key"), F.col("doc_id").cast("long"), "text")
 
     def plain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -272,7 +312,7 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 yield d
 
     # texts without a removed word are digested where they are read; the others' digests replace them
-    whole = own.mapInPandas(plain, schema.replace("key long", "key long, doc_id long"))
+    whole = own.mapInPandas(plain, schema.replace("key binary", "key binary, doc_id long"))
     names = ["n_removed", "kept_sha256", *(["kept_text"] * with_text)]
     changed = cut.select("key", *(F.col(c).alias(f"cut_{c}") for c in names))
     return whole.join(changed, "key", "left").select("doc_id", "n_words", *(F.coalesce(f"cut_{c}", c).alias(c) for c in names))

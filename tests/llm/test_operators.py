@@ -157,6 +157,30 @@ def test_repeated_passages_are_those_of_brute_force(spark, monkeypatch):
             assert got[k] == (len(w), len(w) - sum(keep), hashlib.sha256(kept.encode()).hexdigest()), k
 
 
+def test_internal_nodes_are_the_right_maximal_repeats_of_brute_force():
+    rng = np.random.default_rng(17)
+    for _ in range(20):
+        pieces = [rng.integers(0, 3, rng.integers(1, 30)) for _ in range(rng.integers(1, 5))]
+        order, depth = substring.suffix_tree(np.concatenate(pieces).astype(np.uint64), np.cumsum([len(p) for p in pieces]))
+        ends = np.cumsum([len(p) for p in pieces])
+        words = np.concatenate(pieces)
+        end_of = ends[np.searchsorted(ends, np.arange(len(words)), side="right")]
+        got = {}
+        for d, a, b in substring.internal_nodes(depth, 1):
+            i = int(order[a])
+            got[tuple(words[i : i + d])] = sorted(order[a:b].tolist())
+        at = {}
+        for i in range(len(words)):
+            for j in range(i + 1, end_of[i] + 1):
+                at.setdefault(tuple(words[i:j]), []).append(i)
+        # repeats that no further word extends at all of their places; the end of a piece is like a word of its own
+        def follow(s, i):
+            return words[i + len(s)] if i + len(s) < end_of[i] else ("end", i)
+
+        expected = {s: p for s, p in at.items() if len(p) > 1 and len({follow(s, i) for i in p}) > 1}
+        assert got == expected
+
+
 def test_token_chunks_are_the_librarys(spark):
     rng = random.Random(4)
     odd = ["".join(rng.choice("ab Z\n\t .,;'s19éΣ İ\r\x1c日") for _ in range(rng.randint(1, 50))) for _ in range(300)]
