@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import discard, materialize, row_key
+from .storage import discard, free_name, materialize, row_key
 from .vector import U, chunks, grams, mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -371,6 +371,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = classes(docs)
     best = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key")).alias("best"))
     kept = best.select(F.col("best.key").alias("kept_key")).union(found.where("n_shingles = 0").select("key")).distinct()
-    numbered = docs.withColumn("kept_row_key", row_key())
-    rows = numbered.join(kept, F.col("kept_row_key") == F.col("kept_key"), "left_semi")
-    return rows.dropDuplicates(["kept_row_key"]).select(*docs.columns)
+    own = free_name(docs, "kept_row_key")
+    rows = docs.withColumn(own, row_key())
+    kept = kept.withColumnRenamed("kept_key", own)
+    return rows.join(kept, own, "left_semi").dropDuplicates([own]).select(*docs.columns)

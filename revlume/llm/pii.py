@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import hex_number, let
+from .storage import free_name
 
 ROUNDS = 10
 #: Turns until a pseudonym is one of its format's values.
@@ -285,8 +286,6 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with pseudonyms in ``text``; all columns and rows are kept."""
     if not key:
         raise ValueError("pseudonyms need a key")
-    name = "pseudonym_key"
-    while name in docs.columns:
-        name += "_"
+    name = free_name(docs, "pseudonym_key")
     keys = docs.sparkSession.createDataFrame([(key,)], f"{name} string")  # one row
     return docs.join(F.broadcast(keys)).withColumn("text", pseudonymize_text(F.col("text"), F.col(name))).select(*docs.columns)

@@ -46,3 +46,10 @@ def discard(*scans: DataFrame) -> None:
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """128 bits by which a row is known: those of its doc_id and text."""
     return F.unhex(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit(" "), F.when(F.col(text).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(text))))))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it a name that no column of ``df`` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
