@@ -105,3 +105,17 @@ def odd_nodes(found: DataFrame) -> DataFrame:
         F.when((F.col("mentions") >= 20) & (share >= 0.95), "mostly_implicit"), F.when((F.col("mentions") >= 20) & (share <= 0.05), "mostly_explicit"),
         F.when((F.col("dominant") == "positive") & (F.col("negative_ratio") > 0.34), "inconsistent"), F.when(F.col("frequency") >= F.greatest(F.lit(10), 1.05 * F.col("median")), "frequent")))
     return found.crossJoin(F.broadcast(median)).withColumn("flags", F.array_join(flags, ",")).where("flags <> ''")
+
+
+def rebuild(rows: DataFrame, alike: DataFrame, name: str = "aspect_raw") -> tuple[DataFrame, DataFrame]:
+    """The graph of a corpus anew: nodes (cluster, frequency, mentions) and edges (a, b, weight) between clusters.
+
+    Aspects that similar or heavy edges (a, b) bind are one cluster, named by its smallest; edges inside a cluster go,
+    those between two clusters are summed. Rows that may not enter a graph are left out before.
+    """
+    roots = components(alike).select(F.col("node").alias(name), F.col("root"))
+    placed = rows.join(roots, name, "left").withColumn("cluster", F.coalesce("root", name))
+    found = placed.groupBy("cluster").agg(F.countDistinct("review_id").alias("frequency"), F.count(F.lit(1)).alias("mentions"))
+    to = roots.toDF("from", "to")
+    both = cooccurrence(rows, name=name).join(to.toDF("a", "x"), "a", "left").join(to.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "weight").where("x <> y")
+    return found, both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("weight"))

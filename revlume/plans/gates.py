@@ -11,6 +11,8 @@ from revlume.operators import records as C
 from revlume.plans import views as V
 from revlume.plans.records import words
 from revlume.plans.registry import Registry
+from revlume.plans.shared import shared_folder
+from revlume.sources import files as S
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -223,3 +225,64 @@ def f17(spark, d):
     rows = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("group_id"), F.col("text").alias("review_text"), split.alias("split"))
     issue = E.span_issue(F.col("review_text"), F.substring("review_text", 1, 4), F.array(F.lit(0), F.lit(4)))
     return G.artifact_report(rows.withColumn("issue", issue))
+
+
+@R.add("F06_matched_labels", SQL + "SELECT label, label IN ('Battery_Life', 'table service') OR contains(' ' || label || ' ', ' gear ') AS matched, count(*) AS n FROM mentions GROUP BY 1, 2")
+def f06(spark, d):
+    """Labels that equal a candidate or hold all of its tokens."""
+    plain = F.translate("label", "_", " ")
+    return mentions(spark, d).groupBy("label", C.matches_any(plain, words("battery life", "service table", "gear")).alias("matched")).agg(count())
+
+
+@R.add("U06_routed_predictions", SQL + """, f AS (SELECT DISTINCT review_id, aspect_raw, aspect_cluster, conf, conf % 4 AS r, position % 2 AS odd FROM mentions), novel AS (SELECT DISTINCT review_id, aspect_cluster AS aspect, 0.9::DOUBLE AS s FROM f WHERE r = 3 AND odd = 1 UNION SELECT DISTINCT review_id, aspect_raw, 0.5::DOUBLE FROM f WHERE r = 3 AND odd = 1 UNION SELECT DISTINCT review_id, aspect_raw, NULL FROM f WHERE r = 3 AND odd = 0)
+SELECT 'accepted' AS kind, count(*) AS n FROM (SELECT DISTINCT review_id, aspect_raw, conf FROM f WHERE r = 0) UNION ALL SELECT 'abstained', count(*) FROM (SELECT DISTINCT review_id, aspect_raw, conf FROM f WHERE r IN (1, 2)) UNION ALL SELECT 'novel', count(*) FROM novel""")
+def u06(spark, d):
+    """How many predictions are accepted, abstained and novel; half of the novel ones name candidates."""
+    r = F.col("conf") % 4
+    routing = F.when(r == 0, "known").when(r == 1, "boundary").when(r == 2, "abstain").otherwise("novel")
+    one = lambda name, score: F.struct(F.col(name).alias("aspect"), F.lit(score).alias("novelty_score"))
+    named = F.when((r == 3) & (F.col("position") % 2 == 1), F.array(one("aspect_cluster", 0.9), one("aspect_raw", 0.5)))
+    item = F.struct(F.col("aspect_raw").alias("aspect"), routing.alias("routing"), F.col("conf").alias("confidence"), named.alias("novel_candidates"))
+    parts = C.route_predictions(mentions(spark, d).groupBy(F.col("review_id").alias("id")).agg(F.collect_list(item).alias("predictions")))
+    out = None
+    for kind, part in zip(("accepted", "abstained", "novel"), parts, strict=True):
+        own = part.agg(count()).select(F.lit(kind).alias("kind"), "n")
+        out = own if out is None else out.union(own)
+    return out
+
+
+@R.add("M04_example_weights", SQL + "SELECT round(greatest(0.25, least(1.5, greatest(0.5, least(1.0, conf / 100.0::DOUBLE)) * greatest(0.5, least(1.0, position / 5.0::DOUBLE)) * (1 + 0.3::DOUBLE * CASE position % 4 WHEN 0 THEN 0 WHEN 1 THEN 0.34::DOUBLE WHEN 2 THEN 0.67::DOUBLE ELSE 1 END))), 6) AS weight, count(*) AS n FROM mentions GROUP BY 1")
+def m04(spark, d):
+    tier = F.concat(F.lit("H"), (F.col("position") % 4).cast("string"))
+    weight = C.quality_weight(F.col("conf") / 100, F.col("position") / 5, tier)
+    return mentions(spark, d).groupBy(F.round(weight, 6).alias("weight")).agg(count())
+
+
+def documents(spark, d):
+    return V.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
+
+
+@R.add("S01_csv_reviews", "SELECT doc_id::VARCHAR AS doc_id, lang, text FROM documents WHERE text <> ''")
+def s01(spark, d):
+    """The documents, written as CSV with line feeds and quotes in fields, as the CSV reader gives them back."""
+    path = shared_folder(spark, "reviews-csv")
+    documents(spark, d).where("text <> ''").write.csv(path, header=True, escape='"', quoteAll=True)
+    return S.read_csv(spark, path)
+
+
+@R.add("S02_json_reviews", "SELECT doc_id::VARCHAR AS doc_id, lang, text FROM documents")
+def s02(spark, d):
+    """The documents as JSON lines, read back with the schema that the reader infers."""
+    path = shared_folder(spark, "reviews-json")
+    documents(spark, d).write.json(path)
+    return S.read_jsonl(spark, path).select("doc_id", "lang", "text")
+
+
+@R.add("S08_uploaded_rows", "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'yes' ELSE 'no' END AS broken, count(*) AS n FROM orders GROUP BY 1")
+def s08(spark, d):
+    """Orders as an uploaded file in which each third line lacks a field: those are marked, not lost."""
+    path = shared_folder(spark, "upload")
+    lines = V.table(spark, d, "orders").select(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey").cast("string"))).alias("id,status,user"))
+    lines.write.option("header", True).option("quote", "").csv(path)
+    found = S.read_csv_upload(spark, path, most_rows=10**9)
+    return found.groupBy(F.when(F.col("_broken").isNotNull(), "yes").otherwise("no").alias("broken")).agg(F.count("id").alias("n"))

@@ -117,8 +117,25 @@ def f18(spark, d):
     return G.odd_nodes(G.nodes(V.predictions(spark, d), "aspect_raw")).select("aspect_raw", "frequency", "flags")
 
 
-@R.add("U02_review_graph_nodes", with_views("SELECT review_id, aspect, count(*) AS mentions, CAST(sum(conf) AS BIGINT)::DOUBLE / count(*) / 100 AS confidence, min(position) AS first_position FROM predictions WHERE review_id % 50 = 3 GROUP BY 1, 2"))
+@R.add("U02_review_graph_nodes", with_views("SELECT review_id, aspect, count(*) AS mentions, CAST(sum(conf) AS BIGINT)::DOUBLE / count(*) / 100 AS confidence, min(position) AS first_position FROM predictions GROUP BY 1, 2"))
 def review_graph(spark, d):
-    """Nodes of single reviews' graphs (a batch of lookups by id)."""
-    own = V.predictions(spark, d).where("review_id % 50 = 3")
+    """Nodes of each review's graph."""
+    own = V.predictions(spark, d)
     return own.groupBy("review_id", "aspect").agg(F.count(F.lit(1)).alias("mentions"), (F.sum("conf").cast("double") / F.count(F.lit(1)) / 100).alias("confidence"), F.min("position").alias("first_position"))
+
+
+@R.add("G05_review_edges", with_views(PAIRS + " SELECT a, b, count(*) AS reviews, 0.5::DOUBLE * count(*) AS weight FROM pairs GROUP BY 1, 2"))
+def g05(spark, d):
+    """Edges of single reviews' graphs, each of weight one half, over all reviews."""
+    pairs = G.pairs_per_review(V.predictions(spark, d), name="aspect_raw").withColumn("weight", F.lit(0.5))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("reviews"), F.sum("weight").alias("weight"))
+
+
+@R.add("G06_rebuilt_graph", with_views(PAIRS + ", " + SIMILAR + """, p AS (SELECT review_id, coalesce(root, aspect_raw) AS cluster FROM predictions LEFT JOIN roots ON node = aspect_raw),
+g AS (SELECT coalesce(x.root, a) AS x, coalesce(y.root, b) AS y, weight FROM edges LEFT JOIN roots x ON x.node = a LEFT JOIN roots y ON y.node = b)
+SELECT 'node' AS kind, cluster AS a, NULL AS b, count(DISTINCT review_id) AS weight, count(*) AS mentions FROM p GROUP BY 2 UNION ALL SELECT 'edge', least(x, y), greatest(x, y), CAST(sum(weight) AS BIGINT), NULL FROM g WHERE x <> y GROUP BY 2, 3""").replace("WITH ", "WITH RECURSIVE ", 1))
+def g06(spark, d):
+    """Nodes and edges of the whole graph, built anew."""
+    found, edges = G.rebuild(V.predictions(spark, d), heavy(spark, d))
+    nodes = found.select(F.lit("node").alias("kind"), F.col("cluster").alias("a"), F.lit(None).cast("string").alias("b"), F.col("frequency").alias("weight"), "mentions")
+    return nodes.union(edges.select(F.lit("edge"), "a", "b", "weight", F.lit(None).cast("long")))
