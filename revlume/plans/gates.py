@@ -283,6 +283,6 @@ def s08(spark, d):
     """Orders as an uploaded file in which each third line lacks a field: those are marked, not lost."""
     path = shared_folder(spark, "upload")
     lines = V.table(spark, d, "orders").select(F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey").cast("string"))).alias("id,status,user"))
-    lines.write.option("header", True).option("quote", "").csv(path)
+    lines.write.csv(path, header=True, sep="|")
     found = S.read_csv_upload(spark, path, most_rows=10**9)
     return found.groupBy(F.when(F.col("_broken").isNotNull(), "yes").otherwise("no").alias("broken")).agg(F.count("id").alias("n"))
