@@ -44,7 +44,8 @@ def read_csv_upload(spark: SparkSession, path: str, most_rows: int = 20_000) ->
     """A user's file, with a column of broken lines instead of a failure; more rows than allowed are an error, not a cut."""
     head = spark.read.csv(path, header=True, mode="PERMISSIVE")
     schema = T.StructType([*head.schema.fields, T.StructField("_broken", T.StringType())])
-    df = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
+    # a line is judged whole, whatever columns a query reads
+    df = spark.read.schema(schema).option("columnPruning", "false").csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken")
     if df.select(df.columns[0]).limit(most_rows + 1).count() > most_rows:
         raise ValueError(f"more than {most_rows} rows")
     return df
