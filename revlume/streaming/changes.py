@@ -48,8 +48,9 @@ STATE = "support long, reviews array<long>, domains array<string>"
 def aspect_memory(mentions: DataFrame, promoted: int = 5, most: int = 1000) -> DataFrame:
     """(aspect, support, reviews, domains, status) as mentions (aspect, review_id, domain) come in.
 
-    The state of an aspect holds up to ``most`` review ids: enough for the status,
-    which asks for three; the support counts every mention.
+    The state of an aspect holds up to ``most`` distinct review ids and domains:
+    enough for the status, which asks for three; a count that reached ``most``
+    stands for that many or more. The support counts every mention.
     """
 
     def update(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,8 +58,11 @@ def aspect_memory(mentions: DataFrame, promoted: int = 5, most: int = 1000) -> D
         reviews, domains = set(reviews), set(domains)
         for b in batches:
             support += len(b)
-            reviews |= set(b["review_id"].tolist()[: max(0, most - len(reviews))])
-            domains |= set(b["domain"].dropna())
+            for known, column in ((reviews, "review_id"), (domains, "domain")):
+                for value in b[column].dropna().unique().tolist():
+                    if len(known) >= most:
+                        break
+                    known.add(value)
         state.update((support, sorted(reviews), sorted(domains)))
         status = "promoted" if support >= promoted and len(reviews) >= 3 else "candidate" if support >= 2 else "rejected"
         yield pd.DataFrame({"aspect": [key[0]], "support": [support], "reviews": [len(reviews)], "domains": [len(domains)], "status": [status]})
