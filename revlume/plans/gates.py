@@ -286,3 +286,18 @@ def s08(spark, d):
     lines.write.csv(path, header=True, sep="|")
     found = S.read_csv_upload(spark, path, most_rows=10**9)
     return found.groupBy(F.when(F.col("_broken").isNotNull(), "yes").otherwise("no").alias("broken")).agg(F.count("id").alias("n"))
+
+
+@R.add("R01_streamed_product_cache", f"WITH {V.SQL.strip()} SELECT product_id, round(CAST(sum(rating) AS BIGINT)::DOUBLE / count(*), 6) AS avg_rating, count(*) AS review_count, CAST(sum(helpful) AS BIGINT) AS helpful_count FROM user_reviews GROUP BY 1")
+def r01(spark, d):
+    """Product aggregates from a stream of changes (one for each user review, in four files), batch by batch."""
+    from revlume.streaming.changes import maintain_product_cache
+
+    feed, cache, state = (shared_folder(spark, f"feed-{x}") for x in ("in", "out", "state"))
+    changes = V.user_reviews(spark, d).select("product_id", F.col("rating").cast("long").alias("rating_delta"), F.lit(1).cast("long").alias("review_delta"), F.col("helpful").alias("helpful_delta"))
+    changes.repartition(4, "product_id", "rating_delta", "helpful_delta").write.parquet(feed)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    query = maintain_product_cache(stream, cache, state)
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    return spark.read.parquet(f"{cache}/v={last}").select("product_id", F.round("avg_rating", 6).alias("avg_rating"), "review_count", "helpful_count")
