@@ -58,14 +58,16 @@ def top_aspects(rows: DataFrame, limit: int) -> DataFrame:
     return rows.groupBy("aspect").agg(F.count(F.lit(1)).alias("mentions")).orderBy(F.desc("mentions"), "aspect").limit(limit)
 
 
-def leaderboard(rows: DataFrame, reviews: DataFrame, days: int, limit: int) -> DataFrame:
-    """This period against the one before, both inclusive at both ends; the denominator is half-open and counts all reviews."""
-    now = reviews.agg(F.max("created_at").alias("now"))  # one row
+def leaderboard(rows: DataFrame, reviews: DataFrame, days: int, limit: int, now) -> DataFrame:
+    """The period up to ``now`` against the one before, both inclusive at both ends; the denominator is half-open and counts all reviews.
+
+    ``now`` is a value, so that the period's bounds reach the scan of reviews."""
+    at = F.lit(now).cast(reviews.schema["created_at"].dataType)
     span, two = F.expr(f"interval {days} days"), F.expr(f"interval {2 * days} days")
-    base = reviews.crossJoin(F.broadcast(now)).agg(count_if((F.col("created_at") >= F.col("now") - span) & (F.col("created_at") < F.col("now"))).alias("base"))
-    timed = rows.crossJoin(F.broadcast(now)).where(F.col("created_at") >= F.col("now") - two)
-    current = F.col("created_at") >= F.col("now") - span
-    before = F.col("created_at") <= F.col("now") - span
+    base = reviews.where((F.col("created_at") >= at - span) & (F.col("created_at") < at)).agg(F.count(F.lit(1)).alias("base"))
+    timed = rows.where(F.col("created_at") >= at - two)
+    current = F.col("created_at") >= at - span
+    before = F.col("created_at") <= at - span
     counted = timed.groupBy("aspect").agg(
         count_if(current).alias("frequency"), count_if(before).alias("previous"),
         *(count_if(current & (F.col("sentiment") == s)).alias(s) for s in SENTIMENTS), count_if(current & (F.col("source") == "implicit")).alias("implicit"),

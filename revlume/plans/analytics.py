@@ -16,27 +16,28 @@ QUERIES, ORACLE_SQL = R.queries, R.sql
 DAYS = 60
 
 
-def rows(spark: SparkSession, d: str) -> DataFrame:
-    return A.scan(V.predictions(spark, d), V.reviews(spark, d))
+def rows(spark: SparkSession, d: str, domain: bool = True) -> DataFrame:
+    """Predictions with their reviews; without the domain where a query does not read it, which spares a join."""
+    return A.scan(V.predictions(spark, d), V.reviews(spark, d, domain))
 
 
 @R.add("A01_overview", with_views("""SELECT (SELECT count(*) FROM reviews) AS reviews, count(*) AS mentions, count(DISTINCT aspect_raw) AS unique_aspects,
  CAST(CAST(sum(conf) AS BIGINT) AS DOUBLE) / count(conf) / 100 AS avg_confidence, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral,
  count(*) FILTER (sentiment = 'negative') AS negative FROM predictions"""))
 def a01(spark, d):
-    return A.overview(V.predictions(spark, d), V.reviews(spark, d))
+    return A.overview(V.predictions(spark, d), V.reviews(spark, d, domain=False))
 
 
 @R.add("A02_dashboard_kpis", with_views("""per AS (SELECT aspect, count(*) AS total, count(*) FILTER (sentiment = 'negative') AS negative FROM joined GROUP BY 1 ORDER BY total DESC, aspect LIMIT 100)
 SELECT count(*) AS mentions, 100.0::DOUBLE * count(*) FILTER (sentiment = 'negative') / count(*) AS negative_pct,
  (SELECT aspect FROM per ORDER BY negative::DOUBLE / total DESC, negative DESC, aspect LIMIT 1) AS worst_aspect FROM joined"""))
 def a02(spark, d):
-    return A.dashboard(rows(spark, d))
+    return A.dashboard(rows(spark, d, False))
 
 
 @R.add("A03_top_aspects", with_views("SELECT aspect, count(*) AS mentions FROM joined GROUP BY 1 ORDER BY mentions DESC, aspect LIMIT 10"))
 def a03(spark, d):
-    return A.top_aspects(rows(spark, d), 10)
+    return A.top_aspects(rows(spark, d, False), 10)
 
 
 COUNTS = "count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative"
@@ -44,7 +45,7 @@ COUNTS = "count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER
 
 @R.add("A04_sentiment_distribution", with_views(f"SELECT aspect, count(*) AS total, {COUNTS} FROM joined GROUP BY 1"))
 def a04(spark, d):
-    return A.distribution(rows(spark, d))
+    return A.distribution(rows(spark, d, False))
 
 
 BOARD = f"""base AS (SELECT count(*) AS base FROM reviews, clock WHERE created_at >= now - INTERVAL {DAYS} DAY AND created_at < now),
@@ -60,7 +61,7 @@ board AS (SELECT aspect, frequency, CASE WHEN base > 0 THEN 100.0::DOUBLE * freq
 
 
 def board(spark, d, limit=25):
-    return A.leaderboard(rows(spark, d), V.reviews(spark, d), DAYS, limit)
+    return A.leaderboard(rows(spark, d, False), V.reviews(spark, d, domain=False), DAYS, limit, V.clock(spark, d))
 
 
 @R.add("A05_aspect_leaderboard", with_views(BOARD + " SELECT * FROM board"))
@@ -95,7 +96,7 @@ def a09(spark, d):
     drivers = A.impact(b, 3).withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "aspect")))  # three rows
     drivers = drivers.agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("place", "aspect"))), lambda x: x["aspect"])).alias("drivers"))
     fastest = b.orderBy(F.desc("frequency"), "aspect").limit(12).orderBy(F.desc("change_pct"), F.desc("frequency"), "aspect").limit(1).select(F.col("aspect").alias("fastest"))
-    now = V.reviews(spark, d).agg(F.max("created_at").alias("now"))
+    now = spark.range(1).select(F.lit(V.clock(spark, d)).alias("now"))
     period = now.select(F.concat_ws(" to ", F.date_format(F.col("now") - F.expr("interval 7 days"), "yyyy-MM-dd"), F.date_format("now", "yyyy-MM-dd")).alias("period"))
     return period.crossJoin(drivers).crossJoin(fastest)
 
@@ -119,7 +120,7 @@ found AS (SELECT place, 1 AS kind, 'frequency_spike' AS type, aspect, 'high' AS
  UNION ALL SELECT 1000, 3, 'emerging_aspect', aspect, 'medium', 'Emerging issue detected: ' || aspect, mentions::DOUBLE, baseline FROM rising)
 SELECT type, aspect, severity, message, value, threshold FROM found ORDER BY place, kind, aspect LIMIT 50"""))
 def a11(spark, d):
-    return A.alerts(board(spark, d), A.emerging(rows(spark, d), "day"))
+    return A.alerts(board(spark, d), A.emerging(rows(spark, d, False), "day"))
 
 
 @R.add("A12_dominant_sentiment", with_views("SELECT aspect_raw, sentiment AS dominant FROM (SELECT aspect_raw, sentiment, row_number() OVER (PARTITION BY aspect_raw ORDER BY count(*) DESC, sentiment) AS place FROM predictions GROUP BY 1, 2) WHERE place = 1"))
@@ -152,9 +153,9 @@ def a17(spark, d):
 
 for _interval, _sql in (("day", "strftime(created_at, '%Y-%m-%d')"), ("week", "strftime(created_at, '%G-W%V')")):
     MEASURES = "count(*) AS mentions, count(*) FILTER (sentiment = 'negative')::DOUBLE / count(*) AS negative_share, (count(*) FILTER (sentiment = 'positive') - count(*) FILTER (sentiment = 'negative'))::DOUBLE / count(*) AS net_score"
-    R.add(f"W01_trends_{_interval}", with_views(f"SELECT {_sql} AS bucket, {MEASURES} FROM joined GROUP BY 1"))(lambda spark, d, i=_interval: A.trends(rows(spark, d), i))
+    R.add(f"W01_trends_{_interval}", with_views(f"SELECT {_sql} AS bucket, {MEASURES} FROM joined GROUP BY 1"))(lambda spark, d, i=_interval: A.trends(rows(spark, d, False), i))
     R.add(f"W02_aspect_trends_{_interval}", with_views(f"top AS (SELECT aspect FROM joined GROUP BY 1 ORDER BY count(*) DESC, aspect LIMIT 12) SELECT aspect, {_sql} AS bucket, {MEASURES} FROM joined JOIN top USING (aspect) GROUP BY 1, 2"))(
-        lambda spark, d, i=_interval: A.trends(rows(spark, d).join(F.broadcast(A.top_aspects(rows(spark, d), 12).select("aspect")), "aspect"), i, "aspect")
+        lambda spark, d, i=_interval: A.trends(rows(spark, d, False).join(F.broadcast(A.top_aspects(rows(spark, d, False), 12).select("aspect")), "aspect"), i, "aspect")
     )
 
 
@@ -163,7 +164,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY bucket DESC
 found AS (SELECT aspect, max(bucket) FILTER (place = 1) AS bucket, CAST(sum(mentions) FILTER (place = 1) AS BIGINT) AS mentions, CAST(sum(mentions) FILTER (place BETWEEN 2 AND 8) AS BIGINT)::DOUBLE / count(*) FILTER (place BETWEEN 2 AND 8) AS baseline FROM placed WHERE place <= 8 GROUP BY 1)
 SELECT *, mentions / baseline AS lift FROM found WHERE mentions >= 3 AND mentions > 1.5::DOUBLE * baseline"""))
 def w03(spark, d):
-    return A.emerging(rows(spark, d), "week")
+    return A.emerging(rows(spark, d, False), "week")
 
 
 @R.add("R05_sliding_windows", "SELECT w AS window_start, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT *, unnest(range(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS w FROM events) GROUP BY 1, 2")

@@ -12,12 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """review_id, created_at, domain, product_id."""
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("review_id"), F.col("o_orderdate").alias("created_at"), F.col("c_mktsegment").alias("domain"), F.col("o_custkey").alias("product_id")
-    )
+def reviews(spark: SparkSession, sf_dir: str, domain: bool = True) -> DataFrame:
+    """review_id, created_at, domain (if asked for: it takes a join), product_id. Every order has its customer."""
+    orders = table(spark, sf_dir, "orders")
+    own = (F.col("o_orderkey").alias("review_id"), F.col("o_orderdate").alias("created_at"), F.col("o_custkey").alias("product_id"))
+    if not domain:
+        return orders.select(*own)
+    customer = table(spark, sf_dir, "customer")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(*own[:2], F.col("c_mktsegment").alias("domain"), own[2])
+
+
+def clock(spark: SparkSession, sf_dir: str):
+    """The time of the last review."""
+    return table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0]
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
