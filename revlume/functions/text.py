@@ -86,10 +86,11 @@ def polarity_hint(a: Column, b: Column) -> Column:
 def sentence_spans(x: Column, end: str = SENTENCE_END) -> Column:
     """array<struct<sentence, start, stop>>: sentences with their places, without white space around."""
     parts = F.regexp_extract_all(x, F.lit(rf"(?s)[^.!?]+{end}*"), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<sentence:string,start:int,stop:int>>").alias("out"))
+    # the parts follow each other without a gap, after stops at the beginning
+    start = F.struct(F.length(F.regexp_extract(x, rf"^{end}*", 0)).alias("at"), F.array().cast("array<struct<sentence:string,start:int,stop:int>>").alias("out"))
 
     def step(s: Column, p: Column) -> Column:
-        at = F.instr(F.substring(x, s["at"] + 1, F.length(x)), p) - 1 + s["at"]
+        at = s["at"]
         left = F.length(p) - F.length(F.ltrim(p))
         own = F.trim(p)
         span = F.struct(own.alias("sentence"), (at + left).cast("int").alias("start"), (at + left + F.length(own)).cast("int").alias("stop"))

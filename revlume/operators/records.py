@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from revlume.functions import text as X
+from revlume.plans.shared import cut
 
 # fixed values: scores of the explicit gate, polarity of tiers
 DOMAIN_SCORE, GENERIC_SCORE, OPEN_SCORE = 0.92, 0.86, 0.72
@@ -190,8 +191,9 @@ def verify_actions(items: Column, actions: Column) -> Column:
 def top_bigrams(texts: DataFrame, n: int = 6) -> DataFrame:
     """The n most frequent word pairs of each text; ties go to the first to occur."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
-    flat = texts.select("id", words.alias("w")).where("size(w) > 1").select("id", F.posexplode(pairs).alias("pos", "bigram"))
+    # the words are found once for a text, not for each pair
+    pairs = F.transform(F.array(words), lambda w: F.when(F.size(w) > 1, F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))))[0]
+    flat = texts.select("id", F.posexplode(pairs).alias("pos", "bigram"))
     counted = flat.groupBy("id", "bigram").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     place = Window.partitionBy("id").orderBy(F.desc("n"), "first")
     return counted.withColumn("place", F.row_number().over(place)).where(F.col("place") <= n).select("id", "place", "bigram", "n")
@@ -199,8 +201,8 @@ def top_bigrams(texts: DataFrame, n: int = 6) -> DataFrame:
 
 def _inner_grams(text: Column, n: int = 5) -> Column:
     """Hashes of each run of n words between single spaces."""
-    w = F.split(text, " ")
-    return F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")))
+    # the words are made once for a text, not for each run
+    return F.transform(F.array(F.split(text, " ")), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, n), " "))))[0]
 
 
 def containing(docs: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
@@ -215,7 +217,7 @@ def containing(docs: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
     grams = long.select("item_id", F.explode(F.array_distinct(_inner_grams(F.array_join("inner", " "), n))).alias("k"))
     of_docs = docs.where(F.size(F.split("text", " ")) >= n).select("doc_id", F.explode(F.array_distinct(_inner_grams(F.col("text"), n))).alias("k"))
     # a document counts once for a key, with ids alone; a key that no document has ends the item's search
-    seen = of_docs.join(grams.select("k").distinct(), "k", "left_semi")
+    seen = cut(of_docs.join(grams.select("k").distinct(), "k", "left_semi"))
     counts = grams.join(seen.groupBy("k").agg(F.count(F.lit(1)).alias("docs")), "k", "left").groupBy("item_id").agg(F.min_by("k", F.struct(F.coalesce("docs", F.lit(0)), "k")).alias("k"), F.min(F.coalesce("docs", F.lit(0))).alias("docs"))
     near = counts.where("docs > 0").join(seen, "k").select("item_id", "doc_id").distinct()
     found = near.join(long.select("item_id", "item"), "item_id").join(docs, "doc_id")
