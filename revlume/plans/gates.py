@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlume.functions import text as X
+from revlume.operators import builder as B
 from revlume.operators import etl as E
 from revlume.operators import gates as G
 from revlume.operators import records as C
@@ -301,3 +302,44 @@ def r01(spark, d):
     query.awaitTermination()
     last = query.lastProgress["batchId"]
     return spark.read.parquet(f"{cache}/v={last}").select("product_id", F.round("avg_rating", 6).alias("avg_rating"), "review_count", "helpful_count")
+
+
+BUILT = """WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), f AS (SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS c, unnest(range(1, len(w))) AS pos FROM w WHERE len(w) > 1), n AS (SELECT id, c, count(*) AS n, min(pos) AS first FROM f GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, first) AS place FROM n), b AS (SELECT r.id, c, split_part(c, ' ', 1) AS t1, string_split(c, ' ') AS t, trim(lower(text)) AS e, lower(text) AS low FROM r JOIN documents ON doc_id = id WHERE place <= 6),
+x AS (SELECT *, list_has_any(t, ['provide','get','give','take','make','use','want','need','visit','go','come','road','center','place','area','thing','something','anything','nothing','everything','way','lot','bit']) OR c IN ('it is','there is','this is','i have','they have','we have') AS noisy,
+ t1 IN ('recommend','save','lose','have','make','use','buy','try','go','come','get','take','give','watch','upload','download','open','close','this','that','these','those','my','your','our','their','his','her','its') AS begun FROM b),
+y AS (SELECT *, noisy OR begun AS noise, round(CASE WHEN NOT begun AND NOT list_has_any(t, ['is','was','were','are','be','being','been']) THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN contains(e, c) AND c <> e THEN 0.15::DOUBLE ELSE 0 END
+ + CASE WHEN regexp_matches(e, 'good|bad|great|poor|slow|fast|broken|broke|excellent|awful|amazing|terrible|soft|hard') THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN NOT (noisy OR begun) THEN 0.15::DOUBLE ELSE 0 END, 6) AS score FROM x),
+z AS (SELECT *, CASE WHEN noise OR score < 0.35 THEN 'none' WHEN score >= 0.75 THEN 'open' WHEN score >= 0.5 THEN 'provisional' ELSE 'none' END AS bucket FROM y),
+k AS (SELECT id, CASE bucket WHEN 'provisional' THEN replace(c, ' ', '_') WHEN 'open' THEN CASE WHEN t1 IN ('great','excellent','amazing','terrible','awful','bad','good','poor','delicious','tasty','slow','fast') THEN t[2] ELSE replace(c, ' ', '_') END ELSE 'unknown' END AS canonical,
+ CASE bucket WHEN 'provisional' THEN 0.35 WHEN 'open' THEN 0.25 ELSE 0 END AS conf, contains(low, c) AS exact FROM z),
+g AS (SELECT id, count(*) AS items, count(DISTINCT canonical) AS kinds, max(canonical = 'unknown') AS unknown, min(conf) < 0.3 AS low, NOT min(exact) AS weak FROM k GROUP BY 1),
+h AS (SELECT *, CASE id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, round(least(0.35::DOUBLE, 0.18::DOUBLE * (kinds - 1)) + CASE WHEN unknown THEN 0.15::DOUBLE ELSE 0 END + 0.1::DOUBLE, 6) AS ambiguity, concat_ws(',', CASE WHEN low THEN 'low_confidence' END, CASE WHEN weak THEN 'weak_support' END) AS reasons FROM g)
+SELECT id, split, items, ambiguity, CASE WHEN unknown AND ambiguity >= 0.5 THEN 'H3' WHEN items > 4 THEN 'H2' ELSE 'H0' END AS hardness, CASE WHEN split = 'train' AND reasons <> '' THEN 'review_queue' ELSE 'benchmark_gold' END AS destination, reasons FROM h"""
+
+
+@R.add("X10_built_rows", BUILT)
+def x10(spark, d):
+    """The documents through all stages of the builder."""
+    turn = F.col("doc_id") % 3
+    reviews = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.when(turn == 0, "train").when(turn == 1, "val").otherwise("test").alias("split"))
+    return B.build(reviews)
+
+
+@R.add("M11_merged_settings", "WITH b AS (SELECT p_brand, p_type, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS names FROM part WHERE p_size < 30 GROUP BY 1, 2), o AS (SELECT p_brand, p_type, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS names FROM part WHERE p_size >= 20 AND p_brand > 'Brand#2' GROUP BY 1, 2) SELECT coalesce(b.p_brand, o.p_brand) AS domain, coalesce(b.p_type, o.p_type) AS k, coalesce(o.names, b.names) AS v FROM b FULL JOIN o ON b.p_brand = o.p_brand AND b.p_type = o.p_type")
+def m11(spark, d):
+    """Names by brand and type as settings: those of small parts, overridden by those of large ones."""
+    def settings(rows):
+        lists = rows.groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_set("p_name")).alias("v"))
+        return lists.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("p_type", "v"))))
+
+    part = V.table(spark, d, "part")
+    merged = B.merge_settings(settings(part.where("p_size < 30")), settings(part.where("p_size >= 20 and p_brand > 'Brand#2'")))
+    return merged.select("domain", F.explode("settings").alias("k", "v")).select("domain", "k", F.array_join("v", ",").alias("v"))
+
+
+@R.add("R02_upload_status", "SELECT CASE WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN doc_id % 7 = 0 THEN 'empty_text' END AS error, count(*) AS n FROM documents WHERE length(trim(text, ' ' || chr(10))) > 0 GROUP BY 1, 2")
+def r02(spark, d):
+    """Documents as uploaded rows, each seventh without a text: those fail alone."""
+    own = V.table(spark, d, "documents").where(F.length(F.trim("text", F.lit(" \n"))) > 0).withColumn("text", F.when(F.col("doc_id") % 7 > 0, F.col("text")).otherwise(" "))
+    return B.upload_status(own).groupBy("status", "error").agg(count())
