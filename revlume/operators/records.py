@@ -117,6 +117,16 @@ def phrase_match(text: Column, phrase: Column) -> Column:
     return F.when(exact > 0, found("exact", exact - 1)).when(hits == F.size(words), found("variant", none)).when((F.size(words) >= 2) & (hits >= F.size(words) - 1) & (hits >= 2), found("quorum", none))
 
 
+#: Rows of a reviewed store that may go to every task as one.
+STORE_ROWS = 100_000
+
+
+def as_one_row(rows: DataFrame, name: str) -> DataFrame:
+    """All rows as one array of structs, to be broadcast; more than STORE_ROWS are refused."""
+    fits = F.assert_true(F.count(F.lit(1)) <= STORE_ROWS, F.lit(f"more than {STORE_ROWS} rows")).isNull()
+    return rows.agg(F.when(fits, F.collect_list(F.struct(*rows.columns))).alias(name))
+
+
 def match_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, phrase, kind, start, confidence): promoted patterns of the text's domain (an equi-join) or of all domains.
 
@@ -126,7 +136,7 @@ def match_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     scoped = store.where("domain is not null")
     wide = store.where("domain is null").drop("domain")
     own = texts.alias("t").join(scoped.alias("p"), F.col("t.domain") == F.col("p.domain")).select("t.id", "t.text", "p.phrase", "p.confidence")
-    every = texts.select("id", "text").join(F.broadcast(wide.agg(F.collect_list(F.struct("phrase", "confidence")).alias("store"))), F.lit(True)).select("id", "text", F.explode("store").alias("p")).select("id", "text", "p.phrase", "p.confidence")
+    every = texts.select("id", "text").join(F.broadcast(as_one_row(wide.select("phrase", "confidence"), "store")), F.lit(True)).select("id", "text", F.explode("store").alias("p")).select("id", "text", "p.phrase", "p.confidence")
     return own.union(every).select("id", "phrase", phrase_match(F.col("text"), F.col("phrase")).alias("m"), "confidence").where("m is not null").select("id", "phrase", "m.kind", "m.start", "confidence")
 
 
@@ -221,6 +231,6 @@ def containing(docs: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
     counts = grams.join(seen.groupBy("k").agg(F.count(F.lit(1)).alias("docs")), "k", "left").groupBy("item_id").agg(F.min_by("k", F.struct(F.coalesce("docs", F.lit(0)), "k")).alias("k"), F.min(F.coalesce("docs", F.lit(0))).alias("docs"))
     near = counts.where("docs > 0").join(seen, "k").select("item_id", "doc_id").distinct()
     found = near.join(long.select("item_id", "item"), "item_id").join(docs, "doc_id")
-    store = items.where(F.size(words) < n + 2).agg(F.collect_list(F.struct("item_id", "item")).alias("store"))
+    store = as_one_row(items.where(F.size(words) < n + 2).select("item_id", "item"), "store")
     short = docs.join(F.broadcast(store), F.size("store") > 0).select("doc_id", "text", F.explode("store").alias("s")).select("doc_id", "text", "s.item_id", "s.item")
     return found.select("item_id", "doc_id", "text", "item").union(short.select("item_id", "doc_id", "text", "item")).where(F.contains("text", F.col("item"))).select("item_id", "doc_id").distinct()

@@ -162,7 +162,7 @@ SPLIT = "g AS (SELECT DISTINCT source FROM documents), p AS (SELECT source, row_
 
 def split_docs(spark, d):
     own = docs(spark, d)
-    return own.join(F.broadcast(E.grouped_split(own, "source")), "source")  # a row for each source
+    return own.join(E.grouped_split(own, "source"), "source")
 
 
 @R.add("X08_grouped_split", f"WITH {SPLIT} SELECT * FROM s")
