@@ -28,7 +28,7 @@ def tokenizer_path(name: str) -> str:
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import classes
 
-    return classes(table(spark, sf_dir, "documents")).drop("key")
+    return classes(table(spark, sf_dir, "documents")).drop("key").withColumn("root", F.hex("root"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
