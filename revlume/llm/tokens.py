@@ -15,7 +15,7 @@ import numpy as np
 
 #: Entries that a worker's cache holds at most, besides those of one batch (about 200 bytes each).
 #: The older half goes first, unless it was used again.
-CACHE_ENTRIES = 2_000_000
+CACHE_ENTRIES = 800_000
 #: Characters of text that are cut at a time.
 TEXT_CHARS = 1 << 20
 
