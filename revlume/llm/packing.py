@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import materialize
-from .tokens import encoder
+from .tokens import CACHE_ENTRIES, encoder
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -77,13 +77,13 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[in
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, with the task's number and the piece's rank by length in it."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer, False), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, False, cache_entries), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
@@ -102,10 +102,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, own long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096) -> DataFrame:
-    """Each piece with its sequence_id and offset."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+    """Each piece with its sequence_id and offset. ``cache_entries``: word encodings that a worker keeps (memory against time, not results)."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer, end_id, capacity), "pieces")
+    cut = materialize(pieces(docs, tokenizer, end_id, capacity, cache_entries), "pieces")
     # a row for each task and length: far fewer than pieces, at most capacity of them for a task
     sizes = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "part", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))

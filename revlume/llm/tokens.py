@@ -15,7 +15,7 @@ import numpy as np
 
 #: Entries that a worker's cache holds at most, besides those of one batch (about 200 bytes each).
 #: The older half goes first, unless it was used again.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 2_000_000
 #: Characters of text that are cut at a time.
 TEXT_CHARS = 1 << 20
 
@@ -24,14 +24,14 @@ _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 _RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 _FIRST = "\x00"
 _MARKED = (_FIRST, "\n")
-_loaded: dict[tuple[str, bool], "ChunkEncoder"] = {}
+_loaded: dict[tuple[str, bool, int], "ChunkEncoder"] = {}
 
 
-def encoder(path: str, keep_space: bool) -> "ChunkEncoder":
-    """The worker's encoder for the tokenizer file at ``path``."""
-    key = (path, keep_space)
+def encoder(path: str, keep_space: bool, entries: int = CACHE_ENTRIES) -> "ChunkEncoder":
+    """The worker's encoder for the tokenizer file at ``path``, with a cache of so many encodings."""
+    key = (path, keep_space, entries)
     if key not in _loaded:
-        _loaded[key] = ChunkEncoder(path, keep_space)
+        _loaded[key] = ChunkEncoder(path, keep_space, entries)
     return _loaded[key]
 
 
