@@ -92,6 +92,24 @@ def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(docs, PII_KEY)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_toxicity": op2_toxicity,
@@ -103,6 +121,9 @@ QUERIES: dict[str, Query] = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_pii_pseudonyms": op9_pii_pseudonyms,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_main_text": op13_main_text,
 }
 
 ORACLE_SQL: dict[str, str] = {}

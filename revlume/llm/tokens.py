@@ -59,6 +59,14 @@ class ChunkEncoder:
         # a chunk's space is left out of its key: "\n" marks those without one, the first is marked as such
         return [_FIRST + first, *rest]
 
+    def _odd(self, text: str) -> bool:
+        """Whether a text may hold a special token's string, or a mark: it goes to the library as it is."""
+        return "<|" in text or _FIRST in text
+
+    def _whole(self, text: str) -> str:
+        """What is encoded of a text."""
+        return text
+
     def _text(self, key: str) -> str:
         if not self.keep_space or key[0] in _MARKED:
             return key.removeprefix(_FIRST)
@@ -79,8 +87,7 @@ class ChunkEncoder:
         return out + self._encode(some)
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        # a text that may hold a special token's string, or a mark, goes to the library as it is
-        cut = [[] if not t else None if "<|" in t or _FIRST in t else self._cut(t) for t in texts]
+        cut = [[] if not t else None if self._odd(t) else self._cut(t) for t in texts]
         if len(self.chunks) > self.entries // 2:
             self.old, self.chunks = self.chunks, {}
         # one look at each chunk; those not known are learned together and filled in
@@ -101,7 +108,7 @@ class ChunkEncoder:
                 keys, values = cut[i], found[i]
                 for j in at:
                     values[j] = self.chunks[keys[j]]
-        return [self._ids(t) if keys is None else b"".join(values) for t, keys, values in zip(texts, cut, found, strict=True)]
+        return [self._ids(self._whole(t)) if keys is None else b"".join(values) for t, keys, values in zip(texts, cut, found, strict=True)]
 
     def _learn(self, keys: set[str]) -> None:
         """Encode chunks, many in one text, told apart by a token that stands between any two.
