@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from revlume.functions import text as X
-from revlume.plans.shared import cut
+from revlume.plans.shared import STORE_ROWS, cut
 
 # fixed values: scores of the explicit gate, polarity of tiers
 DOMAIN_SCORE, GENERIC_SCORE, OPEN_SCORE = 0.92, 0.86, 0.72
@@ -117,10 +115,6 @@ def phrase_match(text: Column, phrase: Column) -> Column:
     return F.when(exact > 0, found("exact", exact - 1)).when(hits == F.size(words), found("variant", none)).when((F.size(words) >= 2) & (hits >= F.size(words) - 1) & (hits >= 2), found("quorum", none))
 
 
-#: Rows of a reviewed store that may go to every task as one.
-STORE_ROWS = 100_000
-
-
 def as_one_row(rows: DataFrame, name: str) -> DataFrame:
     """All rows as one array of structs, to be broadcast; more than STORE_ROWS are refused."""
     fits = F.assert_true(F.count(F.lit(1)) <= STORE_ROWS, F.lit(f"more than {STORE_ROWS} rows")).isNull()
@@ -153,37 +147,6 @@ def map_by_steps(items: DataFrame, steps: list[tuple[str, float, DataFrame, list
     return out.select(*items.columns, F.coalesce(*names).alias("canonical"), F.coalesce(*layers, F.lit("unmapped")).alias("layer"), F.coalesce(*scores, F.lit(0.0)).alias("confidence"))
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """2 * longest common subsequence / both lengths, 0 to 1 (1 for two empty strings)."""
-
-    def one(s: str, t: str) -> float:
-        if s is None or t is None:
-            return 0.0
-        row = [0] * (len(t) + 1)
-        for c in s:
-            last = 0
-            for j, d in enumerate(t):
-                last, row[j + 1] = row[j + 1], last + 1 if c == d else max(row[j + 1], row[j])
-        return 2 * row[-1] / (len(s) + len(t)) if s or t else 1.0
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
-
-
-def best_fuzzy(queries: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    """Each distinct query's best other candidate by the longest common subsequence: only those with a common word or the same first letters are compared."""
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        keys = F.array_union(F.split(F.lower(name), " "), F.array(F.substring(F.lower(name), 1, 3)))
-        return df.select(name, F.explode(keys).alias("block"))
-
-    pairs = blocks(queries.select("query").distinct(), "query").join(blocks(candidates.select("candidate").distinct(), "candidate"), "block").where("query <> candidate").select("query", "candidate").distinct()
-    lengths = 2 * F.least(F.length("query"), F.length("candidate")) / (F.length("query") + F.length("candidate"))
-    pairs = pairs.where(lengths >= threshold)  # no ratio is above that of the lengths
-    scored = pairs.withColumn("ratio", fuzzy_ratio("query", "candidate")).where(F.col("ratio") >= threshold)
-    place = Window.partitionBy("query").orderBy(F.desc("ratio"), "candidate")
-    return scored.withColumn("place", F.row_number().over(place)).where("place = 1").drop("place")
-
-
 def set_scores(rows: DataFrame) -> DataFrame:
     """Precision, recall and F1 of predicted against gold sets (arrays) of a row."""
     hits = F.size(F.array_intersect("predicted", "gold")).cast("double")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from revlume.operators import etl as E
 from revlume.operators import records as C
+from revlume.operators import similar as S
 from revlume.plans import views as V
 from revlume.plans.analytics import rows
 from revlume.plans.registry import Registry
@@ -101,18 +103,31 @@ def j12(spark, d):
     return C.containing(V.table(spark, d, "documents").select("doc_id", "text"), items).select("item_id", "doc_id")
 
 
+@R.add("J12_near_duplicates", """WITH RECURSIVE g AS (SELECT p_partkey AS id, row_number() OVER (ORDER BY sha256('42|' || p_partkey)) AS place, count(*) OVER () AS n FROM part), s AS (SELECT id, CASE WHEN place <= greatest(1, floor(n * 0.8::DOUBLE + 0.5)) THEN 'train' WHEN place <= greatest(1, floor(n * 0.8::DOUBLE + 0.5)) + floor(n * 0.1::DOUBLE + 0.5) THEN 'val' ELSE 'test' END AS split FROM g),
+t AS (SELECT id, split, lower(trim(p_name || ' ' || p_brand)) AS text FROM part JOIN s ON id = p_partkey), u AS (SELECT DISTINCT text FROM t),
+close AS (SELECT x.text AS a, y.text AS b FROM u x JOIN u y ON x.text < y.text AND levenshtein(x.text, y.text) * 10 <= length(x.text) + length(y.text)),
+r AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0::BIGINT) AS line FROM close UNION ALL SELECT a, b, i + 1, list_transform([list_transform(range(1, length(b) + 1), lambda j: CASE WHEN substr(b, CAST(j AS INTEGER), 1) = substr(a, i + 1, 1) THEN line[j] + 1 ELSE line[j + 1] END)], lambda c: [0::BIGINT] || list_transform(range(1, length(b) + 1), lambda j: list_max(c[1:j])))[1] FROM r WHERE i < length(a)),
+p AS (SELECT a, b FROM r WHERE i = length(a) AND 10 * (length(a) + length(b) - 2 * line[length(b) + 1]) <= length(a) + length(b)), twice AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), o AS (SELECT * FROM (VALUES ('train', 0), ('val', 1), ('test', 2)) v(split, turn))
+SELECT DISTINCT x.id, x.split, y.split AS other_split FROM t x JOIN twice ON x.text = a JOIN t y ON y.text = b JOIN o AS m ON m.split = x.split JOIN o AS n ON n.split = y.split WHERE m.turn < n.turn""")
+def j12_near(spark, d):
+    """Products whose title has a near copy in a later split."""
+    part = V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    return S.near_copies(part.join(E.grouped_split(part, "id"), "id"), ["train", "val", "test"])
+
+
 @R.add("C19_fuzzy_names")
 def c19(spark, d):
-    """Each raw aspect's best fuzzy match among the others with a word or a beginning in common."""
-    names = V.table(spark, d, "part").select(F.col("p_name").alias("query")).distinct()
-    return C.best_fuzzy(names, names.withColumnRenamed("query", "candidate"), 0.5)
+    """The best name of the dictionary for names as they are typed: turned round, cut short, with a word more, with a letter less."""
+    name, turn = F.col("p_name"), F.col("p_partkey") % 4
+    words = F.split(name, " ")
+    part = V.table(spark, d, "part")
+    typed = F.when(turn == 0, F.array_join(F.reverse(words), " ")).when(turn == 1, F.substring(name, 1, 6)).when(turn == 2, F.concat(F.upper(name), F.lit(" of Brand"))).otherwise(F.concat(F.substring(name, 1, 3), F.substring(name, 5, 30)))
+    return S.best_match(part.select(typed.alias("query")), part.select(name.alias("candidate")))
 
 
 @R.add("X15_single_issue_rows", with_views("SELECT review_id, aspect_raw, conf FROM predictions WHERE (conf < 93) <> (source <> 'explicit')"))
 def x15(spark, d):
     """Rows with exactly one reason against them."""
-    from revlume.operators import etl as E
-
     p = V.predictions(spark, d).withColumn("support", F.when(F.col("source") == "explicit", "exact").otherwise("none"))
     reasons = E.gate_reasons(F.when(F.col("conf") < 93, 0.2).otherwise(0.9), F.col("support"), F.col("aspect_raw"))
     return p.where(F.size(reasons) == 1).select("review_id", "aspect_raw", "conf")
