@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 
 from .storage import discard, free_name, materialize, row_key
 from .vector import U, chunks, grams, mix, word_hashes
+from .workers import freed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -144,7 +145,7 @@ def signatures(docs: DataFrame, counted: bool = False) -> DataFrame:
                 })
 
     keyed = docs.where(F.col("text").isNotNull()).select(row_key().alias("key"), F.col("doc_id").cast("long"), "text")
-    return keyed.mapInPandas(rows, "key binary, doc_id long, n int, print_a long, print_b long, signature binary, bands array<long>")
+    return keyed.mapInPandas(freed(rows), "key binary, doc_id long, n int, print_a long, print_b long, signature binary, bands array<long>")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -229,7 +230,7 @@ def shingle_sets(texts: DataFrame, counted: bool) -> DataFrame:
                     sets.append(elements.tobytes())
                 yield pd.DataFrame({"key": keys[a:b], "elements": sets})
 
-    return texts.mapInPandas(rows, "key binary, elements binary")
+    return texts.mapInPandas(freed(rows), "key binary, elements binary")
 
 
 def forest(sets: list[np.ndarray], roots: list, side: np.ndarray) -> list[tuple[int, int]]:
@@ -331,7 +332,7 @@ def _roots(members: DataFrame, texts: DataFrame, counted: bool) -> tuple[DataFra
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "root", "elements")
     )
-    inside = materialize(blocked.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(_in_blocks, "a binary, b binary"), "links")
+    inside = materialize(blocked.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(freed(_in_blocks), "a binary, b binary"), "links")
     links = links.union(found).union(inside)
     # what was found last, between the roots found first
     later = found.union(inside).join(bound.toDF("a", "r"), "a", "left").join(bound.toDF("b", "s"), "b", "left").select(F.coalesce("r", "a").alias("a"), F.coalesce("s", "b").alias("b")).where("a <> b")

@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 
 from .storage import materialize
 from .tokens import CACHE_ENTRIES, encoder
+from .workers import freed
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -99,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, cache_en
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "own"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, own long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(freed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, own long")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, cache_entries: int = CACHE_ENTRIES) -> DataFrame:

@@ -31,6 +31,7 @@ def encoder(path: str, keep_space: bool, entries: int = CACHE_ENTRIES) -> "Chunk
     """The worker's encoder for the tokenizer file at ``path``, with a cache of so many encodings."""
     key = (path, keep_space, entries)
     if key not in _loaded:
+        _loaded.clear()  # a worker has one at a time
         _loaded[key] = ChunkEncoder(path, keep_space, entries)
     return _loaded[key]
 

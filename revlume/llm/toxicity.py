@@ -48,6 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .vector import chunks
+from .workers import freed, give_back
 
 SUBSEQUENCE, DECAY, SPAN = 3, 0.7, 8
 LANDMARKS, COMMON_LANDMARKS = 200, 40
@@ -495,7 +496,7 @@ def score(docs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
             yield out
 
     extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(F.col("doc_id").cast("long"), "text", *(c for c in columns if c not in ("doc_id", "text"))).mapInPandas(apply, "doc_id long, score double, predicted int" + extra)
+    return docs.select(F.col("doc_id").cast("long"), "text", *(c for c in columns if c not in ("doc_id", "text"))).mapInPandas(freed(apply), "doc_id long, score double, predicted int" + extra)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -503,7 +504,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     @F.pandas_udf("double")
-    def probability(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(texts) if model else np.full(len(texts), 0.5))
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.score(texts) if model else np.full(len(texts), 0.5))
+        give_back()
 
     return docs.where(probability("text") < CUTOFF)

@@ -163,10 +163,17 @@ def near_copies(rows: DataFrame, order: list[str], ratio: float = RATIO) -> Data
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for key, text in zip(batch["key"], batch["text"], strict=True):
+            held: list[tuple] = []
+            size = 0
+            for i, text in enumerate(batch["text"]):
                 for side, (found, at) in enumerate(pieces_and_runs(text, ratio)):
-                    if len(found):
-                        yield pd.DataFrame({"hit": found, "side": side, "key": [key] * len(found), "n": len(text), "at": at})
+                    held.append((found, at, side, i, len(text)))
+                    size += len(found)
+                if size >= _HELD >> 6 or i == len(batch) - 1:
+                    many = [len(h[0]) for h in held]
+                    side, row, n = (np.repeat([h[k] for h in held], many) for k in (2, 3, 4))
+                    yield pd.DataFrame({"hit": np.concatenate([h[0] for h in held]), "side": side, "key": batch["key"].to_numpy()[row], "n": n, "at": np.concatenate([h[1] for h in held])})
+                    held, size = [], 0
 
     hits = texts.select("key", "text").mapInPandas(emit, "hit long, side int, key binary, n int, at int")
     short = hits.where("side = 0").select("hit", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
