@@ -103,37 +103,12 @@ def quality_weight(confidence: Column, evidence: Column, tier: Column) -> Column
     return bounded(product, 0.25, 1.5)
 
 
-def phrase_match(text: Column, phrase: Column) -> Column:
-    """struct<kind, start>: the phrase itself, else a form of its words, else all but one of two or more words; null without a match."""
-    low, words = F.lower(text), F.split(F.lower(phrase), " ")
-    exact = F.instr(low, F.lower(phrase))
-    have = X.tokens(low)
-    stem = lambda w: F.regexp_replace(w, "(ing|ed|es|s)$", "")
-    hits = F.size(F.filter(words, lambda w: F.exists(have, lambda h: stem(h) == stem(w))))
-    found = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("start"))
-    none = F.lit(-1)
-    return F.when(exact > 0, found("exact", exact - 1)).when(hits == F.size(words), found("variant", none)).when((F.size(words) >= 2) & (hits >= F.size(words) - 1) & (hits >= 2), found("quorum", none))
-
-
 def as_one_row(rows: DataFrame, name: str) -> DataFrame:
     """All rows as one array of structs, to be broadcast; more than STORE_ROWS are refused."""
     fits = F.assert_true(F.count(F.lit(1)) <= STORE_ROWS, F.lit(f"more than {STORE_ROWS} rows")).isNull()
     return rows.agg(F.when(fits, F.collect_list(F.struct(*rows.columns))).alias(name))
 
 
-def match_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(id, phrase, kind, start, confidence): promoted patterns of the text's domain (an equi-join) or of all domains.
-
-    The store is a reviewed dimension; its part for all domains goes to every text as one row, since a phrase may stand inside any word.
-    """
-    store = patterns.where("status = 'promoted'").select("phrase", "domain", "confidence").distinct()
-    scoped = store.where("domain is not null")
-    wide = store.where("domain is null").drop("domain")
-    own = texts.alias("t").join(scoped.alias("p"), F.col("t.domain") == F.col("p.domain")).select("t.id", "t.text", "p.phrase", "p.confidence")
-    every = texts.select("id", "text").join(F.broadcast(as_one_row(wide.select("phrase", "confidence"), "store")), F.lit(True)).select("id", "text", F.explode("store").alias("p")).select("id", "text", "p.phrase", "p.confidence")
-    return own.union(every).select("id", "phrase", phrase_match(F.col("text"), F.col("phrase")).alias("m"), "confidence").where("m is not null").select("id", "phrase", "m.kind", "m.start", "confidence")
-
-
 def map_by_steps(items: DataFrame, steps: list[tuple[str, float, DataFrame, list[str]]]) -> DataFrame:
     """The canonical name by the first dictionary that has the item's keys; each step is (layer, confidence, dictionary, keys)."""
     out, names, layers, scores = items, [], [], []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlume.operators import etl as E
+from revlume.operators import phrases as P
 from revlume.operators import records as C
 from revlume.operators import similar as S
 from revlume.plans import views as V
@@ -88,12 +89,35 @@ def a36(spark, d):
     return C.set_scores(sets.where("size(predicted) > 0 and size(gold) > 0"))
 
 
-@R.add("C14_pattern_matches", "WITH p AS (SELECT * FROM (VALUES ('idiot', NULL, 0.9), ('the', 'en', 0.6), ('von der', 'de', 0.7)) v(phrase, domain, confidence)) SELECT phrase, count(*) AS n FROM documents, p WHERE (p.domain IS NULL OR p.domain = lang) AND contains(lower(text), phrase) GROUP BY 1")
+def pattern_store(spark, d):
+    """A store from benchmark texts: three words of each, some of one language alone, some not promoted, and forms of two."""
+    items, turn = V.table(spark, d, "benchmark"), F.col("item_id") % 6
+    words = F.split("text", " ")
+    own = F.array_join(F.slice(words, 4, 3), " ")
+    # of some the order is another, so that only their words are found
+    phrase = F.when(turn == 5, F.array_join(F.reverse(F.slice(words, 2, 4)), " ")).otherwise(own)
+    return items.select(
+        F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("pattern_id"), phrase.alias("phrase"), F.lower(own).alias("aspect_canonical"), F.lit("mined").alias("latent_family"),
+        F.when(turn == 4, "review_queue").otherwise("promoted").alias("status"), F.when(turn == 3, "domain_scoped").otherwise("global").alias("domain_scope"), F.array(F.lit("EN")).alias("domains"),
+        (0.5 + 0.1 * (F.col("item_id") % 5)).alias("confidence"), F.lit(0.6).alias("precision_estimate"),
+    )
+
+
+def review_texts(spark, d):
+    return V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), "text")
+
+
+@R.add("C14_pattern_matches", "WITH p AS (SELECT 'p' || item_id AS pattern_id, array_to_string(string_split(text, ' ')[4:6], ' ') AS phrase, item_id % 6 AS turn, 0.5::DOUBLE + 0.1::DOUBLE * (item_id % 5) AS c FROM benchmark WHERE item_id % 6 < 4) SELECT doc_id AS id, pattern_id, CAST(strpos(lower(text), lower(phrase)) - 1 AS INTEGER) AS start_char, CAST(strpos(lower(text), lower(phrase)) - 1 + length(phrase) AS INTEGER) AS end_char, substr(text, strpos(lower(text), lower(phrase)), length(phrase)) AS matched_text, round(greatest(c, 0.6::DOUBLE), 6) AS confidence FROM documents, p WHERE contains(lower(text), lower(phrase)) AND (turn <> 3 OR lang = 'en')")
 def c14(spark, d):
-    """How many documents hold each promoted phrase as it is."""
-    store = spark.createDataFrame([("idiot", None, "promoted", 0.9), ("the", "en", "promoted", 0.6), ("von der", "de", "promoted", 0.7), ("x", None, "candidate", 0.1)], "phrase string, domain string, status string, confidence double")
-    texts = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), "text")
-    return C.match_patterns(texts, store).where("kind = 'exact'").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    """Where each promoted phrase stands as it is, in whole texts."""
+    found = P.match_patterns(review_texts(spark, d), pattern_store(spark, d), resolve=False).where("match_type = 'exact'")
+    return found.select("id", "pattern_id", "start_char", "end_char", "matched_text", F.round("confidence", 6).alias("confidence"))
+
+
+@R.add("C13_resolved_matches")
+def c13(spark, d):
+    """Matches of all kinds, forms and windows included, the surer one of those that overlap."""
+    return P.match_patterns(review_texts(spark, d), pattern_store(spark, d))
 
 
 @R.add("J12_cross_split_containment", "SELECT item_id, doc_id FROM benchmark b, documents d WHERE contains(d.text, b.text)")

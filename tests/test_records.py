@@ -42,13 +42,6 @@ def test_row_scores(spark):
     assert spark.range(1).select(R.quality_weight(F.lit(0.9), F.lit(1.0), F.lit("H3"))).first()[0] == 0.9 * 1.3
 
 
-def test_phrases_and_patterns(spark):
-    texts = spark.createDataFrame([(1, "d", "This app keeps crashing on launch."), (2, "d", "It kept on; no crash"), (3, "e", "the crashed app keeps going"), (4, "d", "")], "id int, domain string, text string")
-    store = spark.createDataFrame([("keeps crashing", None, "promoted", 0.87), ("going", "d", "promoted", 0.5), ("app", None, "candidate", 0.5)], "phrase string, domain string, status string, confidence double")
-    got = {(r["id"], r["phrase"]): (r["kind"], r["start"]) for r in R.match_patterns(texts, store).collect()}
-    assert got == {(1, "keeps crashing"): ("exact", 9), (3, "keeps crashing"): ("variant", -1)}
-
-
 def test_ordered_dictionaries_and_fuzzy(spark):
     items = spark.createDataFrame([("laptop", "battery", "weak"), ("laptop", "speaker", "loud"), ("cafe", "x", "y")], "domain string, anchor string, modifier string")
     both = spark.createDataFrame([("laptop", "battery", "weak", "battery_life")], "domain string, anchor string, modifier string, canonical string")
