@@ -91,10 +91,17 @@ def keyword_share(texts: DataFrame, words: tuple[str, ...], column: str = "text"
     return F.count_if(hit).cast("double") / F.count(F.lit(1))
 
 
-def novelty(known: Column, confidence: Column, supported: Column) -> Column:
-    """known, boundary or novel with its score and reason, by the first rule that holds."""
+def novelty(name: Column, known: Column, confidence: Column, source: Column, supported: Column) -> Column:
+    """known, boundary or novel with its score and reason, by the first rule that holds: no name, a sure known name, a weak
+    or untrusted mapping, no evidence, a sure name outside the registry."""
     case = lambda status, score, reason: F.struct(F.lit(status).alias("status"), F.lit(score).alias("score"), F.lit(reason).alias("reason"))
-    return F.when(known, case("known", 0.0, "known_canonical")).when(~supported, case("boundary", 0.5, "unsupported")).when(confidence >= 0.6, case("boundary", 0.4, "confident_mapping")).when(confidence >= 0.3, case("boundary", 0.6, "weak_mapping")).otherwise(case("novel", 0.9, "unmapped"))
+    own = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    weak = F.coalesce(source, F.lit("none")).isin("token_fallback", "provisional", "unmapped") | (confidence > 0) & (confidence < 0.75)
+    return (
+        F.when(own.isin("", "unknown"), case("boundary", 0.4, "unknown_aspect_canonical")).when(known & (confidence >= 0.75), case("known", 0.0, "canonical_in_registry"))
+        .when(weak, case("boundary", 0.6, "weak_mapping_or_untrusted_source")).when(~supported, case("boundary", 0.5, "insufficient_evidence"))
+        .when(~known, case("novel", 0.9, "high_confidence_unknown_canonical")).otherwise(case("novel", 1.0, "unmapped_evidence_supported"))
+    )
 
 
 def novelty_score(distance: Column, ambiguity: Column, energy: Column) -> Column:
@@ -105,13 +112,68 @@ def route(score: Column, confidence: Column, known: float = 0.70, novel: float =
     return F.when(score >= novel, "novel").when(score > known, "boundary").when(confidence < abstain, "abstain").otherwise("known")
 
 
-def memory(rows: DataFrame, promoted: tuple[int, int, int] = (5, 3, 2)) -> DataFrame:
-    """The accumulated memory of aspects: support, reviews, domains, five first samples and a status."""
-    support, reviews, forms = promoted
-    found = rows.groupBy(F.lower(F.trim("aspect_raw")).alias("aspect")).agg(
-        F.count(F.lit(1)).alias("support"), F.countDistinct("review_id").alias("reviews"), F.countDistinct("domain").alias("domains"), F.countDistinct("surface").alias("forms"))
-    status = F.when((F.col("support") >= support) & (F.col("reviews") >= reviews) & (F.col("forms") >= forms), "promoted").when(F.col("support") >= support, "review_queue").when(F.col("support") >= 2, "candidate").otherwise("rejected")
-    return found.withColumn("status", status)
+# fixed values: words that are no aspects, objects too broad for one, strong cues, and hints of a general parent
+BAD_NAMES = ("good", "bad", "great", "terrible", "excellent", "poor", "thing", "item", "product", "stuff", "use", "works")
+BROAD_OBJECTS = ("computer", "restaurant", "product", "thing", "place", "dinner", "table", "bar", "glass")
+STRONG_CUES = ("failure_event", "delay_event", "durability_event", "reliability_event", "support_problem", "usability_problem", "comfort_problem", "quality_judgment")
+PARENT_HINTS = {
+    "quality": ("quality", "build", "craft"), "performance": ("speed", "processor", "ram", "memory"), "storage": ("storage", "drive", "disk", "space"), "display": ("screen", "display", "lcd"),
+    "durability": ("durable", "broke", "ripped", "wear"), "service": ("service", "staff", "support", "wait"), "delivery": ("delivery", "shipping", "arrived", "late"), "comfort": ("comfort", "noisy", "fit"),
+}
+#: Examples of evidence that are kept of an aspect; support and reviews that promote or queue it, and forms that queue it.
+EXAMPLES = 5
+LEAST_SUPPORT, LEAST_REVIEWS, LEAST_FORMS = 5, 3, 2
+
+
+def generic_parent(name: Column) -> Column:
+    """The first parent with a hint in the name, null without one."""
+    low, out = F.lower(name), F.lit(None).cast("string")
+    for parent, hints in reversed(PARENT_HINTS.items()):
+        hit = F.lit(False)
+        for h in hints:
+            hit = hit | F.contains(low, F.lit(h))
+        out = F.when(hit, parent).otherwise(out)
+    return out
+
+
+def memory_status(aspect: Column, support: Column, reviews: Column, forms: Column, parent: Column, cue: Column) -> Column:
+    """rejected, review_queue or candidate, where nothing is promoted without review."""
+    queued = (support >= LEAST_SUPPORT) & (reviews >= LEAST_REVIEWS) & (forms >= LEAST_FORMS) & ~aspect.isin(*BROAD_OBJECTS) & (parent.isNotNull() | F.coalesce(cue.isin(*STRONG_CUES), F.lit(False)))
+    return F.when((aspect == "") | aspect.isin(*BAD_NAMES), "rejected").when(queued, "review_queue").otherwise("candidate")
+
+
+def memory(rows: DataFrame, promote: bool = False, salts: int = 32) -> DataFrame:
+    """The memory of aspects that evidence (aspect_raw, review_id, domain, context, cue_type, seq) leaves, taken in the order
+    of ``seq`` (whole numbers; equal ones by review and context): support, reviews, domains, the first EXAMPLES contexts,
+    the last cue and the status.
+
+    With ``promote``, support and reviews are enough, once: an aspect is promoted if its last evidence is what made them
+    enough and no other name of the same canonical form was promoted before; else it is queued. An aspect of any share
+    of the rows is counted in parts (by review; examples by salt), so that no task has all of it. A null name is an empty one.
+    """
+    own = rows.select(F.lower(F.trim(F.coalesce("aspect_raw", F.lit("")))).alias("aspect"), "review_id", "domain", F.coalesce("context", F.lit("")).alias("context"), F.when(F.col("cue_type") != "", F.col("cue_type")).alias("cue_type"), F.struct("seq", "review_id", "context").alias("at"))
+    by_review = own.groupBy("aspect", "review_id").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set("domain").alias("domains"), F.min("at").alias("first"), F.max("at").alias("last"), F.max_by("cue_type", F.when(F.col("cue_type").isNotNull(), F.col("at"))).alias("cue"),
+        F.max(F.when(F.col("cue_type").isNotNull(), F.col("at"))).alias("cued"))
+    found = by_review.groupBy("aspect").agg(
+        F.sum("n").alias("support"), F.count("review_id").alias("reviews"), F.size(F.array_distinct(F.flatten(F.collect_set("domains")))).cast("long").alias("domains"), F.max_by("cue", "cued").alias("cue"), F.max("last").alias("last"), F.max_by("n", "last").alias("last_review"))
+    salted = own.select("aspect", "context", "at", F.pmod(F.xxhash64("review_id"), F.lit(salts)).alias("salt"))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("at"))
+    few = salted.withColumn("place", place("aspect", "salt")).where(F.col("place") <= EXAMPLES).withColumn("place", place("aspect")).where(F.col("place") <= EXAMPLES)
+    kept = few.groupBy("aspect").agg(F.array_sort(F.collect_list(F.struct("place", "context", "at"))).alias("kept"))
+    contexts = F.transform("kept", lambda k: k["context"])
+    forms = F.size(F.array_distinct(F.transform(contexts, lambda c: F.lower(F.trim(c)))))
+    out = found.join(kept, "aspect").withColumn("forms", forms.cast("long")).withColumn("parent", generic_parent(F.col("aspect")))
+    out = out.withColumn("status", memory_status(F.col("aspect"), F.col("support"), F.col("reviews"), F.col("forms"), F.col("parent"), F.col("cue")))
+    if promote:
+        # when support and reviews became enough: at the fifth evidence or the first of the third review, the later one
+        firsts = by_review.withColumn("place", F.row_number().over(Window.partitionBy("aspect").orderBy("first"))).where(F.col("place") == LEAST_REVIEWS).select("aspect", F.col("first").alias("third"))
+        out = out.join(firsts, "aspect", "left").withColumn("enough", F.when(F.col("support") >= LEAST_SUPPORT, F.greatest(F.get("kept", F.lit(EXAMPLES - 1))["at"], F.col("third"))))
+        out = out.withColumn("enough", F.when(F.col("third").isNotNull() & (F.col("status") != "rejected"), F.col("enough"))).withColumn("canonical", F.replace("aspect", F.lit(" "), F.lit("_")))
+        earliest = F.min("enough").over(Window.partitionBy("canonical"))
+        alone = (F.col("enough") == F.col("last")) & (earliest == F.col("enough"))
+        out = out.withColumn("status", F.when(F.col("enough").isNull(), F.col("status")).when(alone, "promoted").otherwise("review_queue"))
+    return out.select("aspect", "support", "reviews", "domains", "forms", "parent", "cue", contexts.alias("examples"), "status")
 
 
 def grouped_split(groups: DataFrame, key: str, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
@@ -141,16 +203,29 @@ def distinct_texts(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy("text").agg(F.min(key).alias(key))
 
 
-def patterns(rows: DataFrame, least: int = 2) -> DataFrame:
-    """phrase, support, domains and rate of valid evidence of the phrases seen often enough."""
-    n = F.count(F.lit(1))
-    return rows.groupBy("phrase").agg(n.alias("support"), F.array_join(F.array_sort(F.collect_set("domain")), ",").alias("domains"), (F.count_if("valid").cast("double") / n).alias("valid_rate")).where(F.col("support") >= least)
-
-
-def validated_patterns(found: DataFrame, least: int = 5, rate: float = 0.8) -> DataFrame:
-    reasons = F.array_compact(F.array(F.when(F.col("support") < least, "low_support"), F.when(F.col("valid_rate") < rate, "low_evidence")))
-    scope = F.when(F.contains("domains", F.lit(",")), "global").otherwise("domain")
-    return found.select("phrase", F.when(F.size(reasons) == 0, "promoted").otherwise("queued").alias("status"), F.array_join(reasons, ",").alias("reasons"), scope.alias("scope"))
+def mined_patterns(rows: DataFrame, least: int = 2) -> DataFrame:
+    """Patterns of the neutral symptom phrases that stand in texts (text, domain), or of a row's own ``symptom_phrase``: how
+    often, in which domains, and how often as evidence in the text itself."""
+    from revlume.operators.gates import neutral_phrases
+
+    given = F.when(F.col("symptom_phrase").isNotNull() & (F.col("symptom_phrase") != ""), F.array("symptom_phrase")) if "symptom_phrase" in rows.columns else F.lit(None).cast("array<string>")
+    said = rows.select(F.coalesce("domain", F.lit("unknown")).alias("domain"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.explode(F.coalesce(given, neutral_phrases(F.col("text")))).alias("phrase"))
+    own = said.select("domain", "low", F.trim(F.regexp_replace(F.lower("phrase"), r"\s+", " ")).alias("phrase")).where("phrase <> ''")
+    stands = F.contains("low", F.col("phrase")) | F.startswith("phrase", F.lit("keeps ")) & F.contains("low", F.concat(F.lit("keep "), F.substring("phrase", 7, 1 << 30)))
+    found = own.groupBy("phrase").agg(F.count(F.lit(1)).alias("support_count"), F.array_sort(F.collect_set("domain")).alias("domains"), F.count_if(stands).alias("evidence_valid_count")).where(F.col("support_count") >= least)
+    name = F.regexp_replace(F.regexp_replace("phrase", "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    rate = F.col("evidence_valid_count").cast("double") / F.col("support_count")
+    return found.select(
+        F.concat(F.lit("mined_"), name).alias("pattern_id"), "phrase", name.alias("aspect_canonical"), "support_count", "domains", "evidence_valid_count", rate.alias("precision_estimate"), rate.alias("evidence_valid_rate"),
+        F.when(F.size("domains") > 1, 1.0).otherwise(0.0).alias("domain_entropy"))
+
+
+def validated_patterns(found: DataFrame, broad: tuple[str, ...], support: int = 2, valid_rate: float = 0.8, precision: float = 0.75) -> DataFrame:
+    """``found`` with its status (promoted, or review_queue with reasons) and scope."""
+    reasons = F.array_compact(F.array(
+        F.when(F.col("support_count") < support, "insufficient_support"), F.when(F.col("evidence_valid_rate") < valid_rate, "invalid_evidence"), F.when(F.col("precision_estimate") < precision, "low_precision"),
+        F.when(F.col("phrase").isin(*broad), "broad_phrase")))
+    return found.withColumn("reason_codes", reasons).withColumn("status", F.when(F.size("reason_codes") > 0, "review_queue").otherwise("promoted")).withColumn("domain_scope", F.when(F.size("domains") > 1, "global").otherwise("domain_scoped"))
 
 
 def histograms(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlume.operators.ranked import running_sum
-from revlume.plans.shared import cut
+from revlume.plans.shared import discard, materialize
 
 
 def pairs_per_review(mentions: DataFrame, key: str = "review_id", name: str = "aspect") -> DataFrame:
@@ -43,16 +43,25 @@ def idf(rows: DataFrame, reviews: DataFrame, name: str = "aspect") -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node it is connected with. Each round takes the smallest root around, and that root's root, until nothing changes."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
-    roots = cut(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
+    """(node, root): the shortest node it is connected with, of equally short ones the least.
+
+    Each round takes the first root around a node, and that root's root, until nothing changes. A round's table is deleted
+    when the next one is written.
+    """
+    name = lambda c: F.struct(F.length(F.col(c).cast("string")).alias("size"), F.col(c).alias("name"))
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct(), "component-edges")
+    roots = materialize(both.groupBy("node").agg(F.least(F.min(name("other")), F.min(name("node"))).alias("root")), "roots")
+    written = roots
     while True:
         around = both.join(roots.toDF("other", "near"), "other").groupBy("node").agg(F.min("near").alias("near"))
         closer = roots.join(around, "node").select("node", "root", F.least("root", "near").alias("new"))
-        step = cut(closer.join(closer.select(F.col("node").alias("new"), F.col("new").alias("next")), "new").select("node", "root", F.least("new", "next").alias("new")))
-        roots = step.select("node", F.col("new").alias("root"))
+        step = materialize(closer.join(closer.select(F.col("node").alias("via"), F.col("new").alias("next")), F.col("new.name") == F.col("via")).select("node", "root", F.least("new", "next").alias("new")), "roots")
+        discard(written)
+        written = step
         if step.where("new < root").isEmpty():
-            return roots
+            discard(both)
+            return step.select("node", F.col("new.name").alias("root"))
+        roots = step.select("node", F.col("new").alias("root"))
 
 
 def communities(edges: DataFrame, least: float = 2) -> DataFrame:
@@ -63,19 +72,24 @@ def communities(edges: DataFrame, least: float = 2) -> DataFrame:
     return found.join(numbered, "root").select(F.col("community").cast("int"), "size", F.col("node").alias("member"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """Weighted PageRank of an undirected graph after a fixed number of rounds."""
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """Weighted PageRank of an undirected graph: until a round moves all nodes together by less than the tolerance for each
+    node, or so many rounds. A round's table is deleted when the next one is written."""
     both = edges.select("a", "b", "weight").union(edges.select("b", "a", "weight")).toDF("node", "other", "weight")
     out = both.groupBy("node").agg(F.sum("weight").alias("total"))
-    shares = cut(both.join(out, "node").select("node", "other", (F.col("weight") / F.col("total")).alias("share")))
-    n = out.count()
-    ranks = out.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for k in range(rounds):
-        given = shares.join(ranks, "node").groupBy("other").agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
-        ranks = given.select(F.col("other").alias("node"), (F.lit((1 - damping) / max(n, 1)) + damping * F.col("given")).alias("rank"))
-        if k % 5 == 4:
-            ranks = cut(ranks)
-    return ranks
+    shares = materialize(both.join(out, "node").select("node", "other", (F.col("weight") / F.col("total")).alias("share")), "shares")
+    n = shares.select("node").distinct().count()
+    ranks = materialize(shares.select("node").distinct().withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("moved", F.lit(0.0)), "ranks")
+    for _ in range(rounds):
+        given = shares.join(ranks.select("node", "rank"), "node").groupBy("other").agg(F.sum(F.col("rank") * F.col("share")).alias("given"))
+        new = given.select(F.col("other").alias("node"), (F.lit((1 - damping) / max(n, 1)) + damping * F.col("given")).alias("rank"))
+        step = materialize(new.join(ranks.select("node", F.col("rank").alias("before")), "node").select("node", "rank", F.abs(F.col("rank") - F.col("before")).alias("moved")), "ranks")
+        discard(ranks)
+        ranks = step
+        if (step.agg(F.sum("moved")).first()[0] or 0.0) < n * tolerance:
+            break
+    discard(shares)
+    return ranks.select("node", "rank")
 
 
 def overall_sentiment(rows: DataFrame, ranks: DataFrame, idfs: DataFrame, tau: float = 2.5, edge: float = 0.15) -> DataFrame:
@@ -110,7 +124,7 @@ def odd_nodes(found: DataFrame) -> DataFrame:
 def rebuild(rows: DataFrame, alike: DataFrame, name: str = "aspect_raw") -> tuple[DataFrame, DataFrame]:
     """The graph of a corpus anew: nodes (cluster, frequency, mentions) and edges (a, b, weight) between clusters.
 
-    Aspects that similar or heavy edges (a, b) bind are one cluster, named by its smallest; edges inside a cluster go,
+    Aspects that similar or heavy edges (a, b) bind are one cluster, named by its shortest; edges inside a cluster go,
     those between two clusters are summed. Rows that may not enter a graph are left out before.
     """
     roots = components(alike).select(F.col("node").alias(name), F.col("root"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,12 +56,40 @@ def decide(scored: DataFrame, key: str = "vec_id") -> DataFrame:
     return found.select(key, "truth", "predicted", "confidence", (1 - (F.col("confidence") - F.coalesce("second", F.lit(0.0)))).alias("ambiguity"), (F.col("d2") / (F.col("d2") + 1)).alias("distance"))
 
 
-def similar_pairs(rows: DataFrame, threshold: float, top: int, key: str = "id", vector: str = "v") -> DataFrame:
-    """Pairs (a, b), a < b, of the top neighbours of a row with cosine of at least the threshold. For a stated, bounded set of rows."""
-    pairs = rows.select(F.col(key).alias("a"), F.col(vector).alias("va")).join(rows.select(F.col(key).alias("b"), F.col(vector).alias("vb")), F.col("a") != F.col("b"))
-    measured = pairs.select("a", "b", dot(F.col("va"), F.col("vb")).alias("cosine")).where(F.col("cosine") >= threshold)
+#: Vectors of a block; two blocks meet in a task.
+BLOCK = 2048
+
+
+def similar_pairs(rows: DataFrame, threshold: float, top: int = 25, key: str = "id", vector: str = "v") -> DataFrame:
+    """(a, b, cosine), a < b, of unit vectors with a cosine of at least the threshold, if b is among the ``top`` nearest of a.
+
+    Vectors are dealt to blocks; each task multiplies two blocks as matrices and lets out only a row's best ones, so that
+    no join makes all pairs and no task holds more than two blocks. Equal cosines go by key. Keys are distinct; null
+    vectors take no part.
+    """
+    own = rows.select(key, vector).where(F.col(vector).isNotNull())
+    blocks = max(1, -(-own.count() // BLOCK))
+    dealt = own.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    sides = dealt.select("k", "v", F.lit(0).alias("side"), F.col("block").alias("i"), every.alias("j")).union(dealt.select("k", "v", F.lit(1), every.alias("i"), F.col("block").alias("j")))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def near(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = (group[group["side"] == s].sort_values("k") for s in (0, 1))
+        none = pd.DataFrame({"a": group["k"][:0], "b": group["k"][:0], "cosine": np.zeros(0)})
+        if left.empty or right.empty:
+            return none
+        cosine = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
+        a, b = left["k"].to_numpy(), right["k"].to_numpy()
+        cosine[a[:, None] == b[None]] = -np.inf
+        # as near as the top-th of the block and no farther: ties are told apart when all blocks are known
+        least = np.maximum(threshold, np.partition(cosine, -min(top, cosine.shape[1]), axis=1)[:, -min(top, cosine.shape[1])])
+        x, y = np.nonzero(cosine >= least[:, None])
+        return pd.DataFrame({"a": a[x], "b": b[y], "cosine": cosine[x, y]}) if len(x) else none
+
+    found = sides.groupBy("i", "j").applyInPandas(near, f"a {kind}, b {kind}, cosine double")
     place = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return measured.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").distinct()
+    return found.withColumn("place", F.row_number().over(place)).where((F.col("place") <= top) & (F.col("a") < F.col("b"))).select("a", "b", "cosine")
 
 
 def calibration_bins(rows: DataFrame, bins: int = 10) -> DataFrame:
@@ -90,6 +120,54 @@ def auroc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     return summed.withColumn("below", F.col("upto") - F.col("q")).agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2.0)) / (F.sum("p") * F.sum("q"))).alias("auroc"))
 
 
+def _upto(rows: DataFrame, score: str, positive: str) -> DataFrame:
+    """score, p, q, tp, fp: of each distinct score the positives and others at it, and at it or above. Ties are one step."""
+    counted = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(F.col(positive)).cast("long").alias("p"), F.count_if(~F.col(positive)).cast("long").alias("q"))
+    one = running_sum(counted, F.col("p"), "tp", F.desc("score"))
+    return running_sum(one, F.col("q"), "fp", F.desc("score"))
+
+
+def _totals(steps: DataFrame) -> DataFrame:
+    return steps.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+
+
+def precision_recall(rows: DataFrame, score: str, positive: str) -> DataFrame:
+    """(score, precision, recall): of the rows at the score or above. Rows without a score are left out by the caller."""
+    steps = _upto(rows, score, positive)
+    met = steps.crossJoin(F.broadcast(_totals(steps)))
+    return met.select("score", (F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))).alias("precision"), F.when(F.col("all_p") > 0, F.col("tp").cast("double") / F.col("all_p")).otherwise(0.0).alias("recall"))
+
+
+def average_precision(rows: DataFrame, score: str, positive: str) -> DataFrame:
+    """One row: the sum over falling scores of the gain in recall times the precision."""
+    steps = _upto(rows, score, positive)
+    return steps.agg((F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p")).alias("average_precision"))
+
+
+def fpr_at_recall(rows: DataFrame, score: str, positive: str, recall: float = 0.95) -> DataFrame:
+    """One row: the least share of others at or above a score that reaches the recall."""
+    steps = _upto(rows, score, positive)
+    met = steps.crossJoin(F.broadcast(_totals(steps))).where(F.col("tp") >= recall * F.col("all_p") - 1e-9)
+    return met.agg(F.min(F.col("fp").cast("double") / F.col("all_q")).alias("fpr"))
+
+
+def risk_coverage(rows: DataFrame, novelty: str, correct: str, quantiles: list[float]) -> DataFrame:
+    """(quantile, threshold, coverage, risk): of the rows whose novelty is not above its quantile (interpolated), their share
+    and the share of wrong ones."""
+    spark = rows.sparkSession
+    counted = rows.groupBy(F.col(novelty).alias("score")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(correct)).cast("long").alias("hits"))
+    ranked = running_sum(counted, F.col("n"), "upto", "score")
+    total = counted.agg(F.sum("n").alias("total"))
+    asked = spark.createDataFrame([(q,) for q in quantiles], "quantile double").crossJoin(F.broadcast(total)).withColumn("at", F.col("quantile") * (F.col("total") - 1))
+    # the rows at either side of the place asked for: the first scores whose running counts pass it
+    met = ranked.join(F.broadcast(asked))
+    first = lambda place: F.min(F.when(F.col("upto") > place, F.col("score")))
+    bounds = met.groupBy("quantile", "at", "total").agg(first(F.floor("at")).alias("low"), first(F.ceil("at")).alias("high"))
+    cut_at = bounds.select("quantile", "total", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))).alias("threshold"))
+    covered = counted.join(F.broadcast(cut_at), F.col("score") <= F.col("threshold")).groupBy("quantile", "threshold", "total").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    return covered.select("quantile", "threshold", (F.col("n").cast("double") / F.col("total")).alias("coverage"), (1 - F.col("hits").cast("double") / F.col("n")).alias("risk"))
+
+
 def threshold_grid(rows: DataFrame, steps: int = 19) -> DataFrame:
     """For each pair of thresholds known < novel: share of novel rows found and of known rows kept. The grid has a fixed size."""
     spark = rows.sparkSession

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from revlume.functions import text as X
 from revlume.operators import etl as E
@@ -69,7 +70,7 @@ def c11(spark, d):
     return docs(spark, d).select("doc_id", X.phrase_span(F.col("text"), F.lit("The"))[0].cast("long").alias("start"))
 
 
-@R.add("C12_phrase_windows", "SELECT doc_id, array_to_string(w[greatest(p - 8, 1):p + 8], ' ') AS window_text FROM (SELECT doc_id, w, list_position(list_transform(w, lambda x: contains(lower(x), 'gmbh') OR contains(lower(x), 'idiot')), true) AS p FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE contains(lower(text), 'idiot'))) WHERE p > 0")
+@R.add("C12_phrase_windows", "SELECT doc_id, array_to_string(w[greatest(p - 8, 1):p + 8], ' ') AS window_text FROM (SELECT doc_id, w, list_position(list_transform(w, lambda x: contains(lower(x), 'idiot')), true) AS p FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents WHERE contains(lower(text), 'idiot'))) WHERE p > 0")
 def c12(spark, d):
     own = docs(spark, d).where(F.contains(F.lower("text"), F.lit("idiot")))
     return own.select("doc_id", E.phrase_window(F.col("text"), F.lit("idiot")).alias("window_text")).where("window_text is not null")
@@ -129,25 +130,65 @@ def a21(spark, d):
     return E.histograms(rows(spark, d), ["sentiment", "source", "aspect", "domain"])
 
 
-@R.add("A22_mined_patterns", with_views("SELECT aspect_raw AS phrase, count(*) AS support, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, count(*) FILTER (conf >= 92)::DOUBLE / count(*) AS valid_rate FROM joined WHERE sentiment = 'negative' GROUP BY 1 HAVING count(*) >= 2"))
+#: Texts with symptoms: products, and what is said of them in the words of their type.
+SYMPTOMS = r"""t AS (SELECT lower(p_brand) AS domain, CASE p_size % 6 WHEN 0 THEN 'The ' || p_name || ' keeps ' || lower(p_type) || 'ing and stopped working.' WHEN 1 THEN 'It keep ' || lower(p_type) || 's, it does not last.' WHEN 2 THEN p_name || ' breaks under load, ' || p_name || ' under load' WHEN 3 THEN 'Does  not fit' WHEN 4 THEN NULL ELSE 'no symptom at all' END AS text,
+ CASE WHEN p_size % 12 = 5 THEN 'Good' WHEN p_size % 12 = 11 THEN ' No   Symptom' END AS given FROM part), f AS (SELECT domain, lower(coalesce(text, '')) AS low, given FROM t),
+ said AS (SELECT domain, low, given AS phrase FROM f WHERE given IS NOT NULL UNION ALL SELECT domain, low, 'keeps ' || unnest(regexp_extract_all(low, '\bkeeps?\s+([a-z]+(?:ing|ed|s)?)\b', 1)) FROM f WHERE given IS NULL UNION ALL SELECT domain, low, 'stopped ' || unnest(regexp_extract_all(low, '\bstopped\s+([a-z]+(?:ing|ed)?)\b', 1)) FROM f WHERE given IS NULL
+ UNION ALL SELECT domain, low, 'does not ' || unnest(regexp_extract_all(low, '\bdoes\s+not\s+([a-z]+)\b', 1)) FROM f WHERE given IS NULL UNION ALL SELECT domain, low, regexp_replace(unnest(regexp_extract_all(low, '\b[a-z]+s?\s+under\s+[a-z]+\b')), '\s+', ' ', 'g') FROM f WHERE given IS NULL),
+ own AS (SELECT domain, low, trim(regexp_replace(lower(phrase), '\s+', ' ', 'g')) AS phrase FROM said),
+ found AS (SELECT phrase, count(*) AS support_count, array_to_string(list_sort(list_distinct(list(domain))), ',') AS domains, count(*) FILTER (contains(low, phrase) OR (starts_with(phrase, 'keeps ') AND contains(low, 'keep ' || substr(phrase, 7)))) AS evidence_valid_count FROM own WHERE phrase <> '' GROUP BY 1 HAVING count(*) >= 2),
+ mined AS (SELECT 'mined_' || regexp_replace(phrase, '[^a-z0-9]+', '_', 'g') AS pattern_id, *, evidence_valid_count::DOUBLE / support_count AS rate FROM found)"""
+
+
+def symptoms(spark, d):
+    turn, low = F.col("p_size") % 6, F.lower("p_type")
+    text = (
+        F.when(turn == 0, F.concat(F.lit("The "), "p_name", F.lit(" keeps "), low, F.lit("ing and stopped working."))).when(turn == 1, F.concat(F.lit("It keep "), low, F.lit("s, it does not last.")))
+        .when(turn == 2, F.concat("p_name", F.lit(" breaks under load, "), "p_name", F.lit(" under load"))).when(turn == 3, "Does  not fit").when(turn == 4, F.lit(None).cast("string")).otherwise("no symptom at all")
+    )
+    given = F.when(F.col("p_size") % 12 == 5, "Good").when(F.col("p_size") % 12 == 11, " No   Symptom")
+    return V.table(spark, d, "part").select(F.lower("p_brand").alias("domain"), text.alias("text"), given.alias("symptom_phrase"))
+
+
+@R.add("A22_mined_patterns", "WITH " + SYMPTOMS + " SELECT pattern_id, phrase, support_count, domains, evidence_valid_count, rate AS precision_estimate, CASE WHEN contains(domains, ',') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS domain_entropy FROM mined")
 def a22(spark, d):
-    return E.patterns(rows(spark, d).where("sentiment = 'negative'").select(F.col("aspect_raw").alias("phrase"), "domain", (F.col("conf") >= 92).alias("valid")))
+    """Symptom phrases mined from what is said of products."""
+    return E.mined_patterns(symptoms(spark, d)).select("pattern_id", "phrase", "support_count", F.array_join("domains", ",").alias("domains"), "evidence_valid_count", "precision_estimate", "domain_entropy")
 
 
-@R.add("X11_validated_patterns", with_views("p AS (SELECT aspect_raw AS phrase, count(*) AS support, count(DISTINCT domain) AS k, count(*) FILTER (conf >= 92)::DOUBLE / count(*) AS valid_rate FROM joined GROUP BY 1 HAVING count(*) >= 2) SELECT phrase, CASE WHEN support >= 5 AND valid_rate >= 0.8 THEN 'promoted' ELSE 'queued' END AS status, concat_ws(',', CASE WHEN support < 5 THEN 'low_support' END, CASE WHEN valid_rate < 0.8 THEN 'low_evidence' END) AS reasons, CASE WHEN k > 1 THEN 'global' ELSE 'domain' END AS scope FROM p"))
+@R.add("X11_validated_patterns", "WITH " + SYMPTOMS + " SELECT phrase, CASE WHEN support_count < 5 OR rate < 0.8 OR phrase IN ('good', 'bad', 'quality', 'works', 'service') THEN 'review_queue' ELSE 'promoted' END AS status, concat_ws(',', CASE WHEN support_count < 5 THEN 'insufficient_support' END, CASE WHEN rate < 0.8 THEN 'invalid_evidence' END, CASE WHEN rate < 0.75 THEN 'low_precision' END, CASE WHEN phrase IN ('good', 'bad', 'quality', 'works', 'service') THEN 'broad_phrase' END) AS reasons, CASE WHEN contains(domains, ',') THEN 'global' ELSE 'domain_scoped' END AS scope FROM mined")
 def x11(spark, d):
-    found = E.patterns(rows(spark, d).select(F.col("aspect_raw").alias("phrase"), "domain", (F.col("conf") >= 92).alias("valid")))
-    return E.validated_patterns(found)
+    """With a support of five, so that some fall short of it."""
+    out = E.validated_patterns(E.mined_patterns(symptoms(spark, d)), ("good", "bad", "quality", "works", "service"), support=5)
+    return out.select("phrase", "status", F.array_join("reason_codes", ",").alias("reasons"), F.col("domain_scope").alias("scope"))
+
 
+NAMED = """raw AS (SELECT review_id, domain, position, aspect_cluster AS context, conf, CASE WHEN conf = 90 THEN 'Good ' WHEN conf = 91 THEN 'restaurant' WHEN conf = 92 THEN aspect_raw || ' quality' WHEN conf = 93 THEN ' Fit of ' || aspect_raw WHEN conf = 94 THEN '' WHEN conf = 95 THEN aspect_raw || review_id ELSE aspect_raw END AS name, CASE WHEN conf = 97 THEN 'failure_event' WHEN conf = 98 THEN 'quality_judgment' WHEN conf = 99 THEN '' ELSE 'unknown' END AS cue_type FROM joined),
+ev AS (SELECT *, lower(trim(name)) AS aspect, review_id * 16 + position AS seq FROM raw), ex AS (SELECT aspect, lower(context) AS form, row_number() OVER (PARTITION BY aspect ORDER BY seq, review_id, context) AS place FROM ev), fm AS (SELECT aspect, count(DISTINCT form) AS forms FROM ex WHERE place <= 5 GROUP BY 1),
+lc AS (SELECT aspect, arg_max(cue_type, {'s': seq, 'r': review_id, 'c': context}) AS cue FROM (SELECT aspect, seq, review_id, context, max(cue_type) AS cue_type FROM ev WHERE cue_type <> '' GROUP BY 1, 2, 3, 4) GROUP BY 1),
+mem AS (SELECT aspect, count(*) AS support, count(DISTINCT review_id) AS reviews, count(DISTINCT domain) AS domains FROM ev GROUP BY 1),
+st AS (SELECT mem.*, forms, CASE WHEN contains(aspect, 'quality') THEN 'quality' WHEN contains(aspect, 'late') THEN 'delivery' WHEN contains(aspect, 'fit') THEN 'comfort' END AS parent, cue FROM mem JOIN fm USING (aspect) LEFT JOIN lc USING (aspect)),
+memory AS (SELECT *, CASE WHEN aspect IN ('', 'good') THEN 'rejected' WHEN support >= 5 AND reviews >= 3 AND forms >= 2 AND aspect <> 'restaurant' AND (parent IS NOT NULL OR coalesce(cue IN ('failure_event', 'quality_judgment'), false)) THEN 'review_queue' ELSE 'candidate' END AS status FROM st)"""
 
-@R.add("A23_aspect_memory", with_views("SELECT *, CASE WHEN support >= 5 AND reviews >= 3 AND forms >= 2 THEN 'promoted' WHEN support >= 5 THEN 'review_queue' WHEN support >= 2 THEN 'candidate' ELSE 'rejected' END AS status FROM (SELECT aspect_raw AS aspect, count(*) AS support, count(DISTINCT review_id) AS reviews, count(DISTINCT domain) AS domains, count(DISTINCT aspect_cluster) AS forms FROM joined GROUP BY 1)"))
+
+def evidence(spark, d):
+    """Mentions as evidence: some names are no aspects, some too broad, some rare; some cues are strong."""
+    conf, name = F.col("conf"), F.col("aspect_raw")
+    named = F.when(conf == 90, "Good ").when(conf == 91, "restaurant").when(conf == 92, F.concat(name, F.lit(" quality"))).when(conf == 93, F.concat(F.lit(" Fit of "), name)).when(conf == 94, "").when(conf == 95, F.concat(name, F.col("review_id").cast("string"))).otherwise(name)
+    cue = F.when(conf == 97, "failure_event").when(conf == 98, "quality_judgment").when(conf == 99, "").otherwise("unknown")
+    # of rows with one place and context, the cues that are there count by name
+    r = rows(spark, d).withColumn("cue", F.max(F.when(cue != "", cue)).over(Window.partitionBy("review_id", "position", "aspect_cluster", F.lower(F.trim(named)))))
+    return r.select(named.alias("aspect_raw"), "review_id", "domain", F.col("aspect_cluster").alias("context"), F.when(cue == "", "").otherwise(F.col("cue")).alias("cue_type"), (F.col("review_id") * 16 + F.col("position")).alias("seq"))
+
+
+@R.add("A23_aspect_memory", with_views(NAMED + " SELECT aspect, support, reviews, domains, forms, parent, cue, status FROM memory"))
 def a23(spark, d):
-    return E.memory(rows(spark, d).withColumn("surface", F.col("aspect_cluster")))
+    return E.memory(evidence(spark, d)).drop("examples")
 
 
-@R.add("A24_memory_summary", with_views("SELECT status, count(*) AS n, CAST(max(support) AS BIGINT) AS most FROM (SELECT CASE WHEN count(*) >= 5 AND count(DISTINCT review_id) >= 3 AND count(DISTINCT aspect_cluster) >= 2 THEN 'promoted' WHEN count(*) >= 5 THEN 'review_queue' WHEN count(*) >= 2 THEN 'candidate' ELSE 'rejected' END AS status, count(*) AS support FROM joined GROUP BY aspect_raw) GROUP BY 1"))
+@R.add("A24_memory_summary", with_views(NAMED + " SELECT status, count(*) AS n, CAST(max(support) AS BIGINT) AS most FROM memory GROUP BY 1"))
 def a24(spark, d):
-    return a23(spark, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("support").alias("most"))
+    return E.memory(evidence(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("support").alias("most"))
 
 
 @R.add("A25_reason_counts", with_views("SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN conf < 93 THEN 'low_confidence' END, CASE WHEN source <> 'explicit' THEN 'weak_support' END], lambda x: x IS NOT NULL)) AS reason FROM predictions) GROUP BY 1"))
@@ -206,13 +247,16 @@ def m02(spark, d):
     return e.groupBy("label", E.route(s, x(3)).alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("M06_novelty", with_views("k AS (SELECT aspect_raw FROM predictions GROUP BY 1 HAVING count(*) > 930), x AS (SELECT aspect_raw IN (SELECT aspect_raw FROM k) AS known, conf, source FROM predictions) SELECT CASE WHEN known THEN 'known' WHEN source = 'implicit' THEN 'boundary' WHEN conf >= 95 THEN 'boundary' ELSE 'novel' END AS status, count(*) AS n FROM x GROUP BY 1"))
+@R.add("M06_novelty", with_views("k AS (SELECT aspect_raw FROM predictions GROUP BY 1 HAVING count(*) > 930), x AS (SELECT CASE WHEN conf = 91 THEN ' Unknown' WHEN conf = 90 AND position = 1 THEN '' ELSE aspect_raw END AS name, aspect_raw IN (SELECT aspect_raw FROM k) AS known, (conf - 92) / 8.0::DOUBLE AS c, CASE position WHEN 2 THEN 'provisional' WHEN 3 THEN 'token_fallback' WHEN 4 THEN 'unmapped' WHEN 5 THEN NULL ELSE 'exact' END AS mapping, source = 'explicit' AS supported FROM predictions), n AS (SELECT CASE WHEN lower(trim(name)) IN ('', 'unknown') THEN 'unknown_aspect_canonical' WHEN known AND c >= 0.75 THEN 'canonical_in_registry' WHEN coalesce(mapping IN ('token_fallback', 'provisional', 'unmapped'), false) OR (c > 0 AND c < 0.75) THEN 'weak_mapping_or_untrusted_source' WHEN NOT supported THEN 'insufficient_evidence' WHEN NOT known THEN 'high_confidence_unknown_canonical' ELSE 'unmapped_evidence_supported' END AS reason FROM x) SELECT CASE reason WHEN 'canonical_in_registry' THEN 'known' WHEN 'high_confidence_unknown_canonical' THEN 'novel' WHEN 'unmapped_evidence_supported' THEN 'novel' ELSE 'boundary' END AS status, CASE reason WHEN 'unknown_aspect_canonical' THEN 0.4::DOUBLE WHEN 'canonical_in_registry' THEN 0.0::DOUBLE WHEN 'weak_mapping_or_untrusted_source' THEN 0.6::DOUBLE WHEN 'insufficient_evidence' THEN 0.5::DOUBLE WHEN 'high_confidence_unknown_canonical' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS score, reason, count(*) AS n FROM n GROUP BY 1, 2, 3"))
 def m06(spark, d):
-    p = V.predictions(spark, d)
+    """Names in the registry are the frequent ones; some mappings are weak, some names blank, some without evidence."""
+    p, at = V.predictions(spark, d), F.col("position")
     known = p.groupBy("aspect_raw").agg(F.count(F.lit(1)).alias("n")).where("n > 930").select("aspect_raw", F.lit(True).alias("known"))
     own = p.join(known, "aspect_raw", "left")
-    status = E.novelty(F.coalesce("known", F.lit(False)), F.when(F.col("conf") >= 95, 0.7).otherwise(0.1), F.col("source") == "explicit")["status"]
-    return own.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    name = F.when(F.col("conf") == 91, " Unknown").when((F.col("conf") == 90) & (at == 1), "").otherwise(F.col("aspect_raw"))
+    mapping = F.when(at == 2, "provisional").when(at == 3, "token_fallback").when(at == 4, "unmapped").when(at == 5, F.lit(None).cast("string")).otherwise("exact")
+    found = E.novelty(name, F.coalesce("known", F.lit(False)), (F.col("conf") - 92) / 8.0, mapping, F.col("source") == "explicit")
+    return own.select(found.alias("f")).groupBy("f.status", "f.score", "f.reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("M09_snapshot_hash", "WITH b AS (SELECT source, doc_id // 1000 AS block, sha1(string_agg(doc_id::VARCHAR || ':' || sha1(text), '|' ORDER BY doc_id, sha1(text))) AS h FROM documents GROUP BY 1, 2), c AS (SELECT source, block // 1000 AS upper, sha1(string_agg(h, '|' ORDER BY block)) AS h FROM b GROUP BY 1, 2) SELECT source, sha1(string_agg(h, '|' ORDER BY upper)) AS snapshot FROM c GROUP BY 1")

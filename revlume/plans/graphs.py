@@ -56,15 +56,16 @@ def a18(spark, d):
 
 RANKS = """e AS (SELECT x.aspect AS a, y.aspect AS b, count(*)::DOUBLE AS weight FROM (SELECT DISTINCT review_id, aspect FROM predictions) x JOIN (SELECT DISTINCT review_id, aspect FROM predictions) y ON x.review_id = y.review_id AND x.aspect < y.aspect GROUP BY 1, 2),
 both_ways AS (SELECT a AS node, b AS other, weight FROM e UNION ALL SELECT b, a, weight FROM e), tot AS (SELECT node, sum(weight) AS total FROM both_ways GROUP BY 1), sh AS (SELECT node, other, weight / total AS share FROM both_ways JOIN tot USING (node)), nn AS (SELECT count(*) AS n FROM tot),
-r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM tot, nn), """ + ", ".join(f"r{k} AS (SELECT other AS node, (1 - 0.85::DOUBLE) / any_value(n) + 0.85::DOUBLE * sum(rank * share) AS rank FROM sh JOIN r{k - 1} USING (node), nn GROUP BY 1)" for k in range(1, 21))
+r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM tot, nn), """ + ", ".join(f"r{k} AS (SELECT other AS node, (1 - 0.85::DOUBLE) / any_value(n) + 0.85::DOUBLE * sum(rank * share) AS rank FROM sh JOIN r{k - 1} USING (node), nn GROUP BY 1)" for k in range(1, 21)) + ", ranks AS (" + " UNION ALL ".join(f"SELECT * FROM r{k} WHERE {k} = (SELECT min(k) FROM moved WHERE far < n * 1e-6 OR k = 20)" for k in range(1, 21)) + ")"
+RANKS = RANKS.replace(", ranks AS (", ", moved AS (" + " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(x.rank - y.rank)) AS far, count(*) AS n FROM r{k} x JOIN r{k - 1} y USING (node)" for k in range(1, 21)) + "), ranks AS (", 1)
 
 
-@R.add("G03_pagerank", with_views(RANKS + " SELECT node, round(rank, 6) AS rank FROM r20"))
+@R.add("G03_pagerank", with_views(RANKS + " SELECT node, round(rank, 6) AS rank FROM ranks"))
 def g03(spark, d):
     return G.pagerank(G.cooccurrence(V.predictions(spark, d))).select("node", F.round("rank", 6).alias("rank"))
 
 
-@R.add("A19_overall_sentiment", with_views(RANKS + ", " + IDF + """, s AS (SELECT p.*, 2.5::DOUBLE * (0.55::DOUBLE * (p.conf / 100.0::DOUBLE) + 0.25::DOUBLE * rank + 0.2::DOUBLE * idf / (idf + 5)) AS s FROM predictions p JOIN r20 ON node = p.aspect JOIN idfs ON idfs.aspect = p.aspect),
+@R.add("A19_overall_sentiment", with_views(RANKS + ", " + IDF + """, s AS (SELECT p.*, 2.5::DOUBLE * (0.55::DOUBLE * (p.conf / 100.0::DOUBLE) + 0.25::DOUBLE * rank + 0.2::DOUBLE * idf / (idf + 5)) AS s FROM predictions p JOIN ranks ON node = p.aspect JOIN idfs ON idfs.aspect = p.aspect),
 w AS (SELECT *, exp(s - max(s) OVER (PARTITION BY review_id)) AS w FROM s), o AS (SELECT review_id, sum(w * CASE sentiment WHEN 'positive' THEN 1 WHEN 'negative' THEN -1 ELSE 0 END * conf / 100) / sum(w) AS score FROM w GROUP BY 1)
 SELECT review_id, round(score, 5) + 0.0::DOUBLE AS overall_score, CASE WHEN score > 0.15::DOUBLE THEN 'positive' WHEN score < -0.15::DOUBLE THEN 'negative' ELSE 'neutral' END AS overall FROM o"""))
 def a19(spark, d):
@@ -78,7 +79,7 @@ def w04(spark, d):
 
 
 SIMILAR = """heavy AS (SELECT a, b FROM edges WHERE weight >= (SELECT quantile_cont(weight, 0.97) FROM edges)), sym AS (SELECT a, b FROM heavy UNION SELECT b, a FROM heavy),
-reach AS (SELECT a AS node, b AS other FROM sym UNION SELECT a, a FROM sym UNION SELECT reach.node, sym.b FROM reach JOIN sym ON reach.other = sym.a), roots AS (SELECT node, min(other) AS root FROM reach GROUP BY 1)"""
+reach AS (SELECT a AS node, b AS other FROM sym UNION SELECT a, a FROM sym UNION SELECT reach.node, sym.b FROM reach JOIN sym ON reach.other = sym.a), roots AS (SELECT node, arg_min(other, {'l': length(other), 'o': other}) AS root FROM reach GROUP BY 1)"""
 
 
 def heavy(spark, d):

@@ -35,11 +35,11 @@ def u08(spark, d):
     return C.collapse_fragments(x.unionByName(short), ["review_id", "sentiment"]).select("review_id", "sentiment", "canonical")
 
 
-@R.add("A27_row_novelty", with_views("""i AS (SELECT review_id, conf / 100.0::DOUBLE AS c, CASE sentiment WHEN 'negative' THEN 'novel' WHEN 'neutral' THEN 'boundary' ELSE 'known' END AS s FROM predictions WHERE conf < 97), a AS (SELECT review_id, count(*) AS n, count(*) FILTER (s = 'novel') AS novel, count(*) FILTER (s <> 'known') AS odd, max({'c': c, 's': s}) AS top FROM i GROUP BY 1)
+@R.add("A27_row_novelty", with_views("""i AS (SELECT review_id, conf / 100.0::DOUBLE AS c, CASE sentiment WHEN 'negative' THEN 'novel' WHEN 'neutral' THEN 'boundary' ELSE 'known' END AS s FROM predictions), a AS (SELECT review_id, count(*) AS n, count(*) FILTER (s = 'novel') AS novel, count(*) FILTER (s <> 'known') AS odd, max({'c': c, 's': s}) AS top FROM i GROUP BY 1)
 SELECT review_id, CASE WHEN top.s = 'novel' THEN 'novel' WHEN 2 * novel > n THEN 'novel' WHEN odd > 0 THEN 'boundary' ELSE 'known' END AS novelty FROM a"""))
 def a27(spark, d):
     status = F.when(F.col("sentiment") == "negative", "novel").when(F.col("sentiment") == "neutral", "boundary").otherwise("known")
-    items = V.predictions(spark, d).where("conf < 97").groupBy("review_id").agg(F.collect_list(F.struct((F.col("conf") / 100).alias("confidence"), status.alias("status"))).alias("items"))
+    items = V.predictions(spark, d).groupBy("review_id").agg(F.collect_list(F.struct((F.col("conf") / 100).alias("confidence"), status.alias("status"))).alias("items"))
     return items.select("review_id", C.row_novelty(F.col("items")).alias("novelty"))
 
 
@@ -82,11 +82,11 @@ def c21(spark, d):
     return C.top_bigrams(V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@R.add("A36_set_scores", with_views("s AS (SELECT review_id AS id, list_distinct(list(aspect) FILTER (source = 'implicit')) AS p, list_distinct(list(aspect) FILTER (source = 'explicit')) AS g FROM predictions GROUP BY 1), k AS (SELECT id, len(list_intersect(p, g))::DOUBLE AS hits, len(p) AS np, len(g) AS ng FROM s WHERE p IS NOT NULL AND g IS NOT NULL), x AS (SELECT id, CASE WHEN np > 0 THEN hits / np ELSE 0 END AS precision, CASE WHEN ng > 0 THEN hits / ng ELSE 0 END AS recall FROM k WHERE np > 0 AND ng > 0) SELECT id, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM x"))
+@R.add("A36_set_scores", with_views("s AS (SELECT review_id AS id, coalesce(list_distinct(list(aspect) FILTER (source = 'implicit')), []) AS p, coalesce(list_distinct(list(aspect) FILTER (source = 'explicit')), []) AS g FROM predictions GROUP BY 1), k AS (SELECT id, len(list_intersect(p, g))::DOUBLE AS hits, len(p) AS np, len(g) AS ng FROM s), x AS (SELECT id, CASE WHEN np > 0 THEN hits / np ELSE 0 END AS precision, CASE WHEN ng > 0 THEN hits / ng ELSE 0 END AS recall FROM k) SELECT id, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM x"))
 def a36(spark, d):
     own = lambda s: F.collect_set(F.when(F.col("source") == s, F.col("aspect")))
     sets = V.predictions(spark, d).groupBy(F.col("review_id").alias("id")).agg(own("implicit").alias("predicted"), own("explicit").alias("gold"))
-    return C.set_scores(sets.where("size(predicted) > 0 and size(gold) > 0"))
+    return C.set_scores(sets)
 
 
 def pattern_store(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from revlume.operators import episodes as EP
 from revlume.operators import vectors as X
 from revlume.plans import views as V
 from revlume.plans.registry import Registry
@@ -101,11 +102,46 @@ def a35(spark, d):
     return X.threshold_grid(own)
 
 
-@R.add("J10_similar_labels", f"WITH {BANK}, u AS (SELECT label, list_transform(centre, lambda x: x / sqrt(list_sum(list_transform(centre, lambda y: y * y)))) AS v FROM bank), c AS (SELECT x.label AS a, y.label AS b, list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])) AS cosine FROM u x JOIN u y ON x.label <> y.label), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS place FROM c WHERE cosine >= -0.05) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(cosine, 6) AS cosine FROM r WHERE place <= 3")
+@R.add("J10_similar_labels", f"WITH {BANK}, u AS (SELECT label, list_transform(centre, lambda x: x / sqrt(list_sum(list_transform(centre, lambda y: y * y)))) AS v FROM bank), c AS (SELECT x.label AS a, y.label AS b, list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])) AS cosine FROM u x JOIN u y ON x.label <> y.label), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS place FROM c WHERE cosine >= -0.05) SELECT a, b, round(cosine, 6) AS cosine FROM r WHERE place <= 3 AND a < b")
 def j10(spark, d):
     """Similar labels by their unit prototypes: the self-join is over labels, not rows."""
     bank = cut(X.prototypes(embeddings(spark, d)).select(F.col("label").alias("id"), X.unit(F.col("centre")).alias("v")))
-    return X.similar_pairs(bank, -0.05, 3).withColumn("cosine", F.round("cosine", 6)).distinct()
+    return X.similar_pairs(bank, -0.05, 3).withColumn("cosine", F.round("cosine", 6))
+
+
+@R.add("J10_similar_vectors", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e), c AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.v, y.v) AS cosine FROM u x JOIN u y ON x.vec_id <> y.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS place FROM c WHERE cosine >= 0.3) SELECT a, b, round(cosine, 6) AS cosine FROM r WHERE place <= 25 AND a < b")
+def j10_rows(spark, d):
+    """Pairs of all vectors with a cosine of 0.3 or more, of each the 25 nearest."""
+    unit = embeddings(spark, d).select(F.col("vec_id").alias("id"), X.unit(F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+    return X.similar_pairs(unit, 0.3, 25).withColumn("cosine", F.round("cosine", 6))
+
+
+CURVE = "SELECT s, y, count(*) AS n FROM (SELECT length(text) AS s, toxic = 1 AS y FROM documents JOIN labels USING (doc_id)) GROUP BY 1, 2"
+STEPS = f"c AS ({CURVE}), d AS (SELECT s, coalesce(sum(n) FILTER (y), 0) AS p, coalesce(sum(n) FILTER (NOT y), 0) AS q FROM c GROUP BY 1), st AS (SELECT s, p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS all_p, sum(q) OVER () AS all_q FROM d WINDOW w AS (ORDER BY s DESC))"
+
+
+def lengths_and_labels(spark, d):
+    return V.table(spark, d, "documents").join(V.table(spark, d, "labels"), "doc_id").select(F.length("text").alias("s"), (F.col("toxic") == 1).alias("y"))
+
+
+@R.add("A29_precision_recall", f"WITH {STEPS} SELECT s AS score, tp::DOUBLE / (tp + fp)::DOUBLE AS precision, tp::DOUBLE / all_p::DOUBLE AS recall FROM st")
+def precision_recall(spark, d):
+    """Of a text's length as a score of toxic labels."""
+    return X.precision_recall(lengths_and_labels(spark, d), "s", "y")
+
+
+@R.add("A29_ranking_summary", f"WITH {STEPS} SELECT round((SELECT sum(p * tp::DOUBLE / (tp + fp)::DOUBLE) / sum(p) FROM st), 9) AS average_precision, (SELECT min(fp::DOUBLE / all_q::DOUBLE) FROM st WHERE tp >= 0.95 * all_p) AS fpr")
+def ranking_summary(spark, d):
+    own = lengths_and_labels(spark, d)
+    return X.average_precision(own, "s", "y").select(F.round("average_precision", 9).alias("average_precision")).crossJoin(X.fpr_at_recall(own, "s", "y", 0.95))
+
+
+@R.add("A29_risk_coverage", f"WITH {DECIDED}, x AS (SELECT round(d2 / (d2 + 1), 6) AS novelty, truth = predicted AS ok FROM dec), q AS (SELECT i / 10.0::DOUBLE AS quantile FROM range(1, 11) v(i)), t AS (SELECT quantile, (SELECT list_sort(list(novelty)) FROM x) AS l FROM q), c AS (SELECT quantile, l[CAST(floor(quantile * (len(l) - 1)) AS INTEGER) + 1] AS low, l[CAST(ceil(quantile * (len(l) - 1)) AS INTEGER) + 1] AS high, quantile * (len(l) - 1) AS spot FROM t), b AS (SELECT quantile, low + (high - low) * (spot - floor(spot)) AS threshold FROM c) SELECT quantile, round(threshold, 6) AS threshold, count(*) FILTER (novelty <= threshold)::DOUBLE / count(*) AS coverage, round(1 - count(*) FILTER (novelty <= threshold AND ok)::DOUBLE / count(*) FILTER (novelty <= threshold), 9) AS risk FROM b, x GROUP BY 1, b.threshold")
+def risk_coverage(spark, d):
+    """How wrong the nearest prototype is among the rows that are near enough, by tenths of the distance."""
+    own = decided(spark, d).select(F.round("distance", 6).alias("novelty"), (F.col("truth") == F.col("predicted")).alias("ok"))
+    found = X.risk_coverage(own, "novelty", "ok", [i / 10 for i in range(1, 11)])
+    return found.select("quantile", F.round("threshold", 6).alias("threshold"), "coverage", F.round("risk", 9).alias("risk"))
 
 
 @R.add("X07_eligible_labels", "SELECT label, count(*) AS examples, count(*) FILTER (vec_id % 2 = 0) AS support_pool, count(*) FILTER (vec_id % 2 = 1) AS query_pool FROM embeddings GROUP BY 1 HAVING count(*) >= 4")
@@ -113,3 +149,24 @@ def x07(spark, d):
     n = F.count(F.lit(1))
     even = F.col("vec_id") % 2
     return embeddings(spark, d).groupBy("label").agg(n.alias("examples"), F.count_if(even == 0).cast("long").alias("support_pool"), F.count_if(even == 1).cast("long").alias("query_pool")).where("examples >= 4")
+
+
+UNIFORM = "((('0x' || substr(md5(concat_ws('|', {}) ), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0::DOUBLE"
+DRAW = "-ln(" + UNIFORM + ") / {}"
+EPISODES = f"""ex AS (SELECT vec_id AS id, label, CAST(vec_id // 2 AS VARCHAR) AS parent, CASE WHEN vec_id % 3 = 0 THEN 'g' || (vec_id // 9) END AS grp, 1.0::DOUBLE + vec_id % 4 AS weight, (vec_id % 4) / 3.0::DOUBLE AS hardness, 'd' || (vec_id % (1 + label % 3)) AS domain FROM embeddings),
+l0 AS (SELECT label, count(DISTINCT parent) AS parents, avg(hardness) AS hard, count(DISTINCT domain) AS domains FROM ex GROUP BY 1), lab AS (SELECT label, greatest(1e-6, 0.55::DOUBLE / parents + 0.3::DOUBLE * hard + 0.15::DOUBLE * domains / (SELECT max(domains) FROM l0)) AS weight FROM l0 WHERE parents >= 5),
+dr AS (SELECT i AS episode FROM range(1, 121) r(i)), kl AS (SELECT episode, label, {DRAW.format("'42', 'label', episode, label", "weight")} AS draw FROM dr, lab), ch AS (SELECT episode, label FROM kl QUALIFY row_number() OVER (PARTITION BY episode ORDER BY draw, label) <= 3),
+pool AS (SELECT * FROM ex WHERE label IN (SELECT label FROM lab) QUALIFY row_number() OVER (PARTITION BY label ORDER BY {DRAW.format("'42', 'pool', id", "weight")}, id) <= 2000),
+met AS (SELECT episode, ch.label, id, parent, weight, CASE WHEN {UNIFORM.format("'42', 'role', episode, coalesce(grp, parent)")} < 2 / 5.0::DOUBLE THEN 'support' ELSE 'query' END AS role, {DRAW.format("'42', 'row', episode, id", "weight")} AS draw FROM ch JOIN pool ON pool.label = ch.label),
+once AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY episode, label, role, parent ORDER BY draw, id) = 1), pick AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY episode, label, role ORDER BY draw, id) <= CASE role WHEN 'support' THEN 2 ELSE 3 END),
+full_ones AS (SELECT episode, row_number() OVER (ORDER BY episode) AS number FROM pick GROUP BY 1 HAVING count(*) = 15)"""
+
+
+@R.add("X07_episodes", f"WITH {EPISODES} SELECT number AS episode, label, role, id FROM pick JOIN full_ones USING (episode) WHERE number <= 10")
+def episodes(spark, d):
+    """Ten episodes of three labels, two support and three query rows each."""
+    i = F.col("vec_id")
+    own = embeddings(spark, d).select(
+        i.alias("id"), "label", F.floor(i / 2).cast("string").alias("parent"), F.when(i % 3 == 0, F.concat(F.lit("g"), F.floor(i / 9).cast("string"))).alias("group"), (1.0 + i % 4).alias("weight"), ((i % 4) / 3.0).alias("hardness"),
+        F.concat(F.lit("d"), (i % (1 + F.col("label") % 3)).cast("string")).alias("domain"))
+    return EP.build(own, 3, 2, 3, 10)

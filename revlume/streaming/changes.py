@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlume.operators import analytics as A
+from revlume.operators import etl as E
 
 
 def stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -42,20 +43,22 @@ def maintain_product_cache(changes: DataFrame, folder: str, checkpoint: str) ->
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-STATE = "support long, reviews array<long>, domains array<string>"
+STATE = "support long, reviews array<long>, domains array<string>, examples array<struct<seq:long,review_id:long,context:string>>, cue string, cued array<struct<seq:long,review_id:long,context:string>>"
 
 
-def aspect_memory(mentions: DataFrame, promoted: int = 5, most: int = 1000) -> DataFrame:
-    """(aspect, support, reviews, domains, status) as mentions (aspect, review_id, domain) come in.
+def aspect_memory(mentions: DataFrame, most: int = 1000) -> DataFrame:
+    """The memory of aspects (as ``operators.etl.memory`` without promotion) as evidence (aspect_raw, review_id, domain, context,
+    cue_type, seq) comes in, in whatever order and batches.
 
-    The state of an aspect holds up to ``most`` distinct review ids and domains:
-    enough for the status, which asks for three; a count that reached ``most``
-    stands for that many or more. The support counts every mention.
+    The state of an aspect holds its first examples and last cue by ``seq``, and up to ``most`` distinct review ids and
+    domains: enough for the status, which asks for three reviews; a count that reached ``most`` stands for that many or
+    more. The support counts all evidence.
     """
 
     def update(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        support, reviews, domains = state.get if state.exists else (0, [], [])
+        support, reviews, domains, examples, cue, cued = state.get if state.exists else (0, [], [], [], None, [])
         reviews, domains = set(reviews), set(domains)
+        examples, last = [tuple(x) for x in examples], tuple(cued[0]) if cued else None
         for b in batches:
             support += len(b)
             for known, column in ((reviews, "review_id"), (domains, "domain")):
@@ -63,11 +66,20 @@ def aspect_memory(mentions: DataFrame, promoted: int = 5, most: int = 1000) -> D
                     if len(known) >= most:
                         break
                     known.add(value)
-        state.update((support, sorted(reviews), sorted(domains)))
-        status = "promoted" if support >= promoted and len(reviews) >= 3 else "candidate" if support >= 2 else "rejected"
-        yield pd.DataFrame({"aspect": [key[0]], "support": [support], "reviews": [len(reviews)], "domains": [len(domains)], "status": [status]})
-
-    return mentions.groupBy("aspect").applyInPandasWithState(update, "aspect string, support long, reviews long, domains long, status string", STATE, "update", GroupStateTimeout.NoTimeout)
+            at = list(zip(b["seq"].tolist(), b["review_id"].tolist(), b["context"].tolist(), strict=True))
+            examples = sorted(examples + at)[: E.EXAMPLES]
+            for place, said in zip(at, b["cue_type"].tolist(), strict=True):
+                if said and (last is None or (place, said) > (last, cue)):
+                    last, cue = place, said
+        state.update((support, sorted(reviews), sorted(domains), examples, cue, [last] if last else []))
+        forms = len({c.strip().lower() for _, _, c in examples})
+        yield pd.DataFrame({"aspect": [key[0]], "support": [support], "reviews": [len(reviews)], "domains": [len(domains)], "forms": [forms], "cue": [cue], "examples": [[c for _, _, c in examples]]})
+
+    own = mentions.select(F.lower(F.trim(F.coalesce("aspect_raw", F.lit("")))).alias("aspect"), "review_id", "domain", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("cue_type", F.lit("")).alias("cue_type"), "seq")
+    found = own.groupBy("aspect").applyInPandasWithState(update, "aspect string, support long, reviews long, domains long, forms long, cue string, examples array<string>", STATE, "update", GroupStateTimeout.NoTimeout)
+    parent = E.generic_parent(F.col("aspect"))
+    status = E.memory_status(F.col("aspect"), F.col("support"), F.col("reviews"), F.col("forms"), parent, F.col("cue"))
+    return found.select("aspect", "support", "reviews", "domains", "forms", parent.alias("parent"), "cue", "examples", status.alias("status"))
 
 
 def run_once(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,15 +89,30 @@ def test_product_cache_by_stream_equals_batch(spark, tmp_path):
     assert got == {1: (2.0, 1, 0), 2: (5.0, 1, 1)}
 
 
-def test_streamed_windows_and_memory(spark, tmp_path):
+def test_streamed_windows(spark, tmp_path):
     events = spark.createDataFrame([(i, f"2024-01-01 0{i % 3}:10:00", i % 2, "view", 1.0) for i in range(9)] + [(99, "2024-01-03 00:00:00", 1, "end", 0.0)], "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     events.coalesce(1).write.parquet(str(tmp_path / "ev"))
     live = changes.stream(spark, str(tmp_path / "ev"), events.schema)
     q = changes.run_once(changes.windowed_counts(live), "windows_once", str(tmp_path / "c1"))
     q.awaitTermination(120)
     assert sum(r["n"] for r in spark.table("windows_once").where("event_type = 'view'").collect()) in (0, 9)
-    mentions = spark.createDataFrame([("battery", i, "d") for i in range(6)] + [("lens", 1, "d")], "aspect string, review_id long, domain string")
-    mentions.coalesce(1).write.parquet(str(tmp_path / "m"))
-    q = changes.run_once(changes.aspect_memory(changes.stream(spark, str(tmp_path / "m"), mentions.schema)), "memory_once", str(tmp_path / "c2"), "update")
-    q.awaitTermination(120)
-    assert {r["aspect"]: r["status"] for r in spark.table("memory_once").collect()} == {"battery": "promoted", "lens": "rejected"}
+
+
+def test_streamed_memory_equals_batch_after_shuffles_and_a_restart(spark, tmp_path):
+    rng = random.Random(6)
+    cues = ["failure_event", "unknown", "", None]
+    names = ["Battery", "battery ", "screen size", "thing", "", None, "hinge", "fit of lid"]
+    rows = [(rng.choice(names), rng.randint(1, 8), rng.choice("de"), rng.choice(["a", "A ", "b", "c"]), rng.choice(cues), seq) for seq in range(160)]
+    schema = "aspect_raw string, review_id long, domain string, context string, cue_type string, seq long"
+    wanted = sorted(map(str, map(tuple, E.memory(spark.createDataFrame(rows, schema)).collect())))
+    rng.shuffle(rows)
+    source, last = str(tmp_path / "m"), {}
+    for part in (rows[:70], rows[70:]):  # the second run goes on from the first one's state
+        for at in range(0, len(part), 30):
+            spark.createDataFrame(part[at : at + 30], schema).coalesce(1).write.mode("append").parquet(source)
+        seen = []
+        live = changes.aspect_memory(changes.stream(spark, source, spark.createDataFrame([], schema).schema))
+        writer = live.writeStream.outputMode("update").foreachBatch(lambda batch, _, seen=seen: seen.extend(batch.collect()))
+        writer.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(120)
+        last.update({r["aspect"]: tuple(r) for r in sorted(seen, key=lambda r: r["support"])})
+    assert sorted(map(str, last.values())) == wanted
