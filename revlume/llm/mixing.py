@@ -136,7 +136,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = BLOCK, slots:
 
 def mixed(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """``docs`` in the mixture's order, its columns alone."""
-    place = mix(docs, weights).groupBy("doc_id", "source", "mix_tie").agg(F.min("mix_position").alias("mix_position")).select(*(F.col(c).alias(f"mix_of_{c}") for c in ("doc_id", "source", "mix_tie")), "mix_position")
-    at = docs.withColumn("mix_tie", F.xxhash64("text"))
-    same = at["doc_id"].eqNullSafe(place["mix_of_doc_id"]) & at["source"].eqNullSafe(place["mix_of_source"]) & (at["mix_tie"] == place["mix_of_mix_tie"])
-    return at.join(place, same).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    place = mix(docs, weights).groupBy("doc_id", "source", "mix_tie").agg(F.min("mix_position").alias("mix_position"))
+    # a row travels as one value, so that no name of its columns can clash
+    at = docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")).withColumn("tie", F.xxhash64("row.text"))
+    same = at["row.doc_id"].eqNullSafe(place["doc_id"]) & at["row.source"].eqNullSafe(place["source"]) & (at["tie"] == place["mix_tie"])
+    return at.join(place, same).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select("row.*")

@@ -12,7 +12,7 @@ from revlume.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 #: Names that the operators use inside.
-CLASHES = "toxic labelled score predicted key root member band seed first n a b piece part own base length rank level levels cutoff stratum quality start tie block v ids q tree leaf word label parts planned pseudonym_key kept_row_key runs words stretches".split()
+CLASHES = "toxic labelled score predicted key root member band seed first n a b piece part own base length rank level levels cutoff stratum quality start tie block v ids q tree leaf word label parts planned pseudonym_key kept_row_key runs words stretches row mix_position mix_tie mix_of_doc_id mix_source mix_block".split()
 
 
 @pytest.fixture(scope="module")
