@@ -6,8 +6,7 @@ hashed signatures, keyed permutations, a tokenizer), so ORACLE_SQL is None; the
 operators are tested against brute-force versions.
 
 Every stage takes nulls in any column, empty and very long texts, ties, repeated
-rows, empty tables and extra columns of any name (those that begin with ``mix_``
-excepted) without failing:
+rows, empty tables and extra columns of any name without failing:
 
 - toxicity: a text without words is clean; equal texts share a verdict; labels
   that are null or of absent documents teach nothing; without both kinds of
