@@ -81,6 +81,7 @@ def prune_broad(items: Column, broad: Column) -> Column:
 
 def neutral_phrases(x: Column) -> Column:
     """keeps X, stopped X, does not X, X under Y, in this order of kinds."""
+    # fixed values: the patterns
     low = F.lower(F.coalesce(x, F.lit("")))
     found = lambda rule, group=1: F.regexp_extract_all(low, F.lit(rule), F.lit(group))
     under = r"\b([a-z]+s?)\s+under\s+([a-z]+)\b"
