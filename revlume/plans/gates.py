@@ -8,6 +8,7 @@ from revlume.functions import text as X
 from revlume.operators import builder as B
 from revlume.operators import etl as E
 from revlume.operators import gates as G
+from revlume.operators import published as P
 from revlume.operators import records as C
 from revlume.plans import views as V
 from revlume.plans.records import words
@@ -300,8 +301,7 @@ def r01(spark, d):
     stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(feed)
     query = maintain_product_cache(stream, cache, state)
     query.awaitTermination()
-    last = query.lastProgress["batchId"]
-    return spark.read.parquet(f"{cache}/v={last}").select("product_id", F.round("avg_rating", 6).alias("avg_rating"), "review_count", "helpful_count")
+    return P.read(spark, cache, "cache").select("product_id", F.round("avg_rating", 6).alias("avg_rating"), "review_count", "helpful_count")
 
 
 BUILT = """WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), f AS (SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS c, unnest(range(1, len(w))) AS pos FROM w WHERE len(w) > 1), n AS (SELECT id, c, count(*) AS n, min(pos) AS first FROM f GROUP BY 1, 2),

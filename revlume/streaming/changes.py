@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlume.operators import analytics as A
 from revlume.operators import etl as E
+from revlume.operators import published as P
 
 
 def stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
@@ -27,18 +28,17 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def maintain_product_cache(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Apply batches of (product_id, rating_delta, review_delta, helpful_delta) to the cache below ``folder``.
+CACHE = "product_id long, avg_rating double, review_count long, helpful_count long"
 
-    Each batch writes a new version from the one before; a batch that runs again
-    after a failure starts from the same version, so it is applied once.
+
+def maintain_product_cache(changes: DataFrame, folder: str, checkpoint: str, buckets: int = P.BUCKETS) -> StreamingQuery:
+    """Apply batches of (product_id, rating_delta, review_delta, helpful_delta) to the table ``cache`` published below ``folder``.
+
+    A batch rewrites the buckets of its products alone; one that runs again after a failure is applied once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        schema = "product_id long, avg_rating double, review_count long, helpful_count long"
-        before = spark.read.schema(schema).parquet(f"{folder}/v={number - 1}") if number else spark.createDataFrame([], schema)
-        A.product_cache_delta(before, batch).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        P.change(batch, "product_id", folder, number, {"cache": (CACHE, lambda before: A.product_cache_delta(before, batch))}, buckets)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,5 +1,4 @@
 import json
-import os
 import random
 
 import pytest
@@ -8,6 +7,7 @@ from pyspark.sql import functions as F
 from revlume.functions import text as X
 from revlume.operators import analytics as A
 from revlume.operators import etl as E
+from revlume.operators import published
 from revlume.sources import files
 from revlume.streaming import changes
 
@@ -84,8 +84,7 @@ def test_product_cache_by_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame([d], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     query = changes.maintain_product_cache(changes.stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), str(tmp_path / "cache"), str(tmp_path / "ck"))
     query.awaitTermination(120)
-    last = max(os.listdir(tmp_path / "cache"), key=lambda v: int(v.split("=")[1]) if "=" in v else -1)
-    got = {r["product_id"]: (r["avg_rating"], r["review_count"], r["helpful_count"]) for r in spark.read.parquet(str(tmp_path / "cache" / last)).collect()}
+    got = {r["product_id"]: (r["avg_rating"], r["review_count"], r["helpful_count"]) for r in published.read(spark, str(tmp_path / "cache"), "cache").collect()}
     assert got == {1: (2.0, 1, 0), 2: (5.0, 1, 1)}
 
 
