@@ -14,9 +14,11 @@ of a class's signature are joined; what shares a band is compared exactly, by th
 shingles of the texts: similarity of SIMILARITY or more is a link. In a bucket,
 members are first compared with one member, the leader, which binds a large
 group with as many pairs as members. Buckets of more parts than one are then
-compared in full: small ones (SMALL members) as pairs, larger ones in tasks of
+compared further: small ones (SMALL members) as pairs, larger ones in tasks of
 two blocks of bounded size each, from which only a spanning forest of links
-comes out. So no link that the bands show is lost, no task holds a whole bucket,
+comes out. Members of the largest part of a bucket meet only those of others, so
+that a few strays in a bucket of many copies cost as many comparisons for each
+copy as there are strays. So no link that the bands show is lost, no task holds a whole bucket,
 and no join makes its pairs. Classes are the connected components.
 
 Nulls and edges: null and empty texts, and those of white space, have no
@@ -241,21 +243,29 @@ def forest(sets: list[np.ndarray], roots: list, side: np.ndarray) -> list[tuple[
     n = np.array([len(x) for x in sets], np.float32)
     owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))
     known, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    kept = count[place] > 1
-    column = (np.cumsum(count > 1) - 1)[place[kept]]
+    two = side.any() and not side.all()
+    right = np.bincount(place, side[owner], len(known))
+    wanted = (right > 0) & (right < count) if two else count > 1
+    kept = wanted[place]
+    column = (np.cumsum(wanted) - 1)[place[kept]]
     owner, both = owner[kept], np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    for first in range(0, int((count > 1).sum()), 4096):
+    one, other = (np.flatnonzero(~side), np.flatnonzero(side)) if two else (np.arange(len(sets)),) * 2
+    cross = np.zeros((len(one), len(other)), np.float32)
+    for first in range(0, int(wanted.sum()), 4096):
         a, b = np.searchsorted(column, (first, first + 4096))
         part = np.zeros((len(sets), 4096), np.float32)
         part[owner[a:b], column[a:b] - first] = 1
-        both += part @ part.T
+        cross += part[one] @ part[other].T
+    both[np.ix_(one, other)] = cross
+    if two:
+        both[np.ix_(other, one)] = cross.T
     link = both >= SIMILARITY * (n[:, None] + n[None] - both) - 1e-4
     number: dict = {}
     root = np.array([number.setdefault(r, len(number)) for r in roots])
     same = root[:, None] == root[None]
-    if side.any() and not side.all():
+    if two:
         link &= side[:, None] != side[None]
     out, todo = [], np.ones(len(sets), bool)
     for start in range(len(sets)):
@@ -299,6 +309,27 @@ def _in_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield compared()
 
 
+def blocks(many: DataFrame) -> DataFrame:
+    """(band, key, root, block, rest, main) of buckets' members (band, key, root, n, size, shingles): those of a bucket's largest root are
+    in the ``main`` blocks after the ``rest`` blocks of all others."""
+    of_root = many.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    largest = of_root.groupBy("band").agg(F.max_by(F.struct("root", "n", "shingles"), F.struct("n", "root")).alias("most"))
+    count = lambda n, shingles: F.greatest(F.ceil(n / BLOCK_MEMBERS), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    own = many.join(largest, "band").select(
+        "band", "key", "root", (F.col("root") == F.col("most.root")).alias("inner"), count(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")).alias("rest"), count(F.col("most.n"), F.col("most.shingles")).alias("main")
+    )
+    turn = F.xxhash64("key", F.lit(3))
+    block = F.when(F.col("inner"), F.col("rest") + F.pmod(turn, "main")).otherwise(F.pmod(turn, "rest")).cast("int")
+    return own.select("band", "key", "root", block.alias("block"), "rest", "main")
+
+
+def in_pairs_of_blocks(placed: DataFrame) -> DataFrame:
+    """Members by the pairs of blocks that are compared: a rest block with each block; main blocks not with each other, since one root binds them."""
+    last = F.when(F.col("block") < F.col("rest"), F.col("rest") + F.col("main")).otherwise(F.col("rest")) - 1
+    met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    return met.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).drop("rest", "main", "with")
+
+
 def _roots(members: DataFrame, texts: DataFrame, counted: bool) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that bind all members that the bands show as similar, and (key, root) of all they bind."""
     buckets = materialize(members.select("key", F.col("n").alias("size"), F.explode("bands").alias("band")), "buckets")
@@ -326,12 +357,7 @@ def _roots(members: DataFrame, texts: DataFrame, counted: bool) -> tuple[DataFra
 
     many = parted.where(F.col("n") > SMALL)
     sets = materialize(shingle_sets(texts.join(many.select("key").distinct(), "key", "left_semi"), counted), "sets")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    blocked = (
-        many.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), "blocks").cast("int")).join(sets, "key")
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "root", "elements")
-    )
+    blocked = in_pairs_of_blocks(blocks(many).join(sets, "key"))
     inside = materialize(blocked.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(freed(_in_blocks), "a binary, b binary"), "links")
     links = links.union(found).union(inside)
     # what was found last, between the roots found first

@@ -88,6 +88,38 @@ def test_a_large_group_of_near_copies_is_bound(spark):
     assert max(r["count"] for r in found) >= 0.99 * len(texts)
 
 
+def test_strays_in_a_large_bucket_meet_its_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 100)
+    rows = [("b", bytes([k // 256, k % 256]), b"root" if k < 1200 else bytes([k // 256, k % 256]), 1203, 50, 1203 * 50) for k in range(1203)]
+    many = spark.createDataFrame(rows, "band string, key binary, root binary, n long, size long, shingles long")
+    met = {}
+    for r in neardup.in_pairs_of_blocks(neardup.blocks(many)).collect():
+        met.setdefault((r["i"], r["j"]), []).append((bytes(r["root"]) == b"root", r["block"]))
+    pairs = 0
+    for (i, j), members in met.items():
+        assert i == 0
+        a, b = (sum(block == x for _, block in members) for x in (i, j))
+        pairs += a * b if i != j else a * (a - 1) // 2
+        assert all(inner == (block > 0) for inner, block in members)
+    assert pairs == 3 * 1200 + 3
+
+
+def test_strays_are_bound_to_a_large_group(spark, monkeypatch):
+    """A chain: copies of one text, a stray near one of them alone, and one near that stray alone."""
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", 16)
+    rng = random.Random(21)
+    base, texts = [f"b{i}" for i in range(120)], []
+    for _ in range(150):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    for changes in range(1, 13):  # ever further from the group
+        texts.append(" ".join(base[: 120 - 2 * changes] + [f"s{changes}x{i}" for i in range(2 * changes)]))
+    expected = near_classes(texts)
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(frame(spark, texts)).collect()} == expected
+
+
 def test_forest_binds_what_is_similar():
     rng = np.random.default_rng(14)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(50)]
