@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from revlume.operators import published
 from revlume.operators.ranked import running_sum
 from revlume.plans.shared import discard, materialize
 
@@ -133,3 +134,21 @@ def rebuild(rows: DataFrame, alike: DataFrame, name: str = "aspect_raw") -> tupl
     to = roots.toDF("from", "to")
     both = cooccurrence(rows, name=name).join(to.toDF("a", "x"), "a", "left").join(to.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "weight").where("x <> y")
     return found, both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("weight").alias("weight"))
+
+
+def publish(rows: DataFrame, alike: DataFrame, reviews: DataFrame, scope: str, root: str, number: int, name: str = "aspect_raw") -> bool:
+    """The graph of one scope (a domain, or all) anew, published as the tables ``nodes`` (scope, cluster, frequency, mentions, idf, rank)
+    and ``edges`` (scope, a, b, weight) together, in place of what they held of that scope; other scopes stay.
+
+    ``reviews`` are those of the scope, with or without a row; a cluster without an edge has rank null. A scope without rows loses its graph.
+    The same number again does nothing and gives False.
+    """
+    found, edges = rebuild(rows, alike, name)
+    edges = materialize(edges, "scope-edges")
+    total = reviews.agg(F.count(F.lit(1)).alias("total"))
+    rare = found.crossJoin(F.broadcast(total)).withColumn("idf", F.round(F.log((F.col("total") + 1) / (F.col("frequency") + 1)), 6))
+    nodes = rare.join(pagerank(edges).withColumnRenamed("node", "cluster"), "cluster", "left").select(F.lit(scope).alias("scope"), "cluster", "frequency", "mentions", "idf", "rank")
+    keys = rows.sparkSession.createDataFrame([(scope,)], "scope string")
+    done = published.replace(keys, "scope", root, number, {"nodes": nodes, "edges": edges.select(F.lit(scope).alias("scope"), "a", "b", "weight")})
+    discard(edges)
+    return done

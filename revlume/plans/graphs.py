@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlume.operators import graphs as G
+from revlume.operators import published as P
 from revlume.plans import views as V
 from revlume.plans.registry import Registry
-from revlume.plans.shared import cut
+from revlume.plans.shared import cut, shared_folder
 from revlume.plans.views import with_views
 
 R = Registry()
@@ -83,7 +84,11 @@ reach AS (SELECT a AS node, b AS other FROM sym UNION SELECT a, a FROM sym UNION
 
 
 def heavy(spark, d):
-    edges = cut(G.cooccurrence(V.predictions(spark, d), name="aspect_raw"))
+    return heavy_of(V.predictions(spark, d))
+
+
+def heavy_of(rows):
+    edges = cut(G.cooccurrence(rows, name="aspect_raw"))
     least = edges.agg(F.expr("percentile(weight, 0.97)").alias("least"))
     return edges.crossJoin(F.broadcast(least)).where(F.col("weight") >= F.col("least"))
 
@@ -140,3 +145,28 @@ def g06(spark, d):
     found, edges = G.rebuild(V.predictions(spark, d), heavy(spark, d))
     nodes = found.select(F.lit("node").alias("kind"), F.col("cluster").alias("a"), F.lit(None).cast("string").alias("b"), F.col("frequency").alias("weight"), "mentions")
     return nodes.union(edges.select(F.lit("edge"), "a", "b", "weight", F.lit(None).cast("long")))
+
+
+SCOPE = PAIRS + ", " + SIMILAR + """, p AS (SELECT review_id, coalesce(root, aspect_raw) AS cluster FROM predictions LEFT JOIN roots ON node = aspect_raw),
+g AS (SELECT coalesce(x.root, a) AS x, coalesce(y.root, b) AS y, weight FROM edges LEFT JOIN roots x ON x.node = a LEFT JOIN roots y ON y.node = b)
+SELECT 'SCOPE' AS scope, 'node' AS kind, cluster AS a, NULL AS b, count(DISTINCT review_id) AS weight, count(*) AS mentions, round(ln(((SELECT count(*) FROM own_reviews) + 1)::DOUBLE / (count(DISTINCT review_id) + 1)), 6) AS idf FROM p GROUP BY cluster
+UNION ALL SELECT 'SCOPE', 'edge', least(x, y), greatest(x, y), CAST(sum(weight) AS BIGINT), NULL, NULL FROM g WHERE x <> y GROUP BY 3, 4"""
+
+
+def scope_sql(scope: str, where: str) -> str:
+    own = f"own_reviews AS (SELECT * FROM reviews WHERE {where}), scoped AS (SELECT p.* FROM predictions p WHERE review_id IN (SELECT review_id FROM own_reviews)), "
+    return f"SELECT * FROM ({with_views(own + SCOPE.replace('SCOPE', scope).replace('FROM predictions', 'FROM scoped')).replace('WITH ', 'WITH RECURSIVE ', 1)})"
+
+
+@R.add("G06_published_graph", scope_sql("all", "true") + " UNION ALL " + scope_sql("BUILDING", "domain = 'BUILDING'"))
+def g06_published(spark, d):
+    """The graphs of all domains and of one, published one after the other; the second again, from nothing, changes nothing."""
+    root, reviews, rows = shared_folder(spark, "graph"), V.reviews(spark, d), V.predictions(spark, d)
+    one = reviews.where("domain = 'BUILDING'")
+    of_one = rows.join(one.select("review_id"), "review_id", "left_semi")
+    G.publish(rows, heavy_of(rows), reviews, "all", root, 0)
+    G.publish(of_one, heavy_of(of_one), one, "BUILDING", root, 1)
+    if P.replace(spark.createDataFrame([("BUILDING",)], "scope string"), "scope", root, 1, {name: P.read(spark, root, name).limit(0) for name in ("nodes", "edges")}):
+        raise AssertionError("a published number was published again")
+    nodes = P.read(spark, root, "nodes").select("scope", F.lit("node").alias("kind"), F.col("cluster").alias("a"), F.lit(None).cast("string").alias("b"), F.col("frequency").alias("weight"), "mentions", "idf")
+    return nodes.union(P.read(spark, root, "edges").select("scope", F.lit("edge"), "a", "b", "weight", F.lit(None).cast("long"), F.lit(None).cast("double")))

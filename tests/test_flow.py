@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revlume.operators import flow as W
+from revlume.operators import graphs as G
 from revlume.operators import lines as N
 from revlume.operators import published as P
 
@@ -124,3 +125,21 @@ def test_an_empty_first_batch_gives_an_empty_table(spark, tmp_path):
     root = str(tmp_path / "t")
     none = frame(spark, [])
     assert P.replace(none, "key", root, 0, {"a": none}) and held(spark, root) == []
+
+
+def test_the_graph_of_a_scope_is_built_anew_and_others_stay(spark, tmp_path):
+    root = str(tmp_path / "g")
+    rows = spark.createDataFrame([(1, "lid"), (1, "fan"), (2, "lid"), (2, "fan noise"), (3, "hue")], "review_id int, aspect_raw string")
+    alike = spark.createDataFrame([("fan", "fan noise")], "a string, b string")
+    reviews = spark.range(4).withColumnRenamed("id", "review_id")
+    graph = lambda: (sorted(tuple(r) for r in P.read(spark, root, "nodes").drop("idf", "rank").collect()), sorted(tuple(r) for r in P.read(spark, root, "edges").collect()))
+    assert G.publish(rows, alike, reviews, "x", root, 0)
+    first = graph()
+    assert first == ([("x", "fan", 2, 2), ("x", "hue", 1, 1), ("x", "lid", 2, 2)], [("x", "fan", "lid", 2)])
+    ranks = {r["cluster"]: r["rank"] for r in P.read(spark, root, "nodes").collect()}
+    assert ranks["hue"] is None and abs(ranks["fan"] + ranks["lid"] - 1) < 1e-9
+    assert G.publish(rows.where("review_id = 1"), alike, reviews, "y", root, 1) and G.publish(rows, alike, reviews, "x", root, 2)
+    both = graph()
+    assert [r for r in both[0] if r[0] == "x"] == first[0] and [r for r in both[1] if r[0] == "x"] == first[1] and ("y", "fan", "lid", 1) in both[1]
+    assert not G.publish(rows.limit(0), alike, reviews, "x", root, 2) and graph() == both
+    assert G.publish(rows.limit(0), alike, reviews, "x", root, 3) and {r[0] for part in graph() for r in part} == {"y"}
