@@ -303,8 +303,8 @@ class Dictionary:
             out[i] = np.bincount([ord(c) % self._BINS for c in "".join(x.split())], minlength=self._BINS)
         return out
 
-    def best(self, query: str) -> tuple[str, float] | None:
-        """The best candidate of MATCH or more, the least of equally good ones."""
+    def best(self, query: str, enough: float = MATCH) -> tuple[str, float] | None:
+        """The best candidate of ``enough`` or more, the least of equally good ones."""
         query = query.lower().strip()
         if not query or not self.names:
             return None
@@ -315,7 +315,7 @@ class Dictionary:
         common = np.minimum(counts, self.counts).sum(axis=1) + np.maximum(spaces, 0) + 1
         least = np.maximum(np.minimum(len(query), self.lengths), 1)
         bound = np.minimum(1.0, 2 * common / (least + np.minimum(common, least)))
-        worth = bound >= MATCH
+        worth = bound >= enough
         for w in query.split():
             worth[self.by_word.get(w, [])] = True
         some = np.flatnonzero(worth)
@@ -323,7 +323,7 @@ class Dictionary:
             return None
         scores = weighted_ratios([query] * len(some), [self.names[i] for i in some])
         top = int(scores.argmax())  # names are sorted, so the least of equal ones
-        return (self.names[some[top]], float(scores[top])) if scores[top] >= MATCH - 1e-12 else None
+        return (self.names[some[top]], float(scores[top])) if scores[top] >= enough - 1e-12 else None
 
 
 def best_match(queries: DataFrame, candidates: DataFrame) -> DataFrame:
