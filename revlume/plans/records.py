@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from revlume.operators import etl as E
+from revlume.operators import mapping as M
 from revlume.operators import phrases as P
 from revlume.operators import records as C
 from revlume.operators import similar as S
@@ -77,6 +78,46 @@ def j13(spark, d):
     return C.map_by_steps(items, [("phrase", 1.0, one, ["aspect_raw"]), ("anchor", 0.8, two, ["anchor"])])
 
 
+DICTIONARY = """nm AS (SELECT 'generic' AS domain, split_part(p_name, ' ', 2) AS key, min(p_brand) AS canonical FROM part WHERE split_part(p_name, ' ', 2) < 'c' GROUP BY 2 UNION ALL SELECT 'building', p_name, min(p_brand) FROM part WHERE p_name LIKE 'r%' GROUP BY 2 UNION ALL SELECT 'machinery', split_part(p_name, ' ', 1), min(p_brand) FROM part WHERE p_name < 'i' GROUP BY 2 UNION ALL SELECT 'machinery', split_part(p_name, ' ', 2), max(p_brand) FROM part WHERE p_name LIKE '% anvil' GROUP BY 2),
+md AS (SELECT DISTINCT 'generic' AS domain, split_part(p_name, ' ', 2) AS anchor, split_part(p_name, ' ', 1) AS modifier, replace(p_name, ' ', '_') AS canonical FROM part WHERE p_name LIKE '% gear' UNION ALL SELECT DISTINCT 'automobile', 'gear', 'hot', 'heat' FROM part),
+it AS (SELECT lower(domain) AS domain, aspect_raw, split_part(aspect_raw, ' ', 1) AS adj, split_part(aspect_raw, ' ', 2) AS noun, CASE WHEN conf = 100 AND source = 'implicit' THEN aspect END AS learned, count(*) AS n FROM joined GROUP BY ALL),
+two AS (SELECT d.domain, a.anchor, a.modifier, coalesce(max(a.canonical) FILTER (a.domain = d.domain), max(a.canonical) FILTER (a.domain = 'generic')) AS canonical, string_agg(DISTINCT CASE a.domain WHEN 'generic' THEN 'generic' ELSE 'domain_specific' END, '+' ORDER BY CASE a.domain WHEN 'generic' THEN 'generic' ELSE 'domain_specific' END DESC) AS scope FROM (SELECT DISTINCT domain FROM it) d JOIN md a ON a.domain IN (d.domain, 'generic') GROUP BY 1, 2, 3),
+one AS (SELECT d.domain, a.key, coalesce(max(a.canonical) FILTER (a.domain = d.domain), max(a.canonical) FILTER (a.domain = 'generic')) AS canonical FROM (SELECT DISTINCT domain FROM it) d JOIN nm a ON a.domain IN (d.domain, 'generic') GROUP BY 1, 2),
+kn AS (SELECT DISTINCT domain, key FROM nm UNION SELECT domain, anchor FROM md), met AS (SELECT it.*, two.canonical AS c2, two.scope AS s2, p.canonical AS c3, a.canonical AS c4, t.canonical AS c5, CASE WHEN p.canonical IS NOT NULL THEN p.key WHEN a.canonical IS NOT NULL THEN a.key ELSE t.key END AS key FROM it LEFT JOIN two ON two.domain = it.domain AND anchor = noun AND modifier = adj LEFT JOIN one p ON p.domain = it.domain AND p.key = aspect_raw LEFT JOIN one a ON a.domain = it.domain AND a.key = noun LEFT JOIN one t ON t.domain = it.domain AND t.key = adj)
+SELECT domain, aspect_raw, coalesce(learned, c2, c3, c4, c5) AS canonical, CASE WHEN learned IS NOT NULL THEN 'trusted_learned' WHEN c2 IS NOT NULL THEN 'anchor_modifier' WHEN c3 IS NOT NULL THEN 'exact_phrase' WHEN c4 IS NOT NULL THEN 'anchor_only' ELSE 'token_fallback' END AS mapping_source, CASE WHEN learned IS NOT NULL THEN 'learned_store' WHEN c2 IS NOT NULL THEN s2 WHEN NOT EXISTS (SELECT 1 FROM kn WHERE kn.key = met.key AND kn.domain = met.domain) THEN 'generic' WHEN EXISTS (SELECT 1 FROM kn WHERE kn.key = met.key AND kn.domain = 'generic') THEN 'generic+domain_specific' ELSE 'domain_specific' END AS scope, n FROM met WHERE coalesce(learned, c2, c3, c4, c5) IS NOT NULL"""
+
+
+def mapped(spark, d):
+    """Mentions, each kind once with its count, mapped by a dictionary from the products; labels and latent families are product types."""
+    part = V.table(spark, d, "part")
+    adjective, noun = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    entry = lambda domain, key, rows, name: rows.groupBy(F.lit(domain).alias("domain"), key.alias("key")).agg(name.alias("canonical"))
+    names = entry("generic", noun, part.where(noun < "c"), F.min("p_brand")).unionByName(entry("building", F.col("p_name"), part.where("p_name like 'r%'"), F.min("p_brand")))
+    names = names.unionByName(entry("machinery", adjective, part.where("p_name < 'i'"), F.min("p_brand"))).unionByName(entry("machinery", noun, part.where("p_name like '% anvil'"), F.max("p_brand")))
+    modifiers = part.where("p_name like '% gear'").select(F.lit("generic").alias("domain"), noun.alias("anchor"), adjective.alias("modifier"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("canonical")).distinct()
+    modifiers = modifiers.unionByName(part.select(F.lit("automobile").alias("domain"), F.lit("gear").alias("anchor"), F.lit("hot").alias("modifier"), F.lit("heat").alias("canonical")).distinct())
+    broad = part.select(F.lit("generic").alias("domain"), F.lower("p_type").alias("label")).distinct()
+    learned = F.when((F.col("conf") == 100) & (F.col("source") == "implicit"), F.col("aspect"))
+    kinds = rows(spark, d).groupBy(F.lower("domain").alias("domain"), "aspect_raw", learned.alias("aspect_canonical"), F.lower("aspect_cluster").alias("latent_family"))
+    items = kinds.agg(F.count(F.lit(1)).alias("n")).select(
+        "domain", "aspect_raw", "aspect_canonical", "latent_family", "n", F.when(F.col("aspect_canonical").isNotNull(), "implicit_learned").otherwise("explicit").alias("source_type"),
+        F.split_part("aspect_raw", F.lit(" "), F.lit(2)).alias("aspect_anchor"), F.array(F.split_part("aspect_raw", F.lit(" "), F.lit(1))).alias("modifier_terms"))
+    found = M.map_aspects(items, names, modifiers, broad)
+    return found.groupBy("domain", "aspect_raw", "canonical", "mapping_source", "scope").agg(F.sum("n").alias("n"))
+
+
+@R.add("J13_mapped_aspects")
+def j13_mapped(spark, d):
+    """Names by all steps, those of similar names and latent families included."""
+    return mapped(spark, d)
+
+
+@R.add("J13_dictionary_steps", with_views(DICTIONARY))
+def j13_steps(spark, d):
+    """Names by keys of the dictionary."""
+    return mapped(spark, d).where(F.col("mapping_source").isin("trusted_learned", "anchor_modifier", "exact_phrase", "anchor_only", "token_fallback"))
+
+
 @R.add("C21_top_bigrams", "WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), f AS (SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram, unnest(range(1, len(w))) AS pos FROM w WHERE len(w) > 1), c AS (SELECT id, bigram, count(*) AS n, min(pos) AS first FROM f GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY n DESC, first) AS INTEGER) AS place FROM c) SELECT id, place, bigram, n FROM r WHERE place <= 6")
 def c21(spark, d):
     return C.top_bigrams(V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))

@@ -42,8 +42,8 @@ def test_same_rows_as_sql(spark, duck, name):
     assert table(ours.columns, ours.collect()) == table(theirs.columns, theirs.fetchall())
 
 
-#: Queries that SQL can't express: tested against plain versions (test_similar.py, test_phrases.py).
-WITHOUT_SQL = {"C19_fuzzy_names", "C13_resolved_matches"}
+#: Queries that SQL can't express: tested against plain versions (test_similar.py, test_phrases.py, test_mapping.py).
+WITHOUT_SQL = {"C19_fuzzy_names", "C13_resolved_matches", "J13_mapped_aspects"}
 
 
 def test_every_other_query_has_sql():
