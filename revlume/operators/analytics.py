@@ -95,17 +95,17 @@ def dashboard(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("mentions"), percent(count_if(F.col("sentiment") == "negative"), F.count(F.lit(1))).alias("negative_pct")).crossJoin(worst)
 
 
-def segments(rows: DataFrame, limit: int) -> DataFrame:
+def segments(predictions: DataFrame, reviews: DataFrame, limit: int) -> DataFrame:
     """Domains and the most mentioned products, most negative first; for a domain also its first negative raw aspect."""
-    # a review has one domain and one product: counts by review serve both
-    reviews = rows.groupBy("review_id", "domain", "product_id").agg(F.count(F.lit(1)).alias("own"), count_if(F.col("sentiment") == "negative").alias("bad"))
+    negative = F.col("sentiment") == "negative"
+    # mentions are counted by review before they meet it, so that what is joined is a row for each review
+    own = predictions.groupBy("review_id").agg(F.count(F.lit(1)).alias("own"), count_if(negative).alias("bad")).join(reviews, "review_id")
 
     def by(column: str) -> DataFrame:
-        return reviews.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("segment")).agg(F.count(F.lit(1)).alias("reviews"), F.sum("own").alias("mentions"), F.sum("bad").alias("negative"))
+        return own.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("unknown")).alias("segment")).agg(F.count(F.lit(1)).alias("reviews"), F.sum("own").alias("mentions"), F.sum("bad").alias("negative"))
 
-    worst = rows.where("sentiment = 'negative'").groupBy(F.coalesce("domain", F.lit("unknown")).alias("segment"), "aspect_raw").agg(F.count(F.lit(1)).alias("n"))
-    place = Window.partitionBy("segment").orderBy(F.desc("n"), "aspect_raw")
-    worst = worst.withColumn("place", F.row_number().over(place)).where("place = 1").select("segment", F.col("aspect_raw").alias("top_negative"))
+    worst = predictions.where(negative).join(reviews.select("review_id", "domain"), "review_id").groupBy(F.coalesce("domain", F.lit("unknown")).alias("segment"), "aspect_raw").agg(F.count(F.lit(1)).alias("n"))
+    worst = worst.groupBy("segment").agg(F.min_by("aspect_raw", F.struct(-F.col("n"), "aspect_raw")).alias("top_negative"))
     domains = by("domain").join(worst, "segment", "left").withColumn("kind", F.lit("domain"))
     products = by("product_id").orderBy(F.desc("mentions"), "segment").limit(limit).withColumn("kind", F.lit("product")).withColumn("top_negative", F.lit(None).cast("string"))
     both = domains.unionByName(products).withColumn("negative_pct", percent(F.col("negative"), F.col("mentions")))

@@ -12,10 +12,11 @@ from revlume.plans.shared import discard, materialize
 
 
 def pairs_per_review(mentions: DataFrame, key: str = "review_id", name: str = "aspect") -> DataFrame:
-    """(key, a, b): unordered pairs of distinct names of a review, a < b. A review's names are one array, paired in place."""
-    sets = mentions.groupBy(key).agg(F.array_sort(F.collect_set(name)).alias("names"))
-    pairs = F.flatten(F.transform("names", lambda x, i: F.transform(F.slice("names", i + 2, F.greatest(F.size("names") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return sets.where("size(names) > 1").select(key, F.explode(pairs).alias("p")).select(key, "p.a", "p.b")
+    """(key, a, b): unordered pairs of distinct names of a review, a < b. A review's names are one sorted array; each name
+    meets those after it, a name at a time, so that no array of all pairs is built."""
+    sets = mentions.groupBy(key).agg(F.array_sort(F.collect_set(name)).alias("names")).where("size(names) > 1")
+    first = sets.select(key, "names", F.posexplode("names").alias("at", "a"))
+    return first.select(key, "a", F.explode(F.slice("names", F.col("at") + 2, F.size("names"))).alias("b"))
 
 
 def cooccurrence(mentions: DataFrame, key: str = "review_id", name: str = "aspect", least: int = 1) -> DataFrame:

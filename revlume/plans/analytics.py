@@ -83,7 +83,7 @@ worst AS (SELECT domain AS segment, aspect_raw AS top_negative FROM (SELECT doma
 both_kinds AS (SELECT 'domain' AS kind, dom.*, top_negative FROM dom LEFT JOIN worst USING (segment) UNION ALL SELECT 'product', prod.*, NULL FROM prod)
 SELECT kind, segment, reviews, mentions, 100.0::DOUBLE * negative / mentions AS negative_pct, top_negative FROM both_kinds ORDER BY negative_pct DESC, mentions DESC, kind, segment LIMIT 20"""))
 def a08(spark, d):
-    return A.segments(rows(spark, d), 20)
+    return A.segments(V.predictions(spark, d), V.reviews(spark, d), 20)
 
 
 @R.add("A09_weekly_summary", with_views(IMPACT + """, top3 AS (SELECT aspect, row_number() OVER (ORDER BY round(s, 6) DESC, aspect) AS place FROM scored)
