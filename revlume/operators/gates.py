@@ -151,15 +151,13 @@ def clauses(x: Column) -> Column:
     """array<struct<snippet, start, stop>> of the text with single spaces: cut after stops and at commas and semicolons before a space."""
     plain = X.squash(F.coalesce(x, F.lit("")))
     marked = F.regexp_replace(F.regexp_replace(plain, "([.!?]) ", "$1\x01"), "[;,] ", "\x02\x01")
-    parts = F.split(marked, "\x01")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<snippet:string,start:int,stop:int>>").alias("out"))
 
-    def step(s: Column, p: Column) -> Column:
+    def span(p: Column, at: Column) -> Column:
         snippet = F.rtrim(p, F.lit("\x02"))
-        own = F.struct(snippet.alias("snippet"), s["at"].cast("int").alias("start"), (s["at"] + F.length(snippet)).cast("int").alias("stop"))
-        return F.struct((s["at"] + F.length(p) + 1).cast("int").alias("at"), F.concat(s["out"], F.array(own)).alias("out"))
+        return F.struct(snippet.alias("snippet"), at.alias("start"), (at + F.length(snippet)).cast("int").alias("stop"))
 
-    return F.filter(F.aggregate(parts, start, step, lambda s: s["out"]), lambda s: F.length(s["snippet"]) > 0)
+    spans = X.let(F.split(marked, "\x01"), lambda parts: F.zip_with(parts, X.starts(F.transform(parts, lambda p: F.length(p) + 1), F.lit(0)), span))
+    return F.filter(spans, lambda s: F.length(s["snippet"]) > 0)
 
 
 def selection_score(metrics: DataFrame) -> Column:

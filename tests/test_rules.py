@@ -166,3 +166,27 @@ def test_heavy_labels_come_more_often(spark):
     labels = spark.createDataFrame([("a", 9, 3.0), ("b", 9, 1.0)], "label string, parents long, weight double")
     got = Counter(r["label"] for r in EP.choose_labels(labels, spark.range(1, 1001).withColumnRenamed("id", "episode"), 1, 3).collect())
     assert 690 < got["a"] < 810
+
+
+def test_spans_of_long_texts(spark):
+    """Sentences and clauses stand where their spans say, in texts of no part, of few and of very many."""
+    import time
+
+    from revlume.functions import text as X
+    from revlume.operators import gates as GT
+
+    rng = random.Random(1)
+    texts = [None, "", " ", "..! a", "One. Two!  three", "a, b; c. d"] + ["".join(rng.choices("ab .!?,;\n", k=rng.randint(0, 90))) for _ in range(300)] + ["Some words, and more. " * 40_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    began = time.time()
+    for r in df.select("text", X.sentence_spans(F.col("text")).alias("s"), GT.clauses(F.col("text")).alias("c")).collect():
+        if r["text"] is None:
+            assert r["s"] is None and r["c"] == []
+            continue
+        assert all(r["text"][x["start"] : x["stop"]] == x["sentence"] for x in r["s"])
+        plain = " ".join(r["text"].split())
+        assert all(plain[x["start"] : x["stop"]] == x["snippet"] for x in r["c"])
+        flat = lambda xs: "".join("".join(xs).split())
+        assert flat(x["sentence"] for x in r["s"]) == flat([r["text"].lstrip(".!?")]) or r["text"][:1] in ".!?"
+    assert time.time() - began < 60
+    assert len(r["s"]) == 40_000 and len(r["c"]) == 80_000
