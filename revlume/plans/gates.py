@@ -229,6 +229,18 @@ def f17(spark, d):
     return G.artifact_report(rows.withColumn("issue", issue))
 
 
+@R.add("F17_valid_artifact", """WITH r AS (SELECT min(doc_id) AS id FROM documents WHERE length(text) >= 4 AND trim(text, ' ') <> '' GROUP BY lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))), c AS (SELECT count(*) FILTER (id % 10 > 1) AS n_train, count(*) FILTER (id % 10 = 0) AS n_val, count(*) FILTER (id % 10 = 1) AS n_test FROM r)
+SELECT *, 0 AS incomplete, 0 AS bad_spans, 0 AS leaked_groups, 0 AS leaked_texts, least(n_train, n_val, n_test) > 0 AS valid FROM c""")
+def f17_valid(spark, d):
+    """The documents with each text once, its splits by document: valid where no split is empty."""
+    own = V.table(spark, d, "documents").where((F.length("text") >= 4) & (F.trim("text") != ""))
+    once = own.groupBy(F.lower(X.squash(F.col("text"))).alias("t")).agg(F.min("doc_id").alias("id"), F.min_by("text", "doc_id").alias("review_text"))
+    turn = F.col("id") % 10
+    rows = once.select("id", F.col("id").alias("group_id"), "review_text", F.when(turn == 0, "val").when(turn == 1, "test").otherwise("train").alias("split"))
+    issue = E.span_issue(F.col("review_text"), F.substring("review_text", 1, 4), F.array(F.lit(0), F.lit(4)))
+    return G.artifact_report(rows.withColumn("issue", issue))
+
+
 @R.add("F06_matched_labels", SQL + "SELECT label, label IN ('Battery_Life', 'table service') OR contains(' ' || label || ' ', ' gear ') AS matched, count(*) AS n FROM mentions GROUP BY 1, 2")
 def f06(spark, d):
     """Labels that equal a candidate or hold all of its tokens."""
