@@ -94,7 +94,8 @@ def seeds(keyed: DataFrame) -> DataFrame:
             parts, size = [], 0
             for key, words in zip(batch["key"].to_numpy(), _words(batch["text"].tolist()), strict=True):
                 s, *numbers = stretches(words)
-                parts.append((np.full(len(s), key, object), s.view(np.int64), *numbers))
+                # not np.full: it drops the zero bytes at a key's end
+                parts.append((np.repeat(np.array([key], object), len(s)), s.view(np.int64), *numbers))
                 size += len(s)
                 if size > PART:
                     yield table(parts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) | U(1)
 _BASE = 0x9E3779B97F4A7C15
+#: Bytes of a word up to which sums of powers tell words apart; two letters in turns as of Thue and Morse would meet from 1,024 on.
+_PLAIN = 256
 _powers = {"p": np.ones(1, U), "q": np.ones(1, U)}
 
 
@@ -54,6 +57,8 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(data) + 1, U)
     np.cumsum(_BYTES[data] * p[: len(data)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * q[starts])
+    for i in np.flatnonzero(ends - starts > _PLAIN).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
     offsets = np.cumsum([0] + [len(x) + 1 for x in parts])
     return hashes, np.searchsorted(starts, offsets)
 
