@@ -56,40 +56,64 @@ def decide(scored: DataFrame, key: str = "vec_id") -> DataFrame:
     return found.select(key, "truth", "predicted", "confidence", (1 - (F.col("confidence") - F.coalesce("second", F.lit(0.0)))).alias("ambiguity"), (F.col("d2") / (F.col("d2") + 1)).alias("distance"))
 
 
-#: Vectors of a block; two blocks meet in a task.
-BLOCK = 2048
-
-
-def similar_pairs(rows: DataFrame, threshold: float, top: int = 25, key: str = "id", vector: str = "v") -> DataFrame:
-    """(a, b, cosine), a < b, of unit vectors with a cosine of at least the threshold, if b is among the ``top`` nearest of a.
-
-    Vectors are dealt to blocks; each task multiplies two blocks as matrices and lets out only a row's best ones, so that
-    no join makes all pairs and no task holds more than two blocks. Equal cosines go by key. Keys are distinct; null
-    vectors take no part.
+#: Vectors of a block, at most; two blocks meet in a task. Smaller ones as long as there are no more than BLOCKS.
+BLOCK, SMALL_BLOCK, BLOCKS = 32_768, 2048, 16
+#: Rows of a block that are compared with another one at a time.
+TILE = 256
+
+
+def _block_count(n: int) -> int:
+    return max(1, -(-n // BLOCK), min(BLOCKS, -(-n // SMALL_BLOCK)))
+
+
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, threshold: float, top: int) -> pd.DataFrame:
+    """(a, b, cosine): of each row of ``left`` its nearest in ``right`` with at least the threshold, equal ones by key."""
+    a, b, parts = left["k"].to_numpy(), right["k"].to_numpy(), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(a) and len(b):
+        x, y = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()).T
+        few = min(top, len(b))
+        for at in range(0, len(a), TILE):
+            cosine = x[at : at + TILE] @ y
+            cosine[a[at : at + TILE, None] == b[None]] = -np.inf
+            least = np.maximum(threshold, np.partition(cosine, -few, axis=1)[:, -few])
+            row, near = np.nonzero(cosine >= least[:, None])
+            # ``right`` is in the order of its keys, so that of equal cosines the first keys stay
+            order = np.lexsort((near, -cosine[row, near], row))
+            row, near = row[order], near[order]
+            turn = np.arange(len(row)) - np.searchsorted(row, row)
+            row, near = row[turn < top], near[turn < top]
+            parts.append((row + at, near, cosine[row, near]))
+    row, near, cosine = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return pd.DataFrame({"a": a[row], "b": b[near], "cosine": cosine})
+
+
+def similar_pairs(rows: DataFrame, threshold: float, top: int = 25, key: str = "id", vector: str = "v", both: bool = False) -> DataFrame:
+    """(a, b, cosine), a < b, of unit vectors with a cosine of at least the threshold, if b is among the ``top`` nearest of a;
+    with ``both`` also if a is among those of b.
+
+    Vectors are dealt to blocks; each task multiplies two blocks as matrices, a few rows at a time, and lets out only a row's
+    best ones, so that no join makes all pairs and no task holds more than two blocks. A vector is sent once for each block:
+    at most BLOCKS times up to BLOCKS * BLOCK rows. Equal cosines go by key. Keys are distinct; null vectors take no part.
     """
     own = rows.select(key, vector).where(F.col(vector).isNotNull())
-    blocks = max(1, -(-own.count() // BLOCK))
+    blocks = _block_count(own.count())
     dealt = own.select(F.col(key).alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    sides = dealt.select("k", "v", F.lit(0).alias("side"), F.col("block").alias("i"), every.alias("j")).union(dealt.select("k", "v", F.lit(1), every.alias("i"), F.col("block").alias("j")))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sides = other.select("k", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     kind = rows.schema[key].dataType.simpleString()
 
     def near(group: pd.DataFrame) -> pd.DataFrame:
-        left, right = (group[group["side"] == s].sort_values("k") for s in (0, 1))
-        none = pd.DataFrame({"a": group["k"][:0], "b": group["k"][:0], "cosine": np.zeros(0)})
-        if left.empty or right.empty:
-            return none
-        cosine = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
-        a, b = left["k"].to_numpy(), right["k"].to_numpy()
-        cosine[a[:, None] == b[None]] = -np.inf
-        # as near as the top-th of the block and no farther: ties are told apart when all blocks are known
-        least = np.maximum(threshold, np.partition(cosine, -min(top, cosine.shape[1]), axis=1)[:, -min(top, cosine.shape[1])])
-        x, y = np.nonzero(cosine >= least[:, None])
-        return pd.DataFrame({"a": a[x], "b": b[y], "cosine": cosine[x, y]}) if len(x) else none
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        left, right = (group[group["block"] == n].sort_values("k") for n in (i, j))
+        found = _nearest(left, right, threshold, top)
+        return found if i == j else pd.concat([found, _nearest(right, left, threshold, top)], ignore_index=True)
 
     found = sides.groupBy("i", "j").applyInPandas(near, f"a {kind}, b {kind}, cosine double")
     place = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return found.withColumn("place", F.row_number().over(place)).where((F.col("place") <= top) & (F.col("a") < F.col("b"))).select("a", "b", "cosine")
+    best = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top)
+    if both:
+        return best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cosine").alias("cosine"))
+    return best.where(F.col("a") < F.col("b")).select("a", "b", "cosine")
 
 
 def calibration_bins(rows: DataFrame, bins: int = 10) -> DataFrame:

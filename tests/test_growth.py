@@ -2,11 +2,13 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from revlume.functions import text as X
 from revlume.operators import records as R
+from revlume.operators import vectors as V
 
 TEXTS = [(1, "Big screen and BIG screen, good"), (None, "a b a b"), (2**60 + 1, "one"), (3, None), (4, "x y, z x y z"), (5, "")]
 
@@ -37,3 +39,36 @@ def test_a_text_is_lowered_once_for_all_words(spark):
     text = spark.range(1).select(F.lit("Good but SLOW and bad").alias("t"))
     plan = text.select(X.keyword_polarity(F.col("t")).alias("p"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("lower(") == 1
+
+
+def vectors(n, width=8, seed=5):
+    x = np.random.default_rng(seed).normal(size=(n, width))
+    x[n // 2 : n // 2 + 9] = x[0]  # equal cosines
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_similar_pairs_of_brute_force_in_blocks_and_tiles(spark, monkeypatch, both):
+    monkeypatch.setattr(V, "BLOCK", 70)
+    monkeypatch.setattr(V, "SMALL_BLOCK", 40)
+    x = vectors(300)
+    cosine = np.round(x @ x.T, 9)
+    wanted = set()
+    for a in range(len(x)):
+        near = [b for b in sorted(range(len(x)), key=lambda b: (-cosine[a, b], b)) if b != a and cosine[a, b] >= 0.4][:4]
+        wanted |= {(min(a, b), max(a, b)) for b in near if both or a < b}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.round(x, 12))], "id long, v array<double>")
+    found = V.similar_pairs(rows, 0.4, 4, both=both).collect()
+    assert len(found) == len(wanted) and {(r["a"], r["b"]) for r in found} == wanted
+
+
+def test_a_vector_is_sent_at_most_once_for_each_of_few_blocks():
+    assert [V._block_count(n) for n in (0, 1, 2048, 2049, 20_000, 100_000, 524_288, 600_000)] == [1, 1, 1, 2, 10, 16, 16, 19]
+
+
+def test_similar_labels_hold_pairs_that_either_names(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.436]), (3, [0.8, 0.6])], "id long, v array<double>")
+    pairs = lambda **kw: {(r["a"], r["b"]) for r in V.similar_pairs(rows, 0.0, 1, **kw).collect()}
+    assert pairs() == {(1, 2), (2, 3)} and pairs(both=True) == {(1, 2), (2, 3)}
+    swapped = rows.select((4 - F.col("id")).alias("id"), "v").where("id > 0")
+    assert {(r["a"], r["b"]) for r in V.similar_pairs(swapped, 0.0, 1).collect()} < {(r["a"], r["b"]) for r in V.similar_pairs(swapped, 0.0, 1, both=True).collect()}
