@@ -102,11 +102,11 @@ def a35(spark, d):
     return X.threshold_grid(own)
 
 
-@R.add("J10_similar_labels", f"WITH {BANK}, u AS (SELECT label, list_transform(centre, lambda x: x / sqrt(list_sum(list_transform(centre, lambda y: y * y)))) AS v FROM bank), c AS (SELECT x.label AS a, y.label AS b, list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])) AS cosine FROM u x JOIN u y ON x.label <> y.label), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS place FROM c WHERE cosine >= -0.05) SELECT a, b, round(cosine, 6) AS cosine FROM r WHERE place <= 3 AND a < b")
+@R.add("J10_similar_labels", f"WITH {BANK}, u AS (SELECT label, list_transform(centre, lambda x: x / sqrt(list_sum(list_transform(centre, lambda y: y * y)))) AS v FROM bank), c AS (SELECT x.label AS a, y.label AS b, list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])) AS cosine FROM u x JOIN u y ON x.label <> y.label), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS place FROM c WHERE cosine >= -0.05) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, round(cosine, 6) AS cosine FROM r WHERE place <= 3")
 def j10(spark, d):
-    """Similar labels by their unit prototypes: the self-join is over labels, not rows."""
+    """Similar labels by their unit prototypes, each pair that one of both names: the self-join is over labels, not rows."""
     bank = cut(X.prototypes(embeddings(spark, d)).select(F.col("label").alias("id"), X.unit(F.col("centre")).alias("v")))
-    return X.similar_pairs(bank, -0.05, 3).withColumn("cosine", F.round("cosine", 6))
+    return X.similar_pairs(bank, -0.05, 3, both=True).withColumn("cosine", F.round("cosine", 6))
 
 
 @R.add("J10_similar_vectors", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e), c AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.v, y.v) AS cosine FROM u x JOIN u y ON x.vec_id <> y.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS place FROM c WHERE cosine >= 0.3) SELECT a, b, round(cosine, 6) AS cosine FROM r WHERE place <= 25 AND a < b")
