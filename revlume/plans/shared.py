@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 #: Rows of a reviewed store that may go to every task as one.
 STORE_ROWS = 100_000
+#: Rows that a task holds on average where ``spread`` deals them.
+TASK_ROWS = 1 << 19
 _own: list[str] = []
 
 
@@ -23,6 +25,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(rows: DataFrame, n: int, *keys: Column | str) -> DataFrame:
+    """``rows``, about n, dealt by their keys so that a task holds TASK_ROWS of them, whatever n is.
+
+    Adaptive execution deals by compressed bytes, of which 64 MB may be a GB of rows to sort. Few rows are left to it.
+    """
+    parts = -(-n // TASK_ROWS)
+    return rows.repartition(parts, *keys) if parts > rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def shared_root(spark) -> str:
     """The folder that driver and executors share; only a local session without one (as in tests) gets one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -10,6 +10,7 @@ from revlume import catalog
 from revlume.functions import text as X
 from revlume.operators import records as R
 from revlume.operators import vectors as V
+from revlume.plans import shared
 
 TEXTS = [(1, "Big screen and BIG screen, good"), (None, "a b a b"), (2**60 + 1, "one"), (3, None), (4, "x y, z x y z"), (5, "")]
 
@@ -78,3 +79,22 @@ def test_similar_labels_hold_pairs_that_either_names(spark):
 def test_overall_sentiment_ranks_by_all_twenty_rounds():
     sql = catalog.ORACLE_SQL["A19_overall_sentiment"]
     assert "JOIN r20 ON" in sql and "moved" not in sql
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["W06_top_six_per_review"])
+def test_tasks_of_a_review_step_hold_a_number_of_rows(spark, monkeypatch, name):
+    wanted = sorted(map(str, catalog.QUERIES[name](spark, DATA).collect()))
+    monkeypatch.setattr(shared, "TASK_ROWS", 500)
+    found = catalog.QUERIES[name](spark, DATA)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    parts = -(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)
+    assert "hashpartitioning(review_id" in plan and f", {parts})" in plan
+    assert sorted(map(str, found.collect())) == wanted
+
+
+def test_few_rows_are_not_dealt(spark):
+    rows = spark.range(10)
+    assert shared.spread(rows, 10, "id") is rows
