@@ -76,7 +76,7 @@ def a19(spark, d):
 
 @R.add("W04_transitions", with_views("SELECT review_id, aspect AS a, nxt AS b, count(*) AS moves FROM (SELECT review_id, aspect, lead(aspect) OVER (PARTITION BY review_id ORDER BY position, aspect) AS nxt FROM predictions) WHERE nxt IS NOT NULL AND nxt <> aspect GROUP BY 1, 2, 3"))
 def w04(spark, d):
-    return G.transitions(V.predictions(spark, d))
+    return G.transitions(V.by_review(spark, d))
 
 
 SIMILAR = """heavy AS (SELECT a, b FROM edges WHERE weight >= (SELECT quantile_cont(weight, 0.97) FROM edges)), sym AS (SELECT a, b FROM heavy UNION SELECT b, a FROM heavy),
