@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from revlume.functions import text as X
+from revlume.operators import analytics as A
 from revlume.operators import etl as E
 from revlume.plans import views as V
 from revlume.plans.analytics import rows
@@ -176,9 +177,8 @@ def evidence(spark, d):
     conf, name = F.col("conf"), F.col("aspect_raw")
     named = F.when(conf == 90, "Good ").when(conf == 91, "restaurant").when(conf == 92, F.concat(name, F.lit(" quality"))).when(conf == 93, F.concat(F.lit(" Fit of "), name)).when(conf == 94, "").when(conf == 95, F.concat(name, F.col("review_id").cast("string"))).otherwise(name)
     cue = F.when(conf == 97, "failure_event").when(conf == 98, "quality_judgment").when(conf == 99, "").otherwise("unknown")
-    # of rows with one place and context, the cues that are there count by name
-    r = rows(spark, d).withColumn("cue", F.max(F.when(cue != "", cue)).over(Window.partitionBy("review_id", "position", "aspect_cluster", F.lower(F.trim(named)))))
-    return r.select(named.alias("aspect_raw"), "review_id", "domain", F.col("aspect_cluster").alias("context"), F.when(cue == "", "").otherwise(F.col("cue")).alias("cue_type"), (F.col("review_id") * 16 + F.col("position")).alias("seq"))
+    r = A.scan(V.by_review(spark, d), V.reviews(spark, d))
+    return r.select(named.alias("aspect_raw"), "review_id", "domain", F.col("aspect_cluster").alias("context"), cue.alias("cue_type"), (F.col("review_id") * 16 + F.col("position")).alias("seq"))
 
 
 @R.add("A23_aspect_memory", with_views(NAMED + " SELECT aspect, support, reviews, domains, forms, parent, cue, status FROM memory"))

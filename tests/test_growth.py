@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from revlume import catalog
 from revlume.functions import text as X
+from revlume.operators import etl as E
 from revlume.operators import records as R
 from revlume.operators import vectors as V
 from revlume.plans import shared
@@ -84,7 +85,7 @@ def test_overall_sentiment_ranks_by_all_twenty_rounds():
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["W04_transitions", "W06_top_six_per_review"])
+@pytest.mark.parametrize("name", ["W04_transitions", "W06_top_six_per_review", "A24_memory_summary"])
 def test_tasks_of_a_review_step_hold_a_number_of_rows(spark, monkeypatch, name):
     wanted = sorted(map(str, catalog.QUERIES[name](spark, DATA).collect()))
     monkeypatch.setattr(shared, "TASK_ROWS", 500)
@@ -98,3 +99,9 @@ def test_tasks_of_a_review_step_hold_a_number_of_rows(spark, monkeypatch, name):
 def test_few_rows_are_not_dealt(spark):
     rows = spark.range(10)
     assert shared.spread(rows, 10, "id") is rows
+
+
+@pytest.mark.parametrize("cues", [("b", "a"), ("a", "b")])
+def test_cues_of_one_place_count_by_name(spark, cues):
+    rows = spark.createDataFrame([("lid", 1, "d", "c", cue, 5) for cue in cues], "aspect_raw string, review_id int, domain string, context string, cue_type string, seq int").coalesce(1)
+    assert E.memory(rows).first()["cue"] == "b"
