@@ -39,7 +39,8 @@ def predict(clauses: DataFrame, top_k: int = 5) -> DataFrame:
         F.coalesce("c.routing", F.lit("known")).alias("routing"), F.lit(False).alias("abstain"), F.lit(None).cast("string").alias("reason"), "ambiguity_score", "novelty_score", "span",
     )
     best = each.groupBy("review_id", "aspect").agg(F.max_by(shown, F.struct(F.coalesce("c.confidence", F.lit(0.0)), -F.col("place"), -F.col("i"), "c.sentiment", "span")).alias("b")).select("review_id", "aspect", "b.*").select(*row)
-    with_any = best.select("review_id").distinct().withColumn("any", F.lit(True))
+    named = F.exists(F.slice("accepted", 1, max(2 * top_k, 8)), lambda c: X.blank_to_null(c["aspect"]).isNotNull())
+    with_any = said.where(named).select("review_id").distinct().withColumn("any", F.lit(True))
 
     first = F.get("accepted", F.lit(0))
     held = clauses.where(abstains).select(

@@ -40,7 +40,7 @@ def c22(spark, d):
 
 def scored_clauses(spark, d):
     """Implicit mentions as scored clauses: those of some confidences abstain, some name no aspect, some bring novel ones."""
-    p = V.predictions(spark, d).where("source = 'implicit'")
+    p = V.by_review(spark, d).where("source = 'implicit'")
     score, none = F.col("conf") / 100, F.col("conf") == 97
     one = lambda name, less: F.struct(name.alias("aspect"), F.col("sentiment").alias("sentiment"), (score - less).alias("confidence"), (score - less).alias("raw_score"), F.lit("known").alias("routing"))
     novel = F.when(F.col("conf") % 4 == 1, F.array(F.struct(F.concat(F.lit("new "), "aspect_raw").alias("aspect"), (F.lit(1.0) - score).alias("novelty_score"))))

@@ -85,7 +85,7 @@ def test_overall_sentiment_ranks_by_all_twenty_rounds():
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["W04_transitions", "W06_top_six_per_review", "A24_memory_summary"])
+@pytest.mark.parametrize("name", ["W04_transitions", "W06_top_six_per_review", "A24_memory_summary", "X14_implicit_predictions"])
 def test_tasks_of_a_review_step_hold_a_number_of_rows(spark, monkeypatch, name):
     wanted = sorted(map(str, catalog.QUERIES[name](spark, DATA).collect()))
     monkeypatch.setattr(shared, "TASK_ROWS", 500)
