@@ -21,6 +21,8 @@ from revlume.plans.shared import STORE_ROWS
 # fixed values: words that say nothing alone, the least length of one that does, and how far a window reaches
 STOP_WORDS = frozenset("the and was for with that this but not are from they have been will your very when into some".split())
 WORD_LENGTH, REACH = 3, 24
+#: Texts whose matches a worker holds at a time: a text may have one of each pattern.
+TEXTS = 128
 # fixed values: forms that stand for each other
 KEEPS = ("keeps ", "keep ", "kept ")
 DOES_NOT = (" does not ", " doesn't ")
@@ -144,6 +146,16 @@ class Automaton:
         return kept
 
 
+def found_in(store: Automaton, batches: Iterator[pd.DataFrame], resolve: bool) -> Iterator[pd.DataFrame]:
+    """Matches in batches of id, domain and text, of TEXTS texts at a time."""
+    names = ["id", *(x.split(" ")[0] for x in HITS.split(", "))]
+    for batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            some = batch.iloc[at : at + TEXTS]
+            found = [(i, *hit) for i, domain, text in zip(some["id"], some["domain"], some["text"], strict=True) if isinstance(text, str) for hit in store.matches(text, domain if isinstance(domain, str) else None, resolve)]
+            yield pd.DataFrame(found, columns=names)
+
+
 def match_patterns(texts: DataFrame, patterns: DataFrame, resolve: bool = True) -> DataFrame:
     """Matches of promoted patterns in texts (id, domain, text): with ``resolve`` those that stand beside each other, else all.
 
@@ -158,12 +170,8 @@ def match_patterns(texts: DataFrame, patterns: DataFrame, resolve: bool = True)
         raise ValueError("patterns need ids of their own")
     sent = texts.sparkSession.sparkContext.broadcast(rows)
     kind = texts.schema["id"].dataType.simpleString()
-    names = ["id", *(x.split(" ")[0] for x in HITS.split(", "))]
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store = Automaton(sent.value)
-        for batch in batches:
-            found = [(i, *hit) for i, domain, text in zip(batch["id"], batch["domain"], batch["text"], strict=True) if isinstance(text, str) for hit in store.matches(text, domain if isinstance(domain, str) else None, resolve)]
-            yield pd.DataFrame(found, columns=names)
+        yield from found_in(Automaton(sent.value), batches, resolve)
 
     return texts.select("id", F.col("domain").cast("string").alias("domain"), "text").where("id is not null").mapInPandas(match, f"id {kind}, {HITS}")

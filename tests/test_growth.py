@@ -3,12 +3,14 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from revlume import catalog
 from revlume.functions import text as X
 from revlume.operators import etl as E
+from revlume.operators import phrases as P
 from revlume.operators import records as R
 from revlume.operators import vectors as V
 from revlume.plans import shared
@@ -105,3 +107,10 @@ def test_few_rows_are_not_dealt(spark):
 def test_cues_of_one_place_count_by_name(spark, cues):
     rows = spark.createDataFrame([("lid", 1, "d", "c", cue, 5) for cue in cues], "aspect_raw string, review_id int, domain string, context string, cue_type string, seq int").coalesce(1)
     assert E.memory(rows).first()["cue"] == "b"
+
+
+def test_matches_are_held_for_few_texts_at_a_time():
+    pattern = {"pattern_id": "p", "phrase": "runs hot", "aspect_canonical": "heat", "latent_family": "f", "domain_scope": "global", "domains": None, "confidence": 0.5, "precision_estimate": 0.5}
+    texts = pd.DataFrame({"id": range(300), "domain": None, "text": "it runs hot"})
+    parts = list(P.found_in(P.Automaton([pattern]), iter([texts]), True))
+    assert max(len(p) for p in parts) <= P.TEXTS and pd.concat(parts)["id"].tolist() == list(range(300))
