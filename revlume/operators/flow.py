@@ -78,7 +78,8 @@ def hybrid(explicit: DataFrame, implicit: DataFrame, allowed: Column) -> dict[st
 
     columns = ["review_id", "place", "aspect", "sentiment", "confidence", "span"]
     both = explicit.select(*columns, F.lit("explicit").alias("source")).unionByName(gated.where(~apart & (routing == "known")).select(*columns, F.lit("implicit").alias("source")))
-    ready = both.select("review_id", X.normalize(F.coalesce("aspect", F.lit(""))).alias("aspect_normalized"), _low("sentiment", "neutral").alias("sentiment"), "place", F.trim("aspect").alias("aspect"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "span", "source").where("aspect_normalized <> ''")
+    # a name is made once for each row: a filter of a generated column is not moved before it
+    ready = both.select("review_id", F.explode(F.array(X.normalize(F.coalesce("aspect", F.lit(""))))).alias("aspect_normalized"), _low("sentiment", "neutral").alias("sentiment"), "place", F.trim("aspect").alias("aspect"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "span", "source").where("aspect_normalized <> ''")
     rank = F.struct("confidence", F.col("source") == "explicit", -F.col("place"), "aspect", "span")
     won = ready.groupBy("review_id", "aspect_normalized", "sentiment").agg(F.max_by(F.struct("aspect", "confidence", "source", "span"), rank).alias("w"))
     return {"predictions": won.select("review_id", "aspect_normalized", "sentiment", "w.*"), "abstained": abstained, "novel": novel}

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revlume.plans.shared import delete
+from revlume.plans.shared import delete, discard, materialize
 
 BUCKET = "published_bucket"
 #: Buckets of a new root, and the bound of what the driver holds of it.
@@ -107,12 +107,20 @@ def _forget(spark: SparkSession, root: str, known: list[dict]) -> None:
 
 
 def replaced(keys: DataFrame, key: str, rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """What a table holds with the rows of ``keys`` replaced by ``rows`` (of those keys alone)."""
-    gone = keys.select(key).distinct()
+    """What a table holds with the rows of ``keys`` replaced by ``rows`` (of those keys alone). Keys may come several times."""
+    gone = keys.select(key)
     return lambda before: before.join(gone, key, "left_anti").select(*rows.columns).unionByName(rows.join(gone, key, "left_semi"))
 
 
 def replace(keys: DataFrame, key: str, root: str, number: int, tables: dict[str, DataFrame], buckets: int = BUCKETS) -> bool:
     """Publish the rows of ``tables`` in place of all that the tables hold of ``keys``; keys without new rows lose theirs."""
+    known = states(keys.sparkSession, root)
+    if known and known[-1]["number"] >= number:
+        return False
+    # found once, not for each table anew
+    keys = materialize(keys.select(key).distinct(), "published-keys")
     ddl = {name: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) for name, rows in tables.items()}
-    return change(keys, key, root, number, {name: (ddl[name], replaced(keys, key, rows)) for name, rows in tables.items()}, buckets)
+    try:
+        return change(keys, key, root, number, {name: (ddl[name], replaced(keys, key, rows)) for name, rows in tables.items()}, buckets)
+    finally:
+        discard(keys)

@@ -12,7 +12,7 @@ from revlume.operators import published as P
 from revlume.plans import views as V
 from revlume.plans.records import words
 from revlume.plans.registry import Registry
-from revlume.plans.shared import shared_folder
+from revlume.plans.shared import discard, materialize, shared_folder
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.queries, R.sql
@@ -73,13 +73,17 @@ UNION ALL SELECT 'abstained', review_id, aspect, sentiment, reason, round(confid
 UNION ALL SELECT 'novel', review_id, aspect, NULL, '', round(novelty, 6) FROM (SELECT DISTINCT review_id, aspect, novelty FROM nov))"""
 
 
-def flow_tables(spark, d):
-    p = V.predictions(spark, d)
+def gated_clauses(spark, d):
+    """The implicit predictions, and whether each is allowed: found once for all tables of the flow."""
+    allowed = G.implicit_allowed(F.col("aspect"), F.when(F.col("review_id") % 3 > 0, "laptop"), words("one"), words("small", "large", "green", "red", "blue", "hot", "new", "old", "economy", "promo", "standard", "medium"), words("price"))
+    return materialize(W.predict(scored_clauses(spark, d), top_k=2).withColumn("allowed", allowed), "implicit")
+
+
+def flow_tables(spark, d, implicit):
+    p = V.by_review(spark, d)
     span = F.struct(F.lit(0).alias("start"), F.length("aspect_raw").alias("stop"), F.col("aspect_raw").alias("snippet")).alias("span")
     explicit = p.where("source = 'explicit'").select("review_id", F.col("position").alias("place"), F.col("aspect_raw").alias("aspect"), "sentiment", (F.col("conf") / 100).alias("confidence"), span)
-    domain = F.when(F.col("review_id") % 3 > 0, "laptop")
-    allowed = G.implicit_allowed(F.col("aspect"), domain, words("one"), words("small", "large", "green", "red", "blue", "hot", "new", "old", "economy", "promo", "standard", "medium"), words("price"))
-    return W.hybrid(explicit, W.predict(scored_clauses(spark, d), top_k=2), allowed)
+    return W.hybrid(explicit, implicit, F.col("allowed"))
 
 
 def shown(spark, root):
@@ -92,12 +96,13 @@ def shown(spark, root):
 @R.add("X13_review_flow", MERGED + " SELECT * FROM flows")
 def x13(spark, d):
     """The flow of all reviews, stored twice: first with nothing of theirs but a stale row each, then anew; the second run again changes nothing."""
-    root, tables = shared_folder(spark, "flow"), flow_tables(spark, d)
-    reviews = V.predictions(spark, d).select("review_id").distinct()
+    root, implicit = shared_folder(spark, "flow"), gated_clauses(spark, d)
+    tables, reviews = flow_tables(spark, d, implicit), materialize(V.predictions(spark, d).select("review_id").distinct(), "reviews")
     stale = {name: rows.limit(0) for name, rows in tables.items()}
     stale["novel"] = reviews.select("review_id", F.lit("stale").alias("aspect"), F.lit(0.0).alias("novelty_score"), F.lit(0.0).alias("confidence"), F.lit("").alias("evidence"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
     W.persist(reviews, stale, root, 0)
     W.persist(reviews, tables, root, 1)
     if W.persist(reviews, stale, root, 1):
         raise AssertionError("a published number was published again")
+    discard(implicit, reviews)
     return shown(spark, root)

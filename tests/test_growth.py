@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revlume import catalog
 from revlume.functions import text as X
 from revlume.operators import etl as E
+from revlume.operators import flow as W
 from revlume.operators import phrases as P
 from revlume.operators import records as R
 from revlume.operators import vectors as V
@@ -114,3 +115,12 @@ def test_matches_are_held_for_few_texts_at_a_time():
     texts = pd.DataFrame({"id": range(300), "domain": None, "text": "it runs hot"})
     parts = list(P.found_in(P.Automaton([pattern]), iter([texts]), True))
     assert max(len(p) for p in parts) <= P.TEXTS and pd.concat(parts)["id"].tolist() == list(range(300))
+
+
+def test_a_flow_makes_each_name_once(spark):
+    columns = "review_id int, place int, aspect string, sentiment string, confidence double, span " + W.SPAN
+    explicit = spark.createDataFrame([(1, 0, "Lids quality", "positive", 0.5, None), (1, 1, "lid", "positive", 0.4, None), (1, 2, None, "positive", 0.4, None)], columns)
+    implicit = W.predict(spark.createDataFrame([], "review_id int, place int, span " + W.SPAN + ", decision string, confidence double, ambiguity_score double, novelty_score double, accepted array<struct<aspect:string,sentiment:string,confidence:double,raw_score:double,routing:string>>, novel array<struct<aspect:string,novelty_score:double>>"))
+    found = W.hybrid(explicit, implicit, F.lit(True))["predictions"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("quality$") <= 2  # of explicit and implicit rows
+    assert [(r["aspect_normalized"], r["aspect"]) for r in found.collect()] == [("lid", "Lids quality")]
